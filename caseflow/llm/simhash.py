@@ -30,6 +30,8 @@ MAX_BITS = 3
 SHARD, TREE_SAMPLE = 2048, 65_536
 #: Largest number of members or visitors in one unit of work; larger shards are cut into a grid of such units.
 CELL = 100_000
+#: Fingerprints that a task routes at a time.
+ROUTED = 50_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _OFFSET = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _CHUNK = 1 << 16
@@ -185,8 +187,18 @@ def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
     trees = [build_tree(_half(sample, k), depth) for k in (0, 1)]
     shared = spark.sparkContext.broadcast(trees)
 
-    def visits(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, bool]]:
-        fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """Fingerprints in arrays large enough that each shard's share of one is worth a call."""
+        held: list[np.ndarray] = []
+        for pdf in batches:
+            held.append(pdf["fp"].to_numpy(np.int64))
+            if sum(map(len, held)) >= ROUTED:
+                yield np.concatenate(held).view(np.uint64)
+                held = []
+        if held:
+            yield np.concatenate(held).view(np.uint64)
+
+    def visits(fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
         for tree in (0, 1):
             half = _half(fps, tree)
             for home, radius in ((True, 0), (False, 1)):
@@ -194,21 +206,30 @@ def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
                     yield 2 * leaf + tree, fps[at], home
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, len(x), home) for s, x, home in visits(pdf)]
+        for fps in gathered(batches):
+            rows = [(s, len(x), home) for s, x, home in visits(fps)]
             yield pd.DataFrame(rows, columns=["shard", "n", "home"])
 
     sizes = distinct.mapInPandas(count, "shard long, n long, home boolean").groupBy("shard").agg(F.sum(F.expr("if(home, n, 0)")).alias("m"), F.sum(F.expr("if(home, 0, n)")).alias("v"))
     grid = {r.shard: (-(-r.m // CELL), -(-r.v // CELL)) for r in sizes.where(f"m > {CELL} or v > {CELL}").collect()}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, fps, home in visits(pdf):
+        for fps in gathered(batches):
+            parts: list[tuple[int, np.ndarray, np.ndarray, bool]] = []
+            for shard, own, home in visits(fps):
                 rows, cols = grid.get(shard, (1, 1))
-                mixed = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                own = (mixed % np.uint64(rows if home else cols)).astype(np.int64)
-                for other in range(cols if home else rows):
-                    yield pd.DataFrame({"shard": shard, "cell": own * cols + other if home else other * cols + own, "home": home, "fp": fps.view(np.int64)})
+                mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                at = (mixed % np.uint64(rows if home else cols)).astype(np.int64)
+                parts += [(shard, at * cols + other if home else other * cols + at, own, home) for other in range(cols if home else rows)]
+                if sum(len(p[2]) for p in parts) >= 4 * ROUTED:
+                    yield dealt_rows(parts)
+                    parts = []
+            if parts:
+                yield dealt_rows(parts)
+
+    def dealt_rows(parts: list[tuple[int, np.ndarray, np.ndarray, bool]]) -> pd.DataFrame:
+        sizes = [len(p[2]) for p in parts]
+        return pd.DataFrame({"shard": np.repeat([p[0] for p in parts], sizes), "cell": np.concatenate([p[1] for p in parts]), "home": np.repeat([p[3] for p in parts], sizes), "fp": np.concatenate([p[2] for p in parts]).view(np.int64)})
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fps, home = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool)

@@ -65,7 +65,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``big`` to ``small`` (unique in ``key``) where a few keys may hold most of ``big``.
 
     ``small[count]`` is the number of rows of ``big`` with that key, ``total`` their sum. Keys with at least
@@ -73,12 +73,13 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, total:
     ``how`` is ``inner`` or ``left``.
     """
     limit = max(1, total // HOT_KEYS)
+    keys = [key] if isinstance(key, str) else key
     payload = small.drop(count)
     if total <= HOT_KEYS:
-        return big.join(payload, key, how)
+        return big.join(payload, keys, how)
     hot = F.broadcast(payload.where(small[count] > limit))
     cold = payload.where(small[count] <= limit)
-    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:

@@ -84,6 +84,19 @@ def ftrl_pass(rows: list[np.ndarray], labels: list[int], z: np.ndarray, n: np.nd
     return z, n
 
 
+def _shard_pass(state):
+    """Function that makes one pass over a shard and gives the change of its state."""
+
+    def update(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        z0, n0 = state.value
+        z1, n1 = ftrl_pass([np.asarray(a, np.int64) for a in pdf["at"]], pdf["label"].tolist(), z0, n0)
+        at = np.nonzero((z1 != z0) | (n1 != n0))[0]
+        return pd.DataFrame({"at": at, "dz": z1[at] - z0[at], "dn": n1[at] - n0[at]})
+
+    return update
+
+
 def train(sample: DataFrame, passes: int = PASSES, shards: int = SHARDS, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Weights from a bounded ``sample(id, text, label)``. What reaches the driver is ``dimensions`` states a pass."""
     spark = sample.sparkSession
@@ -99,14 +112,7 @@ def train(sample: DataFrame, passes: int = PASSES, shards: int = SHARDS, dimensi
     for _ in range(passes):
         state = spark.sparkContext.broadcast((z, n))
 
-        def update(pdf: pd.DataFrame, state=state) -> pd.DataFrame:
-            pdf = pdf.sort_values("id")
-            z0, n0 = state.value
-            z1, n1 = ftrl_pass([np.asarray(a, np.int64) for a in pdf["at"]], pdf["label"].tolist(), z0, n0)
-            at = np.nonzero((z1 != z0) | (n1 != n0))[0]
-            return pd.DataFrame({"at": at, "dz": z1[at] - z0[at], "dn": n1[at] - n0[at]})
-
-        moved = rows.groupBy("shard").applyInPandas(update, "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas().sort_values("at")
+        moved = rows.groupBy("shard").applyInPandas(_shard_pass(state), "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas().sort_values("at")
         at = moved["at"].to_numpy(np.int64)
         z[at] += moved["dz"].to_numpy() / used
         n[at] += moved["dn"].to_numpy() / used

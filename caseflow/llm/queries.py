@@ -5,11 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe import digest_tokens
+from .decontaminate import contaminated_documents
 from .language import identify_languages
 from .pii import pseudonymise
 from .quality import score_quality
 from .simhash import simhash_components
+from .spans import remove_repeats
 from .toxicity import score_toxicity
 from .warc import archive_round_trip
 
@@ -32,6 +35,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"))
 
@@ -48,14 +55,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: Queries that SQL can express.
@@ -65,7 +83,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS last FROM d)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_aggregate(list_transform(range(5), j ->
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_aggregate(list_transform(range(5), lambda j:
     ((strpos('0123456789abcdef', substr(hex, 1 + (k * 5 + j) // 4, 1)) - 1) >> (3 - (k * 5 + j) % 4) & 1) << (4 - j)), 'sum')::INT, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to

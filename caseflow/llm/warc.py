@@ -96,8 +96,8 @@ def salvage_records(data: bytes) -> Iterator[Record | Gap]:
     while at < len(data):
         found = _parse(data, at)
         if isinstance(found, Record):
+            at = found.end  # before the record is handed out: its holder may move its offsets
             yield found
-            at = found.end
             continue
         start, reason = at, found
         while isinstance(found, str):  # the next version line that begins a valid record

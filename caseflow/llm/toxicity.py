@@ -1,10 +1,11 @@
 """Toxicity: a lexicon trie met with Levenshtein automata, and context windows that tell quotation from abuse.
 
-The lexicon is learned: terms that labelled training texts use in toxic documents in many different contexts and
-hardly anywhere else. Matching runs the product of the trie with the Levenshtein automata of all terms, made
+The lexicon is learned: terms, and stems of inflected terms, that labelled training texts use in toxic documents in
+many different contexts and hardly anywhere else. Matching runs the product of the trie with the Levenshtein automata of all terms, made
 deterministic as it goes, so a word costs a table lookup for each of its letters and most words die early.
 Misspellings count unless clean training texts use that very word. Each hit is weighed by its edits and by its
-window; the sum is a document's severity, which is calibrated on the training rows.
+window, hits of stems less their number expected by chance; the sum is a document's severity, which is calibrated on
+the training rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 from ._common import need, small_batches, stage
 from .training import TRAIN_ROWS, held_out, labelled_sample
 
-#: A term needs this share of the toxic sample's documents in contexts, this many contexts, and this precision.
-SUPPORT_SHARE, SUPPORT_LEAST, PRECISION = 0.03, 3, 0.8
+#: A term needs this share of the toxic sample's documents in contexts, this many contexts, this share of its contexts
+#: in toxic texts, and that many standard deviations over the share of all words.
+SUPPORT_SHARE, SUPPORT_LEAST, PRECISION, STEM_PRECISION, DEVIATIONS = 0.03, 3, 0.8, 0.6, 8.0
+#: Lengths of stems, and the weight of a word that begins with one.
+STEM_LENGTHS, STEM_WEIGHT = (3, 8), 0.35
 #: Terms kept at most (the most used ones); words around a hit that are its window.
 TERMS, WINDOW = 1000, 6
 #: Weight of a hit by its edits, and the factor for a quoted or reported hit.
 EDIT_WEIGHT, QUOTED = (1.0, 0.5, 0.3), 0.25
 #: Lower borders of the severity classes that are calibrated.
-CLASSES = (0.0, 0.01, 0.4, 0.9, 1.9, 3.9)
+CLASSES = (0.0, 0.01, 0.6, 0.9, 1.3, 1.9, 3.9)
 _PRIOR_ROWS = 2.0
 _WORD = re.compile(r"\w+")
 _WORDS_KEPT = 500_000
@@ -42,14 +46,15 @@ def edits_allowed(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """Deterministic automaton of all words within each term's allowed edits."""
+    """Deterministic automaton of all words within each term's allowed edits, or that begin with a stem."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], stems: list[str] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.limit = [0]
-        for t in sorted(set(terms)):
-            at, most = 0, edits_allowed(t)
+        self.stem: dict[int, str] = {}
+        for t, whole in sorted({(t, True) for t in terms} | {(t, False) for t in stems}):
+            at, most = 0, edits_allowed(t) if whole else 0
             self.limit[0] = max(self.limit[0], most)
             for ch in t:
                 if ch not in self.children[at]:
@@ -59,12 +64,16 @@ class LexiconAutomaton:
                     self.limit.append(0)
                 at = self.children[at][ch]
                 self.limit[at] = max(self.limit[at], most)
-            self.term[at] = t
+            if whole:
+                self.term[at] = t
+            else:
+                self.stem[at] = t
         self.letters = {ch for c in self.children for ch in c}
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, str] | None] = []
+        self.begins: list[str | None] = []
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -85,6 +94,7 @@ class LexiconAutomaton:
             self.moves.append({})
             ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= edits_allowed(self.term[n])]
             self.accepts.append(min(ends, default=None))
+            self.begins.append(next((self.stem[n] for n, e in key if e == 0 and n in self.stem), None))
         return self.number[key]
 
     def _move(self, state: int, ch: str) -> int:
@@ -97,7 +107,8 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term within its allowed edits, ties to the first in order; else None."""
+        """(edits, term) of the nearest term within its allowed edits, ties to the first in order; (0, stem) if the
+        word begins with a stem; else None."""
         state = self.start
         for ch in word:
             if ch not in self.letters:
@@ -106,6 +117,8 @@ class LexiconAutomaton:
             state = self._move(state, ch) if to is None else to
             if state < 0:
                 return None
+            if self.begins[state] is not None:
+                return 0, self.begins[state]
         return self.accepts[state]
 
 
@@ -115,14 +128,18 @@ class ToxicityModel:
 
     terms: list[str]
     clean_words: set[str]
+    stems: list[str] = field(default_factory=list)
+    #: share of the clean sample's words that begin with a stem
+    chance: float = 0.0
     rates: list[float] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.automaton = LexiconAutomaton(self.terms)
+        self.automaton = LexiconAutomaton(self.terms, self.stems)
+        self.whole = set(self.terms)
         self.known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "clean_words": self.clean_words, "rates": self.rates}
+        return {k: getattr(self, k) for k in ("terms", "clean_words", "stems", "chance", "rates")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -134,18 +151,21 @@ class ToxicityModel:
             if len(self.known) > _WORDS_KEPT:
                 self.known.clear()
             hit = self.automaton.match(word)
-            found = 0.0 if hit is None or (hit[0] and word in self.clean_words) else EDIT_WEIGHT[hit[0]]
+            if hit is None or (hit[0] and word in self.clean_words):
+                found = 0.0
+            else:
+                found = EDIT_WEIGHT[hit[0]] if hit[1] in self.whole else STEM_WEIGHT
             self.known[word] = found
         return found
 
-    def hits(self, text: str | None) -> list[tuple[int, int, float, bool]]:
-        """(start, end, weight, quoted) of every hit in the whole text."""
+    def hits(self, text: str | None) -> tuple[list[tuple[int, int, float, bool]], int]:
+        """(start, end, weight, quoted) of every hit in the whole text, and the number of words if there is a hit."""
         low = (text or "").lower()
         if len(low) != len(text or ""):  # a letter whose lower case is longer would move the offsets
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found = {w for w in set(_WORD.findall(low)) if self.weight(w)}
         if not found:
-            return []
+            return [], 0
         marks = np.cumsum(np.fromiter((c in QUOTES for c in low), bool, len(low)))
         total = int(marks[-1])
         words = list(_WORD.finditer(low))
@@ -158,10 +178,14 @@ class ToxicityModel:
                 quoted = opened > before_window and closes and (opened % 2 == 1 or total == 0)
                 reported = any(w.group() in REPORTING for w in words[max(0, k - WINDOW // 2) : k])
                 out.append((m.start(), m.end(), self.weight(m.group()), quoted or reported))
-        return out
+        return out, len(words)
 
-    def severity(self, text: str | None) -> float:
-        return float(sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in self.hits(text)))
+    def severity(self, text: str | None) -> tuple[float, int]:
+        """Severity of a whole text and its number of hits."""
+        hits, words = self.hits(text)
+        terms = sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in hits if w != STEM_WEIGHT)
+        stems = sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in hits if w == STEM_WEIGHT)
+        return float(terms + max(0.0, stems - STEM_WEIGHT * self.chance * words)), len(hits)
 
     def score(self, severity: float) -> float:
         return self.rates[int(np.searchsorted(CLASSES, severity, side="right")) - 1]
@@ -183,8 +207,24 @@ def learn(sample: DataFrame) -> ToxicityModel:
     n_toxic = sample.where("label = 1").count()
     counts = stage(term_counts(sample), "terms")
     least = max(SUPPORT_LEAST, int(SUPPORT_SHARE * n_toxic))
-    chosen = counts.where((F.length("term") >= 3) & (F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    terms = [r.term for r in chosen.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()]
+    totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    share = (totals[0] or 0) / max(1, (totals[0] or 0) + (totals[1] or 0))
+
+    def chosen(table: DataFrame, precision: float) -> DataFrame:
+        n = F.col("toxic") + F.col("clean")
+        far = (F.col("toxic") - share * n) >= DEVIATIONS * F.sqrt(n * share * (1 - share))
+        return table.where((F.length("term") >= STEM_LENGTHS[0]) & (F.col("toxic") >= least) & (F.col("toxic") >= precision * n) & far)
+
+    low, high = STEM_LENGTHS
+    begins = counts.where(F.length("term") > low).select(F.explode(F.expr(f"transform(sequence({low}, least({high}, length(term) - 1)), k -> left(term, k))")).alias("stem"), "term", "toxic", "clean")
+    # a stem stands for several words
+    begins = begins.groupBy(F.col("stem").alias("term")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"), F.max("toxic").alias("most"))
+    found = chosen(begins, STEM_PRECISION).where("words >= 4 and most <= 0.5 * toxic").orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    stems: list[str] = []
+    for term in sorted((r.term for r in found), key=lambda t: (len(t), t)):
+        if not any(term.startswith(x) for x in stems):
+            stems.append(term)
+    terms = [r.term for r in chosen(counts, PRECISION).orderBy(F.desc("toxic"), "term").limit(TERMS).collect() if not any(r.term.startswith(x) for x in stems)]
     shared = spark.sparkContext.broadcast(ToxicityModel(terms, set()))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,12 +233,13 @@ def learn(sample: DataFrame) -> ToxicityModel:
 
     # within a few edits of a bounded lexicon there are boundedly many words
     clean = {r.term for r in counts.where("clean > toxic").select("term").mapInPandas(near, "term string").collect()} if terms else set()
-    model = ToxicityModel(terms, clean - set(terms))
+    by_chance = sum(r.clean for r in found if r.term in stems) / max(1, totals[1] or 0)
+    model = ToxicityModel(terms, clean - set(terms), stems, by_chance)
     fitted = spark.sparkContext.broadcast(model)
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.searchsorted(CLASSES, [fitted.value.severity(t) for t in pdf["text"]], side="right") - 1
+            at = np.searchsorted(CLASSES, [fitted.value.severity(t)[0] for t in pdf["text"]], side="right") - 1
             yield pd.DataFrame({"class": at, "label": pdf["label"]})
 
     seen = {r["class"]: (r.n, r.toxic) for r in sample.select("text", "label").mapInPandas(classes, "class int, label int").groupBy("class").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()}
@@ -233,9 +274,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     def score(texts: pd.Series) -> pd.DataFrame:
         m, out = model.value, []
         for t in texts:
-            found = m.hits(t)
-            severity = float(sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in found))
-            out.append((m.score(severity), severity, len(found)))
+            severity, hits = m.severity(t)
+            out.append((m.score(severity), severity, hits))
         return pd.DataFrame(out, columns=["score", "severity", "hits"])
 
     found = need(docs, id_col, text_col)

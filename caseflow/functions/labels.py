@@ -218,7 +218,11 @@ def one_hot(c, values, prefix: str) -> list[Column]:
 def one_hot_contains(c, values, prefix: str) -> list[Column]:
     """0/1 columns: a quoted part of the cell is a substring of the value. Empty parts match nothing."""
     parts = F.filter(F.transform(F.split(col(c), "'"), F.trim), lambda p: p != "")
-    return [F.coalesce(F.exists(parts, lambda p, v=v: F.lit(v).contains(p)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
+
+    def inside(v: str):
+        return lambda p: F.lit(v).contains(p)
+
+    return [F.coalesce(F.exists(parts, inside(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
 
 
 def or_columns(*flags) -> Column:

@@ -52,7 +52,7 @@ def exclusion_flags(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def strided_shard(df: DataFrame, key: str, shards: int, shard: int) -> DataFrame:
     """Shard of a key by its hash: needs no order over all rows."""
-    return df.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(shards)) == shard)
+    return df.where(hash_number(key, 0) % shards == shard)
 
 
 def leakage_guard(df: DataFrame, exemplars: DataFrame, subject: str) -> DataFrame:
@@ -106,6 +106,11 @@ def shortfall_fill(pool: DataFrame, picked: DataFrame, key: str, order: list, n:
     return picked.withColumn("_p", F.lit(0)).unionByName(left).orderBy("_p", *order).limit(n).drop("_p")
 
 
+def hash_number(c: str, seed: int) -> Column:
+    """Seeded whole number under 2^32 of a value."""
+    return F.conv(F.substring(hash_rank(c, seed), 1, 8), 16, 10).cast("long")
+
+
 def hash_rank(c: str, seed: int) -> Column:
     """Seeded order of values that doesn't depend on where rows lie."""
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(c).cast("string")).cast("binary"))
@@ -113,12 +118,12 @@ def hash_rank(c: str, seed: int) -> Column:
 
 def group_kfold(df: DataFrame, subject: str, folds: int, seed: int = 0) -> DataFrame:
     """``fold`` by subject: no subject is in two folds. Subjects are dealt by a seeded hash, without a global order."""
-    return df.withColumn("fold", F.pmod(F.crc32(F.concat_ws(":", F.lit(seed).cast("string"), F.col(subject).cast("string")).cast("binary")), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", (hash_number(subject, seed) % folds).cast("int"))
 
 
 def train_val_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """``part``: val for the given share of keys, by a seeded hash."""
-    h = F.pmod(F.crc32(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")).cast("binary")), F.lit(10_000))
+    h = hash_number(key, seed) % 10_000
     return df.withColumn("part", F.when(h < int(share * 10_000), "val").otherwise("train"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, reports, tables
+from . import labels, reports, shapes, tables
 
-MODULES: tuple = (tables, labels, reports)
+MODULES: tuple = (tables, labels, reports, shapes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

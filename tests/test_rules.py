@@ -105,11 +105,12 @@ def test_headers_keep_bad_files(spark, tmp_path):
     (tmp_path / "a" / "1.dat").write_bytes(b"k=v")
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "1.dat").write_bytes(b"broken")
-    rows = readers.scan_scan_headers(spark, str(tmp_path), _parse, ["k"]).collect()
+
+    def parse(raw: bytes) -> dict:
+        key, value = raw.decode().split("=")
+        return {key: value}
+
+    rows = readers.scan_scan_headers(spark, str(tmp_path), parse, ["k"]).collect()
     assert sorted((r.k, r.error is None, r.n_slices) for r in rows if r.k) == [("v", True, 1)]
     assert sum(r.error is not None for r in rows) == 1
 
-
-def _parse(raw: bytes) -> dict:
-    key, value = raw.decode().split("=")
-    return {key: value}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, reports, shapes, tables
+from . import labels, more, reports, shapes, tables
 
-MODULES: tuple = (tables, labels, reports, shapes)
+MODULES: tuple = (tables, labels, reports, shapes, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import alpha_tokens, blank_to_null, col, is_present, to_number, tokens_any
+from .text import alpha_tokens, blank_to_null, col, to_number, tokens_any
 
 #: Words of scan descriptions that the rules look for.
 GRE_WORDS = ("GRE", "GE", "SPGR", "FLASH", "FISP", "FIESTA", "TRUFI", "FFE", "VIBE", "LAVA")
@@ -82,42 +82,53 @@ def contrast_flag(description, agent, dose) -> Column:
     return F.when(_named_contrast(description) | given | known, "contrast").otherwise("")
 
 
-def physics_label(tr="tr", te="te", ti="ti", etl="etl", flip="flip", field="field", description="description", options="options", scanning="scanning", agent="agent", dose="dose", image_type="image_type", b_value="b_value") -> Column:
-    """struct(sequence, acquisition, fat_sat, contrast) by the decision tree of numeric scan parameters.
+def physics_label(df: DataFrame, tr="tr", te="te", ti="ti", etl="etl", flip="flip", field="field", description="description", options="options", scanning="scanning", agent="agent", dose="dose", image_type="image_type", b_value="b_value") -> DataFrame:
+    """``df`` with sequence, acquisition, fat_sat and contrast by the decision tree of numeric scan parameters.
 
     Localizer words first; then diffusion, inversion recovery (TI over 0), gradient echo, spin echo. A value that is
-    no number counts as missing.
+    no number counts as missing. Parameters are parsed once, a branch is chosen, and the labels follow from it.
     """
-    tr, te, ti, etl, flip, field, b = (to_number(x) for x in (tr, te, ti, etl, flip, field, b_value))
-    up = F.upper(F.coalesce(col(description), F.lit("")))
+    given = df.columns
     words = F.concat(alpha_tokens(description), alpha_tokens(options))
+    up = F.upper(F.coalesce(col(description), F.lit("")))
     fat = tokens_any(words, PHYSICS_FATSAT_WORDS) | up.rlike(r"\bFAT[_\-]SAT\b") | F.upper(F.coalesce(col(options), F.lit(""))).rlike(r"\bFAT[_\-]SAT\b")
-    fs = F.when(fat, "FS").otherwise("")
     agent, dose = F.trim(F.coalesce(col(agent), F.lit(""))), F.trim(F.coalesce(col(dose), F.lit("")))
-    given = (dose != "0") & ((agent != "") & ~F.upper(agent).isin("NONE", "NO", "0") | tokens_any(alpha_tokens(agent), AGENT_WORDS))
-    contrast = F.when(_named_contrast(description) | given, "Contrast").otherwise("")
-    echo = F.when(etl >= 2, "FSE").otherwise("SE")
-
-    def out(sequence, acquisition, fat_sat=fs, agent_seen=contrast) -> Column:
-        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in ((sequence, "sequence"), (acquisition, "acquisition"), (fat_sat, "fat_sat"), (agent_seen, "contrast"))])
-
-    low, high = field < 2.0, field >= 2.0
-    timed = tr.isNotNull() & te.isNotNull()
-    spin = F.when(~timed, "Unknown").when(te <= 25, F.when(tr <= 1100, "T1W").otherwise("PD")).when(te >= 70, "T2W").otherwise(F.when(tr < 1500, "T1W").otherwise("T2W"))
-    inversion, gradient = ti > 0, F.upper(F.coalesce(col(scanning), F.lit(""))).contains("GR")
-    return first_rule([
-        (up.rlike("CALI|LOC|SCOUT|SURVEY|ASSET"), out("Localizer", "", "", "")),
-        (is_present(b_value) & (b > 0) | F.upper(F.coalesce(col(image_type), F.lit(""))).contains("DIFFUSION"), out("DWI", echo)),
-        (inversion & (low & ti.between(110, 190) | high & ti.between(150, 240)), out("T2W", "IR", "STIR")),
-        (inversion & (low & ti.between(1900, 2600) | high & ti.between(2400, 3200)), out("T2W", "FLAIR")),
-        (inversion & (te <= 30) & (tr < 4000), out("T1W", "IR")),
-        (inversion, out("Unknown", "IR")),
-        (gradient & ~timed, out("Unknown_GRE", "GRE")),
-        (gradient & (tr <= 8) & (te <= 4) & flip.between(35, 100), out("Localizer", "GRE", "", "")),
-        (gradient & (tr <= 20) & (te <= 6), out("T1W", "GRE")),
-        (gradient & (te >= 6), out("T2*", "GRE")),
-        (gradient, out("Unknown", "GRE")),
-    ], out(spin, echo))
+    doses = (dose != "0") & ((agent != "") & ~F.upper(agent).isin("NONE", "NO", "0") | tokens_any(alpha_tokens(agent), AGENT_WORDS))
+    numbers = {"_tr": tr, "_te": te, "_ti": ti, "_etl": etl, "_fa": flip, "_b0": field, "_b": b_value}
+    x = df.withColumns({
+        **{k: to_number(v) for k, v in numbers.items()},
+        "_fs": F.when(fat, "FS").otherwise(""),
+        "_ce": F.when(_named_contrast(description) | doses, "Contrast").otherwise(""),
+        "_loc": up.rlike("CALI|LOC|SCOUT|SURVEY|ASSET"),
+        "_dwi": F.upper(F.coalesce(col(image_type), F.lit(""))).contains("DIFFUSION"),
+        "_gre": F.upper(F.coalesce(col(scanning), F.lit(""))).contains("GR"),
+    })
+    tr, te, ti, fa, b0 = (F.col(c) for c in ("_tr", "_te", "_ti", "_fa", "_b0"))
+    low, high, gradient = b0 < 2.0, b0 >= 2.0, F.col("_gre")
+    x = x.withColumn("_k", first_rule([
+        (F.col("_loc"), "localizer"),
+        ((F.col("_b") > 0) | F.col("_dwi"), "diffusion"),
+        ((ti > 0) & (low & ti.between(110, 190) | high & ti.between(150, 240)), "stir"),
+        ((ti > 0) & (low & ti.between(1900, 2600) | high & ti.between(2400, 3200)), "flair"),
+        ((ti > 0) & (te <= 30) & (tr < 4000), "inversion T1"),
+        (ti > 0, "inversion"),
+        (gradient & (tr.isNull() | te.isNull()), "gradient untimed"),
+        (gradient & (tr <= 8) & (te <= 4) & fa.between(35, 100), "gradient localizer"),
+        (gradient & (tr <= 20) & (te <= 6), "gradient T1"),
+        (gradient & (te >= 6), "gradient T2"),
+        (gradient, "gradient"),
+    ], "spin"))
+    k, echo = F.col("_k"), F.when(F.col("_etl") >= 2, "FSE").otherwise("SE")
+    spin = F.when(tr.isNull() | te.isNull(), "Unknown").when(te <= 25, F.when(tr <= 1100, "T1W").otherwise("PD")).when((te >= 70) | (tr >= 1500), "T2W").otherwise("T1W")
+    named = {"localizer": "Localizer", "gradient localizer": "Localizer", "diffusion": "DWI", "stir": "T2W", "flair": "T2W", "inversion T1": "T1W", "inversion": "Unknown", "gradient untimed": "Unknown_GRE", "gradient T1": "T1W", "gradient T2": "T2*", "gradient": "Unknown"}
+    bare = k.isin("localizer", "gradient localizer")
+    return x.select(
+        *given,
+        first_rule([(k == name, v) for name, v in named.items()], spin).alias("sequence"),
+        first_rule([(k == "localizer", ""), (k.isin("diffusion", "spin"), echo), (k == "flair", "FLAIR"), (k.startswith("gradient"), "GRE")], "IR").alias("acquisition"),
+        first_rule([(bare, ""), (k == "stir", "STIR")], F.col("_fs")).alias("fat_sat"),
+        F.when(bare, "").otherwise(F.col("_ce")).alias("contrast"),
+    )
 
 
 def taxonomy_labels(fields, rules: list[tuple[str, str]]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import blank_to_null, col
@@ -39,17 +39,22 @@ def extract_thinking(reply) -> Column:
     return F.trim(F.regexp_replace(t, r"^\s*thought\s*", ""))
 
 
-def extract_json(reply) -> Column:
-    """Last fenced chunk, else last flat object, that parses; a map of strings, or null."""
-    region = answer_region(reply)
+def json_in(region) -> Column:
+    """Last fenced chunk, else last flat object, of an answer that parses; a map of strings, or null."""
+    region = col(region)
     fenced = F.regexp_extract_all(region, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
     flat = F.regexp_extract_all(region, F.lit(r"(\{[^{}]*\})"), F.lit(1))
 
     def last(chunks: Column) -> Column:
         parsed = F.filter(F.transform(chunks, lambda c: F.from_json(c, "map<string,string>")), lambda m: m.isNotNull() & (F.size(m) > 0))
-        return F.when(F.size(parsed) > 0, F.element_at(parsed, -1))
+        return F.get(F.reverse(parsed), F.lit(0))
+
+    return F.when(region.contains("{"), F.coalesce(last(fenced), last(flat)))
 
-    return F.coalesce(last(fenced), last(flat))
+
+def extract_json(reply) -> Column:
+    """The object of :func:`json_in` in the reply's answer."""
+    return json_in(answer_region(reply))
 
 
 def canonical(value, options) -> Column:
@@ -58,14 +63,21 @@ def canonical(value, options) -> Column:
     return F.get(F.filter(col(options), lambda o: F.lower(o) == low), F.lit(0))
 
 
-def parse_answer(reply, options, key: str = "answer") -> Column:
-    """struct(label, reason): from JSON, else a loose key, else the only option word present, else PARSE_FAILED."""
-    region, found = answer_region(reply), extract_json(reply)
-    loose = F.regexp_extract(region, rf'(?i)"?{key}"?\s*[:=]\s*"?([^",\n}}]+)', 1)
-    words = F.split(F.lower(F.translate(region, '.,"', "   ")), r"\s+")
-    present = F.filter(col(options), lambda o: F.array_contains(words, F.lower(o)))
-    label = F.coalesce(canonical(F.element_at(found, key), options), canonical(loose, options), F.when(F.size(present) == 1, F.element_at(present, 1)), F.lit(PARSE_FAILED))
-    return F.struct(label.alias("label"), F.coalesce(F.element_at(found, "reason"), F.lit("")).alias("reason"))
+def parse_answers(df: DataFrame, reply: str, options, key: str = "answer") -> DataFrame:
+    """``df`` with label and reason: from JSON, else a loose key, else the only option word present, else PARSE_FAILED.
+
+    The answer's region and its JSON are computed once, and later steps only where the earlier ones found nothing.
+    """
+    given = df.columns
+    x = df.withColumn("_options", options if isinstance(options, Column) else F.col(options)).withColumn("_region", answer_region(reply))
+    x = x.withColumn("_found", json_in("_region"))
+    x = x.withColumn("_label", canonical(F.element_at("_found", key), "_options"))
+    loose = F.regexp_extract(F.col("_region"), rf'(?i)"?{key}"?\s*[:=]\s*"?([^",\n}}]+)', 1)
+    x = x.withColumn("_label", F.when(F.col("_label").isNull(), canonical(loose, "_options")).otherwise(F.col("_label")))
+    words = F.split(F.lower(F.translate(F.col("_region"), '.,"', "   ")), r"\s+")
+    x = x.withColumn("_present", F.when(F.col("_label").isNull(), F.filter(F.col("_options"), lambda o: F.array_contains(words, F.lower(o)))))
+    label = F.coalesce("_label", F.when(F.size("_present") == 1, F.get("_present", F.lit(0))), F.lit(PARSE_FAILED))
+    return x.select(*given, label.alias("label"), F.coalesce(F.element_at("_found", "reason"), F.lit("")).alias("reason"))
 
 
 def parse_ranking(reply, options) -> Column:

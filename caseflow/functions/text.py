@@ -28,8 +28,9 @@ def blank_to_null(c) -> Column:
 
 
 def to_number(c) -> Column:
-    """Number or null; never fails."""
-    return F.trim(col(c).cast("string")).try_cast("double")
+    """Number or null; never fails. Texts that can't begin a number aren't parsed: a failed parse costs an exception."""
+    t = F.trim(col(c).cast("string"))
+    return F.when(t.rlike(r"^[+-]?\.?\d"), t.try_cast("double"))
 
 
 def alpha_tokens(c) -> Column:

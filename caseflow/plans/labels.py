@@ -128,7 +128,7 @@ SELECT scan, CASE k WHEN 'loc' THEN 'Localizer' WHEN 'dwi' THEN 'DWI' WHEN 'stir
  CASE WHEN k = 'loc' THEN '' WHEN k IN ('dwi', 'se') THEN CASE WHEN etl >= 2 THEN 'FSE' ELSE 'SE' END WHEN k = 'flair' THEN 'FLAIR' WHEN k IN ('stir', 'irt1', 'ir') THEN 'IR' ELSE 'GRE' END AS acquisition,
  CASE WHEN k IN ('loc', 'gl') THEN '' WHEN k = 'stir' THEN 'STIR' ELSE fs END AS fat_sat, CASE WHEN k IN ('loc', 'gl') THEN '' ELSE ce END AS contrast FROM b""")
 def physics_label(t):
-    return headers(t).select("scan", L.physics_label().alias("p")).select("scan", "p.*")
+    return L.physics_label(headers(t)).select("scan", "sequence", "acquisition", "fat_sat", "contrast")
 
 
 RULES = [("T1", "T1"), ("T2", "T2|STIR"), ("PD", "PD"), ("metal", "STEEL|COPPER|BRASS"), ("coated", "PLATED|ANODIZED")]
@@ -274,10 +274,10 @@ R.query("SELECT event_id, event_id % 7 = 2 AS cut FROM events", key="was_truncat
 R.query("SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'I say ' || event_type || '.' ELSE '' END AS region FROM events WHERE event_id % 7 IN (2, 3, 6)", key="answer_region")(lambda t: replies(t).where("event_id % 7 in (2, 3, 6)").select("event_id", P.answer_region("reply").alias("region")))
 R.query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'hm {"answer":"no"}' WHEN 2 THEN 'never ends' END AS thinking FROM events""", key="extract_thinking")(lambda t: replies(t).select("event_id", P.extract_thinking("reply").alias("thinking")))
 R.query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type END AS answer FROM events", key="extract_json")(lambda t: replies(t).select("event_id", F.element_at(P.extract_json("reply"), "answer").alias("answer")))
-R.query(f"SELECT event_id, {_ANSWER} AS label, CASE WHEN event_id % 7 = 0 THEN 'r' ELSE '' END AS reason FROM events", key="parse_answer")(lambda t: replies(t).select("event_id", P.parse_answer("reply", options()).alias("x")).select("event_id", "x.*"))
+R.query(f"SELECT event_id, {_ANSWER} AS label, CASE WHEN event_id % 7 = 0 THEN 'r' ELSE '' END AS reason FROM events", key="parse_answer")(lambda t: P.parse_answers(replies(t), "reply", options()).select("event_id", "label", "reason"))
 R.query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' ELSE 'PARSE_FAILED' END AS label, CASE event_id % 3 WHEN 0 THEN 'a > b = c' WHEN 1 THEN 'a = b > c' END AS ranking FROM events", key="parse_ranking")(lambda t: t.events.select("event_id", P.parse_ranking(F.expr("CASE event_id % 3 WHEN 0 THEN 'so:\nA > b = c' WHEN 1 THEN 'a = b > c' ELSE 'a > b' END"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("x")).select("event_id", "x.label", "x.ranking"))
 R.query("SELECT event_id, event_id % 2 = 0 AS loops FROM events", key="is_degenerate")(lambda t: t.events.select("event_id", P.is_degenerate(F.expr("CASE WHEN event_id % 2 = 0 THEN repeat('this sentence comes again. ', 6) ELSE 'this sentence comes again. once only here' END")).alias("loops")))
-R.query(f"SELECT event_id, CASE WHEN {_ANSWER} <> 'PARSE_FAILED' THEN {_ANSWER} = 'click' END AS correct FROM events", key="score_answer")(lambda t: replies(t).select("event_id", P.score_answer(P.parse_answer("reply", options())["label"], F.lit("click")).alias("correct")))
+R.query(f"SELECT event_id, CASE WHEN {_ANSWER} <> 'PARSE_FAILED' THEN {_ANSWER} = 'click' END AS correct FROM events", key="score_answer")(lambda t: P.parse_answers(replies(t), "reply", options()).select("event_id", P.score_answer("label", F.lit("click")).alias("correct")))
 R.query("SELECT conv_id, string_agg('[' || role || '] ' || text, ' ' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id", key="render_messages")(lambda t: t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")).select("conv_id", P.render_messages("m").alias("rendered")))
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -29,8 +29,8 @@ SCANS = [
 def test_labels(spark):
     df = spark.createDataFrame([s[0] for s in SCANS], ", ".join(f"{n} string" for n in NAMES))
     df = df.withColumns({n: F.lit("") for n in ("flip", "options", "agent", "dose", "image_type")})
-    got = df.select(L.keyword_label("description", "options").alias("k"), L.physics_label().alias("p")).collect()
-    assert [(r.k, tuple(r.p)) for r in got] == [(k, p) for _, k, p in SCANS]
+    got = L.physics_label(df.withColumn("k", L.keyword_label("description", "options"))).collect()
+    assert [(r.k, (r.sequence, r.acquisition, r.fat_sat, r.contrast)) for r in got] == [(k, p) for _, k, p in SCANS]
 
 
 @pytest.mark.parametrize(
@@ -47,7 +47,7 @@ def test_labels(spark):
 )
 def test_parse_answer(spark, reply, label):
     df = spark.createDataFrame([(reply, ["round", "oval"])], "reply string, options array<string>")
-    assert df.select(P.parse_answer("reply", "options")["label"]).first()[0] == label
+    assert P.parse_answers(df, "reply", "options").first().label == label
 
 
 def test_literal_map(spark):

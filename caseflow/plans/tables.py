@@ -17,7 +17,8 @@ S = "WITH status AS (SELECT o_orderkey, o_custkey, o_orderstatus AS a, b FROM or
 
 
 def status(t: Tables) -> DataFrame:
-    last = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("b"))
+    """Statuses are single letters: their codes have a maximum in a hash aggregation, strings only in a sorted one."""
+    last = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.char(F.max(F.ascii("l_linestatus"))).alias("b"))
     return J.join_methods_inner(t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("a")), last, ["o_orderkey"])
 
 

@@ -1,15 +1,16 @@
-"""Substring dedup by sliding sentence spans.
-
-A text is cut into sentences; a long sentence is cut further after words chosen by their own hash, so that a passage
-is cut alike wherever it stands. From every sentence the shortest run of at least ``SENTENCES`` sentences and
-``WORDS`` words is hashed. Hashes are joined over all documents, and sentences that lie in a repeated run which isn't
-the run's first occurrence (smallest id, then earliest place) are removed.
+"""Substring dedup by sliding spans of sentences and their parts.
+
+A text is cut after the ends of its sentences and lines, and after the word whose hash is the least of any STEP words
+in a row (ends of sentences come before other words). These cuts depend on the words alone, so a passage is cut alike
+wherever it stands, from its STEP-th word to its STEP-th last at least. From every cut the shortest run that holds
+``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words, is hashed: any passage of LONG + 3 * STEP words holds
+one. Hashes are joined over all documents, and pieces that lie in a repeated run which isn't the run's first
+occurrence (smallest id, then earliest place) are removed.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,58 +22,101 @@ from pyspark.sql import functions as F
 
 from ._common import join_counted, need, small_batches, stage
 
-SENTENCES, WORDS = 3, 12
-#: Sentences of more words are cut after words whose hash leaves 0 modulo CUT.
-LONG_SENTENCE, CUT = 24, 8
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
-_WORD = re.compile(r"\S+\s*")
+SENTENCES, WORDS, LONG, STEP = 3, 12, 20, 10
+#: Characters of scripts without spaces: each is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u203c-\u2049\u06d4\u061f\u0964\u0965\u3002\uff01\uff0e\uff1f\uff61][\"'\u2019\u201d\u00bb)\]\u300d\u300f]*$")
+_HIGH = np.uint64(1 << 63)
+
+
+class _Words(dict):
+    """Hash of a word without case; the top bit is unset if the word ends a sentence. Kept for the words met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        v = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) | 1 << 63
+        if _SENTENCE_END.search(word):
+            v ^= 1 << 63
+        self[word] = v
+        return v
+
+
+_HASHES = _Words()
+
+
+def _words(text: str) -> list[str]:
+    return text.split() if text.isascii() or not _ANY_UNSPACED.search(text) else _WORD.findall(text)
+
+
+def _cuts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, ends of the cuts by words alone, ends of sentences, ends of sentences and lines).
+
+    An end is the number of words before it; the text's end is in each of the three.
+    """
+    words = _words(text)
+    n = len(words)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    sentence = np.append(np.nonzero(hashes[:-1] < _HIGH)[0] + 1, n)
+    local = sentence
+    if n > STEP:
+        rows = np.lib.stride_tricks.as_strided(hashes[STEP - 1 :], (n - STEP + 1, STEP), (8, -8))  # the last of equal words
+        cut = np.zeros(n + 1, bool)
+        cut[sentence] = True
+        cut[np.arange(STEP, n + 1) - rows.argmin(1)] = True
+        local = np.nonzero(cut)[0]
+    line = sentence
+    if "\n" in text:
+        line = np.union1d(sentence, np.cumsum([len(_words(x)) for x in text.split("\n")]))
+        line = line[line > 0]
+    return hashes, local, sentence, line
 
 
 def sentences(text: str) -> list[tuple[str, int]]:
     """(piece, number of words) in order; the pieces joined are the text."""
-    out = []
-    for piece in _SENTENCE.findall(text):
-        words = piece.split()
-        if len(words) <= LONG_SENTENCE:
-            if piece:
-                out.append((piece, len(words)))
-            continue
-        lead = len(piece) - len(piece.lstrip())
-        start, n = 0, 0
-        for m in _WORD.finditer(piece, lead):
-            n += 1
-            if zlib.crc32(m.group().rstrip().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
-                out.append((piece[start : m.end()], n))
-                start, n = m.end(), 0
-        if start < len(piece):
-            out.append((piece[start:], n))
-    return out
+    starts = [m.start() for m in _WORD.finditer(text)]
+    if not starts:
+        return [(text, 0)] if text else []
+    _, local, _, line = _cuts(text)
+    ends = np.union1d(local, line)
+    places = [0, *(starts[e] for e in ends[:-1]), len(text)]
+    return [(text[a:b], int(n)) for a, b, n in zip(places, places[1:], np.diff(ends, prepend=0), strict=False)]
+
+
+def _runs(begins: np.ndarray, ends: np.ndarray, count: int, words: int) -> np.ndarray:
+    """The first of ``ends`` with ``count`` ends and ``words`` words since each begin; a large number if there is none."""
+    at = np.maximum(np.searchsorted(ends, begins, "right") + count - 1, np.searchsorted(ends, begins + words))
+    return np.append(ends, 1 << 40)[np.minimum(at, len(ends))]
 
 
 def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 128-bit hash) of each start; case and white space don't matter.
+    """(first piece, pieces, 128-bit hash) of each start; case and white space don't matter.
 
-    Sentences without a word neither start a span nor count as one of its sentences.
+    A start has a span by words alone, and a second one if counting lines as sentences makes it shorter.
     """
-    cut = sentences(text or "")
-    marks = [xxhash.xxh3_128_digest(" ".join(p.lower().split()).encode("utf-8", "surrogatepass")) for p, _ in cut]
-    sizes = [n for _, n in cut]
-    end = words = used = 0
-    for start in range(len(cut)):
-        while end < len(cut) and (used < SENTENCES or words < WORDS):
-            words += sizes[end]
-            used += sizes[end] > 0
-            end += 1
-        if used < SENTENCES or words < WORDS:
-            return
-        if sizes[start]:
-            yield start, end - start, xxhash.xxh3_128_digest(b"".join(m for m, n in zip(marks[start:end], sizes[start:end], strict=True) if n))
-        words -= sizes[start]
-        used -= sizes[start] > 0
+    hashes, local, sentence, line = _cuts(text or "")
+    if not len(hashes):
+        return
+    ends = local if line is sentence else np.union1d(local, line)
+    begins = np.concatenate([[0], ends[:-1]])
+    long = np.minimum(_runs(begins, local, 1, LONG), _runs(begins, sentence, SENTENCES, WORDS))
+    short = long if line is sentence else _runs(begins, line, SENTENCES, WORDS)
+    raw = memoryview(hashes).cast("B")
+    places = zip(begins.tolist(), long.tolist(), np.searchsorted(ends, long).tolist(), short.tolist(), np.searchsorted(ends, short).tolist(), strict=True)
+    for k, (begin, end, last, end2, last2) in enumerate(places):
+        if end2 < end:
+            yield k, last2 + 1 - k, xxhash.xxh3_128_digest(raw[8 * begin : 8 * end2])
+        if end <= len(hashes):
+            yield k, last + 1 - k, xxhash.xxh3_128_digest(raw[8 * begin : 8 * end])
 
 
 def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, size, h, l, again): every span; ``again`` if the same document holds it before. Null ids have none."""
+    """(id, first, size, h, l, again): every span; ``again`` if the same document holds it before. Null ids have none.
+
+    Of a hash 96 bits are kept, which is enough for 10^12 spans. Rows that are ``again`` and overlap are one row.
+    """
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,17 +125,21 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = set()
                 for at, n, mark in spans(t):
+                    repeat = mark in seen
+                    if repeat and again and again[-1] and ids[-1] == i and first[-1] <= at <= first[-1] + size[-1]:
+                        size[-1] = max(size[-1], at + n - first[-1])
+                        continue
                     ids.append(i)
                     first.append(at)
                     size.append(n)
                     marks.append(mark)
-                    again.append(mark in seen)
+                    again.append(repeat)
                     seen.add(mark)
             halves = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(again, pa.bool_())], names=["id", "first", "size", "h", "l", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1].astype(np.int32)), pa.array(again, pa.bool_())], names=["id", "first", "size", "h", "l", "again"])
 
     rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(cut, "id long, first int, size int, h long, l long, again boolean")
+    return rows.mapInArrow(cut, "id long, first int, size int, h long, l int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +154,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_removed, chars_removed): texts without the sentences that a non-first repeated span covers.
+    """(id, text, n_removed, chars_removed): texts without the pieces that a non-first repeated span covers.
 
     Rows of one id count as one document (their repeats are within it). Rows with a null id or text stay as they are.
     """

@@ -198,6 +198,31 @@ def test_spans_catch_a_passage_mid_sentence(spark):
     assert got[1].n_removed == got[3].n_removed == 0 and got[2].chars_removed > 0.5 * len(passage)
 
 
+@pytest.mark.parametrize("marks", [0, 0.05, 0.2])
+def test_spans_hold_passages_at_any_offset(spark, marks):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" + "." * (rng.random() < marks) for _ in range(n)]
+    rows, passages = [], {}
+    for k in range(100):
+        passage = words(51)
+        rows += [(k, " ".join(words(rng.randrange(60)) + passage + words(rng.randrange(60))))]
+        rows += [(1000 + k, " ".join((lead := words(rng.randrange(60))) + passage + (tail := words(rng.randrange(60)))))]
+        passages[1000 + k] = (set(passage), set(lead + tail))
+    got = {r.doc_id: r for r in N.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [len(p - set(got[i].text.split())) / 51 for i, (p, _) in passages.items()]
+    assert min(lost) >= 0.4 and sum(lost) / len(lost) >= 0.78
+    assert all(own <= set(got[i].text.split()) for i, (_, own) in passages.items()) and all(got[k].n_removed == 0 for k in range(100))
+
+
+def test_spans_of_scripts_without_spaces(spark):
+    rng = random.Random(5)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) + "。" * (rng.random() < 0.1) for _ in range(n))
+    passage = han(80)
+    df = spark.createDataFrame([(1, han(20) + passage + han(9)), (2, han(13) + passage + han(30))], "doc_id long, text string")
+    got = {r.doc_id: r for r in N.remove_repeats(df).collect()}
+    assert got[1].n_removed == 0 and 0.6 * len(passage) < got[2].chars_removed <= len(passage)
+
+
 def test_spans_of_odd_rows(odd):
     got = {(r.doc_id, r.text) for r in N.remove_repeats(odd).where("doc_id < 5 or doc_id is null").collect()}
     assert got == {(i, t) for i, t in ODD if i != 5}

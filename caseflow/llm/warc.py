@@ -1,7 +1,7 @@
 """WARC archives: a distributed writer with revisit records, and a reader that salvages damaged archives.
 
-The writer makes each record a string and lets Spark's text writer put the records into files, so archives go to any
-file system that Spark writes to, under its commit protocol. The reader takes archives of plain records, of a gzip
+The writer makes each record a gzip member (or a plain string) and lets Spark's text writer put them into files, so
+archives go to any file system that Spark writes to, under its commit protocol. The reader takes archives of plain records, of a gzip
 member for each record, or of one member for all. Where a member or a record fails its checks it searches for the
 next valid member or version line, goes on from there, and logs the gap of bytes that it left out.
 """
@@ -27,6 +27,8 @@ FILE_RECORDS = 2_000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
+#: Bytes that are decompressed at a time.
+STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -110,46 +112,82 @@ def salvage_records(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(start, at, reason)
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes] | Gap]:
-    """(start, end, content) of each sound gzip member, and the gaps between them."""
+def _inflate(data: bytes, at: int, rest: bool) -> tuple[bytes, int, str]:
+    """(content, end, fault) of the member at ``at``: with a fault and ``rest``, what came out before it."""
+    d, out, place = zlib.decompressobj(31), [], at
+    try:
+        while not d.eof and place < len(data):
+            out.append(d.decompress(data[place : place + STEP]))
+            place += STEP
+    except zlib.error as e:
+        d = zlib.decompressobj(31)
+        out = [d.decompress(data[at:place])]
+        for k in range(place, min(place + STEP, len(data)) if rest else place):  # byte by byte
+            try:
+                out.append(d.decompress(data[k : k + 1]))
+            except zlib.error:
+                break
+        return b"".join(out), at, str(e)
+    return b"".join(out), min(place, len(data)) - len(d.unused_data), "" if d.eof else "member without an end"
+
+
+def _members(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """(start, end, content, fault) of gzip members and of the bytes between them, in order.
+
+    A faulty member ends where the next sound one begins, and its content is what came before the fault.
+    """
     at = 0
     while at < len(data):
-        start, reason = at, ""
+        start, content, reason = at, b"", ""
+        sound = None
         while at < len(data):
             if data.startswith(_MEMBER, at):
-                d = zlib.decompressobj(31)
-                try:
-                    content = d.decompress(data[at:])
-                    if d.eof:
-                        break
-                    reason = reason or "member without an end"
-                except zlib.error as e:
-                    reason = reason or str(e)
+                part, end, fault = _inflate(data, at, at == start)
+                if not fault:
+                    sound = at, end, part, ""
+                    break
+                reason = reason or fault
+                if at == start:
+                    content = part
             nxt = data.find(_MEMBER, at + 1)
             at = len(data) if nxt < 0 else nxt
         if at > start:
-            yield Gap(start, at, reason or "no member")
-        if at < len(data):
-            end = len(data) - len(d.unused_data)
-            yield at, end, content
-            at = end
+            yield start, at, content, reason or "no member"
+        if sound:
+            yield sound
+            at = sound[1]
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive, plain or gzip. Offsets in a gzip archive are those of the members."""
-    if not data.startswith(_MEMBER) and (_VERSION.match(data) or _MEMBER not in data):
-        yield from salvage_records(data)
-        return
-    for m in _members(data):
-        if isinstance(m, Gap):
-            yield m
+    """Records and gaps of an archive, plain or gzip. Offsets in a gzip archive are those of the members.
+
+    Of a faulty member the records that end before the fault are kept, not one that reaches it, and the member is a gap
+    besides.
+    """
+    if not data.startswith(_MEMBER) and (_VERSION.search(data) or _MEMBER not in data):
+        found = list(salvage_records(data))
+        if _MEMBER not in data or any(isinstance(r, Record) for r in found):
+            yield from found
+            return
+    for start, end, content, fault in _members(data):
+        if fault:
+            for r in salvage_records(content):
+                if isinstance(r, Record) and r.end < len(content):
+                    r.start, r.end = start, end
+                    yield r
+            yield Gap(start, end, fault)
             continue
-        start, end, content = m
         for r in salvage_records(content):
             r.start, r.end = start, end
             yield r
 
 
+def _member(record: bytes) -> bytes:
+    """Gzip member without its last byte, which is 0: the top of the size, or of an empty member's after a large record."""
+    out = gzip.compress(record, 6, mtime=0)
+    return (out if len(record) < 1 << 24 else out + gzip.compress(b"", mtime=0))[:-1]
+
+
 def compress_records(records: list[bytes]) -> bytes:
     """A gzip member for each record."""
     return b"".join(gzip.compress(r, mtime=0) for r in records)
@@ -179,10 +217,10 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
 
 
 def write_warc(plan: DataFrame, path: str, compress: bool = True, file_records: int = FILE_RECORDS) -> None:
-    """Write a record per row of ``plan`` (see :func:`plan_records`) to archives in ``path``."""
+    """Write a record per row of ``plan`` (see :func:`plan_records`) to archives in ``path``; a gzip member for each."""
     small_batches(plan.sparkSession)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def record(ids: pd.Series, html: pd.Series, sha1: pd.Series, sizes: pd.Series, refers: pd.Series) -> pd.Series:
         out = []
         for i, text, digest, size, ref in zip(ids, html, sha1, sizes, refers, strict=True):
@@ -202,13 +240,14 @@ def write_warc(plan: DataFrame, path: str, compress: bool = True, file_records:
             ]
             if revisit:
                 lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{int(ref)}>"]
-            out.append("\r\n".join(lines) + "\r\n\r\n" + block)
+            whole = ("\r\n".join(lines) + "\r\n\r\n" + block).encode()
+            out.append(_member(whole + _END) if compress else whole)
         return pd.Series(out)
 
     html = F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit(""))
-    rows = plan.select(record("id", html, "sha1", "bytes", F.col("refers_to")).alias("value"))
-    writer = rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records)
-    (writer.option("compression", "gzip") if compress else writer).text(path)
+    rows = plan.select(record("id", html, "sha1", "bytes", F.col("refers_to")).cast("string").alias("value"))
+    # the separator ends a plain record, or is the last byte of a member
+    rows.write.option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", file_records).option("compression", "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -76,6 +76,40 @@ def test_round_trip(spark, least):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_damage_in_the_writers_own_archives(spark, tmp_path):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, f"page {i} {rng.random()}" * 20) for i in range(60)], "page_id long, html string").coalesce(1)
+    warc.write_warc(warc.plan_records(df), f"{tmp_path}/w")
+    whole = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
+    assert sorted(x for data in whole.values() for x in split(data)[0]) == sorted(f"<urn:page:{i}>" for i in range(60))
+    assert sum(gzip.decompress(data).count(b"WARC-Record-ID") for data in whole.values()) == 60
+    data = max(whole.values(), key=len)
+    ids, at = split(data)[0], data.index(b"\x1f\x8b\x08", len(data) // 2) + 60
+    for bad in (data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :], data[:-9], data[:at] + data[at + 3 :]):
+        got, gaps = split(bad)
+        assert len(got) >= len(ids) - 1 and gaps
+
+
+def test_large_record_ends_its_member():
+    data = warc._member(b"x" * (1 << 24)) + b"\0" + warc._member(b"y") + b"\0"
+    assert gzip.decompress(data) == b"x" * (1 << 24) + b"y"
+
+
+def test_records_before_a_fault_are_kept():
+    rng = random.Random(2)
+    records = [record(i, rng.randbytes(3000)) for i in range(100)]
+    data = gzip.compress(b"".join(records))
+    for bad in (data[: len(data) // 2], data[: len(data) // 2] + b"\xff" * 40 + data[len(data) // 2 + 40 :]):
+        ids, gaps = split(bad)
+        assert ids[:48] == [f"<urn:page:{i}>" for i in range(48)] and gaps[-1].end == len(bad)
+
+
+def test_plain_archive_with_a_damaged_start():
+    records = [record(i, b"a\x1f\x8b\x08b") for i in range(9)]
+    ids, gaps = split(b"XX" + b"".join(records)[2:])
+    assert ids == [f"<urn:page:{i}>" for i in range(1, 9)] and len(gaps) == 1
+
+
 def exact(ids, m, step=50, k=5):
     u = m / np.linalg.norm(m, axis=1)[:, None]
     for q in np.nonzero(ids % step == 0)[0]:

@@ -99,13 +99,17 @@ class KMeansTree:
                 todo += [(int(child), at[own == j]) for j, child in enumerate(self.children[node])]
         return out
 
-    def visit(self, unit: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves best bin first: the nearest open node is opened next."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, unit: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves best bin first, and more until they hold ``least``; ``held`` has the number in each leaf.
+
+        The nearest open node is opened next.
+        """
+        queue, out, total = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or total < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                total += least and int(held[self.leaf[node]])
                 continue
             gap = ((self.centres[node] - unit) ** 2).sum(1)
             for d, child in zip(gap.tolist(), self.children[node].tolist(), strict=True):
@@ -176,11 +180,15 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         for pdf in batches:
             yield pdf.assign(leaf=shared.value.assign(_unit(_matrix(pdf["v"]))))
 
+    homes = stage(points.mapInPandas(leaves, "id long, v array<double>, leaf long"), "leaves")
+    held = np.zeros(tree.leaves, np.int64)  # an id with several vectors counts in one of its leaves
+    for leaf, count in homes.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*")).collect():
+        held[leaf] = count
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=[shared.value.visit(u, most) for u in _unit(_matrix(pdf["v"]))])
+            yield pdf.assign(leaf=[shared.value.visit(u, most, held, k + 1) for u in _unit(_matrix(pdf["v"]))])
 
-    homes = stage(points.mapInPandas(leaves, "id long, v array<double>, leaf long"), "leaves")
     asked = queries.mapInPandas(visits, "id long, v array<double>, leaf array<long>").select("id", "v", F.explode("leaf").alias("leaf"))
     # a leaf's vectors and visits form a grid of units; both counts are bounded by the number of leaves
     n_vectors = dict(homes.groupBy("leaf").agg(F.count("*")).collect())

@@ -129,6 +129,18 @@ def test_recall(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
 
 
+def test_small_clusters_give_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 3)
+    rng = np.random.default_rng(3)
+    centres = np.repeat(rng.normal(size=(200, 8)), 3, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(centres + rng.normal(size=centres.shape) / 1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, recall=0.3).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == set(range(0, 600, 50)) and {len(v) for v in got.values()} == {5}
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")

@@ -1,15 +1,18 @@
 """Benchmark decontamination over templates: numbers, names and units become typed placeholders.
 
 Texts and benchmark items are cut into windows of template words. Windows are joined by hash; the values in their
-slots must map one to one along an alignment of document and item, so that a question asked again with other numbers
-or names is found, and a chance meeting of templates with contradictory slots is not. A document is contaminated by an
-item if consistent windows cover at least ``COVERAGE`` of the item's windows.
+slots are compared along an alignment of document and item: a value of the item stands for itself if it is met again, or
+else for the value that it meets in most windows, and windows that hold another one don't count. So a question asked
+again with other numbers or names is found, and a chance meeting of templates with contradictory slots is not. Items
+that are short or mostly slots are compared by their exact words. A document is contaminated by an item if consistent
+windows cover at least ``COVERAGE`` of the item's windows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._common import need, small_batches, stage
 
-#: Words in a window (a shorter item is one window, if it has at least LEAST words), share of an item to be covered.
+#: Words in a window (a shorter item is one window, of exact words if under LEAST), share of an item to be covered.
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
 #: A benchmark of at most this many windows is broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -61,8 +64,8 @@ _WORDS = _Words()
 _SLOTS = np.array([_hash(_NUMBER), _hash(_NAME), _hash(_UNIT)], np.uint64)
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, template hash of each, whether each is a slot) of a whole text; marks of sentences are left out.
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, template hash of each, whether each is a slot, hash of its own) of a whole text; marks of sentences are left out.
 
     A capitalised word is a name unless it begins a sentence. A unit is a slot only next to a number.
     """
@@ -76,35 +79,44 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     near[1:] |= kind[:-1] == _NUM
     near[:-1] |= kind[1:] == _NUM
     number, name, unit = kind == _NUM, (kind == _CAPITAL) & ~first, (kind == _MEASURE) & near
+    own = hashes.copy()
     for k, at in enumerate((number, name, unit)):
         hashes[at] = _SLOTS[k]
     keep = kind != _MARK
     words = tokens if keep.all() else [tokens[i] for i in np.nonzero(keep)[0].tolist()]
-    return words, hashes[keep], (number | name | unit)[keep]
+    return words, hashes[keep], (number | name | unit)[keep], own[keep]
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each window of ``size`` words of which at most half are slots."""
+def _rolled(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.full(n, np.uint64(size))
+    out = np.full(n, np.uint64(seed))
     for k in range(size):
         out = (out ^ hashes[k : k + n]) * _PRIME
         out ^= out >> np.uint64(29)
-    total = np.concatenate([[0], np.cumsum(slots)])
-    at = np.nonzero(total[size:] - total[:-size] <= size // 2)[0]
-    return out[at], at
+    return out
+
 
+def windows(hashes: np.ndarray, slots: np.ndarray, own: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it is the template's) of each window of ``size`` words.
 
-def _item_size(n: int) -> int:
-    return WINDOW if n >= WINDOW else n if n >= LEAST else 0
+    Windows of under LEAST words, or of which more than half are slots, are hashed by their exact words.
+    """
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    total = np.concatenate([[0], np.cumsum(slots)])
+    loose = (total[size:] - total[:-size] <= size // 2) & (size >= LEAST)
+    out = _rolled(hashes, size, size) if loose.any() else np.zeros(n, np.uint64)
+    if not loose.all():
+        out = np.where(loose, out, _rolled(own, size, size | 1 << 32))
+    return out, loose
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(h, item, size, place, windows, slots): every window of every item; ``windows`` is their number in the item.
 
-    Null ids, and texts of fewer than LEAST words, have none. Equal rows count once.
+    Windows by exact words count only in items that have no others. Null ids, and texts without words, have none. Equal
+    rows count once.
     """
     small_batches(benchmark.sparkSession)
 
@@ -112,10 +124,12 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         for pdf in batches:
             out = []
             for i, text in zip(pdf["item"], pdf["text"], strict=True):
-                words, hashes, slots = template(text)
-                size = _item_size(len(words))
+                words, hashes, slots, own = template(text)
+                size = min(WINDOW, len(words))
                 if size:
-                    h, at = windows(hashes, slots, size)
+                    h, loose = windows(hashes, slots, own, size)
+                    at = np.nonzero(loose)[0] if loose.any() else np.arange(len(h))
+                    h = h[at]
                     out += [(int(x), i, size, int(a), len(at), [words[k].lower() for k in range(a, a + size) if slots[k]]) for x, a in zip(h.view(np.int64), at, strict=True)]
             yield pd.DataFrame(out, columns=["h", "item", "size", "place", "windows", "slots"])
 
@@ -132,9 +146,10 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                words, hashes, slots = template(text)
+                words, hashes, slots, own = template(text)
                 for size in sizes:
-                    h, at = windows(hashes, slots, size)
+                    h, _ = windows(hashes, slots, own, size)
+                    at = np.arange(len(h))
                     if shared.value is not None and len(h):
                         place = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
                         hit = shared.value[place] == h
@@ -149,6 +164,19 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     return rows.mapInPandas(cut, "h long, id long, at int, found array<string>")
 
 
+def consistent(places: pd.Series, slots: pd.Series, found: pd.Series) -> pd.DataFrame:
+    """Places of an alignment's windows without a contradictory slot, and whether one of their slots has another value."""
+    out = []
+    for at, mine, theirs in zip(places, slots, found, strict=True):
+        pairs = [set(zip(a, b, strict=True)) for a, b in zip(mine, theirs, strict=True)]
+        best: dict[str, tuple[bool, int, str]] = {}
+        for (a, b), n in Counter(x for p in pairs for x in p).items():
+            best[a] = max(best.get(a, (False, 0, "")), (a == b, n, b))
+        good = [k for k, p in enumerate(pairs) if all(best[a][2] == b for a, b in p)]
+        out.append(([int(at[k]) for k in good], any(a != b for k in good for a, b in pairs[k])))
+    return pd.DataFrame(out, columns=["places", "changed"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, item, coverage, changed_slots): every document and item that contaminates it.
 
@@ -162,11 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     wanted = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
     found = document_windows(docs, sizes if n else [], wanted, id_col, text_col)
     hits = found.join(F.broadcast(items) if small else items, "h").where("size(slots) = size(found)")
-    aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.collect_set("place").alias("places"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "found")))).alias("pairs")
-    )
-    one_to_one = "size(array_distinct(transform(pairs, p -> p.slots))) = size(pairs) and size(array_distinct(transform(pairs, p -> p.found))) = size(pairs)"
-    kept = aligned.where(one_to_one).withColumn("changed", F.expr("exists(pairs, p -> p.slots <> p.found)"))
+    aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "slots", "found")).alias("hits"))
+    judge = F.pandas_udf(consistent, "places array<int>, changed boolean")
+    kept = aligned.select("id", "item", "windows", judge("hits.place", "hits.slots", "hits.found").alias("_k")).select("id", "item", "windows", "_k.places", "_k.changed")
     covered = kept.select("id", "item", "windows", "changed", F.explode("places").alias("place")).groupBy("id", "item").agg(
         (F.count_distinct("place") / F.max("windows")).alias("coverage"), F.every("changed").alias("changed_slots")
     )

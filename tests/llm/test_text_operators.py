@@ -258,6 +258,16 @@ def test_contradictory_slots_dont_match(spark):
     assert {r.doc_id for r in D.contaminated(df, bench).collect()} == {1}
 
 
+def test_items_with_some_changed_slots_and_exact_items(spark):
+    long = "In the shop there are 5 apples in a red box near the old door while the keeper who came from the far north has put away all of the bread and then counts 5 pears on a shelf"
+    pair = "mix 3 cups then add 4 cups and stir with care for a long while"
+    sums = "3 + 4 = 7, 5 + 6 = 11, 9 + 9 = 18, 2 + 1 = 3"
+    bench = spark.createDataFrame([(1, long), (2, pair), (3, "name this bird"), (4, sums)], "item_id long, text string")
+    rows = [(1, long.replace("5 apples", "7 apples").replace("5 pears", "9 pears")), (2, long.replace("5 pears", "9 pears")), (3, pair.replace("3", "6").replace("4", "6")), (4, "Please name this bird now."), (5, f"Solve {sums} at once"), (6, "name that bird"), (7, sums.replace("3", "8").replace("9", "2"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)}
+
+
 def test_decontamination_against_containment(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join(t.lower().split())

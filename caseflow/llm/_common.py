@@ -18,9 +18,12 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local one is made, but
+    only if the executors are on this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="caseflow-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,7 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark, path = df.sparkSession, df._staged
+    _STAGED.remove((spark, path))
+    remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -82,9 +94,36 @@ def join_counted(big: DataFrame, small: DataFrame, key: str | list[str], count:
     return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Position of a column: that of the very name (the first of several), or else the only one that differs by case."""
+    exact = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not exact:
+        raise ValueError(f"missing column {name}; have {df.columns}")
+    return exact[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by position, so that no name is ambiguous or clashes with a helper's."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Project to the named columns; extra columns, whatever their names, are left behind."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    at = [place(df, n) for n in names]
+    return numbered(df).select(*[F.col(f"_{k}").alias(n) for k, n in zip(at, names, strict=True)])
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """Name of a column's type, for the schema of a Python step that passes the column on."""
+    return df.schema[place(df, name)].dataType.simpleString()
+
+
+def with_text(docs: DataFrame, text_col: str, fresh, extra: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with its text replaced by the field ``text`` of the struct column ``fresh(text)``, and with the fields
+    ``extra`` (field -> column name) added; columns of those names that ``docs`` has are replaced. Order is kept."""
+    extra, at = extra or {}, place(docs, text_col)
+    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in {n.lower() for n in extra.values()} or k == at]
+    plain = numbered(docs)
+    coded = plain.select(*[f"_{k}" for k in kept], fresh(F.col(f"_{at}").cast("string")).alias("_fresh"))
+    out = coded.select(*[F.col("_fresh.text") if k == at else F.col(f"_{k}") for k in kept], *[F.col(f"_fresh.{f}") for f in extra])
+    return out.toDF(*[docs.columns[k] for k in kept], *extra.values())

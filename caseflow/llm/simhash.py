@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_counted, need, small_batches, stage
+from ._common import join_counted, need, numbered, place, small_batches, stage, type_of
 from .components import connected_components
 
 SEED = 42
@@ -71,8 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter(map(fingerprint, raw), np.uint64, len(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(score, "id long, fp long")
+    rows = need(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(score, f"id {type_of(docs, id_col)}, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -247,8 +247,10 @@ def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint hex, component_id) per row of ``docs``; component_id is the smallest id reachable.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows stay repeated. A null id
-    never names a component unless all of the component's ids are null. An empty table gives an empty result.
+    Ids are of any type that has an order, and keep it. Null and empty texts have fingerprint zero and link like any
+    other; texts of any length are read whole. Repeated rows stay repeated, and link. A null id never names a component
+    unless all of the component's ids are null. Extra columns are left behind, whatever their names. An empty table
+    gives an empty result.
     """
     marked = stage(fingerprints(docs, id_col, text_col), "fp")
     # exact copies collapse before anything is compared
@@ -257,19 +259,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links(distinct.select("fp"), total["k"], max_bits))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "roots")
-    # a component of one fingerprint needs no further shuffle
-    many = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(many, "root").select("fp", "component_id", "n")
+    # one component may hold most fingerprints, and one fingerprint most rows
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("k"))
+    named = join_counted(named, least, "root", "k", total["k"]).select("fp", "component_id", "n")
     out = join_counted(marked, named, "fp", "n", total["n"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id. Rows with a null id all stay."""
-    found = stage(simhash_components(docs, id_col, text_col, max_bits), "kept")
-    n, ids = found.where(f"`{id_col}` is not null").agg(F.count("*"), F.countDistinct(id_col)).first()
-    keep = found.where(f"`{id_col}` = component_id").select(F.col(id_col).alias("_keep_id")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["_keep_id"], "left_semi")
+    """``docs`` with one row of each near-duplicate group: that of the smallest id, one of them if it is repeated.
+
+    Rows with a null id all stay. Columns keep their names and order, whatever the names are.
+    """
+    found = stage(simhash_components(docs, id_col, text_col, max_bits).toDF("id", "fp", "component"), "kept")
+    n, ids = found.where("id is not null").agg(F.count("*"), F.countDistinct("id")).first()
+    own, plain = f"_{place(docs, id_col)}", numbered(docs)
+    keep = found.where("id = component").select(F.col("id").alias("keep")).distinct()
+    kept = plain.join(keep, plain[own] == keep["keep"], "left_semi")
     if ids < n:  # repeated rows
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+        kept = kept.dropDuplicates([own])
+    return kept.unionByName(plain.where(plain[own].isNull())).toDF(*docs.columns)

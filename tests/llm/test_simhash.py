@@ -86,9 +86,11 @@ def test_empty_table(spark):
     assert S.simhash_components(df).count() == 0 and S.near_dedup(df).count() == 0
 
 
-def test_trees_lose_no_pair(monkeypatch, spark):
-    """Small shards and cells, so that routing, the grid and local splits all take part."""
+@pytest.mark.parametrize("cell", [100_000, 40])
+def test_trees_lose_no_pair(monkeypatch, spark, cell):
+    """Small shards, and with the small cell a grid of units, so that routing, the grid and local splits all take part."""
     monkeypatch.setattr(S, "SHARD", 64)
+    monkeypatch.setattr(S, "CELL", cell)
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**63, 1500, dtype=np.uint64) * np.uint64(2)
     near = fps[:400].copy()
@@ -109,3 +111,20 @@ def test_chain_components(spark):
     df = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 100), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in connected_components(df).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100}
+
+
+def test_hub_of_many_edges(spark):
+    """More edges than join_counted's limit, most of them at one hub."""
+    edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5041), 5000)}
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", text, "x", 1, 2), ("a", text, "y", 3, 4), ("c", "other words", "z", 5, 6), ("a", text, "y", 3, 4)]
+    df = spark.createDataFrame(rows, "id string, body string, TEXT string, fp int, component int").toDF("doc_id", "text", "TEXT", "fp", "component")
+    got = {(r.doc_id, r.component_id) for r in S.simhash_components(df).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c")}
+    kept = S.near_dedup(df)
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.collect()) == ["a", "c"]

@@ -3,7 +3,8 @@
 Texts are split by the tokenizer's pattern. Each new word becomes token-position rows, first one per byte; a recursive
 step joins neighbouring rows to the merge table and contracts the leftmost pair of least rank of every word, until no
 word has a pair left. Words are kept for a while, so each is contracted about once in a partition. Words over
-``LONG_BYTES`` bytes would make the recursion quadratic; an exact merge with a heap handles those.
+``LONG_BYTES`` bytes would make the recursion quadratic; an exact merge with a heap handles those. Decoding takes each
+document's own ids: its token-position rows join the vocabulary, and pieces are aggregated in order.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from functools import lru_cache
 from itertools import islice
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need, small_batches
+from ._common import need, small_batches, with_text
 
 LONG_BYTES = 64
 #: Words whose ids a worker keeps; memory of a worker's DuckDB.
 WORDS_KEPT, MEMORY = 500_000, "256MB"
-#: Texts are encoded in groups of about this many characters.
-GROUP_CHARS = 4_000_000
+#: Texts are encoded in groups of about this many characters; a query contracts words of at most this many squared bytes
+#: in all (what the recursion keeps grows with them), and decodes at most this many tokens, in runs of at most RUN.
+GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 4_000_000, 16_000_000, 1 << 20, 1 << 16
 
 #: token-position rows of each word meet the merge table; the least (rank, position) of a word is contracted.
 #: Row 255 of a list can't occur: longer words go through the heap.
@@ -43,13 +46,10 @@ WITH RECURSIVE parts(step, word, ids) AS (
     FROM (SELECT word, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[2:], 1) AS pos FROM parts)
     JOIN merges USING (a, b) GROUP BY word) USING (word)),
  done AS (SELECT word, arg_max(ids, step) AS ids FROM parts GROUP BY word)
-SELECT word, any_value(array_to_string(ids, ',')) AS ids, list(piece ORDER BY pos) AS pieces
-FROM (SELECT word, ids, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM done) JOIN vocabulary USING (id) GROUP BY word
-"""
-_DECODE = """
-SELECT doc, list(piece ORDER BY pos) AS pieces
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY doc
+SELECT word, array_to_string(ids, ',') AS ids FROM done
 """
+#: token-position rows of each run meet the vocabulary; pieces hold a character for each byte.
+_DECODE = "SELECT run, array_to_string(list(piece ORDER BY pos), '') AS decoded FROM coded JOIN vocabulary USING (id) GROUP BY run"
 #: The pattern of the public rank files (a fixed value), and its classes spelled out for code points below U+0250,
 #: where the built-in regular expressions are faster.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,14 +106,13 @@ class Encoder:
     def __init__(self, path: str, pattern: str = PATTERN) -> None:
         self.ranks = load_ranks(path)
         self.split = splitter(pattern)
-        #: ids of each word met lately, as text, and the decoded bytes of those that don't decode to their own UTF-8
+        #: ids of each word met lately, as text
         self.kept: dict[str, str] = {t.decode(): str(r) for t, r in self.ranks.items() if not _broken(t)}
         self.vocabulary_words = len(self.kept)
-        self.odd: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # nothing spills to a local disk
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self._table("merges", {"a": pa.array([p[0] for p in pairs], pa.int32()), "b": pa.array([p[1] for p in pairs], pa.int32()), "merged": pa.array([p[2] for p in pairs], pa.int32())})
-        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array(list(self.ranks), pa.binary())})
+        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("given", pa.table(columns))
@@ -127,60 +126,66 @@ class Encoder:
         return found
 
     def learn_words(self, words: set[str]) -> None:
-        """Add the ids of new words to those kept, and decode these ids."""
-        rank, asked, start = self.ranks, [], []
+        """Add the ids of new words to those kept."""
+        rank, asked, start, squares = self.ranks, [], [], 0
         for w in words:
             raw = w.encode("utf-8", "replace")
             if (whole := rank.get(raw)) is not None:
                 self.kept[w] = str(whole)
             elif len(raw) > LONG_BYTES:
-                ids = merge_bytes(raw, rank)
-                self.kept[w] = ",".join(map(str, ids))
-                self._note(w, self.decode([ids])[0])
+                self.kept[w] = ",".join(map(str, merge_bytes(raw, rank)))
             else:
                 asked.append(w)
                 start.append([rank[raw[i : i + 1]] for i in range(len(raw))])
+                squares += len(raw) ** 2
+                if squares > QUERY_SQUARES:
+                    self._contract(asked, start)
+                    asked, start, squares = [], [], 0
         if asked:
-            found = self._ask("bytes_of", {"word": pa.array(range(len(asked)), pa.int32()), "ids": pa.array(start, pa.list_(pa.int32()))}, _CONTRACT)
-            for k, ids, pieces in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), found.column("pieces").to_pylist(), strict=True):
-                self.kept[asked[k]] = ids
-                self._note(asked[k], b"".join(pieces))
+            self._contract(asked, start)
 
-    def _note(self, word: str, decoded: bytes) -> None:
-        if decoded != word.encode("utf-8", "surrogatepass"):
-            self.odd[word] = decoded
+    def _contract(self, words: list[str], start: list[list[int]]) -> None:
+        found = self._ask("bytes_of", {"word": pa.array(range(len(words)), pa.int32()), "ids": pa.array(start, pa.list_(pa.int32()))}, _CONTRACT)
+        for k, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
+            self.kept[words[k]] = ids
 
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text; afterwards all of them are kept."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """Ids of each text, joined by commas, as ordinary text: special tokens have no meaning."""
         pieces = [self.split(t) for t in texts]
         if len(self.kept) > WORDS_KEPT + self.vocabulary_words:
             self.kept = dict(islice(self.kept.items(), self.vocabulary_words))
-            self.odd.clear()
         new = {w for p in pieces for w in p if w not in self.kept}
         if new:
             self.learn_words(new)
-        return pieces
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, as ordinary text: special tokens have no meaning."""
-        pieces = self.words(texts)
-        return [[int(i) for w in p for i in self.kept[w].split(",")] for p in pieces]
-
-    def code(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids, joined by commas, and the bytes that they decode to, word by word."""
-        pieces = self.words(texts)
-        kept, odd = self.kept.__getitem__, self.odd
-        for p in pieces:
-            raw = b"".join(odd.get(w) or w.encode("utf-8", "surrogatepass") for w in p) if odd and not odd.keys().isdisjoint(p) else "".join(p).encode("utf-8", "surrogatepass")
-            yield ",".join(map(kept, p)), raw
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of each id list: ids joined to the vocabulary, pieces aggregated in their order."""
-        found = self._ask("coded", {"doc": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}, _DECODE)
-        out = [b""] * len(ids)
-        for k, pieces in zip(found.column("doc").to_pylist(), found.column("pieces").to_pylist(), strict=True):
-            out[k] = b"".join(pieces)
-        return out
+        return [",".join(map(self.kept.__getitem__, p)) for p in pieces]
+
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        """Bytes of each id list: ids joined to the vocabulary, pieces aggregated in their order, in runs of a list."""
+        out: list[list[bytes]] = [[] for _ in lists]
+        runs = [(k, ids[at : at + RUN]) for k, ids in enumerate(lists) for at in range(0, len(ids), RUN)]
+        while runs:
+            ends = np.cumsum([len(ids) for _, ids in runs[:QUERY_TOKENS]])
+            part = runs[: max(1, int(np.searchsorted(ends, QUERY_TOKENS, "right")))]
+            runs = runs[len(part) :]
+            flat = np.concatenate([ids for _, ids in part]).astype(np.int32)
+            run = np.repeat(np.arange(len(part), dtype=np.int32), [len(ids) for _, ids in part])
+            found = self._ask("coded", {"run": pa.array(run), "pos": pa.array(np.arange(len(flat), dtype=np.int32)), "id": pa.array(flat)}, _DECODE)
+            decoded = dict(zip(found.column("run").to_pylist(), found.column("decoded").to_pylist(), strict=True))
+            for r, (k, _) in enumerate(part):
+                out[k].append(decoded.get(r, "").encode("latin-1"))
+        return [b"".join(x) for x in out]
+
+    def code(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """For each text the number of its ids, these ids joined by commas, and the bytes that they decode to."""
+        coded = self.encode(texts)
+        lists = [parse_ids(x) for x in coded]
+        for ids, own, raw in zip(lists, coded, self.decode(lists), strict=True):
+            yield len(ids), own, raw
+
+
+def parse_ids(ids: str) -> np.ndarray:
+    """Ids that are joined by commas."""
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
 def _broken(token: bytes) -> bool:
@@ -208,13 +213,15 @@ def _groups(texts: list[str]) -> Iterator[slice]:
 
 
 def encode_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) per row of ``docs``; a null text is an empty one and has no ids. Repeated rows stay."""
+    """(id, ids array<int>) per row of ``docs``; a null text is an empty one and has no ids.
+
+    Repeated rows stay, ids are of any type, extra columns are left behind, an empty table gives an empty result."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         texts = [t or "" for t in texts]
-        return pd.Series([x for at in _groups(texts) for x in _encoder(path, pattern).encode(texts[at])])
+        return pd.Series([parse_ids(x) for at in _groups(texts) for x in _encoder(path, pattern).encode(texts[at])])
 
     out = need(docs, id_col, text_col)
     return out.select(F.col(f"`{id_col}`"), ids(F.col(f"`{text_col}`").cast("string")).alias("ids"))
@@ -226,20 +233,24 @@ def decode_tokens(coded: DataFrame, path: str, pattern: str = PATTERN, id_col: s
 
     @F.pandas_udf("binary")
     def raw(ids: pd.Series) -> pd.Series:
-        return pd.Series(_encoder(path, pattern).decode([[] if x is None else list(x) for x in ids]))
+        return pd.Series(_encoder(path, pattern).decode([np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in ids]))
 
     return need(coded, id_col, ids_col).select(F.col(f"`{id_col}`"), raw(F.col(f"`{ids_col}`")).alias("bytes"))
 
 
 def digest_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row: texts are encoded, and the ids decoded, in one pass."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row: texts are encoded, and the ids decoded, in one pass.
+
+    A null text is an empty one; a text of any length is taken whole, its ids decoded in runs. Repeated rows stay, ids
+    are of any type, extra columns are left behind, and an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         encoder, out, texts = _encoder(path, pattern), [], [t or "" for t in texts]
         for at in _groups(texts):
-            out += [(ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for ids, raw in encoder.code(texts[at])]
+            out += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for n, ids, raw in encoder.code(texts[at])]
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = need(docs, id_col, text_col)
@@ -252,14 +263,11 @@ def with_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, text_col: st
     these ids. A null text becomes an empty one. Columns of these names that ``docs`` already has are replaced."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_tokens long, token_ids string, decoded string")
+    @F.pandas_udf("n_tokens long, token_ids string, text string")
     def code(texts: pd.Series) -> pd.DataFrame:
         encoder, out, given = _encoder(path, pattern), [], [t or "" for t in texts]
         for at in _groups(given):
-            out += [(ids.count(",") + 1 if ids else 0, ids, raw.decode("utf-8", "replace")) for ids, raw in encoder.code(given[at])]
-        return pd.DataFrame(out, columns=["n_tokens", "token_ids", "decoded"])
+            out += [(n, ids, raw.decode("utf-8", "replace")) for n, ids, raw in encoder.code(given[at])]
+        return pd.DataFrame(out, columns=["n_tokens", "token_ids", "text"])
 
-    names = [c for c in docs.columns if c not in ("n_tokens", "token_ids")]
-    coded = docs.select(*[F.col(f"`{c}`") for c in names], code(docs[text_col].cast("string")).alias("_coded"))
-    columns = [F.col("_coded.decoded").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return coded.select(*columns, "_coded.n_tokens", "_coded.token_ids")
+    return with_text(docs, text_col, code, {"n_tokens": "n_tokens", "token_ids": "token_ids"})

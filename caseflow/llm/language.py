@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import need, small_batches
-from .training import _BUCKETS, TRAIN_ROWS, held_out
+from ._common import need, numbered, place, small_batches
+from .training import held_out
 
 #: n-grams in a language's profile, n-grams of a document that are compared, and the tag of a text without letters.
 PROFILE, DOCUMENT, UNDETERMINED = 400, 300, "und"
+#: Documents of each language, at most, that its profile is learned from; chosen by a hash of the id.
+LANGUAGE_ROWS = 2_000
 _EDGE = sys.maxunicode + 1
 _LETTER: list[np.ndarray] = []
 
@@ -51,14 +53,17 @@ def ranked(text: str | None, most: int = DOCUMENT) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:most]]
 
 
-def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, size: int = PROFILE) -> dict[str, list[int]]:
-    """Each language's ``size`` most frequent n-grams, from at most about ``rows`` documents outside the hold-out."""
+def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LANGUAGE_ROWS, size: int = PROFILE) -> dict[str, list[int]]:
+    """Each language's ``size`` most frequent n-grams, from at most ``rows`` of its documents outside the hold-out.
+
+    A language's share of the table doesn't matter: rare ones are learned from all that they have. The ids chosen are
+    at most ``rows`` a language, so they are broadcast and no text is shuffled."""
     small_batches(docs.sparkSession)
-    known = need(docs, id_col, text_col, lang_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    known = need(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    n = known.select("id").count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(_BUCKETS)) < int(_BUCKETS * rows / n))
+    draw = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("train")), "id")  # the limit is applied before the shuffle
+    chosen = known.select("lang", "id").withColumn("at", F.row_number().over(draw)).where(F.col("at") <= rows).select("lang", "id").distinct()
+    known = known.join(F.broadcast(chosen), ["lang", "id"], "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,29 +104,32 @@ class Matcher:
         return self.langs[k], max(0.0, 1.0 - float(out[k]) / (self.size * len(own)))
 
 
-def language_column(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text"):
-    """Column struct(lang_pred, score) over the whole text."""
-    small_batches(docs.sparkSession)
-    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(profiles))
+def language_of(spark: SparkSession, profiles: dict[str, list[int]]):
+    """Function of a whole text's column: struct(lang_pred, score)."""
+    small_batches(spark)
+    matcher = spark.sparkContext.broadcast(Matcher(profiles))
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
         best = matcher.value.best
         return pd.DataFrame([best(t) for t in texts], columns=["lang_pred", "score"])
 
-    return identify(docs[text_col].cast("string"))
+    return identify
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LANGUAGE_ROWS) -> DataFrame:
     """(id, held_out, lang_pred, score) for every row; ``und`` and 0 for a null text, one without letters, or where
-    no language could be learned. Repeated rows stay repeated."""
-    profiles = learn_profiles(docs, id_col, text_col, lang_col, rows)
-    found = need(docs, id_col, text_col)
-    found = found.select(F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), language_column(found, profiles, text_col).alias("_found"))
-    return found.select(f"`{id_col}`", "held_out", "_found.lang_pred", "_found.score")
-
-
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (no letters, or no text)."""
-    profiles = learn_profiles(docs, id_col, text_col, lang_col, rows)
-    return docs.withColumn("_language", language_column(docs, profiles, text_col)).where(F.col("_language.lang_pred") != UNDETERMINED).drop("_language")
+    no language could be learned. A text of any length is read whole, ties go to the first language in name order,
+    repeated rows stay repeated, extra columns are left behind, an empty table gives an empty result."""
+    identify = language_of(docs.sparkSession, learn_profiles(docs, id_col, text_col, lang_col, rows))
+    found = need(docs, id_col, text_col).toDF("id", "text")
+    found = found.select("id", held_out(F.col("id")).alias("held_out"), identify(F.col("text").cast("string")).alias("found"))
+    return found.select(F.col("id").alias(id_col), "held_out", "found.lang_pred", "found.score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LANGUAGE_ROWS) -> DataFrame:
+    """``docs`` without the rows whose language can't be told (no letters, or no text); all columns stay, whatever
+    their names."""
+    identify = language_of(docs.sparkSession, learn_profiles(docs, id_col, text_col, lang_col, rows))
+    text, plain = F.col(f"_{place(docs, text_col)}").cast("string"), numbered(docs)
+    return plain.withColumn("found", identify(text)).where(F.col("found.lang_pred") != UNDETERMINED).drop("found").toDF(*docs.columns)

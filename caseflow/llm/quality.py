@@ -128,7 +128,9 @@ def train(sample: DataFrame, passes: int = PASSES, shards: int = SHARDS, dimensi
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, held_out, score, predicted) for every row of ``docs``, from its whole text.
 
-    Null and empty texts get the bias's score; repeated rows stay repeated; without labels every score is 0.5.
+    A null text scores as an empty one, by the bias and the two marks of repetition; a text of any length is scored
+    whole; repeated rows stay repeated; extra columns are left behind; an empty table gives an empty result; without
+    labels every score is 0.5.
     """
     spark = docs.sparkSession
     small_batches(spark)

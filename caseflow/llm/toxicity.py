@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from ._common import need, small_batches, stage
 from .training import TRAIN_ROWS, held_out, labelled_sample
 
-#: A term needs this share of the toxic sample's documents in contexts, this many contexts, this share of its contexts
-#: in toxic texts, and that many standard deviations over the share of all words.
-SUPPORT_SHARE, SUPPORT_LEAST, PRECISION, STEM_PRECISION, DEVIATIONS = 0.03, 3, 0.8, 0.6, 8.0
+#: A term needs this many contexts in toxic texts, whatever the sample's size, this share of its contexts in toxic
+#: texts, and that many standard deviations over the share of all words (a stem, which stands for several words,
+#: needs more contexts).
+SUPPORT, STEM_SUPPORT, PRECISION, STEM_PRECISION, DEVIATIONS = 3, 6, 0.8, 0.6, 8.0
 #: Lengths of stems, and the weight of a word that begins with one.
 STEM_LENGTHS, STEM_WEIGHT = (3, 8), 0.35
-#: Terms kept at most (the most used ones); words around a hit that are its window.
-TERMS, WINDOW = 1000, 6
+#: Words around a hit that are its window.
+WINDOW = 6
 #: Weight of a hit by its edits, and the factor for a quoted or reported hit.
 EDIT_WEIGHT, QUOTED = (1.0, 0.5, 0.3), 0.25
 #: Lower borders of the severity classes that are calibrated.
@@ -36,6 +37,8 @@ CLASSES = (0.0, 0.01, 0.6, 0.9, 1.3, 1.9, 3.9)
 _PRIOR_ROWS = 2.0
 _WORD = re.compile(r"\w+")
 _WORDS_KEPT = 500_000
+#: States of the automaton that a process keeps before it begins again.
+STATES_KEPT = 200_000
 #: Quotation marks, and words that report what another one said.
 QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("said says saying called calls quote quoted quotes wrote writes term word dijo llamó escribió palabra dit disait appelé écrit mot sagte sagt nannte schrieb wort".split())
@@ -69,6 +72,10 @@ class LexiconAutomaton:
             else:
                 self.stem[at] = t
         self.letters = {ch for c in self.children for ch in c}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin again with the start state alone: states are made as words need them."""
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -109,6 +116,8 @@ class LexiconAutomaton:
     def match(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term within its allowed edits, ties to the first in order; (0, stem) if the
         word begins with a stem; else None."""
+        if len(self.states) > STATES_KEPT:
+            self._forget()
         state = self.start
         for ch in word:
             if ch not in self.letters:
@@ -136,7 +145,7 @@ class ToxicityModel:
     def __post_init__(self) -> None:
         self.automaton = LexiconAutomaton(self.terms, self.stems)
         self.whole = set(self.terms)
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, bool]] = {}
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("terms", "clean_words", "stems", "chance", "rates")}
@@ -145,29 +154,29 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def weight(self, word: str) -> float:
+    def weight(self, word: str) -> tuple[float, bool]:
+        """(weight, whether a stem gave it) of a lower-case word; weight 0 without a match."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > _WORDS_KEPT:
                 self.known.clear()
             hit = self.automaton.match(word)
             if hit is None or (hit[0] and word in self.clean_words):
-                found = 0.0
+                found = 0.0, False
             else:
-                found = EDIT_WEIGHT[hit[0]] if hit[1] in self.whole else STEM_WEIGHT
+                found = (EDIT_WEIGHT[hit[0]], False) if hit[1] in self.whole else (STEM_WEIGHT, True)
             self.known[word] = found
         return found
 
-    def hits(self, text: str | None) -> tuple[list[tuple[int, int, float, bool]], int]:
-        """(start, end, weight, quoted) of every hit in the whole text, and the number of words if there is a hit."""
+    def hits(self, text: str | None) -> tuple[list[tuple[int, int, float, bool, bool]], int]:
+        """(start, end, weight, quoted, by a stem) of every hit in the whole text, and the number of words if there is one."""
         low = (text or "").lower()
         if len(low) != len(text or ""):  # a letter whose lower case is longer would move the offsets
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found = {w for w in set(_WORD.findall(low)) if self.weight(w)}
+        found = {w for w in set(_WORD.findall(low)) if self.weight(w)[0]}
         if not found:
             return [], 0
         marks = np.cumsum(np.fromiter((c in QUOTES for c in low), bool, len(low)))
-        total = int(marks[-1])
         words = list(_WORD.finditer(low))
         out = []
         for k, m in enumerate(words):
@@ -175,16 +184,16 @@ class ToxicityModel:
                 left, right = words[max(0, k - WINDOW)], words[min(len(words) - 1, k + WINDOW)]
                 opened, before_window = int(marks[m.start() - 1]) if m.start() else 0, int(marks[left.start() - 1]) if left.start() else 0
                 closes = int(marks[right.end() - 1]) > opened
-                quoted = opened > before_window and closes and (opened % 2 == 1 or total == 0)
+                quoted = opened > before_window and closes and opened % 2 == 1  # a mark opens before the hit and closes after it
                 reported = any(w.group() in REPORTING for w in words[max(0, k - WINDOW // 2) : k])
-                out.append((m.start(), m.end(), self.weight(m.group()), quoted or reported))
+                weight, stem = self.weight(m.group())
+                out.append((m.start(), m.end(), weight, quoted or reported, stem))
         return out, len(words)
 
     def severity(self, text: str | None) -> tuple[float, int]:
         """Severity of a whole text and its number of hits."""
         hits, words = self.hits(text)
-        terms = sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in hits if w != STEM_WEIGHT)
-        stems = sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted in hits if w == STEM_WEIGHT)
+        terms, stems = (sum(w * (QUOTED if quoted else 1.0) for _, _, w, quoted, by_stem in hits if by_stem is kind) for kind in (False, True))
         return float(terms + max(0.0, stems - STEM_WEIGHT * self.chance * words)), len(hits)
 
     def score(self, severity: float) -> float:
@@ -192,25 +201,25 @@ class ToxicityModel:
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many different contexts (word and the one before it) texts of either label use it."""
+    """(term, toxic, clean): in how many different contexts (word and the one before it) texts of either label use it.
+
+    Time is linear in the length of the texts: repeats fall out in the grouping."""
     words = sample.select("label", F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0)").alias("w"))
-    pairs = words.select("label", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.struct(x.alias("term"), F.when(i > 0, F.xxhash64(F.get("w", i - 1))).otherwise(F.lit(0)).alias("before"))))).alias("p"))
+    pairs = words.select("label", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), F.when(i > 0, F.xxhash64(F.get("w", i - 1))).otherwise(F.lit(0)).alias("before")))).alias("p"))
     seen = pairs.groupBy("p.term", "p.before").agg(F.max("label").alias("toxic"), F.max(1 - F.col("label")).alias("clean"))
     return seen.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn(sample: DataFrame) -> ToxicityModel:
-    """Model from a bounded ``sample(id, text, label)``."""
+    """Model from a bounded ``sample(id, text, label)``, which bounds the lexicon too: no term or stem is cut."""
     spark = sample.sparkSession
     small_batches(spark)
     sample = stage(sample, "toxic")
-    n_toxic = sample.where("label = 1").count()
     counts = stage(term_counts(sample), "terms")
-    least = max(SUPPORT_LEAST, int(SUPPORT_SHARE * n_toxic))
     totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     share = (totals[0] or 0) / max(1, (totals[0] or 0) + (totals[1] or 0))
 
-    def chosen(table: DataFrame, precision: float) -> DataFrame:
+    def chosen(table: DataFrame, least: int, precision: float) -> DataFrame:
         n = F.col("toxic") + F.col("clean")
         far = (F.col("toxic") - share * n) >= DEVIATIONS * F.sqrt(n * share * (1 - share))
         return table.where((F.length("term") >= STEM_LENGTHS[0]) & (F.col("toxic") >= least) & (F.col("toxic") >= precision * n) & far)
@@ -219,12 +228,12 @@ def learn(sample: DataFrame) -> ToxicityModel:
     begins = counts.where(F.length("term") > low).select(F.explode(F.expr(f"transform(sequence({low}, least({high}, length(term) - 1)), k -> left(term, k))")).alias("stem"), "term", "toxic", "clean")
     # a stem stands for several words
     begins = begins.groupBy(F.col("stem").alias("term")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"), F.max("toxic").alias("most"))
-    found = chosen(begins, STEM_PRECISION).where("words >= 4 and most <= 0.5 * toxic").orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    found = chosen(begins, STEM_SUPPORT, STEM_PRECISION).where("words >= 4 and most <= 0.5 * toxic").collect()
     stems: list[str] = []
     for term in sorted((r.term for r in found), key=lambda t: (len(t), t)):
         if not any(term.startswith(x) for x in stems):
             stems.append(term)
-    terms = [r.term for r in chosen(counts, PRECISION).orderBy(F.desc("toxic"), "term").limit(TERMS).collect() if not any(r.term.startswith(x) for x in stems)]
+    terms = [r.term for r in chosen(counts, SUPPORT, PRECISION).orderBy(F.desc("toxic"), "term").collect() if not any(r.term.startswith(x) for x in stems)]
     shared = spark.sparkContext.broadcast(ToxicityModel(terms, set()))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,8 +273,9 @@ def calibrate(seen: list[tuple[int, int]]) -> list[float]:
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, held_out, score, predicted, severity, hits) for every row of ``docs``, from its whole text.
 
-    Null and empty texts have no hits and get the lowest score; repeated rows stay repeated; without labels the
-    lexicon is empty and every score is the lowest prior.
+    Null and empty texts have no hits and get the lowest score; a text of any length is scored whole; repeated rows
+    stay repeated; extra columns are left behind; an empty table gives an empty result; without labels the lexicon is
+    empty and every score is the lowest prior.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(labelled_sample(docs, labels, label_col, id_col, text_col, rows)))

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 import zlib
 
 import pytest
@@ -103,6 +106,54 @@ def test_quotation_weighs_less():
     assert m.severity("you idiiot")[0] == T.EDIT_WEIGHT[1]
 
 
+def test_contexts_against_counting(spark):
+    rows = [(1, "You scum, you SCUM! a_b é2", 1), (2, "scum you scum", 0), (3, "", 0), (4, "you you", 0)]
+    got = {r.term: (r.toxic, r.clean) for r in T.term_counts(spark.createDataFrame(rows, "id long, text string, label int")).collect()}
+    want: dict = {}
+    for _, text, label in rows:
+        words = re.findall(r"\w+", text.lower())
+        for before, term in zip([None, *words], words, strict=False):
+            want.setdefault(term, ({*()}, {*()}))[1 - label].add(before)
+    assert got == {t: (len(a), len(b)) for t, (a, b) in want.items()}
+
+
+def test_learning_a_long_text_takes_linear_time(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(200_000)), 1), (2, "clean words", 0)]
+    began = time.monotonic()
+    assert T.term_counts(spark.createDataFrame(rows, "id long, text string, label int")).count() == 200_002
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_calibration_is_isotonic_regression(seed):
+    """Pooled rates against the minimum-maximum formula."""
+    rng = random.Random(seed)
+    seen = [(n := rng.randrange(40), rng.randrange(n + 1)) for _ in T.CLASSES]
+    prior = [0.02, *(c / (c + 0.35) for c in T.CLASSES[1:])]
+    n = [a + T._PRIOR_ROWS for a, _ in seen]
+    y = [(b + T._PRIOR_ROWS * p) / m for (_, b), p, m in zip(seen, prior, n, strict=True)]
+    mean = lambda i, j: sum(a * b for a, b in zip(y[i : j + 1], n[i : j + 1], strict=True)) / sum(n[i : j + 1])
+    k = len(y)
+    want = [max(min(mean(i, j) for j in range(at, k)) for i in range(at + 1)) for at in range(k)]
+    assert T.calibrate(seen) == pytest.approx(want)
+
+
+def test_lexicon_of_rare_terms(spark):
+    """A term of few documents is learned in a large sample as in a small one."""
+    rng = random.Random(9)
+    plain = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
+    rows = [(k, plain() + (f" such a{k} zorgblat" if k < 12 else f" b{k} common" if k < 300 else ""), int(k < 300)) for k in range(6000)]
+    model = T.learn(spark.createDataFrame(rows, "id long, text string, label int"))
+    assert {"zorgblat", "common"} <= set(model.terms) and model.severity("you zorgblat")[0] == 1.0
+
+
+def test_automaton_begins_again(monkeypatch):
+    monkeypatch.setattr(T, "STATES_KEPT", 3)
+    a, b = T.LexiconAutomaton(["pathetic", "idiot"]), T.LexiconAutomaton(["pathetic", "idiot"])
+    b_match = [b.match(w) for w in ("pathetic", "pathetik", "idio", "dog")]
+    assert [a.match(w) for w in ("pathetic", "pathetik", "idio", "dog")] == b_match == [(0, "pathetic"), (1, "pathetic"), (1, "idiot"), None]
+
+
 # ---------------------------------------------------------------- language
 
 
@@ -119,6 +170,25 @@ def test_language_of_odd_rows(odd, docs):
     assert {r.doc_id for r in G.keep_identified(docs.limit(50)).collect()} <= {r.doc_id for r in docs.collect()}
 
 
+def test_distances_against_counting():
+    """The nearest language by distances that are summed gram by gram."""
+    texts = {"a": "the cat and the dog ran over the hill and the house", "b": "der hund und die katze und das haus auf dem berg", "c": "le chat et le chien sur la colline et la maison"}
+    profiles = {k: G.ranked(t, 30).tolist() for k, t in texts.items()}
+    matcher = G.Matcher(profiles, 30)
+    for text in ["the hound and the hills", "und der berg", "la maison et le chat", "xyz", *texts.values()]:
+        own = G.ranked(text).tolist()
+        far = {k: sum(abs(p.index(g) - at) if g in p else 30 for at, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert matcher.best(text) == (best, pytest.approx(max(0.0, 1 - far[best] / (30 * len(own)))))
+
+
+def test_a_rare_language_is_learned(spark, docs):
+    rare = [(10**7 + k, "zzaq qqoz uuvv zzaq oqzz vvuz", "zz") for k in range(9)]
+    many = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    got = G.identify_languages(many, rows=40).where("doc_id >= 10000000").select("lang_pred").distinct().collect()
+    assert [r[0] for r in got] == ["zz"]
+
+
 def test_ranks_against_counting():
     text = "abc, ABC abd!"
     grams = {}
@@ -275,3 +345,50 @@ def test_decontamination_against_containment(spark, docs):
     want = {r.doc_id for r in docs.collect() if any(x in norm(r.text) for x in items)}
     got = {r.doc_id for r in D.contaminated_documents(docs, bench).collect()}
     assert want <= got and len(got - want) <= 1
+
+
+# ---------------------------------------------------------------- quality, against plain FTRL
+
+
+def test_ftrl_against_plain_updates(spark):
+    """Weights and scores against dictionaries of single coordinates, with the averages of the shards."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "calm"] if k % 2 else ["buy", "now", "$$$"]) for _ in range(rng.randrange(1, 9))), k % 2) for k in range(40)]
+    sample = spark.createDataFrame(rows, "id long, text string, label int")
+    shards = {r.id: r.s for r in sample.select("id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("s")).collect()}
+    z, n = {}, {}
+
+    def weight(z, n, k):
+        a, b = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(a) <= Q.L1 else -(a - (1 if a > 0 else -1) * Q.L1) / ((Q.BETA + b**0.5) / Q.ALPHA + Q.L2)
+
+    def inputs(text):
+        at = Q.features(text, 1 << 12).tolist()
+        return {k: 1.0 if k == 0 else 4 / max(1, len(at) - 1) ** 0.5 for k in at}
+
+    for _ in range(2):
+        dz, dn, used = {}, {}, set()
+        for s in range(3):
+            z1, n1 = dict(z), dict(n)
+            for i, text, y in rows:
+                if shards[i] == s:
+                    used.add(s)
+                    x = inputs(text)
+                    w = {k: weight(z1, n1, k) for k in x}
+                    p = 1 / (1 + math.exp(-sum(w[k] * x[k] for k in x)))
+                    for k in x:
+                        g = (p - y) * x[k]
+                        sigma = ((n1.get(k, 0.0) + g * g) ** 0.5 - n1.get(k, 0.0) ** 0.5) / Q.ALPHA
+                        z1[k] = z1.get(k, 0.0) + g - sigma * w[k]
+                        n1[k] = n1.get(k, 0.0) + g * g
+            for k in z1:
+                dz[k] = dz.get(k, 0.0) + z1[k] - z.get(k, 0.0)
+                dn[k] = dn.get(k, 0.0) + n1[k] - n.get(k, 0.0)
+        for k in dz:
+            z[k] = z.get(k, 0.0) + dz[k] / len(used)
+            n[k] = n.get(k, 0.0) + dn[k] / len(used)
+    weights = Q.train(sample, 2, 3, 1 << 12)
+    assert {k: pytest.approx(weight(z, n, k)) for k in z if weight(z, n, k)} == {int(k): weights[k] for k in weights.nonzero()[0]}
+    for _, text, _ in rows[:5]:
+        x = inputs(text)
+        assert Q._margin(weights, Q.features(text, 1 << 12)) == pytest.approx(sum(weight(z, n, k) * v for k, v in x.items()))

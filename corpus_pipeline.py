@@ -9,9 +9,13 @@ from caseflow.llm._common import stage
 from caseflow.llm.bpe import with_tokens
 from caseflow.llm.decontaminate import remove_contaminated
 from caseflow.llm.language import keep_identified
-from caseflow.llm.pii import with_pseudonyms
+from caseflow.llm.pii import DEMO_KEY, with_pseudonyms
 from caseflow.llm.simhash import near_dedup
 
+#: Setting of the session that holds the secret key of the pseudonyms. Unset, the public demonstration key is used, whose
+#: pseudonyms anybody can invert.
+KEY_SETTING = "spark.caseflow.pseudonym.key"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
@@ -29,8 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by pseudonyms."""
-    return with_pseudonyms(docs)
+    """Texts with personal data replaced by pseudonyms, by the key in the setting KEY_SETTING."""
+    return with_pseudonyms(docs, key=spark.conf.get(KEY_SETTING, DEMO_KEY))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,28 @@ def with_text(docs: DataFrame, text_col: str, fresh, extra: dict[str, str] | Non
     coded = plain.select(*[f"_{k}" for k in kept], fresh(F.col(f"_{at}").cast("string")).alias("_fresh"))
     out = coded.select(*[F.col("_fresh.text") if k == at else F.col(f"_{k}") for k in kept], *[F.col(f"_fresh.{f}") for f in extra])
     return out.toDF(*[docs.columns[k] for k in kept], *extra.values())
+
+
+#: Bits of a membership filter: at most MARK_BITS / 8 bytes are ever broadcast, whatever the number of keys.
+MARK_BITS = 1 << 27
+
+
+def marks(keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """(bucket, bits) of a filter of fixed size over the hashes of ``keys``; combined before the shuffle."""
+    bit = _bit(key)
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def split_by_marks(df: DataFrame, key: str | list[str], filt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be in the filter (some of them aren't), and rows whose key surely isn't.
+
+    So that a join needs to shuffle the former only."""
+    place = F.bitmap_bit_position(_bit(key))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.shiftrightunsigned(byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = df.withColumn("bucket", F.bitmap_bucket_number(_bit(key))).join(F.broadcast(filt), "bucket", "left").withColumn("_hit", hit).drop("bucket", "bits")
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+
+
+def _bit(key: str | list[str]):
+    return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(MARK_BITS)) + 1

@@ -8,36 +8,47 @@ the key's holder can invert it. Pseudonyms depend on the value alone: no table o
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import hmac
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import need, small_batches
+from ._common import need, small_batches, with_text
 
 ROUNDS = 8
-#: The key is a parameter of every call; this one is for tests and demonstrations only.
+#: The key is a parameter of every call and has no default; this public one is for tests and demonstrations only.
 DEMO_KEY = "demonstration key"
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Names of the months in English, Spanish and French; no name is in two of them.
+MONTHS = (
+    ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+    ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+)
+_MONTH = "|".join(name for names in MONTHS for name in names)
 
 _PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?<![\w])(?=[A-Za-z]*\d)(?=\d*[A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA|xox[bp])[-_]?[A-Za-z0-9]{16,64})(?![\w])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+    "worddate": rf"(?<![\w.])(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:de )?(?:{_MONTH}) (?:de )?\d{{4}})(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 _MAYBE = re.compile(r"[0-9@]").search
+_MONTH_NAME = re.compile(_MONTH)
 
 
 class Feistel:
@@ -88,6 +99,16 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """Days of the calendar after a month's twelfth."""
+    return [d for d in range(_FIRST_DAY, _LAST_DAY + 1) if dt.date.fromordinal(d).day > 12]
+
+
+def _valid_ssn(own: str) -> bool:
+    return own[:3] not in ("000", "666") and own[0] != "9" and own[3:5] != "00" and own[5:] != "0000"
+
+
 def _refill(shape: str, fresh: str) -> str:
     """``shape`` with its letters and digits replaced, in order, by those of ``fresh``."""
     it = iter(fresh)
@@ -97,7 +118,7 @@ def _refill(shape: str, fresh: str) -> str:
 class Pseudonyms:
     """Pseudonyms of the values of one key."""
 
-    def __init__(self, key: str = DEMO_KEY, rounds: int = ROUNDS) -> None:
+    def __init__(self, key: str, rounds: int = ROUNDS) -> None:
         self.feistel = Feistel(key, rounds)
         self.kept: dict[tuple[str, str], str] = {}
 
@@ -123,14 +144,47 @@ class Pseudonyms:
         return f"{x:0{len(text)}x}" if text == text.lower() else f"{x:0{len(text)}X}"
 
     def _date(self, text: str, back: bool) -> str | None:
-        form = "%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[2]}%Y"
+        """Another day in the same form; a day that doesn't exist, or is out of the calendar's range, is none."""
+        forms = ["%Y-%m-%d"] if text[4] == "-" else [f"%d{text[2]}%m{text[2]}%Y", f"%m{text[2]}%d{text[2]}%Y"]
+        for k, form in enumerate(forms):
+            try:
+                day = dt.datetime.strptime(text, form).date()  # noqa: DTZ007
+            except ValueError:
+                continue
+            if not _FIRST_DAY <= day.toordinal() <= _LAST_DAY:
+                return None
+            days = _late_days() if k else range(_FIRST_DAY, _LAST_DAY + 1)  # month first: days over 12, so it stays plain that it is
+            return dt.date.fromordinal(days[self.feistel.permute(f"date{k}", bisect.bisect_left(days, day.toordinal()), len(days), back)]).strftime(form)
+        return None
+
+    def _word_date(self, text: str, back: bool) -> str | None:
+        """A date with its month in words, in the same language and order."""
+        name = _MONTH_NAME.search(text).group()
+        names = next(x for x in MONTHS if name in x)
+        first, year = re.findall(r"\d+", text)
         try:
-            day = dt.datetime.strptime(text, form).date().toordinal()  # noqa: DTZ007
+            day = dt.date(int(year), names.index(name) + 1, int(first)).toordinal()
         except ValueError:
             return None
-        if not _FIRST_DAY <= day <= _LAST_DAY:
+        if not _FIRST_DAY <= day <= _LAST_DAY or first.startswith("0"):
             return None
-        return dt.date.fromordinal(_FIRST_DAY + self.feistel.permute("date", day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, back)).strftime(form)
+        fresh = dt.date.fromordinal(_FIRST_DAY + self.feistel.permute("worddate", day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, back))
+        numbers = iter((str(fresh.day), f"{fresh.year:04d}"))
+        return re.sub(r"\d+", lambda _: next(numbers), text.replace(name, names[fresh.month - 1]))
+
+    def _ssn(self, own: str, back: bool) -> str:
+        """Valid numbers (no area 000, 666 or over 899, no group 00, no serial 0000) stay valid, others stay invalid."""
+        area, group, serial = int(own[:3]), int(own[3:5]), int(own[5:])
+        if _valid_ssn(own):
+            x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+            x = self.feistel.permute("ssn", x, 898 * 99 * 9999, back)
+            x, serial = divmod(x, 9999)
+            area, group = divmod(x, 99)
+            return f"{area + 1 + (area >= 665):03d}{group + 1:02d}{serial + 1:04d}"
+        while True:
+            own = self.digits("ssn", own, back)
+            if not _valid_ssn(own):
+                return own
 
     def value(self, kind: str, text: str, back: bool = False) -> str | None:
         """Pseudonym of one value, or None if it fails its kind's validation. ``back`` inverts it."""
@@ -143,8 +197,8 @@ class Pseudonyms:
             parts = [int(x) for x in text.split(".")]
             x = self.feistel.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32, back)
             return ".".join(map(str, x.to_bytes(4, "big")))
-        if kind == "date":
-            return self._date(text, back)
+        if kind in ("date", "worddate"):
+            return self._date(text, back) if kind == "date" else self._word_date(text, back)
         own = re.sub(r"[^A-Za-z0-9]", "", text)
         if kind == "iban":
             if not 15 <= len(own) <= 34 or iban_check(own[:2], own[4:]) != own[2:4]:
@@ -155,16 +209,15 @@ class Pseudonyms:
             code = re.match(r"\+(\d{1,3})[ .(-]", text)
             keep = code.group(1) if code else ""  # the country stays
             return _refill(text, keep + self.digits("phone", own[len(keep) :], back))
+        if kind == "ssn":
+            return _refill(text, self._ssn(own, back))
         if kind == "number" and luhn_valid(own):
             body = self.digits("luhn", own[:-1], back)
             return _refill(text, body + luhn_digit(body))
-        if kind == "number":  # not a payment card: an account number without a check digit keeps its own domain
-            x = own
-            while True:
-                x = self.digits("account", x, back)
-                if not luhn_valid(x):
-                    return _refill(text, x)
-        return _refill(text, self.digits(kind, own, back))
+        while True:  # not a payment card: an account number without a check digit keeps its own domain
+            own = self.digits("account", own, back)
+            if not luhn_valid(own):
+                return _refill(text, own)
 
     def _known(self, kind: str, text: str) -> str | None:
         found = self.kept.get((kind, text))
@@ -196,9 +249,9 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), len(spans), spans
 
 
-def pseudonym_column(docs: DataFrame, text_col: str, key: str):
-    """Column struct(text, n_values, spans) for the whole text of each row."""
-    small_batches(docs.sparkSession)
+def pseudonyms_of(spark: SparkSession, key: str):
+    """Function of a whole text's column: struct(text, n_values, spans)."""
+    small_batches(spark)
     kept: list[Pseudonyms] = []
 
     @F.pandas_udf("text string, n_values int, spans array<struct<kind:string,start:int,end:int>>")
@@ -208,22 +261,20 @@ def pseudonym_column(docs: DataFrame, text_col: str, key: str):
         rows = [kept[0].replace(t) for t in texts]
         return pd.DataFrame({"text": [r[0] for r in rows], "n_values": [r[1] for r in rows], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in r[2]] for r in rows]})
 
-    return mask(F.col(f"`{text_col}`").cast("string"))
+    return mask
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_values, spans) per row of ``docs``. A null text stays null; repeated rows stay repeated.
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, n_values, spans) per row of ``docs``. A null text stays null; a text of any length is read whole;
+    repeated rows stay repeated; extra columns are left behind; an empty table gives an empty result.
 
-    Numbers and dates that fail validation (a day that doesn't exist, an IBAN with wrong check digits) stay.
+    Dates that don't exist, IBANs with wrong check digits, names, addresses and the domains of e-mail addresses stay.
     """
-    found = need(docs, id_col, text_col)
-    found = found.select(F.col(f"`{id_col}`"), pseudonym_column(found, text_col, key).alias("_p"))
-    return found.select(f"`{id_col}`", F.col("_p.text").alias(text_col), "_p.n_values", "_p.spans")
-
-
-def with_pseudonyms(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text pseudonymised; all other columns stay."""
-    masked = docs.withColumn("_pseudonyms", pseudonym_column(docs, text_col, key))
-    return masked.select(*[F.col("_pseudonyms.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    mask = pseudonyms_of(docs.sparkSession, key)
+    found = need(docs, id_col, text_col).toDF("id", "text").select("id", mask(F.col("text").cast("string")).alias("p"))
+    return found.select(F.col("id").alias(id_col), F.col("p.text").alias(text_col), "p.n_values", "p.spans")
 
 
+def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with its text pseudonymised; all other columns stay, whatever their names."""
+    return with_text(docs, text_col, pseudonyms_of(docs.sparkSession, key))

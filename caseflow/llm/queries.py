@@ -9,7 +9,7 @@ from .ann import nearest
 from .bpe import digest_tokens
 from .decontaminate import contaminated_documents
 from .language import identify_languages
-from .pii import pseudonymise
+from .pii import DEMO_KEY, pseudonymise
 from .quality import score_quality
 from .simhash import simhash_components
 from .spans import remove_repeats
@@ -40,7 +40,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonymise(_table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def test_ranks_against_counting():
 
 @pytest.mark.parametrize(
     ("kind", "value"),
-    [("email", "Jo.12@mail3.example.com"), ("number", "4111 1111 1111 1111"), ("number", "4845168114407329"), ("ip", "97.51.17.173"), ("date", "2024-02-29"), ("date", "31/12/1999"), ("phone", "+1 (017) 555-7713"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")],
+    [("email", "Jo.12@mail3.example.com"), ("number", "4111 1111 1111 1111"), ("number", "4845168114407329"), ("ip", "97.51.17.173"), ("date", "2024-02-29"), ("date", "31/12/1999"), ("phone", "+1 (017) 555-7713"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("ssn", "987-65-4321"), ("date", "12/25/1980"), ("phone", "555.123.4567"), ("worddate", "March 5, 1980"), ("worddate", "5 de marzo de 1980"), ("worddate", "29 février 2024")],
 )
 def test_pseudonyms_keep_format_and_invert(kind, value):
     p = pii.Pseudonyms("key")
@@ -218,6 +218,8 @@ def test_pseudonyms_keep_format_and_invert(kind, value):
     if kind == "iban":
         own = fresh.replace(" ", "")
         assert pii.iban_check(own[:2], own[4:]) == own[2:4]
+    if kind == "ssn":
+        assert pii._valid_ssn(fresh.replace("-", "")) == pii._valid_ssn(value.replace("-", ""))
     if kind == "number":
         digits = fresh.replace(" ", "")
         assert pii.luhn_valid(digits) == pii.luhn_valid(value.replace(" ", ""))
@@ -230,12 +232,18 @@ def test_feistel_is_a_permutation():
 
 
 def test_pii_rows(spark, odd):
+    forms = "born 12/25/1980 or March 5, 1980, call 555.123.4567, 30 February 1980 and 13/13/2000 stay"
+    masked, n, spans = pii.Pseudonyms("k").replace(forms)
+    assert n == 3 and [k for k, _, _ in spans] == ["date", "worddate", "phone"] and masked.endswith("30 February 1980 and 13/13/2000 stay")
     df = spark.createDataFrame([(1, "mail jo.1@x.example or 2024-13-45 now"), (2, "again jo.1@x.example!"), (3, "nothing")], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     one, two = ([r.text[s.start : s.end] for s in r.spans] for r in (got[1], got[2]))
     assert one == two and "jo.1@" not in got[1].text and "2024-13-45" in got[1].text and got[3].text == "nothing"
-    assert {(r.doc_id, r.text) for r in pii.pseudonymise(odd).collect()} == {(i, t) for i, t in ODD}
-    assert pii.with_pseudonyms(odd).columns == odd.columns and pii.pseudonymise(odd.limit(0)).count() == 0
+    assert {(r.doc_id, r.text) for r in pii.pseudonymise(odd, "k").collect()} == {(i, t) for i, t in ODD}
+    clash = odd.select("doc_id", "text", "lang").toDF("_pseudonyms", "text", "TEXT")
+    kept = pii.with_pseudonyms(clash, "k")
+    assert kept.columns == clash.columns and {(r[0], r[1], r[2]) for r in kept.collect()} == {(i, t, "en") for i, t in ODD}
+    assert pii.pseudonymise(odd.limit(0), "k").count() == 0
 
 
 # ---------------------------------------------------------------- spans

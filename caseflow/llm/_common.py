@@ -145,7 +145,7 @@ def split_by_marks(df: DataFrame, key: str | list[str], filt: DataFrame) -> tupl
     So that a join needs to shuffle the former only."""
     place = F.bitmap_bit_position(_bit(key))
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.shiftrightunsigned(byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    hit = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     marked = df.withColumn("bucket", F.bitmap_bucket_number(_bit(key))).join(F.broadcast(filt), "bucket", "left").withColumn("_hit", hit).drop("bucket", "bits")
     return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
 

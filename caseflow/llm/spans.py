@@ -5,7 +5,8 @@ in a row (ends of sentences come before other words). These cuts depend on the w
 wherever it stands, from its STEP-th word to its STEP-th last at least. From every cut the shortest run that holds
 ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words, is hashed: any passage of LONG + 3 * STEP words holds
 one. Hashes are joined over all documents, and pieces that lie in a repeated run which isn't the run's first
-occurrence (smallest id, then earliest place) are removed.
+occurrence (smallest id, then earliest place) are removed. Every row is a document of its own: rows that share an id are
+told apart by their texts, and of equal rows the first one is their only first occurrence.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_counted, need, small_batches, stage
+from ._common import join_counted, marks, need, small_batches, split_by_marks, stage, type_of
 
 SENTENCES, WORDS, LONG, STEP = 3, 12, 20, 10
 #: Characters of scripts without spaces: each is a word.
@@ -112,72 +113,105 @@ def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
             yield k, last + 1 - k, xxhash.xxh3_128_digest(raw[8 * begin : 8 * end])
 
 
-def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, size, h, l, again): every span; ``again`` if the same document holds it before. Null ids have none.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return need(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string"))
+
+
+def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``rows(id, text)`` without null ids, each with its ``key``; keys that several equal rows have, with their number).
+
+    The key is the id if no id is repeated, or else the id and a hash of the text. Without repeats there is no second frame.
+    """
+    rows = rows.where("id is not null")
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.withColumn("key", F.col("id")), None
+    rows = rows.withColumn("key", F.struct("id", F.xxhash64("text").alias("t")))
+    return rows, stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "equal")
+
+
+def span_table(rows: DataFrame) -> DataFrame:
+    """(key, first, size, h, l, again) of every span of ``rows(key, text)``; ``again`` if the same row holds it before.
 
     Of a hash 96 bits are kept, which is enough for 10^12 spans. Rows that are ``again`` and overlap are one row.
     """
-    small_batches(docs.sparkSession)
+    small_batches(rows.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, first, size, marks, again = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own, first, size, hashes, again = [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 seen = set()
                 for at, n, mark in spans(t):
                     repeat = mark in seen
-                    if repeat and again and again[-1] and ids[-1] == i and first[-1] <= at <= first[-1] + size[-1]:
+                    if repeat and again and again[-1] and own[-1] == i and first[-1] <= at <= first[-1] + size[-1]:
                         size[-1] = max(size[-1], at + n - first[-1])
                         continue
-                    ids.append(i)
+                    own.append(i)
                     first.append(at)
                     size.append(n)
-                    marks.append(mark)
+                    hashes.append(mark)
                     again.append(repeat)
                     seen.add(mark)
-            halves = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1].astype(np.int32)), pa.array(again, pa.bool_())], names=["id", "first", "size", "h", "l", "again"])
+            halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1].astype(np.int32)), pa.array(again, pa.bool_())], names=["key", "first", "size", "h", "l", "again"])
 
-    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(cut, "id long, first int, size int, h long, l int, again boolean")
+    return rows.select("key", "text").mapInArrow(cut, f"key {type_of(rows, 'key')}, first int, size int, h long, l int, again boolean")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, size) of every span that isn't its content's first occurrence."""
-    table = stage(span_table(docs, id_col, text_col), "spans")
-    once = table.where("not again").select("id", "first", "size", "h", "l")
-    groups = once.groupBy("h", "l").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"))
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(key, first, size) of every span of ``rows(key, text)`` that isn't its content's first occurrence."""
+    table = stage(span_table(rows), "spans")
+    once = table.where("not again").select("key", "first", "size", "h", "l")
+    groups = once.groupBy("h", "l").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count("*").alias("n"))
     groups = stage(groups.where("owner < last").select("h", "l", "owner", "n"), "repeats")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    copies = join_counted(once, groups, ["h", "l"], "n", total).where("id <> owner").select("id", "first", "size")
-    return copies.unionByName(table.where("again").select("id", "first", "size"))
+    copies = join_counted(once, groups, ["h", "l"], "n", total).where("key <> owner").select("key", "first", "size")
+    return copies.unionByName(table.where("again").select("key", "first", "size"))
+
+
+def without(text: str, cuts: Iterator[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text without the pieces of ``cuts``, number of these pieces, of characters)."""
+    pieces = sentences(text)
+    gone = np.zeros(len(pieces) + 1, np.int64)
+    for first, size in cuts:
+        if first < len(pieces):
+            gone[first] += 1
+            gone[min(len(pieces), first + size)] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    kept = "".join(p for (p, _), g in zip(pieces, gone, strict=True) if not g)
+    return kept, int(gone.sum()), len(text) - len(kept)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_removed, chars_removed): texts without the pieces that a non-first repeated span covers.
 
-    Rows of one id count as one document (their repeats are within it). Rows with a null id or text stay as they are.
+    Rows of one id with different texts are documents of their own, in the order of a hash of their texts; of equal rows
+    all but one lose every span. Rows with a null id or text stay as they are. A text of any length is read whole. Extra
+    columns are left behind. An empty table gives an empty result. Only texts that may lose something are shuffled.
     """
-    ranges = repeated_spans(docs, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("first", "size")).alias("cut"))
-    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    given = _rows(docs, id_col, text_col)
+    rows, equal = keyed(given)
+    ranges = stage(repeated_spans(rows).groupBy("key").agg(F.collect_set(F.struct("first", "size")).alias("cut")), "cuts")
 
     @F.pandas_udf("text string, n_removed int, chars_removed long")
     def clean(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, cut in zip(texts, cuts, strict=True):
-            if cut is None or text is None or not len(cut):
-                out.append((text, 0, 0))
-                continue
-            pieces = sentences(text)
-            gone = np.zeros(len(pieces) + 1, np.int64)
-            for c in cut:
-                if c["first"] < len(pieces):
-                    gone[c["first"]] += 1
-                    gone[min(len(pieces), c["first"] + c["size"])] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            kept = "".join(p for (p, _), g in zip(pieces, gone, strict=True) if not g)
-            out.append((kept, int(gone.sum()), len(text) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n_removed", "chars_removed"])
-
-    joined = rows.join(ranges.hint("shuffle_hash"), "id", "left").select("id", clean("text", "cut").alias("_c"))
-    return joined.select(F.col("id").alias(id_col), F.col("_c.text").alias(text_col), "_c.n_removed", "_c.chars_removed")
+        found = [(t, 0, 0) if c is None or t is None or not len(c) else without(t, ((x["first"], x["size"]) for x in c)) for t, c in zip(texts, cuts, strict=True)]
+        return pd.DataFrame(found, columns=["text", "n_removed", "chars_removed"])
+
+    @F.pandas_udf("text string, n_removed int, chars_removed long")
+    def clean_copy(texts: pd.Series) -> pd.DataFrame:
+        found = [(None, 0, 0) if t is None else without(t, ((first, size) for first, size, _ in spans(t))) for t in texts]
+        return pd.DataFrame(found, columns=["text", "n_removed", "chars_removed"])
+
+    if equal is not None:
+        some, rest = split_by_marks(rows, "key", marks(equal, "key"))
+        counted = some.groupBy("key").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("n"))
+        counted = stage(counted, "equal")  # equal rows are combined before the shuffle
+        rows = rest.unionByName(counted.drop("n"))
+        copies = counted.where("n > 1").select("id", clean_copy("text").alias("c"), F.explode(F.sequence(F.lit(2), F.col("n")))).select("id", "c")
+    hit, rest = split_by_marks(rows, "key", marks(ranges, "key"))
+    plain = rest.select("id", "text").unionByName(given.where("id is null")).select("id", F.struct("text", F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("chars_removed")).alias("c"))
+    out = hit.join(ranges.hint("shuffle_hash"), "key", "left").select("id", clean("text", "cut").alias("c")).unionByName(plain)
+    if equal is not None:
+        out = out.unionByName(copies)
+    return out.select(F.col("id").alias(id_col), F.col("c.text").alias(text_col), "c.n_removed", "c.chars_removed")

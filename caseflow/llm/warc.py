@@ -15,20 +15,23 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, join_counted, need, small_batches, stage
+from ._common import fresh_path, join_counted, marks, need, small_batches, split_by_marks, stage
 
-#: Records in an archive file at most, so that a file fits into a reading task.
-FILE_RECORDS = 2_000
+#: Records in an archive file at most, for payloads of at most so many bytes: a file fits into a reading task. Larger
+#: payloads have files of at most FILE_BYTES, or of one record.
+FILE_RECORDS, FILE_BYTES = ((1 << 16, 2_000), (1 << 20, 128)), 1 << 27
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
-#: Bytes that are decompressed at a time.
-STEP = 1 << 16
+_BLANK = re.compile(r"[\s\x00-\x1f\x7f]")
+#: Bytes of a member that are decompressed at a time, first and at most.
+STEP, STEPS = 1 << 12, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -113,18 +116,23 @@ def salvage_records(data: bytes) -> Iterator[Record | Gap]:
 
 
 def _inflate(data: bytes, at: int, rest: bool) -> tuple[bytes, int, str]:
-    """(content, end, fault) of the member at ``at``: with a fault and ``rest``, what came out before it."""
-    d, out, place = zlib.decompressobj(31), [], at
+    """(content, end, fault) of the member at ``at``: with a fault and ``rest``, what came out before it.
+
+    Steps grow with the member, so the bytes behind its end that a step copies are at most about as many as its own.
+    """
+    view, d, out, place, step = memoryview(data), zlib.decompressobj(31), [], at, STEP
     try:
         while not d.eof and place < len(data):
-            out.append(d.decompress(data[place : place + STEP]))
-            place += STEP
+            out.append(d.decompress(view[place : place + step]))
+            place, step = place + step, min(2 * step, STEPS)
     except zlib.error as e:
+        if not rest:
+            return b"", at, str(e)
         d = zlib.decompressobj(31)
-        out = [d.decompress(data[at:place])]
-        for k in range(place, min(place + STEP, len(data)) if rest else place):  # byte by byte
+        out = [d.decompress(view[at:place])]
+        for k in range(place, min(place + step, len(data))):  # byte by byte
             try:
-                out.append(d.decompress(data[k : k + 1]))
+                out.append(d.decompress(view[k : k + 1]))
             except zlib.error:
                 break
         return b"".join(out), at, str(e)
@@ -196,43 +204,52 @@ def compress_records(records: list[bytes]) -> bytes:
 # ------------------------------------------------------------------ writing
 
 
-def payload_digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(id, html, sha1 hex, bytes): a null payload is an empty one."""
-    rows = need(pages, id_col, payload_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("html"))
+def payload_digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
+    """(id, html, url, sha1 hex, bytes): a null payload is an empty one; the url is null if there is no such column."""
+    names = [id_col, payload_col, *([url_col] if url_col in pages.columns else [])]
+    rows = need(pages, *names).toDF(*["id", "html", "url"][: len(names)])
+    rows = rows.withColumns({"id": F.col("id").cast("long"), "html": F.coalesce(F.col("html").cast("string"), F.lit("")), "url": (F.col("url") if len(names) > 2 else F.lit(None)).cast("string")})
     return rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(id, html, sha1, bytes, refers_to): of equal payloads of at least ``least_bytes`` bytes the largest id responds.
+def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
+    """(id, html, url, sha1, bytes, refers_to): of equal payloads of at least ``least_bytes`` bytes the largest id responds.
 
-    Payloads are equal if their SHA-1 and size are. A null id refers to the group's largest id, if there is one.
-    Only digests are grouped, combined before the shuffle; groups that hold very many pages are joined by broadcast.
+    Payloads are equal if their SHA-1 and size are. A null id refers to the group's largest id, if there is one. Ids are
+    whole numbers. Only digests are grouped, combined before the shuffle; pages whose digest no other page has pass by
+    the join, so their payloads aren't shuffled, and groups that hold very many pages are joined by broadcast.
     """
-    rows = payload_digests(pages, id_col, payload_col).withColumn("key", F.concat_ws("-", "sha1", F.col("bytes").cast("string")))
-    groups = stage(rows.groupBy("key").agg(F.max("id").alias("last"), F.count("*").alias("n"), F.max("bytes").alias("size")), "digests")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeated = groups.where((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("key", "last", "n")
-    joined = join_counted(rows, repeated, "key", "n", total, "left")
+    rows = payload_digests(pages, id_col, payload_col, url_col).withColumn("key", F.concat_ws("-", "sha1", F.col("bytes").cast("string")))
+    groups = rows.groupBy("key").agg(F.max("id").alias("last"), F.count("*").alias("n"), F.max("bytes").alias("size"))
+    repeated = stage(groups.where((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("key", "last", "n"), "digests")
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some, rest = split_by_marks(rows, "key", marks(repeated, "key"))
+    joined = join_counted(some, repeated, "key", "n", total, "left").unionByName(rest, allowMissingColumns=True)
     return joined.withColumn("refers_to", F.when(F.col("id").eqNullSafe(F.col("last")), None).otherwise(F.col("last"))).drop("key", "last")
 
 
-def write_warc(plan: DataFrame, path: str, compress: bool = True, file_records: int = FILE_RECORDS) -> None:
-    """Write a record per row of ``plan`` (see :func:`plan_records`) to archives in ``path``; a gzip member for each."""
+def write_warc(plan: DataFrame, path: str, compress: bool = True, largest: int | None = None) -> None:
+    """Write a record per row of ``plan`` (see :func:`plan_records`) to archives in ``path``; a gzip member for each.
+
+    Payloads of about one size share files, so that no file is larger than a task can read; ``largest`` is the size of
+    the largest one, if it is known.
+    """
     small_batches(plan.sparkSession)
 
     @F.pandas_udf("binary")
-    def record(ids: pd.Series, html: pd.Series, sha1: pd.Series, sizes: pd.Series, refers: pd.Series) -> pd.Series:
+    def record(ids: pd.Series, html: pd.Series, urls: pd.Series, sha1: pd.Series, sizes: pd.Series, refers: pd.Series) -> pd.Series:
         out = []
-        for i, text, digest, size, ref in zip(ids, html, sha1, sizes, refers, strict=True):
+        for i, text, url, digest, size, ref in zip(ids, html, urls, sha1, sizes, refers, strict=True):
             known, revisit = not pd.isna(i), not pd.isna(ref)
             name = f"urn:page:{int(i)}" if known else "urn:page:none"
+            url = "" if pd.isna(url) else _BLANK.sub(lambda m: quote(m.group()), url)  # a header is one line
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {int(size)}\r\n\r\n"
             block = head if revisit else head + text
             lines = [
                 "WARC/1.1",
                 f"WARC-Type: {'revisit' if revisit else 'response'}",
                 f"WARC-Record-ID: <{name}>",
-                f"WARC-Target-URI: {name}",
+                f"WARC-Target-URI: {url or name}",
                 "WARC-Date: 1970-01-01T00:00:00Z",  # pages have no capture time; a constant keeps rewrites equal
                 f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
                 "Content-Type: application/http; msgtype=response",
@@ -245,19 +262,25 @@ def write_warc(plan: DataFrame, path: str, compress: bool = True, file_records:
         return pd.Series(out)
 
     html = F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit(""))
-    rows = plan.select(record("id", html, "sha1", "bytes", F.col("refers_to")).cast("string").alias("value"))
-    # the separator ends a plain record, or is the last byte of a member
-    rows.write.option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", file_records).option("compression", "none").text(path)
+    rows = plan.select("bytes", record("id", html, "url", "sha1", "bytes", F.col("refers_to")).cast("string").alias("value"))
+    limits = [0, *(most for most, _ in FILE_RECORDS)]
+    largest = (plan.agg(F.max("bytes")).first()[0] or 0) if largest is None else largest
+    counts = [n for _, n in FILE_RECORDS] + [max(1, FILE_BYTES // max(1, largest))]
+    for low, high, n in zip(limits, [*limits[1:], None], counts, strict=True):
+        if not low or largest > low:
+            part = rows.where((F.col("bytes") > low if low else F.lit(True)) & (F.col("bytes") <= high if high else F.lit(True))).select("value")
+            # the separator ends a plain record, or is the last byte of a member
+            part.write.mode("append").option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", n).option("compression", "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, end, page_id, record_type, refers_to, payload_digest, payload_bytes, payload, gap) of all archives.
+    """(file, start, end, page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload, gap) of all archives.
 
     A row is a record (gap null) or a quarantined gap (record columns null, gap the reason). A revisit's size is that
     of the HTTP header it repeats, its payload is null. Archives are read whole, one at a time in a task.
     """
     small_batches(spark)  # a row is a whole archive; a task's rows are bounded by spark.sql.files.maxPartitionBytes
-    schema = "file string, start long, `end` long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, gap string"
+    schema = "file string, start long, `end` long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, gap string"
     number = re.compile(r"<urn:page:(-?\d+)>").fullmatch
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,14 +289,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 for r in salvage(bytes(content)):
                     if isinstance(r, Gap):
-                        rows.append((file, r.start, r.end, None, None, None, None, None, None, r.reason))
+                        rows.append((file, r.start, r.end, *[None] * 7, r.reason))
                         continue
                     http, body = r.http
                     kind = r.headers.get("warc-type")
                     page, ref = (number(r.headers.get(x, "")) for x in ("warc-record-id", "warc-refers-to"))
                     size = len(body) if kind != "revisit" else int(http.get("content-length", "0"))
                     digest = r.headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((file, r.start, r.end, page and int(page[1]), kind, ref and int(ref[1]), digest, size, None if kind == "revisit" else body, None))
+                    rows.append((file, r.start, r.end, page and int(page[1]), r.headers.get("warc-target-uri"), kind, ref and int(ref[1]), digest, size, None if kind == "revisit" else body, None))
                     if len(rows) >= 500:
                         yield _frame(rows)
                         rows = []
@@ -284,17 +307,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["file", "start", "end", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "gap"])
+    out = pd.DataFrame(rows, columns=["file", "start", "end", "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "gap"])
     return out.astype({c: "Int64" for c in ("start", "end", "page_id", "refers_to", "payload_bytes")})
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Write ``pages`` to archives and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Pages of equal id and payload are both responses. An empty table gives an empty result.
+    A null payload is an empty one, a payload of any length that a row holds is written whole, pages of equal id and
+    payload are both responses, extra columns are left behind, and an empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
-    write_warc(plan_records(pages, least_bytes, id_col, payload_col), path)
+    largest = payload_digests(pages, id_col, payload_col).agg(F.coalesce(F.max("bytes"), F.lit(0))).first()[0]
+    write_warc(plan_records(pages, least_bytes, id_col, payload_col), path, largest=largest)
     back = read_warc(spark, path).where("gap is null")
     return back.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

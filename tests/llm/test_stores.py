@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import time
 
 import numpy as np
 import pytest
@@ -90,6 +91,42 @@ def test_damage_in_the_writers_own_archives(spark, tmp_path):
         assert len(got) >= len(ids) - 1 and gaps
 
 
+def test_gaps_come_out_of_spark(spark, tmp_path):
+    """A flipped byte in a written archive loses its record alone, and the reader logs it."""
+    df = spark.createDataFrame([(i, f"<p>{i}</p>" * 200, f"http://x/{i} \r\nb") for i in range(50)], "page_id long, html string, url string").coalesce(1)
+    warc.write_warc(warc.plan_records(df), f"{tmp_path}/w")
+    part = next(p for p in (tmp_path / "w").glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[data.index(b"\x1f\x8b\x08", len(data) // 2) + 40] ^= 255
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc.gz").write_bytes(data)
+    rows = warc.read_warc(spark, f"{tmp_path}/bad").collect()
+    assert len([r for r in rows if r.gap is None]) == 49 and len([r for r in rows if r.gap]) == 1
+    assert all(r.url == f"http://x/{r.page_id}%20%0D%0Ab" and r.payload == f"<p>{r.page_id}</p>".encode() * 200 for r in rows if r.gap is None)
+
+
+def test_large_payloads_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", ((100, 20), (1000, 5)))
+    monkeypatch.setattr(warc, "FILE_BYTES", 6000)
+    rows = [(i, "x" * (50 if i < 60 else 900 if i < 90 else 3000) + str(i)) for i in range(96)]
+    df = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    warc.write_warc(warc.plan_records(df), f"{tmp_path}/w")
+    per_file = [[len(r.payload) for r in warc.read_warc(spark, str(p)).collect()] for p in (tmp_path / "w").glob("part-*")]
+    assert sorted((max(x) // 1000, len(x)) for x in per_file if x) == [(0, 5)] * 6 + [(0, 20)] * 3 + [(3, 1)] * 6
+    assert sorted(n for x in per_file for n in x) == sorted(len(t) for _, t in rows)
+
+
+def test_reading_members_takes_linear_time():
+    members = [warc.compress_records([r]) for r in RECORDS] * 500
+    took = []
+    for n in (5_000, 20_000):
+        data = b"".join(members[:n])
+        began = time.process_time()
+        assert sum(1 for _ in warc.salvage(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_large_record_ends_its_member():
     data = warc._member(b"x" * (1 << 24)) + b"\0" + warc._member(b"y") + b"\0"
     assert gzip.decompress(data) == b"x" * (1 << 24) + b"y"

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ._common import need, stage
 
-#: Neighbours, queries (ids divisible by this), vectors from which the tree is fitted, children of a node.
-NEIGHBOURS, QUERY_STEP, FIT_ROWS, BRANCHING = 5, 50, 20_000, 8
-#: Vectors in a leaf on average, leaves at most; probe queries, and the recall at which widening stops.
-LEAF_ROWS, LEAVES, PROBES, RECALL = 256, 4096, 128, 0.97
+#: Neighbours, queries (ids divisible by this), children of a node.
+NEIGHBOURS, QUERY_STEP, BRANCHING = 5, 50, 8
+#: Vectors in a leaf on average, vectors in the sample for each leaf, and numbers in the sample at most: leaves grow with
+#: the vectors until the sample is full.
+LEAF_ROWS, SAMPLED, FIT_VALUES = 256, 4, 1 << 23
+#: Probe queries, and the recall at which widening stops.
+PROBES, RECALL = 128, 0.97
 #: Vectors and visits in one unit of work at most.
 BLOCK_VECTORS, BLOCK_VISITS = 20_000, 4_096
 
@@ -40,8 +43,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which loses no bit, so that their squares neither overflow nor vanish."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row pair, summed the same way for every row, so that equal vectors tie exactly."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -117,14 +126,19 @@ class KMeansTree:
         return out
 
 
-def fit(vectors: DataFrame, n: int, rows: int = FIT_ROWS) -> KMeansTree | None:
-    """Tree from at most ``rows`` vectors of ``vectors(id, v)``, chosen by a hash of the id."""
+def fit(vectors: DataFrame, n: int, values: int = FIT_VALUES) -> KMeansTree | None:
+    """Tree from a sample of ``vectors(id, v)``, ``n`` in all, chosen by a hash of the id: SAMPLED vectors for each leaf
+    that has LEAF_ROWS, as far as they hold at most ``values`` numbers."""
+    length = vectors.select(F.size("v")).first()
+    if length is None:
+        return None
+    rows = max(1, min(max(20_000, SAMPLED * (n // LEAF_ROWS)), values // length[0]))
     share = min(1.0, 1.2 * rows / max(1, n))
     chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(share * (1 << 31)))
     sample = chosen.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()["v"]
     if not len(sample):
         return None
-    return KMeansTree(_unit(_matrix(sample)), max(1, min(LEAVES, n // LEAF_ROWS, len(sample) // 4)))
+    return KMeansTree(_unit(_matrix(sample)), max(1, min(n // LEAF_ROWS, len(sample) // SAMPLED)))
 
 
 def calibrate(vectors: DataFrame, probes: DataFrame, tree: KMeansTree, k: int = NEIGHBOURS, recall: float = RECALL) -> int:
@@ -154,18 +168,29 @@ def calibrate(vectors: DataFrame, probes: DataFrame, tree: KMeansTree, k: int =
 def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, step: int = QUERY_STEP, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, by cosine; ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``step``. Rows with a null id, and vectors that are null, zero, of a
-    rare length, or hold null or non-finite components, take no part. Rows of one id act as one row. Fewer candidates
-    than ``k`` give fewer rows.
+    Queries are the rows whose id, a whole number, is divisible by ``step``. Rows with a null id, and vectors that are
+    null, zero, or hold null or non-finite components, take no part. Vectors of each length are searched by themselves:
+    there is no cosine between lengths. Rows of one id act as one row, by their nearest vectors. Fewer candidates than
+    ``k`` give fewer rows, an empty table none. Extra columns are left behind.
     """
     spark = table.sparkSession
-    rows = need(table, id_col, vector_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    rows = need(table, id_col, vector_col).toDF("id", "v").withColumns({"id": F.col("id").cast("long"), "v": F.col("v").cast("array<double>")})
     rows = rows.where("id is not null").where(usable("v"))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return spark.createDataFrame([], schema)
-    rows = stage(rows.where(F.size("v") == length["d"]), "vectors")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count_if(F.col("id") % step == 0).alias("asked")).where("asked > 0").select("d")
+    for length in sorted(r["d"] for r in lengths.collect()):
+        out = out.unionByName(_nearest(rows.where(F.size("v") == length), k, step, recall))
+    if rows.select("id").distinct().count() == rows.count():
+        return out
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # an id may have vectors of several lengths
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, k: int, step: int, recall: float) -> DataFrame:
+    """:func:`nearest` among ``rows(id, v)`` of one length."""
+    spark = rows.sparkSession
+    rows = stage(rows, "vectors")
     # of equal vectors only the k + 1 smallest ids can be anyone's neighbours; the limit is applied before the shuffle
     copies = Window.partitionBy("v").orderBy("id")
     points = stage(rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).select("id", "v").distinct(), "points")
@@ -189,12 +214,13 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         for pdf in batches:
             yield pdf.assign(leaf=[shared.value.visit(u, most, held, k + 1) for u in _unit(_matrix(pdf["v"]))])
 
-    asked = queries.mapInPandas(visits, "id long, v array<double>, leaf array<long>").select("id", "v", F.explode("leaf").alias("leaf"))
+    walks = stage(queries.mapInPandas(visits, "id long, v array<double>, leaf array<long>"), "walks")
+    asked = walks.select("id", "v", F.explode("leaf").alias("leaf"))
     # a leaf's vectors and visits form a grid of units; both counts are bounded by the number of leaves
     n_vectors = dict(homes.groupBy("leaf").agg(F.count("*")).collect())
     n_visits = dict(asked.groupBy("leaf").agg(F.count("*")).collect())
     cuts = spark.createDataFrame([(leaf, -(-n_vectors[leaf] // BLOCK_VECTORS), -(-n_visits[leaf] // BLOCK_VISITS)) for leaf in n_vectors if leaf in n_visits] or [(-1, 1, 1)], "leaf long, n_v long, n_q long")
-    cuts = F.broadcast(cuts)  # at most LEAVES rows
+    cuts = F.broadcast(cuts)  # a row for each leaf
     left = homes.join(cuts, "leaf").select("leaf", F.pmod(F.xxhash64("id"), "n_v").alias("block"), F.explode(F.expr("sequence(0L, n_q - 1)")).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
     right = asked.join(cuts, "leaf").select("leaf", F.explode(F.expr("sequence(0L, n_v - 1)")).alias("block"), F.pmod(F.xxhash64("id"), "n_q").alias("chunk"), F.lit(True).alias("asks"), "id", "v")
 

@@ -3,24 +3,26 @@
 Texts and benchmark items are cut into windows of template words. Windows are joined by hash; the values in their
 slots are compared along an alignment of document and item: a value of the item stands for itself if it is met again, or
 else for the value that it meets in most windows, and windows that hold another one don't count. So a question asked
-again with other numbers or names is found, and a chance meeting of templates with contradictory slots is not. Items
-that are short or mostly slots are compared by their exact words. A document is contaminated by an item if consistent
-windows cover at least ``COVERAGE`` of the item's windows.
+again with other numbers or names is found, and a chance meeting of templates with contradictory slots is not. A
+capitalised word that begins a sentence may be a name or not, so windows with one are joined both ways. Items that are
+short or mostly slots are compared by their exact words. A document is contaminated by an item if consistent windows
+cover at least ``COVERAGE`` of the item's windows. Items that differ in the values of their slots alone, alike wherever
+values are equal, are one class: its smallest id stands for all, so a template of many items isn't joined many times.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need, small_batches, stage
+from ._common import MARK_BITS, need, numbered, place, small_batches, stage, type_of
 
 #: Words in a window (a shorter item is one window, of exact words if under LEAST), share of an item to be covered.
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
@@ -37,8 +39,7 @@ _MARK, _CAPITAL, _PLAIN, _NUM, _MEASURE = range(5)
 
 
 def _hash(word: str) -> int:
-    raw = word.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) << 29 ^ zlib.crc32(raw, 77)) & ((1 << 60) - 1)
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 4
 
 
 class _Words(dict):
@@ -64,27 +65,60 @@ _WORDS = _Words()
 _SLOTS = np.array([_hash(_NUMBER), _hash(_NAME), _hash(_UNIT)], np.uint64)
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, template hash of each, whether each is a slot, hash of its own) of a whole text; marks of sentences are left out.
+class Template:
+    """A whole text's words without marks of sentences: their own hashes, and template hashes and slots of both readings.
 
-    A capitalised word is a name unless it begins a sentence. A unit is a slot only next to a number.
+    In the first reading a capitalised word is a name unless it begins a sentence, in the second one also there. A unit
+    is a slot only next to a number.
     """
-    tokens = _TOKEN.findall(text or "")
-    codes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
-    kind = (codes & np.uint64(7)).astype(np.int64)
-    hashes = codes >> np.uint64(3)
-    first = np.ones(len(tokens), bool)
-    first[1:] = kind[:-1] == _MARK
-    near = np.zeros(len(tokens), bool)
-    near[1:] |= kind[:-1] == _NUM
-    near[:-1] |= kind[1:] == _NUM
-    number, name, unit = kind == _NUM, (kind == _CAPITAL) & ~first, (kind == _MEASURE) & near
-    own = hashes.copy()
-    for k, at in enumerate((number, name, unit)):
-        hashes[at] = _SLOTS[k]
-    keep = kind != _MARK
-    words = tokens if keep.all() else [tokens[i] for i in np.nonzero(keep)[0].tolist()]
-    return words, hashes[keep], (number | name | unit)[keep], own[keep]
+
+    def __init__(self, text: str | None) -> None:
+        tokens = _TOKEN.findall(text or "")
+        codes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+        kind = (codes & np.uint64(7)).astype(np.int64)
+        hashes = codes >> np.uint64(3)
+        first = np.ones(len(tokens), bool)
+        first[1:] = kind[:-1] == _MARK
+        near = np.zeros(len(tokens), bool)
+        near[1:] |= kind[:-1] == _NUM
+        near[:-1] |= kind[1:] == _NUM
+        number, capital, unit = kind == _NUM, kind == _CAPITAL, (kind == _MEASURE) & near
+        keep = kind != _MARK
+        self.words = tokens if keep.all() else [tokens[i] for i in np.nonzero(keep)[0].tolist()]
+        self.own = hashes[keep]
+        self.readings = []
+        for name in (capital & ~first, capital):
+            out = hashes.copy()
+            for k, at in enumerate((number, name, unit)):
+                out[at] = _SLOTS[k]
+            self.readings.append((out[keep], (number | name | unit)[keep]))
+
+    def values(self, reading: int, at: int, size: int) -> list[str]:
+        """Values of the slots of a window."""
+        slots = self.readings[reading][1]
+        return [self.words[k].lower() for k in range(at, at + size) if slots[k]]
+
+    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each reading (hashes, places, whether by the template) of its windows; of the second reading only windows
+        by the template that the first one hasn't."""
+        n = len(self.words) - size + 1
+        if n < 1:
+            return []
+        (hashes, slots), (hashes2, slots2) = self.readings
+        h, loose = windows(hashes, slots, self.own, size)
+        out = [(h, np.arange(n), loose)]
+        extra = np.concatenate([[0], np.cumsum(slots != slots2)])
+        if extra[-1]:
+            h, loose = windows(hashes2, slots2, self.own, size)
+            at = np.nonzero(loose & (extra[size:] > extra[:-size]))[0]
+            out.append((h[at], at, loose[at]))
+        return out
+
+    def alike(self) -> str:
+        """Equal for texts of equal templates whose slots hold equal values at the same places."""
+        hashes, slots = self.readings[0]
+        _, at, place = np.unique(self.own[slots], return_index=True, return_inverse=True)
+        return xxhash.xxh3_128_hexdigest(hashes.tobytes() + b"|" + at[place].astype(np.int64).tobytes())
 
 
 def _rolled(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -113,10 +147,10 @@ def windows(hashes: np.ndarray, slots: np.ndarray, own: np.ndarray, size: int =
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, item, size, place, windows, slots): every window of every item; ``windows`` is their number in the item.
+    """(h, item, size, place, windows, slots, alike): every window of every item; ``windows`` is their number in the item.
 
     Windows by exact words count only in items that have no others. Null ids, and texts without words, have none. Equal
-    rows count once.
+    rows count once. Items of equal ``alike`` are a class.
     """
     small_batches(benchmark.sparkSession)
 
@@ -124,21 +158,56 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         for pdf in batches:
             out = []
             for i, text in zip(pdf["item"], pdf["text"], strict=True):
-                words, hashes, slots, own = template(text)
-                size = min(WINDOW, len(words))
-                if size:
-                    h, loose = windows(hashes, slots, own, size)
-                    at = np.nonzero(loose)[0] if loose.any() else np.arange(len(h))
-                    h = h[at]
-                    out += [(int(x), i, size, int(a), len(at), [words[k].lower() for k in range(a, a + size) if slots[k]]) for x, a in zip(h.view(np.int64), at, strict=True)]
-            yield pd.DataFrame(out, columns=["h", "item", "size", "place", "windows", "slots"])
-
-    rows = need(benchmark, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item is not null").distinct()
-    return rows.mapInPandas(cut, "h long, item long, size int, place int, windows int, slots array<string>")
-
-
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """(h, id, at, found): windows of the given sizes; only those whose hash is in ``wanted``, if it is given."""
+                t = Template(text)
+                size = min(WINDOW, len(t.words))
+                if not size:
+                    continue
+                found = t.windows(size)
+                exact = not any(loose.any() for _, _, loose in found)
+                rows = [(int(x), r, int(a)) for r, (h, at, loose) in enumerate(found) for x, a, f in zip(h.view(np.int64), at, loose, strict=True) if f or exact]
+                alike = xxhash.xxh3_128_hexdigest(t.own.tobytes()) if exact else t.alike()
+                n = len({a for _, _, a in rows})
+                out += [(x, i, size, a, n, t.values(r, a, size), alike) for x, r, a in rows]
+            yield pd.DataFrame(out, columns=["h", "item", "size", "place", "windows", "slots", "alike"])
+
+    rows = need(benchmark, id_col, text_col).toDF("item", "text").withColumn("text", F.col("text").cast("string")).where("item is not null").distinct()
+    return rows.mapInPandas(cut, f"h long, item {type_of(benchmark, id_col)}, size int, place int, windows int, slots array<string>, alike string")
+
+
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, stands_for): the item that stands for each item's class; items without words are in no class."""
+    items = benchmark_windows(benchmark, id_col, text_col).select("item", "alike").distinct()
+    first = items.groupBy("alike").agg(F.min("item").alias("stands_for"))
+    return items.join(first, "alike").select(F.col("item").alias(id_col), "stands_for")
+
+
+class Wanted:
+    """The hashes that are looked for: a sorted array, or the bits of a filter of fixed size, which lets others pass too."""
+
+    def __init__(self, items: DataFrame, exact: bool) -> None:
+        self.exact = exact
+        if exact:
+            self.known = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
+            return
+        bit = F.pmod("h", F.lit(MARK_BITS)) + 1
+        found = items.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+        self.known = np.zeros(MARK_BITS // 8, np.uint8)
+        for r in found.collect():  # MARK_BITS / 8 bytes in all
+            part = np.frombuffer(bytes(r.bits), np.uint8)
+            self.known[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are wanted, or may be."""
+        if self.exact:
+            if not len(self.known):
+                return np.zeros(0, np.int64)
+            return np.nonzero(self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h)[0]
+        at = h % np.uint64(MARK_BITS)
+        return np.nonzero(self.known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
+
+
+def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col: str, text_col: str) -> DataFrame:
+    """(h, id, at, found): windows of the given sizes whose hash is wanted."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -146,22 +215,18 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                words, hashes, slots, own = template(text)
+                t = Template(text)
                 for size in sizes:
-                    h, _ = windows(hashes, slots, own, size)
-                    at = np.arange(len(h))
-                    if shared.value is not None and len(h):
-                        place = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
-                        hit = shared.value[place] == h
-                        h, at = h[hit], at[hit]
-                    out += [(int(x), i, int(a), [words[k].lower() for k in range(a, a + size) if slots[k]]) for x, a in zip(h.view(np.int64), at, strict=True)]
+                    for r, (h, at, _) in enumerate(t.windows(size)):
+                        hit = shared.value.hits(h)
+                        out += [(x, i, a, t.values(r, a, size)) for x, a in zip(h[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True)]
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
                     out = []
             yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
 
-    rows = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
-    return rows.mapInPandas(cut, "h long, id long, at int, found array<string>")
+    rows = need(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string")).where("id is not null and text is not null")
+    return rows.mapInPandas(cut, f"h long, id {type_of(docs, id_col)}, at int, found array<string>")
 
 
 def consistent(places: pd.Series, slots: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -178,17 +243,19 @@ def consistent(places: pd.Series, slots: pd.Series, found: pd.Series) -> pd.Data
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(id, item, coverage, changed_slots): every document and item that contaminates it.
+    """(id, item, coverage, changed_slots): every document and class of items that contaminates it; the item is the one
+    that stands for its class (see :func:`item_classes`).
 
-    ``changed_slots`` is true if a slot's value differs from the item's: the question was asked with other values.
-    Null ids and texts match nothing; rows of one id count as one document; an empty side gives an empty result.
+    ``changed_slots`` is true if a slot's value differs from that item's: the question was asked with other values.
+    Ids are of any type that has an order. Null ids and texts match nothing; rows of one id count as one document; texts
+    of any length are read whole; extra columns are left behind; an empty side gives an empty result.
     """
-    items = stage(benchmark_windows(benchmark, item_col, item_text_col), "items")
-    n = items.count()
+    every = stage(benchmark_windows(benchmark, item_col, item_text_col), "items")
+    first = every.groupBy("alike").agg(F.min("item").alias("item"))
+    items = stage(every.join(first, ["alike", "item"], "left_semi").drop("alike"), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    small = n <= broadcast_windows
-    wanted = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
-    found = document_windows(docs, sizes if n else [], wanted, id_col, text_col)
+    small = items.count() <= broadcast_windows
+    found = document_windows(docs, sizes, Wanted(items, small), id_col, text_col)
     hits = found.join(F.broadcast(items) if small else items, "h").where("size(slots) = size(found)")
     aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "slots", "found")).alias("hits"))
     judge = F.pandas_udf(consistent, "places array<int>, changed boolean")
@@ -206,7 +273,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, coverage: floa
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` without the contaminated documents; rows with a null id stay."""
-    drop = stage(contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col(id_col).alias("_drop_id")).distinct(), "leaks")
+    """``docs`` without the contaminated documents; rows with a null id stay. Columns keep their names, whatever they are."""
+    drop = stage(contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col(id_col).alias("leak")).distinct(), "leaks")
     side = F.broadcast(drop) if drop.count() <= broadcast_ids else drop.hint("shuffle_hash")
-    return docs.join(side, docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+    plain = numbered(docs)
+    return plain.join(side, plain[f"_{place(docs, id_col)}"] == side["leak"], "left_anti").toDF(*docs.columns)

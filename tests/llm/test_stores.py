@@ -183,6 +183,10 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
+    assert ann.nearest(df.where("vec_id = 9")).count() == 0
+    two = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e200]), (50, [1e-200, 1.0, 0.0]), (51, [0.0, 2.0, 0.0]), (52, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(two).collect()}
+    assert got == {(0, 1, 1, 0.707106781), (50, 1, 51, 1.0), (50, 2, 52, 0.577350269)}
     assert ann.nearest(df.limit(0)).count() == 0
 
 

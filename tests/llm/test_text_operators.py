@@ -372,16 +372,36 @@ ITEM = "In the town of Velden a train leaves Station Alder at 60 km and meets Pe
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(7, ITEM), (8, "too short"), (9, None), (None, ITEM)], "item_id long, text string")
     changed = ITEM.replace("60", "75").replace("45", "30").replace("Peter", "Karla")
-    wrong = ITEM.replace("on the long bridge over water", "and then 60 km and 61 km more")
-    rows = [(1, f"Intro words here. {ITEM}. Tail."), (2, f"x y z. {changed}"), (3, "nothing of that kind at all in this one"), (4, ITEM[: len(ITEM) // 4]), (6, None)]
+    wrong = ITEM.replace("In the town of Velden a train leaves Station Alder at 60 km and meets Peter", "In the town of Velden a bus takes Station Alder")
+    rows = [(1, f"Intro words here. {ITEM}. Tail."), (2, f"x y z. {changed}"), (3, "nothing of that kind at all in this one"), (4, ITEM[: len(ITEM) // 4]), (6, None), (10, wrong)]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, item_id string")
     got = {r.doc_id: (r.items, r.changed_slots) for r in D.contaminated_documents(df, bench).collect()}
     assert got == {1: ([7], False), 2: ([7], True)}
     assert {r.doc_id for r in D.contaminated(df, bench, broadcast_windows=0).collect()} == {1, 2}
-    assert sorted(r.doc_id for r in D.remove_contaminated(df, bench).collect()) == [3, 4, 6]
-    assert sorted(r.doc_id for r in D.remove_contaminated(df, bench, broadcast_ids=0).collect()) == [3, 4, 6]
+    assert sorted(r.doc_id for r in D.remove_contaminated(df, bench).collect()) == [3, 4, 6, 10]
+    assert sorted(r.doc_id for r in D.remove_contaminated(df, bench, broadcast_ids=0).collect()) == [3, 4, 6, 10]
     assert D.contaminated(odd, bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
-    assert wrong
+    clash = df.toDF("doc_id", "text", "TEXT", ) if len(df.columns) == 3 else df
+    assert D.remove_contaminated(clash, bench).columns == clash.columns
+    assert {r.doc_id for r in D.contaminated(df.withColumn("doc_id", F.col("doc_id").cast("string")), bench).collect()} == {"1", "2"}
+
+
+def test_items_of_one_template_are_one_class(spark):
+    ask = "What is the sum of {} and {} if you also add {} to it in the end"
+    rows = [(k, ask.format(k, k + 1, k)) for k in range(5, 60)] + [(99, ask.format(3, 3, 3)), (100, "an entirely different question that nobody will ever ask you")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    classes = {r.item_id: r.stands_for for r in D.item_classes(bench).collect()}
+    assert classes == {**dict.fromkeys(range(5, 60), 5), 99: 99, 100: 100}
+    df = spark.createDataFrame([(1, ask.format(700, 800, 700)), (2, ask.format(8, 8, 8)), (3, "What is that")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()} == {(1, 5), (2, 5), (2, 99)}
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(df, bench, broadcast_windows=0).collect()} == {(1, 5), (2, 5), (2, 99)}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Anna has some red apples. Anna gives three of them away. Anna eats what is left. Bella watches her all day"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, item.replace("Anna", "Karla").replace("Bella", "Dora")), (2, item.lower()), (3, "so " + item)], "doc_id long, text string")
+    assert {r.doc_id: r.changed_slots for r in D.contaminated_documents(df, bench).collect()} == {1: True, 2: False, 3: False}
 
 
 def test_contradictory_slots_dont_match(spark):

@@ -51,3 +51,23 @@ def cascade_classify(df: DataFrame, stages: list[tuple[str, Column, Column]], de
     for name, gate, label in stages:
         df = df.withColumn(name, F.when(F.coalesce(gate, F.lit(False)), F.coalesce(label, F.lit("ERROR"))).otherwise(default))
     return df
+
+
+def row_label_udf(df: DataFrame, label: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], schema: str, name: str = "labels") -> DataFrame:
+    """``df`` with a struct column that a caller's function of whole Arrow batches gives, row for row, from ``columns``.
+
+    The seam for rules that built-in expressions can't state; where they can, they are faster."""
+
+    @F.pandas_udf(schema)
+    def rows(batch: pd.DataFrame) -> pd.DataFrame:
+        return label(batch).reset_index(drop=True)
+
+    return df.withColumn(name, rows(F.struct(*columns)))
+
+
+def group_collapse(df: DataFrame, by: list[str], columns: dict[str, Column] | None = None, collapse: Callable[[pd.DataFrame], dict] | None = None, schema: str = "") -> DataFrame:
+    """One row per group: by aggregate columns, or else by a caller's function of the group's rows, which must then be
+    few enough for a task."""
+    if columns is not None:
+        return df.groupBy(*by).agg(*[c.alias(n) for n, c in columns.items()])
+    return df.groupBy(*by).applyInPandas(lambda key, rows: pd.DataFrame([{**dict(zip(by, key, strict=True)), **collapse(rows)}]), schema)

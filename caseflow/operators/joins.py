@@ -16,6 +16,62 @@ def join_methods_inner(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
     return a.join(b, keys, "inner")
 
 
+def matched_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (n_a, n_b, matched): rows of either method, and pairs that their keys match."""
+    one = a.groupBy(*keys).agg(F.count("*").alias("_a"))
+    two = b.groupBy(*keys).agg(F.count("*").alias("_b"))
+    both = one.join(two, keys, "full_outer").select(F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"))
+    return both.agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.sum(F.col("_a") * F.col("_b")).alias("matched"))
+
+
+def join_left_reference(df: DataFrame, reference: DataFrame | None, keys: list[str], columns: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """``columns`` of a reference attached by whichever of ``keys`` both sides have; old columns of these names go.
+
+    ``renamed`` maps the reference's names first. Columns that the reference lacks, and all of them without a reference
+    or a common key, are empty text; rows without a match have nulls.
+    """
+    out = df.drop(*columns)
+    if reference is not None:
+        reference = reference.withColumnsRenamed(renamed or {})
+        common = [k for k in keys if k in out.columns and k in reference.columns]
+        if common:
+            out = out.join(reference.select(*common, *[c for c in columns if c in reference.columns]), common, "left")
+    return out.withColumns({c: F.lit("") for c in columns if c not in out.columns})
+
+
+def plane_fallback(rows: DataFrame, lookup_table: DataFrame, keys: list[str], plane: str, computed: Column, unknown: str = "unknown") -> DataFrame:
+    """``plane`` from the look-up table unless it is unknown or absent there, else as computed, else unknown."""
+    table = lookup_table.select(*keys, F.trim(plane).alias("_p"))
+    known = F.when(~F.col("_p").isin("", unknown), F.col("_p"))
+    return rows.join(table, keys, "left").withColumn(plane, F.coalesce(known, computed, F.lit(unknown))).drop("_p")
+
+
+def merge_clinical_fields(rows: DataFrame, record: DataFrame, case_id: str, subject: str, columns: list[str]) -> DataFrame:
+    """Clinical columns by subject, which is the case id before its first ``/``; cases without a record have nulls."""
+    keyed = rows.withColumn("_subject", F.split_part(F.col(case_id).cast("string"), F.lit("/"), F.lit(1)))
+    fields = record.select(F.col(subject).cast("string").alias("_subject"), *columns)
+    return keyed.join(first_per_key(fields, ["_subject"], columns), "_subject", "left").drop("_subject")
+
+
+def exemplar_validate(exemplars: DataFrame, options: list[str], label: str = "label", path: str = "path", base: str = "") -> DataFrame:
+    """Exemplars with labels in the options' spelling and paths under ``base`` unless they are absolute.
+
+    Fails, when it runs, on a label that isn't an option and on an exemplar without a path.
+    """
+    given = F.trim(F.coalesce(F.col(label).cast("string"), F.lit("")))
+    spelled = F.element_at(F.create_map(*[x for o in options for x in (F.lit(o.lower()), F.lit(o))]), F.lower(given))
+    file = F.trim(F.coalesce(F.col(path), F.lit("")))
+    full = F.when(file.startswith("/"), file).otherwise(F.concat(F.lit(f"{base.rstrip('/')}/"), file)) if base else file
+    fail = lambda what, c: F.raise_error(F.concat(F.lit(what), c))
+    checked = F.when(file == "", fail("exemplar without a path, label ", given)).otherwise(F.coalesce(spelled, fail(f"not in {options}: ", given)))
+    return exemplars.withColumns({label: checked, path: full})
+
+
+def held_out_paths(exemplars: DataFrame, path: str = "path") -> DataFrame:
+    """Paths of validated exemplars, once each: what a run must leave out."""
+    return exemplars.select(path).distinct()
+
+
 def join_left_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that fails, when it runs, if a key occurs twice on either side."""
     once = [d.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))) for d in (a, b)]
@@ -88,9 +144,20 @@ def fill_from_manual(a: DataFrame, manual: DataFrame, key: str, value: str, text
 def nearest_date_join(rows: DataFrame, sessions: DataFrame, subject: str, row_id: str, row_date: str, session: str, session_date: str, counts: list[str]) -> DataFrame:
     """Each session goes to its subject's row of the nearest date; ties, and sessions without a date, to the first
     row. Counts add up; the last session's name in order is kept. Rows without sessions have null counts."""
-    pairs = sessions.select(F.col(subject), session, F.col(session_date).alias("_sd"), *counts).join(rows.select(subject, row_id, F.col(row_date).alias("_rd")), subject)
-    gap = F.abs(F.datediff("_sd", "_rd"))
-    best = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(subject, session).orderBy(gap.asc_nulls_last(), row_id))).where("_rn = 1")
+    date = F.col("_date")
+    dated = rows.where(F.col(row_date).isNotNull()).groupBy(subject, F.col(row_date).alias("_date")).agg(F.min(row_id).alias("_id"))
+    first = rows.groupBy(subject).agg(F.min(row_id).alias("_first"))
+    # rows and sessions of a subject in one order: the nearest rows are the last before and the first after a session
+    asked = sessions.select(subject, F.col(session_date).alias("_date"), F.lit(None).cast(rows.schema[row_id].dataType).alias("_id"), F.lit(1).alias("_asks"), session, *counts)
+    line = asked.unionByName(dated.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(subject).orderBy("_date", "_asks")
+    place = F.when(F.col("_asks") == 0, F.struct(date, "_id"))
+    line = line.withColumn("_before", F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("_after", F.first(place, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_asks = 1")
+    near = F.array_compact(F.array(*[F.when(date.isNotNull() & F.col(c).isNotNull(), F.struct(F.abs(F.datediff(date, F.col(c)["_date"])).alias("gap"), F.col(c)["_id"].alias("id"))) for c in ("_before", "_after")]))
+    found = line.join(first, subject).withColumn("_near", F.array_min(near))
+    best = found.select(subject, session, *counts, F.coalesce(F.col("_near")["id"], F.col("_first")).alias(row_id), F.col("_near")["gap"].alias("_gap"))
+    best = first_per_key(best, [subject, session], [F.col("_gap").asc_nulls_last(), row_id])
     hits = best.groupBy(row_id).agg(*[F.sum(c).alias(c) for c in counts], F.max(session).alias(session))
     return rows.join(hits, row_id, "left")
 
@@ -104,8 +171,15 @@ def reconcile(record: DataFrame, disk: DataFrame, key: str, recorded: str, found
 
 
 def resolve_requirements(cases: DataFrame, needs: DataFrame, available: DataFrame, case: str, on: list[str], value: str) -> DataFrame:
-    """Every case with every requirement (a small, broadcast table) and what is available for it, or null."""
-    wanted = cases.select(case).distinct().crossJoin(F.broadcast(needs))
+    """Every case with every requirement and what is available for it, or null.
+
+    Requirements are a configuration: they become an array of literals, which fails on more than a thousand of them."""
+    given = [r.asDict() for r in needs.select(*on).distinct().limit(1001).collect()]
+    if len(given) > 1000:
+        raise ValueError("more than 1000 requirements")
+    types = {f.name: f.dataType for f in needs.schema.fields}
+    every = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in on]) for r in given])
+    wanted = cases.select(case).distinct().withColumn("_need", F.explode(every)).select(case, "_need.*")
     return wanted.join(available.select(case, *on, value), [case, *on], "left")
 
 

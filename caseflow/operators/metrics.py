@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,57 @@ def macro_metrics(per_class: DataFrame, by: list[str] = ()) -> DataFrame:
     return per_class.groupBy(*by).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
 
 
+#: Ranges that distinct scores are cut into, so that running totals over all of them take many tasks.
+RANGES = 64
+
+
+def running_totals(h: DataFrame, score: str, counts: list[str], by: list[str] = ()) -> DataFrame:
+    """``h(by, score, counts)`` with ``_below_<count>``: the sum over the smaller scores of the group.
+
+    Scores are unique within a group. They are cut at their quantiles into RANGES, windows run within a range, and each
+    range starts with the totals of those before it, so no task holds all scores.
+    """
+    cuts = h.agg(F.percentile_approx(score, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))  # one row
+    x = h.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    totals = x.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
+    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    starts = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in counts])
+    on = [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    within = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = {f"_below_{c}": F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts}
+    return x.join(starts, on).withColumns(below).drop("_range", "_at", *[f"_s_{c}" for c in counts], *[f"_by_{c}" for c in by])
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share): interpolated percentiles, exact, without holding a group's values in one buffer."""
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    x = running_totals(h, "_v", ["_n"], by)
+    n = x.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    x = x.join(n, by) if by else x.crossJoin(F.broadcast(n))
+    at = {k: F.lit(p) * (F.col("_all") - 1) for k, p in shares.items()}
+    holds = lambda place: (F.col("_below__n") <= place) & (place < F.col("_below__n") + F.col("_n"))
+    ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"_{e}_{k}") for k, p in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))]
+    g = x.groupBy(*by).agg(*ends, F.max("_all").alias("_all"))
+    return g.select(*by, *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (at[k] - F.floor(at[k]))).alias(k) for k in shares])
+
+
 def auc_rank(df: DataFrame, positive: Column, score: str, by: list[str] = ()) -> DataFrame:
-    """ROC AUC with ties at half, null for a single class. Scores are grouped first, so the window is over distinct
-    scores and large groups combine before the shuffle."""
+    """ROC AUC with ties at half, null for a single class. Scores are grouped first, so large groups combine before the
+    shuffle, and ranks are running totals over ranges of distinct scores."""
     h = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    h = h.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
+    h = running_totals(h, "_s", ["_n"], by).withColumn("_w", F.col("_p") * (F.col("_below__n") + F.col("_n") / 2.0))
     pairs = F.sum("_p").cast("double") * F.sum("_n")
     return h.groupBy(*by).agg(F.try_divide(F.sum("_w"), F.nullif(pairs, F.lit(0.0))).alias("auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
 
 
 def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] = ()) -> DataFrame:
-    """(threshold, tpr, fpr) per distinct score, highest first."""
+    """(threshold, tpr, fpr) per distinct score: shares of both classes at the threshold or over it."""
     h = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    w, every = Window.partitionBy(*by).orderBy(F.desc("threshold")), Window.partitionBy(*by)
-    return h.select(*by, "threshold", F.try_divide(F.sum("_p").over(w).cast("double"), F.sum("_p").over(every)).alias("tpr"), F.try_divide(F.sum("_n").over(w).cast("double"), F.sum("_n").over(every)).alias("fpr"))
+    every = h.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    x = running_totals(h, "threshold", ["_p", "_n"], by)
+    x = x.join(every, list(by)) if by else x.crossJoin(F.broadcast(every))  # one row
+    rate = lambda c: F.try_divide((F.col(f"_all_{c}") - F.col(f"_below__{c}")).cast("double"), F.col(f"_all_{c}"))
+    return x.select(*by, "threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def youden_cutoff(curve: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -173,8 +211,7 @@ def group_stats(df: DataFrame, by: list[str], c: str) -> DataFrame:
 
 
 def five_number_summary(df: DataFrame, by: list[str], c: str) -> DataFrame:
-    q = F.percentile(c, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    return exact_percentiles(df, by, c, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def metric_by_group(df: DataFrame, by: list[str], c: str) -> DataFrame:
@@ -221,7 +258,7 @@ def status_rollup(df: DataFrame, subject: str, status: str, order: list[str]) ->
     """Best status of each subject (``order`` from best to worst) and whether it has several."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(status))
     g = df.where(F.col(status).isNotNull()).groupBy(subject).agg(F.min(F.when(rank > 0, rank)).alias("_r"), (F.count_distinct(status) > 1).alias("mixed"))
-    return g.select(subject, F.element_at(F.array(*[F.lit(s) for s in order]), F.col("_r").cast("int")).alias("best"), "mixed")
+    return g.select(subject, F.when(F.col("_r").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in order]), F.col("_r").cast("int"))).alias("best"), "mixed")
 
 
 def field_fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -237,35 +274,162 @@ def overlap_summary(df: DataFrame, known: DataFrame, batch: str, key: str) -> Da
     return x.groupBy(batch).agg(F.count_distinct(key).alias("total"), F.count_distinct(F.when(seen, F.col(key))).alias("known"), F.count_distinct(F.when(~seen, F.col(key))).alias("new"), F.count_if(F.col(key).isNull()).alias("no_id"))
 
 
-def pairwise_auc(df: DataFrame, label: str, scores: dict[str, str], group: str) -> DataFrame:
-    """Per class pair: AUC of the score difference, its Hanley-McNeil error with the number of groups, and a 95 % interval."""
+def pairwise_auc(df: DataFrame, label: str, scores: dict[str, str], group: str, by: list[str] = ()) -> DataFrame:
+    """Per class pair (and level of ``by``, such as a difficulty): AUC of the score difference over the rows of either
+    class, its Hanley-McNeil error with half the number of groups as size, a 95 % interval, and whether that interval is
+    over one half. Pairs of under 4 rows, or of one class, are left out."""
     names = sorted(scores)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    x = df.select(label, group, F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(scores[b]) - F.col(scores[a])).cast("double").alias("d")) for a, b in pairs])).alias("x")).select(label, group, "x.*")
+    x = df.select(label, group, *by, F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(scores[b]) - F.col(scores[a])).cast("double").alias("d")) for a, b in pairs])).alias("x")).select(label, group, *by, "x.*")
     x = x.where((F.col(label) == F.col("a")) | (F.col(label) == F.col("b")))
-    auc = auc_rank(x, F.col(label) == F.col("b"), "d", ["pair"])
-    sizes = x.groupBy("pair").agg(F.count_distinct(group).alias("groups"), F.count("*").alias("rows"))
+    keys = ["pair", *by]
+    auc = auc_rank(x, F.col(label) == F.col("b"), "d", keys)
+    sizes = x.groupBy(*keys).agg(F.count_distinct(group).alias("groups"), F.count("*").alias("rows"))
     a = F.col("auc")
     n = F.greatest(F.floor(F.col("groups") / 2), F.lit(2)).cast("double")
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
     se = F.sqrt(F.greatest(a * (1 - a) + (n - 1) * (q1 + q2 - 2 * a * a), F.lit(0.0)) / (n * n))
-    out = auc.join(sizes, "pair").where("rows >= 4").withColumn("se", se)
-    return out.select("pair", "auc", "se", F.greatest(F.lit(0.0), a - 1.96 * F.col("se")).alias("low"), F.least(F.lit(1.0), a + 1.96 * F.col("se")).alias("high"), "groups")
+    out = auc.join(sizes, keys).where("rows >= 4 and auc is not null").withColumn("se", se)
+    out = out.select(*keys, "auc", "se", F.greatest(F.lit(0.0), a - 1.96 * F.col("se")).alias("low"), F.least(F.lit(1.0), a + 1.96 * F.col("se")).alias("high"), "groups")
+    return out.withColumn("signal", F.col("low") > 0.5)
 
 
-def bootstrap_auc_ci(df: DataFrame, positive: Column, score: str, key: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """95 % percentile interval of AUC by a Poisson bootstrap whose weights come from seeded hashes."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, p, steps = F.lit(8), 0.36787944117144233, []
-    total = 0.0
-    for k in range(8):
+def poisson_steps(most: int = 8) -> list[tuple[int, int]]:
+    """(limit, k): a number under 2^32 that is under the limit, and under no earlier one, is a Poisson(1) draw of k."""
+    out, total, p = [], 0.0, math.exp(-1)
+    for k in range(most):
         total += p
-        steps.append((total, k))
+        out.append((int(total * 2**32), k))
         p /= k + 1
+    return out
+
+
+def bootstrap_auc_ci(df: DataFrame, positive: Column, score: str, key: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """95 % percentile interval of AUC by a Poisson bootstrap whose weights come from seeded hashes of key and replicate."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    steps = poisson_steps()
+    weight = F.lit(len(steps))
     for limit, k in reversed(steps):
-        weight = F.when(u < limit, F.lit(k)).otherwise(weight)
-    x = df.where(F.col(score).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", weight).where("_w > 0")
-    h = x.groupBy("replicate", F.col(score).alias("_s")).agg(F.sum(F.when(positive, F.col("_w")).otherwise(0)).alias("_p"), F.sum(F.when(positive, 0).otherwise(F.col("_w"))).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("replicate").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = h.withColumn("_x", F.col("_p") * (below + F.col("_n") / 2.0)).groupBy("replicate").agg(F.try_divide(F.sum("_x"), F.sum("_p").cast("double") * F.sum("_n")).alias("auc"))
+        weight = F.when(draw < limit, F.lit(k)).otherwise(weight)
+    x = df.where(F.col(score).isNotNull()).select(F.col(score).alias("_s"), positive.alias("_y"), key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_w", weight).where("_w > 0")
+    h = x.groupBy("replicate", "_s").agg(F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_y"), 0).otherwise(F.col("_w"))).alias("_n"))
+    h = running_totals(h, "_s", ["_n"], ["replicate"])
+    a = h.withColumn("_x", F.col("_p") * (F.col("_below__n") + F.col("_n") / 2.0)).groupBy("replicate").agg(F.try_divide(F.sum("_x"), F.nullif(F.sum("_p").cast("double") * F.sum("_n"), F.lit(0.0))).alias("auc"))
     return a.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("auc").alias("replicates"))
+
+
+def evaluate_head(df: DataFrame, truth: str, pred: str, positive: Column, score: str) -> DataFrame:
+    """One summary row: n, accuracy, macro precision, recall and f1, and AUC of the score."""
+    macro = macro_metrics(per_class_metrics(df, truth, pred))
+    auc = auc_rank(df, positive, score).select("auc")
+    return overall_accuracy(df, truth, pred).crossJoin(F.broadcast(macro)).crossJoin(F.broadcast(auc))  # a row each
+
+
+def accuracy_report(df: DataFrame, truth: str, pred: str, feature: str, images: str, failed: str = PARSE_FAILED, unknown: tuple[str, ...] = ("", "unknown")) -> DataFrame:
+    """(section, value, n, accuracy, parse_failures) over rows with a known truth: overall, by feature, and by the number
+    of images used (1, 2, 3-4 or 0; 3-4 takes all larger ones). A failed parse counts as wrong."""
+    n = F.coalesce(F.col(images).try_cast("int"), F.lit(0))
+    bucket = F.when(n == 1, "1").when(n == 2, "2").when(n >= 3, "3-4").otherwise("0")
+    rows = df.where(~F.lower(F.trim(F.coalesce(F.col(truth).cast("string"), F.lit("")))).isin(*unknown))
+    sections = F.array(*[F.struct(F.lit(k).alias("section"), v.cast("string").alias("value")) for k, v in (("overall", F.lit("")), ("feature", F.col(feature)), ("images", bucket))])
+    x = rows.select(F.coalesce(F.col(truth).cast("string") == F.col(pred).cast("string"), F.lit(False)).alias("_ok"), (F.col(pred).cast("string") == failed).alias("_bad"), F.explode(sections).alias("x"))
+    return x.groupBy("x.section", "x.value").agg(F.count("*").alias("n"), F.avg(F.col("_ok").cast("double")).alias("accuracy"), F.count_if("_bad").alias("parse_failures"))
+
+
+def experiment_rollup(df: DataFrame, experiment: str, truth: str, pred: str, classes: list[str], failed: str = PARSE_FAILED) -> DataFrame:
+    """A row per experiment over its parsed rows: n, n_unparsed, n_classes, chance, accuracy, macro_acc (mean over the
+    classes that occur), acc_<class>, and the most frequent prediction with its share, ties to the first by name."""
+    parsed = F.coalesce(F.col(pred).cast("string") != failed, F.lit(False))
+    cell = df.groupBy(experiment, F.col(truth).cast("string").alias("_t"), F.when(parsed, F.col(pred).cast("string")).alias("_p")).agg(F.count("*").alias("_n"))
+    ok, scored = F.when(F.col("_p") == F.col("_t"), F.col("_n")).otherwise(0), F.when(F.col("_p").isNotNull(), F.col("_n")).otherwise(0)
+    per = cell.groupBy(experiment, "_t").agg(F.sum(ok).alias("_ok"), F.sum(scored).alias("_s"), F.sum("_n").alias("_n"))
+    recall = F.try_divide(F.col("_ok").cast("double"), F.col("_s"))
+    one = per.groupBy(experiment).agg(
+        F.sum("_s").alias("n"), (F.sum("_n") - F.sum("_s")).alias("n_unparsed"), F.count_if(F.col("_s") > 0).alias("n_classes"), F.try_divide(F.lit(1.0), F.count_if(F.col("_s") > 0)).alias("chance"),
+        F.try_divide(F.sum("_ok").cast("double"), F.sum("_s")).alias("accuracy"), F.avg(recall).alias("macro_acc"), *[F.max(F.when(F.col("_t") == c, recall)).alias(f"acc_{c}") for c in classes],
+    )
+    top = cell.where("_p is not null").groupBy(experiment, "_p").agg(F.sum("_n").alias("_n")).groupBy(experiment)
+    top = top.agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col("_p").alias("p"))).alias("_top"), F.sum("_n").alias("_all"))
+    top = top.select(experiment, F.col("_top.p").alias("top_pred"), (-F.col("_top.k") / F.col("_all").cast("double")).alias("top_pred_frac"))
+    return one.join(top, experiment, "left")
+
+
+def backend_compare(df: DataFrame, backend: str, settings: list[str], deltas: list[str], components: str, rounder: tuple[str, float], smoother: tuple[str, float]) -> DataFrame:
+    """A row per backend: n, mean, median and 10th percentile of dice, mean iou and hd95, ``delta_<k>`` (mean of pred_k
+    less mean of gt_k), the share of fragmented predictions, ``smoothing`` (the delta of one measure over its limit, or
+    that of the other below its limit), and ``mixed`` if its rows have several settings."""
+    means = {k: F.avg(f"pred_{k}") - F.avg(f"gt_{k}") for k in deltas}
+    g = df.groupBy(backend).agg(
+        F.count("*").alias("n"), F.avg("dice").alias("dice"), F.avg("iou").alias("iou"), F.avg("hd95").alias("hd95"), *[v.alias(f"delta_{k}") for k, v in means.items()],
+        F.avg((F.coalesce(F.col(components), F.lit(0)) > 1).cast("double")).alias("fragmented"), (F.count_distinct(F.struct(*settings)) > 1).alias("mixed"),
+    )
+    g = g.join(exact_percentiles(df, [backend], "dice", {"dice_median": 0.5, "dice_p10": 0.1}), backend, "left")
+    return g.withColumn("smoothing", (F.col(f"delta_{rounder[0]}") > rounder[1]) | (F.col(f"delta_{smoother[0]}") < smoother[1]))
+
+
+def coverage_report(resolved: DataFrame, feature: str, case: str, value: str) -> DataFrame:
+    """(feature, cases, met_all, met_some, met_none) of :func:`~caseflow.operators.joins.resolve_requirements`' rows: how
+    many cases have all, some but not all, or none of a feature's requirements."""
+    per = resolved.groupBy(feature, case).agg(F.count("*").alias("_n"), F.count(value).alias("_k"))
+    k, n = F.col("_k"), F.col("_n")
+    return per.groupBy(feature).agg(F.count("*").alias("cases"), F.count_if(k == n).alias("met_all"), F.count_if((k > 0) & (k < n)).alias("met_some"), F.count_if(k == 0).alias("met_none"))
+
+
+def label_vocabulary(values: DataFrame, feature: str, value: str) -> DataFrame:
+    """(feature, options, multi_select): sorted distinct non-blank values of a JSON text column ``value`` that holds a
+    scalar or a list; a feature is multi-select if any of its values is a list."""
+    is_list = F.col(value).startswith("[")
+    rows = values.select(feature, is_list.alias("_l"), F.explode_outer(F.when(is_list, F.from_json(value, "array<string>")).otherwise(F.array(value))).alias("_v"))
+    return rows.groupBy(feature).agg(F.array_sort(F.collect_set(F.nullif(F.trim("_v"), F.lit("")))).alias("options"), F.coalesce(F.bool_or("_l"), F.lit(False)).alias("multi_select"))
+
+
+def top_labels_by_facet(df: DataFrame, label: str, subject: str, facet: str, values: list[str], k: int = 6, left_out: tuple[str, ...] = ("localizer", "unknown", "")) -> DataFrame:
+    """A row for each of the ``k`` labels of most subjects (ties by name), with the subjects for each facet value."""
+    rows = df.where(~F.lower(F.coalesce(F.col(label), F.lit(""))).isin(*left_out))
+    top = rows.groupBy(label).agg(F.count_distinct(subject).alias("subjects")).orderBy(F.desc("subjects"), label).limit(k)
+    cells = rows.join(F.broadcast(top.select(label)), label, "left_semi").groupBy(label).agg(*[F.count_distinct(F.when(F.col(facet) == v, F.col(subject))).alias(v) for v in values])
+    return top.join(cells, label)
+
+
+def kept_excluded_counts(df: DataFrame, value: str, kept: Column) -> DataFrame:
+    """(value, kept, excluded): rows of each value on either side, blanks as one empty value; a null rule excludes."""
+    ok = F.coalesce(kept, F.lit(False))
+    return df.groupBy(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("value")).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("excluded"))
+
+
+def range_overlap_check(df: DataFrame, label: str, classes: list[str], descriptors: list[str], intended: set[str], defining: set[tuple[str, str, str]] = frozenset(), tolerance: float = 1e-6) -> DataFrame:
+    """(descriptor, a, b, disjoint, shortcut) for each pair of declared classes with rows: whether the ranges don't
+    meet, by a tolerance relative to the descriptor's largest end, and whether that is a shortcut: the descriptor is
+    neither an intended one nor defines that pair. Pairs are those of the declared vocabulary."""
+    x = df.where(F.col(label).isin(*classes)).select(label, F.explode(F.array(*[F.struct(F.lit(d).alias("descriptor"), F.col(d).cast("double").alias("v")) for d in descriptors])).alias("x")).select(label, "x.*")
+    g = x.groupBy("descriptor", label).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = g.groupBy("descriptor").agg(F.map_from_entries(F.collect_list(F.struct(label, F.struct("lo", "hi")))).alias("_e"), F.max(F.greatest(F.abs("lo"), F.abs("hi"))).alias("_m"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(classes) for b in classes[i + 1 :]])
+    e = ends.select("descriptor", "_e", "_m", F.explode(pairs).alias("p")).select("descriptor", "p.*", F.element_at("_e", F.col("p.a")).alias("_x"), F.element_at("_e", F.col("p.b")).alias("_y"), (F.nullif(F.col("_m"), F.lit(0.0))).alias("_m"))
+    tol = F.coalesce("_m", F.lit(1.0)) * tolerance
+    e = e.where("_x is not null and _y is not null").withColumn("disjoint", (F.col("_x.hi") < F.col("_y.lo") - tol) | (F.col("_y.hi") < F.col("_x.lo") - tol))
+    allowed = F.col("descriptor").isin(*intended)
+    for d, a, b in defining:
+        allowed = allowed | ((F.col("descriptor") == d) & F.array_sort(F.array("a", "b")).eqNullSafe(F.array(*[F.lit(c) for c in sorted((a, b))])))
+    return e.select("descriptor", "a", "b", "disjoint", (F.col("disjoint") & ~allowed).alias("shortcut"))
+
+
+def geometry_mismatch(pairs: DataFrame, shape: tuple[str, str], affine: tuple[str, str], tolerance: float = 1e-3) -> DataFrame:
+    """``pairs`` with ``geometry``: ``shape`` if an image's and its mask's shapes differ, ``affine`` if only their affines
+    do by more than the tolerance, else ``ok``."""
+    near = F.forall(F.zip_with(affine[0], affine[1], lambda x, y: F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= tolerance, F.lit(False))), lambda ok: ok)
+    return pairs.withColumn("geometry", F.when(~F.col(shape[0]).eqNullSafe(F.col(shape[1])), "shape").when(~F.coalesce(near, F.lit(False)), "affine").otherwise("ok"))
+
+
+def reviewed_folder_flag(masks: DataFrame, folder: str, case: str, voxels: DataFrame | None = None) -> DataFrame:
+    """(folder, reviewed): whether a folder has a mask; with a table of non-zero ``voxels`` by case, one that isn't empty."""
+    if voxels is None:
+        return masks.groupBy(folder).agg((F.count(case) > 0).alias("reviewed"))
+    full = voxels.select(case).distinct().withColumn("_full", F.lit(True))
+    return masks.join(full, case, "left").groupBy(folder).agg(F.coalesce(F.bool_or("_full"), F.lit(False)).alias("reviewed"))
+
+
+def bvalue_summary(df: DataFrame, series: str, b_value: str) -> DataFrame:
+    """(series, low, high, values): extremes and number of distinct b-values; any null makes the number 0."""
+    return df.groupBy(series).agg(F.min(b_value).alias("low"), F.max(b_value).alias("high"), F.when(F.bool_or(F.col(b_value).isNull()), 0).otherwise(F.count_distinct(b_value)).alias("values"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reply import PARSE_FAILED
 from .joins import first_per_key
 
 
@@ -50,6 +52,77 @@ def exclusion_flags(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumns(flags).withColumn("excluded", reduce(lambda a, b: a | b, [F.col(n) for n in flags]))
 
 
+def filter_reviewed(df: DataFrame, mark: str, value: str = "X") -> DataFrame:
+    """Rows that carry the mark, whatever its case and the blanks around it."""
+    return df.where(F.upper(F.trim(F.col(mark))) == value.upper())
+
+
+def filter_scorable(df: DataFrame, truth: str, pred: str, failed: tuple[str, ...] = (PARSE_FAILED, "ERROR"), unknown: tuple[str, ...] = ("", "unknown")) -> DataFrame:
+    """Rows with a known truth and a prediction that didn't fail; nulls are neither."""
+    known = ~F.lower(F.trim(F.col(truth).cast("string"))).isin(*unknown)
+    return df.where(known & ~F.col(pred).cast("string").isin(*failed))
+
+
+def cascade_gate(df: DataFrame, truth: str, truths: list[str], pred: str, preds: list[str]) -> DataFrame:
+    """Rows that a second stage really sees: their truth is in one set and the first stage's prediction in another."""
+    return df.where(F.col(truth).isin(*truths) & F.col(pred).isin(*preds))
+
+
+def tri_state_flag(df: DataFrame, key: str, members: DataFrame, name: str = "flag", blank: str = "") -> DataFrame:
+    """``name``: Yes for keys among the members, No for others, ``blank`` for rows without a key (``Yes`` is a variant)."""
+    own = members.select(F.col(key).alias("_m")).where(F.col("_m").isNotNull()).distinct()
+    out = df.join(own, df[key] == own["_m"], "left")
+    missing = F.trim(F.coalesce(df[key].cast("string"), F.lit(""))) == ""
+    return out.withColumn(name, F.when(missing, blank).when(F.col("_m").isNotNull(), "Yes").otherwise("No")).drop("_m")
+
+
+def facet_filter_page(df: DataFrame, truth: str, pred: str, tab: str, facets: dict[str, str], order: list, page: int, size: int, failed: str = PARSE_FAILED) -> DataFrame:
+    """Page ``page`` (from 0) of a result tab: all, correct, wrong (parsed, but not the truth) or unparsed; ``facets``
+    are column -> value, ``?`` for a blank one. Only a page's end is sorted for: pages are limits over an offset."""
+    parsed = F.coalesce(F.col(pred) != failed, F.lit(False))
+    right = F.coalesce(F.col(pred) == F.col(truth), F.lit(False))
+    rows = df.where({"all": F.lit(True), "correct": parsed & right, "wrong": parsed & ~right, "unparsed": ~parsed}[tab])
+    for c, v in facets.items():
+        rows = rows.where(F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("?")) == v)
+    return rows.orderBy(*order).limit((page + 1) * size).offset(page * size)
+
+
+def pending_filter(df: DataFrame, combination: dict[str, str], viewed: str, pending: bool = True, second_review: bool = False, final: dict[str, str] | None = None, mark: str = "X") -> DataFrame:
+    """Rows of a combination of predicted classes (``-`` stands for any) that aren't viewed yet; with ``second_review``
+    the viewed ones whose final classes are all as in ``final``."""
+    seen = F.coalesce(F.col(viewed) == mark, F.lit(False))
+    if second_review:
+        return df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in (final or {}).items()], seen))
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in combination.items() if v != "-"], F.lit(True)))
+    return rows.where(~seen) if pending else rows
+
+
+def skip_named_scans(df: DataFrame, name: str, parts: list[str]) -> DataFrame:
+    """Rows whose name holds none of the parts, whatever the case; rows without a name stay."""
+    return df.where(~F.coalesce(F.col(name).rlike("(?i)" + "|".join(map(re.escape, parts))), F.lit(False)))
+
+
+def value_or_default(df: DataFrame, c: str, default: str, name: str | None = None) -> DataFrame:
+    """``name`` (or ``c``): the column's value, or the default where it is null or there is no such column."""
+    found = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(default)) if c in df.columns else F.lit(default)
+    return df.withColumn(name or c, found)
+
+
+def active_labels(df: DataFrame, label: str, vocabularies: dict[str, list[str]], chosen: str | None = None) -> DataFrame:
+    """(place, label, chance) of the labels that occur, in their vocabulary's order; chance is one over their number.
+
+    Without a choice it is the first vocabulary that holds all labels which occur; none is an error. What reaches the
+    driver is at most one label more than the vocabularies have.
+    """
+    most = sum(map(len, vocabularies.values())) + 1
+    present = {r[0] for r in df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct().limit(most).collect()}
+    chosen = chosen or next((k for k, names in vocabularies.items() if present <= set(names)), None)
+    names = [n for n in vocabularies.get(chosen, []) if n in present]
+    if not names:
+        raise ValueError(f"no vocabulary holds the labels {sorted(present)[:20]}")
+    return df.sparkSession.createDataFrame([(k, n, 1.0 / len(names)) for k, n in enumerate(names)], "place int, label string, chance double")
+
+
 def strided_shard(df: DataFrame, key: str, shards: int, shard: int) -> DataFrame:
     """Shard of a key by its hash: needs no order over all rows."""
     return df.where(hash_number(key, 0) % shards == shard)
@@ -61,7 +134,61 @@ def leakage_guard(df: DataFrame, exemplars: DataFrame, subject: str) -> DataFram
 
 
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return first_per_key(df, keys, order)
+    """First row of each key. Keys, which may be long texts, are compared by two hashes of 64 bits, so rows are sorted
+    by numbers; the limit of one row a key is applied before the shuffle too."""
+    hashed = df.withColumns({"_h": F.xxhash64(*keys), "_g": F.xxhash64(F.lit("dedupe"), *keys)})
+    return first_per_key(hashed, ["_h", "_g"], order).drop("_h", "_g")
+
+
+def latest_verdict(df: DataFrame, level: str, keys: dict[str, list[str]], order: list[str]) -> DataFrame:
+    """Last row of each target, whose key depends on its level: ``keys`` maps a level to the columns of its key.
+
+    Rows of other levels are left out. The result has ``target``, the key as text."""
+    parts = lambda columns: F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    target = F.coalesce(*[F.when(F.col(level) == k, F.concat(F.lit(f"{k} "), parts(columns))) for k, columns in keys.items()])
+    rows = df.withColumn("target", target).where("target is not null")
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order))
+    return rows.groupBy("target").agg(last.alias("_r")).select("target", "_r.*")
+
+
+def select_document(subjects: DataFrame, known: DataFrame, documents: DataFrame, subject: str, path: str, reviewed: str) -> DataFrame:
+    """(subject, status, chosen, n_documents, n_reviewed, note): one document of each subject.
+
+    ``known`` has the subjects that have a folder at all. A single document is taken; of several the only one that is
+    reviewed; else the first by path, of the reviewed ones if there are any, which is ambiguous.
+    """
+    g = documents.groupBy(subject).agg(F.count("*").alias("n"), F.count_if(F.col(reviewed)).alias("r"), F.min(path).alias("_any"), F.min(F.when(F.col(reviewed), F.col(path))).alias("_own"))
+    rows = subjects.select(subject).distinct().join(known.select(subject).distinct().withColumn("_k", F.lit(True)), subject, "left").join(g, subject, "left")
+    n, r = F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(0))
+    status = F.when(F.col("_k").isNull(), "subject_not_found").when(n == 0, "no_json").when(n == 1, "ok_single").when(r == 1, "ok_reviewed").otherwise("ok_ambiguous")
+    note = (
+        F.when(status == "subject_not_found", F.lit("no folder")).when(status == "no_json", F.lit("no document in any review"))
+        .when(status == "ok_reviewed", F.concat(n.cast("string"), F.lit(" documents, the reviewed one taken")))
+        .when(status == "ok_ambiguous", F.concat(F.when(r > 1, r).otherwise(n).cast("string"), F.when(r > 1, F.lit(" reviewed documents")).otherwise(F.lit(" documents, none reviewed")), F.lit(", the first by path taken")))
+        .otherwise("")
+    )
+    chosen = F.when(F.col("_k").isNotNull(), F.when(r > 0, F.when(n > 1, F.col("_own")).otherwise(F.col("_any"))).otherwise(F.col("_any")))
+    found = F.col("_k").isNotNull()
+    return rows.select(subject, status.alias("status"), chosen.alias("chosen"), F.when(found, n).otherwise(0).alias("n_documents"), F.when(found, r).otherwise(0).alias("n_reviewed"), note.alias("note"))
+
+
+def cohort_pool(labelled: DataFrame, imaged: DataFrame, excluded: DataFrame, subject: str, flags: dict[str, DataFrame]) -> DataFrame:
+    """Labelled subjects with images that aren't excluded, a boolean ``has_<name>`` for each flag's members, and
+    ``priority``, the number of flags that hold."""
+    pool = labelled.join(imaged.select(subject), subject, "left_semi").join(excluded.select(subject), subject, "left_anti")
+    for name, members in flags.items():
+        own = members.select(subject).distinct().withColumn(f"has_{name}", F.lit(True))
+        pool = pool.join(own, subject, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    return pool.withColumn("priority", reduce(lambda a, b: a + b, [F.col(f"has_{n}").cast("int") for n in flags], F.lit(0)))
+
+
+def sibling_values(df: DataFrame, group: list[str], value: str, position: str) -> DataFrame:
+    """(group, value, others): for each distinct value of a group its other values, in the order in which they are first
+    seen. Values are those of a vocabulary: their lists are short, whatever the group's rows."""
+    once = df.groupBy(*group, value).agg(F.min(position).alias("_at"))
+    run = once.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_run"))
+    values = F.transform("_run", lambda x: x[value])
+    return run.select(*group, F.explode(values).alias(value), values.alias("_all")).select(*group, value, F.array_except("_all", F.array(value)).alias("others"))
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int | Column) -> DataFrame:
@@ -95,8 +222,8 @@ def even_split_alloc(sizes: DataFrame, group: str, size: str, target: int) -> Da
 
 
 def stratified_pick(pool: DataFrame, alloc: DataFrame, group: str, order: list) -> DataFrame:
-    """The first ``alloc`` rows of each group."""
-    sized = pool.join(F.broadcast(alloc.select(group, "alloc")), group)
+    """The first ``alloc`` rows of each group; the planner broadcasts the allocation if it is small."""
+    sized = pool.join(alloc.select(group, "alloc"), group)
     return top_per_group(sized, [group], order, F.col("alloc")).drop("alloc")
 
 

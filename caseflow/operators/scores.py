@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import group_kfold
+
 
 def softmax_rows(long: DataFrame, row: str, score: str) -> DataFrame:
     """``p`` of each (row, class) from its score, stable for large scores."""
@@ -67,6 +70,28 @@ def out_of_fold(df: DataFrame, features: str, label: str, fold: str, reg: float
     return out
 
 
+def matrix_scaling(df: DataFrame, scores: list[str], label: str, group: str, folds: int = 5, reg: float = 0.1, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold`` and ``predicted``: out-of-fold multinomial logistic regression on the classes' scores, without
+    standardising, folds by group. Scores aren't features of the content: this asks what a linear map of them could do."""
+    rows = group_kfold(df, group, folds, seed).withColumn("_scores", F.array(*[F.col(c).cast("double") for c in scores]))
+    return out_of_fold(rows, "_scores", label, "fold", reg, False).drop("_scores")
+
+
+def linear_probe(df: DataFrame, features: str, label: str, group: str, folds: int = 5, reg: float = 0.1, seed: int = 0) -> DataFrame:
+    """Out-of-fold predictions of a standardised L2 logistic regression on a feature array, folds by group: for all
+    classes (``task`` is ``all``) and for each pair of them (``<a> vs <b>``, over rows of either)."""
+    rows = group_kfold(df, group, folds, seed)
+    labels = sorted(r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().collect())
+    tasks = {"all": labels, **({f"{a} vs {b}": [a, b] for i, a in enumerate(labels) for b in labels[i + 1 :]} if len(labels) > 2 else {})}
+    parts = [out_of_fold(rows.where(F.col(label).isin(*own)), features, label, "fold", reg, True).withColumn("task", F.lit(name)) for name, own in tasks.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gate_check(metrics: DataFrame, metric: str, least: float, name: str = "gate") -> DataFrame:
+    """``metrics`` with PASS where the metric is at least the threshold, else FAIL; an undefined metric fails."""
+    return metrics.withColumn(name, F.when(F.coalesce(F.col(metric) >= least, F.lit(False)), "PASS").otherwise("FAIL"))
+
+
 def separability_table(df: DataFrame, positive: Column, features: list[str]) -> DataFrame:
     """(feature, mean_pos, mean_neg, auc) of simple features, in one unpivoted pass."""
     from .metrics import auc_rank

@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import exact_percentiles
+
+#: Parts of image types, the preferred first.
+IMAGE_TYPES = ("IP", "INPHASE", "IN_PHASE", "WATER", "W", "OUT_PHASE", "OUTPHASE", "OP", "OPP_PHASE", "FAT", "F", "M")
+
 
 def mask_box(voxels: DataFrame, by: list[str], axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Tight inclusive box of the foreground."""
@@ -75,24 +80,49 @@ def mask_filter(values: DataFrame, mask: DataFrame, by: list[str], axes: list[st
 
 def normalize_intensity(values: DataFrame, by: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values clipped to two percentiles of the non-zero ones and scaled to 0..1; a flat volume becomes 0."""
-    q = values.where(F.col(value) != 0).groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    q = exact_percentiles(values.where(F.col(value) != 0), by, value, {"_lo": low, "_hi": high})
     x = (F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return values.join(q, by, "left").withColumn("scaled", F.coalesce(x, F.lit(0.0))).drop("_lo", "_hi")
 
 
 def volume_stats(values: DataFrame, by: list[str], value: str, inside: Column) -> DataFrame:
     fg = F.when(inside, F.col(value))
-    return values.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.99)).alias("p99"), F.count(fg).alias("n_fg"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std"))
+    p99 = exact_percentiles(values, by, value, {"p99": 0.99})
+    return values.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(fg).alias("n_fg"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std")).join(p99, by, "left")
+
+
+def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], width: float = 4.0) -> DataFrame:
+    """(by, d): distance from each distinct point of ``a`` to the nearest point of ``b`` in its case; cases without
+    points of ``b`` have no rows.
+
+    Points meet in a grid: a point is compared to those in its own cell and the cells around it, which proves the nearest
+    one if it is no further than a cell is wide (``width`` at first); the others go on with cells of twice the width. Never
+    all pairs.
+    """
+    here = a.select(*by, *[F.col(c).alias(f"_a{c}") for c in axes]).distinct().join(b.select(*by).distinct(), by, "left_semi").persist()
+    there = b.select(*by, *[F.col(c).alias(f"_b{c}") for c in axes]).distinct().persist()
+    squares = sum((F.col(f"_a{c}") - F.col(f"_b{c}")) * (F.col(f"_a{c}") - F.col(f"_b{c}")) for c in axes)
+    found, left = None, here
+    while True:
+        cell = lambda side, step=width: [F.floor(F.col(f"_{side}{c}") / step).alias(f"_c{c}") for c in axes]  # noqa: B023, E731
+        asked = left.select("*", *cell("a"))
+        for c in axes:
+            asked = asked.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
+        keys = [*by, *[f"_c{c}" for c in axes]]
+        own = [*by, *[f"_a{c}" for c in axes]]
+        near = asked.join(there.select("*", *cell("b")), keys, "left").groupBy(*own).agg(F.min(F.sqrt(squares.cast("double"))).alias("d")).persist()
+        proven = near.where(F.col("d") <= width)
+        found = proven.select(*by, "d") if found is None else found.unionByName(proven.select(*by, "d"))
+        left = near.where(F.col("d").isNull() | (F.col("d") > width)).drop("d")
+        if left.isEmpty():
+            return found
+        width *= 2
 
 
 def hd95(a: DataFrame, b: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
     """95th percentile of nearest distances both ways between two boundary point sets of each case."""
-    x = a.select(*by, *[F.col(c).alias(f"_a{c}") for c in axes]).distinct()
-    y = b.select(*by, *[F.col(c).alias(f"_b{c}") for c in axes]).distinct()
-    d = sum((F.col(f"_a{c}") - F.col(f"_b{c}")) * (F.col(f"_a{c}") - F.col(f"_b{c}")) for c in axes)
-    pairs = x.join(y, by).withColumn("_d", F.sqrt(d.cast("double")))
-    near = [pairs.groupBy(*by, *[f"{s}{c}" for c in axes]).agg(F.min("_d").alias("d")).select(*by, "d") for s in ("_a", "_b")]
-    return near[0].unionByName(near[1]).groupBy(*by).agg(F.percentile("d", F.lit(0.95)).alias("hd95"))
+    both = nearest_distances(a, b, by, axes).unionByName(nearest_distances(b, a, by, axes))
+    return exact_percentiles(both, by, "d", {"hd95": 0.95})
 
 
 def radial_profile(points: DataFrame, by: list[str], bins: int = 36) -> DataFrame:
@@ -133,5 +163,118 @@ def argmax_index(c) -> Column:
 
 
 def plane_of(spacing: Column) -> Column:
-    """Plane of a volume by its axis of largest spacing: sagittal, coronal or axial."""
-    return F.element_at(F.array(F.lit("sagittal"), F.lit("coronal"), F.lit("axial")), (argmax_index(spacing) + 1).cast("int"))
+    """Plane of a volume by its axis of largest spacing: sagittal, coronal or axial; null without spacings."""
+    at = argmax_index(spacing)
+    return F.when(at == 0, "sagittal").when(at == 1, "coronal").when(at == 2, "axial")
+
+
+def finest_spacing(images: DataFrame, by: list[str], spacing: str, axes: int = 3) -> DataFrame:
+    """(by, spacing): the least of each axis over the images of a group, axes one by one; absent axes are null."""
+    return images.groupBy(*by).agg(*[F.min(F.get(spacing, F.lit(k))).alias(f"_{k}") for k in range(axes)]).select(*by, F.array(*[f"_{k}" for k in range(axes)]).alias("spacing"))
+
+
+def orientation_code(acquisition: str, orientation: str) -> Column:
+    """0 for a 3D and 5 for a 4D acquisition; else by the axes of the largest row and column cosines 1 axial, 2 coronal,
+    3 sagittal, 4 any other pair; null without six cosines."""
+    row, column = (argmax_index(F.transform(F.slice(orientation, k, 3), F.abs)) for k in (1, 4))
+    code = F.when((row == 0) & (column == 1), 1).when((row == 0) & (column == 2), 2).when((row == 1) & (column == 2), 3).otherwise(4)
+    return F.when(F.col(acquisition) == "3D", 0).when(F.col(acquisition) == "4D", 5).when(F.size(orientation) == 6, code)
+
+
+def middle_slice_pick(headers: DataFrame, series: str, position: tuple[str, str, str], file: str, b_value: str, acquired: str, content: str, image_type: str) -> DataFrame:
+    """(series, file, positions, volumes): one file of each series at its middle position.
+
+    Distinct positions are ordered along the axis of largest range; of n the one with n // 2 before it is the middle. Of
+    the files there the middle one is taken, by b-value if there are several of them, else by acquisition time, else by
+    content time if all have one; else the first whose image type holds the earliest of IMAGE_TYPES, or else the middle
+    one by name. Blanks and ties go by file name.
+    """
+    p = list(position)
+    spans = headers.groupBy(series).agg(*[(F.max(c) - F.min(c)).alias(f"_s{k}") for k, c in enumerate(p)])
+    axis = argmax_index(F.array(*[f"_s{k}" for k in range(3)]))
+    places = headers.select(series, *p).distinct().join(spans.select(series, axis.alias("_axis")), series)
+    along = F.element_at(F.array(*p), (F.col("_axis") + 1).cast("int"))
+    places = places.withColumns({"_k": F.row_number().over(Window.partitionBy(series).orderBy(along, *p)), "positions": F.count("*").over(Window.partitionBy(series))})
+    middle = places.where(F.col("_k") == F.floor(F.col("positions") / 2) + 1).select(series, *p, "positions")
+    kind = F.coalesce(*[F.when(F.upper(F.col(image_type)).contains(t), F.lit(k)) for k, t in enumerate(IMAGE_TYPES)])
+    files = headers.join(middle, [series, *p]).withColumn("_kind", kind)
+    every = Window.partitionBy(series)
+    ranks = {f"_{c}": F.row_number().over(every.orderBy(F.col(c).asc_nulls_last(), file)) for c in (b_value, acquired, content, "_kind", file)}
+    counts = {"volumes": F.count("*").over(every), "_nb": F.size(F.collect_set(b_value).over(every)), "_na": F.count(acquired).over(every), "_nc": F.count(content).over(every), "_nk": F.count("_kind").over(every)}
+    files = files.withColumns({**ranks, **counts})
+    half, n = F.floor(F.col("volumes") / 2) + 1, F.col("volumes")
+    by_time = F.when(F.col("_na") == n, F.col(f"_{acquired}") == half).when(F.col("_nc") == n, F.col(f"_{content}") == half)
+    picked = F.when(F.col("_nb") > 1, F.col(f"_{b_value}") == half).otherwise(F.coalesce(by_time, F.when(F.col("_nk") > 0, F.col("__kind") == 1).otherwise(F.col(f"_{file}") == half)))
+    return files.where(picked).select(series, file, "positions", "volumes")
+
+
+def binarize_mask(voxels: DataFrame, by: list[str], axes: list[str], label: str) -> DataFrame:
+    """(by, axes, label 1) of the foreground: labels over 0; cases without any have no rows."""
+    return voxels.where(F.col(label) > 0).select(*by, *axes).distinct().withColumn(label, F.lit(1))
+
+
+def foreground_counts(voxels: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, foreground, dropped) of every case: rows of foreground, and whether :func:`binarize_mask` drops the case."""
+    return voxels.groupBy(*by).agg(F.count_if(F.col(label) > 0).alias("foreground")).withColumn("dropped", F.col("foreground") == 0)
+
+
+def box_fill_mask(boxes: DataFrame, by: list[str], axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(by, axes): every voxel inside each inclusive box."""
+    out = boxes
+    for a in axes:
+        out = out.withColumn(a, F.explode(F.sequence(f"{a}0", f"{a}1")))
+    return out.select(*by, *axes)
+
+
+def center_crop_pad(voxels: DataFrame, shapes: DataFrame, by: list[str], axes: list[str], target: list[int]) -> DataFrame:
+    """Voxels moved so that a volume of each case's shape (array ``shape``) is cropped around its centre, or padded
+    alike on both sides, to the target shape; odd rests go to the far side. Voxels that are cut off are left out."""
+    out = voxels.join(shapes.select(*by, "shape"), by)
+    moved = {}
+    for k, (a, size) in enumerate(zip(axes, target, strict=True)):
+        gap = F.lit(size) - F.get("shape", F.lit(k))
+        half = F.floor(F.abs(gap) / 2).cast("int")
+        moved[a] = F.col(a) + F.when(gap >= 0, half).otherwise(-half)
+    out = out.withColumns(moved).drop("shape")
+    for a, size in zip(axes, target, strict=True):
+        out = out.where(F.col(a).between(0, size - 1))
+    return out
+
+
+def invert_affine(affine: str) -> list[Column]:
+    """The 12 numbers of the inverse of an affine given as an array of 12 or 16, row by row; null if it is singular."""
+    m = [[F.get(affine, F.lit(4 * r + c)) for c in range(4)] for r in range(3)]
+    minor = lambda r, c: m[(r + 1) % 3][(c + 1) % 3] * m[(r + 2) % 3][(c + 2) % 3] - m[(r + 1) % 3][(c + 2) % 3] * m[(r + 2) % 3][(c + 1) % 3]
+    det = F.nullif(sum(m[0][c] * minor(0, c) for c in range(3)), F.lit(0.0))
+    inverse = [[minor(c, r) / det for c in range(3)] for r in range(3)]
+    return [x for r in range(3) for x in (*inverse[r], -sum(inverse[r][c] * m[c][3] for c in range(3)))]
+
+
+def reindex_voxels(images: DataFrame, masks: DataFrame, voxels: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """(by, x, y, z, label) on each image's whole grid: the label of the mask voxel that lies nearest, through both
+    affines; 0 outside the mask, and where it has no voxel.
+
+    ``images`` and ``masks`` have (by, shape, affine), ``voxels`` the mask's labelled voxels (by, x, y, z, label)."""
+    case = images.select(*by, F.col("shape").alias("_n"), F.col("affine").cast("array<double>").alias("_i")).join(masks.select(*by, F.col("shape").alias("_m"), F.array(*invert_affine("affine")).alias("_v")), by)
+    grid = case
+    for k, a in enumerate("xyz"):
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.get("_n", F.lit(k)) - 1)))
+    to = lambda m, v: [sum(F.get(m, F.lit(4 * r + c)) * v[c] for c in range(3)) + F.get(m, F.lit(4 * r + 3)) for r in range(3)]
+    world = grid.withColumns(dict(zip(("_wx", "_wy", "_wz"), to("_i", [F.col(a) for a in "xyz"]), strict=True)))
+    at = world.withColumns({f"_{a}": F.bround(c).cast("int") for a, c in zip("xyz", to("_v", [F.col(f"_w{a}") for a in "xyz"]), strict=True)})
+    inside = [(F.col(f"_{a}") >= 0) & (F.col(f"_{a}") < F.get("_m", F.lit(k))) for k, a in enumerate("xyz")]
+    at = at.withColumn("_in", inside[0] & inside[1] & inside[2])
+    labels = voxels.select(*by, *[F.col(a).alias(f"_{a}") for a in "xyz"], F.col(label).alias("_label"))
+    return at.join(labels, [*by, "_x", "_y", "_z"], "left").select(*by, "x", "y", "z", F.when(F.col("_in"), F.coalesce("_label", F.lit(0))).otherwise(0).alias(label))
+
+
+def shape_descriptors(profile: DataFrame, by: list[str], position: str, value: str, n: int) -> DataFrame:
+    """(by, dom_k, kurtosis, ptp, mean_sq) of a closed curve's ``n`` radii: the harmonic of largest amplitude (the first
+    on ties; 0 for a circle), kurtosis and range of the radii, and mean square."""
+    own = harmonic_amplitudes(profile, by, position, value, n, list(range(1, n // 2 + 1)))
+    dominant = own.groupBy(*by).agg(F.min(F.struct((-F.round("amplitude", 12)).alias("a"), "k")).alias("_d"))
+    dominant = dominant.select(*by, F.when(F.col("_d.a") < 0, F.col("_d.k")).otherwise(0).alias("dom_k"))
+    mean = profile.groupBy(*by).agg(F.avg(value).alias("_m"))
+    d = F.col(value) - F.col("_m")
+    g = profile.join(mean, by).groupBy(*by).agg(F.avg(d * d).alias("_m2"), F.avg(d * d * d * d).alias("_m4"), (F.max(value) - F.min(value)).alias("ptp"), F.avg(F.col(value) * F.col(value)).alias("mean_sq"))
+    return dominant.join(g, by).select(*by, "dom_k", F.try_divide("_m4", F.nullif(F.col("_m2") * F.col("_m2"), F.lit(0.0))).alias("kurtosis"), "ptp", "mean_sq")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, more, reports, shapes, tables
+from . import files, labels, more, records, reports, shapes, tables
 
-MODULES: tuple = (tables, labels, reports, shapes, more)
+MODULES: tuple = (tables, labels, reports, shapes, more, files, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -271,7 +271,6 @@ def replies(t: Tables) -> DataFrame:
 
 
 R.query("SELECT event_id, event_id % 7 = 2 AS cut FROM events", key="was_truncated")(lambda t: replies(t).select("event_id", P.was_truncated("reply").alias("cut")))
-R.query("SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'I say ' || event_type || '.' ELSE '' END AS region FROM events WHERE event_id % 7 IN (2, 3, 6)", key="answer_region")(lambda t: replies(t).where("event_id % 7 in (2, 3, 6)").select("event_id", P.answer_region("reply").alias("region")))
 R.query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'hm {"answer":"no"}' WHEN 2 THEN 'never ends' END AS thinking FROM events""", key="extract_thinking")(lambda t: replies(t).select("event_id", P.extract_thinking("reply").alias("thinking")))
 R.query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type END AS answer FROM events", key="extract_json")(lambda t: replies(t).select("event_id", F.element_at(P.extract_json("reply"), "answer").alias("answer")))
 R.query(f"SELECT event_id, {_ANSWER} AS label, CASE WHEN event_id % 7 = 0 THEN 'r' ELSE '' END AS reason FROM events", key="parse_answer")(lambda t: P.parse_answers(replies(t), "reply", options()).select("event_id", "label", "reason"))

@@ -21,44 +21,6 @@ R = Registry()
 VX = "WITH vox AS (SELECT " + ", ".join(VOX) + " FROM lineitem)"
 
 
-def files(t: Tables) -> DataFrame:
-    """A tree of small files, one per supplier and region, written by Spark, as an inventory."""
-    path = _folder(t)
-    rows = t.supplier.where("s_suppkey % 10 = 0").select(F.concat(F.lit("n"), "s_nationkey").alias("subject"), F.concat(F.lit("d"), F.col("s_suppkey") % 4).alias("session"), F.concat(F.lit("s"), "s_suppkey").alias("scan"), F.col("s_name").alias("value"))
-    rows.write.partitionBy("subject", "session", "scan").text(path)
-    return readers.scan_file_inventory(t.spark, path, "part-*")
-
-
-_F = "SELECT 'subject=n' || s_nationkey AS subject, 'session=d' || s_suppkey % 4 AS session, 'scan=s' || s_suppkey AS scan FROM supplier WHERE s_suppkey % 10 = 0"
-R.query(f"SELECT subject, session, scan, 1 AS n FROM ({_F})", key="scan_file_inventory")(lambda t: files(t).groupBy("subject", "session", "scan").agg(F.count("*").alias("n")))
-R.query(f"SELECT subject, session, scan, 'none' AS input FROM ({_F})", key="session_inventory")(lambda t: readers.session_inventory(files(t)))
-R.query(f"SELECT subject, session, scan, scan AS header, 1 AS n_slices FROM ({_F})", key="scan_scan_headers")(lambda t: _headers(t))
-
-
-def _headers(t: Tables) -> DataFrame:
-    path = _folder(t)
-    t.supplier.where("s_suppkey % 10 = 0").select(F.concat(F.lit("n"), "s_nationkey").alias("subject"), F.concat(F.lit("d"), F.col("s_suppkey") % 4).alias("session"), F.concat(F.lit("s"), "s_suppkey").alias("scan"), F.concat(F.lit("scan=s"), "s_suppkey").alias("value")).write.partitionBy("subject", "session", "scan").text(path)
-    rows = readers.scan_scan_headers(t.spark, path, lambda raw: {"header": raw.decode().strip()}, ["header"], "part-*")
-    return rows.select(X.path_part("folder", 3).alias("subject"), X.path_part("folder", 2).alias("session"), X.path_part("folder", 1).alias("scan"), "header", "n_slices")
-
-
-@R.query("SELECT n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
-def scan_ragged(t):
-    path = _folder(t)
-    t.nation.select("n_name", "n_regionkey", F.lit("more").alias("x"), F.lit("y").alias("y")).write.option("header", False).csv(path)
-    return t.spark.read.schema("n_name string, n_regionkey string").option("mode", "PERMISSIVE").csv(path)
-
-
-@R.query("SELECT o_orderkey % 5 AS fold, 'c' || o_orderkey AS \"case\", o_totalprice AS dice, 4.0::DOUBLE AS n_pred, (o_orderkey % 3)::DOUBLE AS n_ref, 4.0::DOUBLE / nullif(o_orderkey % 3, 0) AS ratio FROM orders WHERE o_orderkey % 7 = 0")
-def scan_fold_metrics(t):
-    path = _folder(t)
-    rows = t.orders.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 5).alias("k"), F.struct(F.concat(F.lit("c"), "o_orderkey").alias("case"), F.col("o_totalprice").alias("dice"), F.lit(4.0).alias("n_pred"), (F.col("o_orderkey") % 3).cast("double").alias("n_ref")).alias("m"))
-    docs = rows.groupBy("k").agg(F.collect_list("m").alias("metric_per_case"))
-    docs.select(F.concat(F.lit("fold_"), "k").alias("fold"), F.to_json(F.struct("metric_per_case")).alias("value")).write.partitionBy("fold").text(path)
-    found = t.spark.read.text(path).select(F.regexp_extract("fold", r"fold_(\d+)", 1).cast("long").alias("fold"), F.explode(F.from_json("value", "metric_per_case array<struct<case:string,dice:double,n_pred:double,n_ref:double>>")["metric_per_case"]).alias("m")).select("fold", "m.*")
-    return found.withColumn("ratio", F.try_divide("n_pred", F.nullif("n_ref", F.lit(0.0))))
-
-
 def _written(run):
     """Query that writes with ``run(t, path)`` and reads the folder back."""
     def query(t: Tables) -> DataFrame:
@@ -71,9 +33,7 @@ def _written(run):
 R.query("SELECT n_name FROM nation", key="write_table")(_written(lambda t, p: sinks.write_table(t.nation.select("n_name"), p)))
 R.query("SELECT n_nationkey, n_name FROM nation", key="write_index")(_written(lambda t, p: sinks.write_index(t.nation, p, ["n_nationkey", "n_name"])))
 R.query("SELECT o_orderkey FROM orders", key="append_guarded")(_written(lambda t, p: [sinks.append_guarded(t.orders.where(f"o_orderkey % 2 = {k}").select("o_orderkey"), p) for k in (0, 1)] and None))
-R.query("SELECT o_orderkey FROM orders", key="append_rows_flush")(_written(lambda t, p: [sinks.append_guarded(t.orders.where(f"o_orderkey % 3 = {k}").select("o_orderkey"), p) for k in (0, 1, 2)] and None))
 R.query("SELECT r_name FROM region", key="write_backup_version")(_written(lambda t, p: sinks.write_backup_version(t.region.select("r_name"), p, "1") or t.spark.read.parquet(f"{p}/current")))
-R.query("SELECT f.fold, count_if(s_nationkey % 3 <> f.fold) AS train, count_if(s_nationkey % 3 = f.fold) AS val FROM supplier, (VALUES (0), (1), (2)) f(fold) GROUP BY 1", key="write_splits")(_written(lambda t, p: sinks.write_splits(t.supplier.select("s_name", (F.col("s_nationkey") % 3).alias("f")), p, "s_name", "f", 3) or t.spark.read.json(p).select(F.col("fold").cast("int").alias("fold"), F.size("train").cast("long").alias("train"), F.size("val").cast("long").alias("val"))))
 R.query("SELECT 's' || s_suppkey AS scan, CASE WHEN s_suppkey % 2 = 0 THEN 'review/m' ELSE 'm' END AS mask, CASE WHEN s_suppkey % 3 = 0 THEN 'i' END AS image FROM supplier", key="pair_images_masks")(lambda t: readers.pair_images_masks(_tree(t)).select("scan", F.when(F.col("mask").contains("/review/"), "review/m").otherwise("m").alias("mask"), F.when(F.col("image").isNotNull(), "i").alias("image")))
 
 
@@ -92,7 +52,6 @@ R.query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'T2*' WHEN 1 THEN 'T1'
 R.query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN greatest(p_size, 800) WHEN p_partkey % 3 = 1 THEN p_size ELSE 50 END AS b FROM part", key="vendor_bvalue")(lambda t: t.part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS STRING) END AS a", r"CASE WHEN p_partkey % 3 = 0 THEN '1000800\\6\\0' END AS packed", "'dwi_b50' AS name").select("p_partkey", A.vendor_bvalue(["a"], "packed", "name").alias("b")))
 R.query("SELECT vec_id, ['Sagital', 'Coronal', 'Axial'][list_position(n, list_max(n))] AS plane FROM (SELECT vec_id, [abs(e[2] * e[6] - e[3] * e[5]), abs(e[3] * e[4] - e[1] * e[6]), abs(e[1] * e[5] - e[2] * e[4])] AS n FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings))", key="orientation_text")(lambda t: t.embeddings.select("vec_id", A.orientation_text(F.col("embedding").cast("array<double>"))["plane"].alias("plane")))
 R.query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'a,b' END AS family FROM orders", key="sequence_family")(lambda t: t.orders.select("o_orderkey", A.sequence_family(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END"), F.lit("a"), F.lit("b")).alias("family")))
-R.query("SELECT n_name, 'Unknown' AS city FROM nation", key="value_or_default")(lambda t: W.default_columns(t.nation, {"city": F.lit("Unknown")}).select("n_name", F.coalesce("city", F.lit("Unknown")).alias("city")))
 R.query("SELECT o_orderkey, (o_orderstatus = 'F')::INT AS k_full, (o_orderstatus = 'O')::INT AS k_O, (o_orderstatus IN ('F', 'O'))::INT AS k_any FROM orders", key="tag_feature_pipeline")(lambda t: t.orders.withColumn("s", L.map_codes("o_orderstatus", {"F": "full"})).select("o_orderkey", *L.one_hot("s", ["full", "O"], "k")).withColumn("k_any", L.or_columns("k_full", "k_O")))
 R.query("SELECT o_orderkey, substr(o_orderpriority, 1, 3) AS age FROM orders", key="age_prefix")(lambda t: t.orders.select("o_orderkey", A.age_prefix("o_orderpriority").alias("age")))
 R.query("SELECT c_custkey, c_mktsegment AS segment, 'Unknown' AS city, 1 AS n FROM customer", key="clinical_record")(lambda t: t.customer.select("c_custkey", A.clinical_record(["c_name", F.lit(" ")], segment="c_mktsegment", city=F.lit("none")).alias("r")).select("c_custkey", "r.segment", "r.city", F.size("r.labels").alias("n")))
@@ -101,46 +60,11 @@ R.query("SELECT p_partkey, 'e/' || p_partkey AS id FROM part", key="relative_id"
 R.query("SELECT event_id, event_type AS uid, user_id::INT AS score, value AS probability FROM events", key="result_flatten")(lambda t: t.events.select("event_id", A.result_flatten(F.to_json(F.struct(F.col("event_type").alias("uid"), F.struct(F.col("user_id").alias("score"), F.col("value").alias("probability")).alias("result")))).alias("r")).select("event_id", "r.*"))
 R.query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_orderkey::VARCHAR ELSE l_orderkey || '/' || l_linenumber END AS id FROM lineitem", key="make_case_id")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", A.make_case_id("l_orderkey", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string"))).alias("id")))
 R.query("SELECT page_id, 'scan ' || page_id AS rest FROM pages", key="strip_leading_number")(lambda t: t.pages.select("page_id", X.strip_leading_number(F.expr("concat(page_id, '_scan ', page_id)")).alias("rest")))
-R.query("SELECT p_partkey, 'T1W_C' AS modality, 'axial' AS plane, p_size AS slice FROM part", key="parse_file_name")(lambda t: t.part.select("p_partkey", A.parse_file_name(F.concat(F.lit("T1W_C_axial_"), "p_size", F.lit(".png"))).alias("x")).select("p_partkey", "x.*"))
 R.query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey) = 1", key="pick_by_preference")(lambda t: J.first_per_key(t.orders, ["o_custkey"], [F.expr("nvl(nullif(array_position(array('P', 'F'), o_orderstatus), 0), 3)"), "o_orderkey"]).select("o_custkey", "o_orderkey"))
 R.query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE event_type END AS shape FROM events", key="repair_from_reply")(lambda t: t.events.select("event_id", F.element_at(A.repair_from_reply(F.expr("CASE WHEN event_id % 2 = 0 THEN map('shape', 'old') ELSE map('shape', ' ', 'x', 'y') END"), F.expr("concat('<think>{\"shape\":\"no\"}</think>```json {\"shape\": \"', event_type, '\"} ```')"), "shape"), "shape").alias("shape")))
-R.query("SELECT c, 1.0::DOUBLE / count(*) OVER () AS chance FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(c) WHERE c IN (SELECT o_orderstatus FROM orders)", key="active_labels")(lambda t: t.spark.createDataFrame([(c,) for c in "FOPX"], "c string").join(t.orders.select(F.col("o_orderstatus").alias("c")).distinct(), "c", "left_semi").withColumn("chance", 1.0 / F.count("*").over(Window.partitionBy(F.lit(0)))))
 R.query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')", key="vocabulary_minus")(lambda t: t.orders.where(F.col("o_orderstatus").isin(*A.vocabulary_minus(["F", "O", "P"], ["P"]))).select("o_orderkey", "o_orderstatus"))
-R.query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Building' ELSE 'Machinery' END AS label FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", key="exemplar_validate")(lambda t: t.customer.join(F.broadcast(t.spark.createDataFrame([("Building",), ("Machinery",)], "label string")), F.lower("c_mktsegment") == F.lower("label")).select("c_custkey", "label"))
-R.query(f"{T} SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, count(*) AS n, avg((pred = quality)::INT::DOUBLE) AS accuracy FROM truth GROUP BY GROUPING SETS ((lang), ())", key="accuracy_report")(lambda t: truth(t).rollup("lang").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("quality")).cast("double")).alias("accuracy"), F.grouping("lang").alias("g")).select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("lang")).alias("lang"), "n", "accuracy"))
-R.query("SELECT a.vec_id, len(a.embedding) = len(b.embedding) AS same_shape, len(list_filter(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2])), lambda d: d > 1e-3)) = 0 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2", key="geometry_mismatch_report")(lambda t: t.embeddings.alias("a").join(t.embeddings.alias("b"), F.expr("b.vec_id = a.vec_id - a.vec_id % 2")).select("a.vec_id", (F.size("a.embedding") == F.size("b.embedding")).alias("same_shape"), F.forall(F.zip_with("a.embedding", "b.embedding", lambda x, y: F.abs(x.cast("double") - y)), lambda d: d <= 1e-3).alias("same")))
-R.query(f"{VX}, p AS (SELECT case_id, z, row_number() OVER (PARTITION BY case_id ORDER BY z) AS k, count(*) OVER (PARTITION BY case_id) AS n FROM (SELECT DISTINCT case_id, z FROM vox)) SELECT case_id, z FROM p WHERE k = n // 2 + 1", key="middle_slice_pick")(lambda t: voxels(t).select("case_id", "z").distinct().withColumns({"k": F.row_number().over(Window.partitionBy("case_id").orderBy("z")), "n": F.count("*").over(Window.partitionBy("case_id"))}).where("k = floor(n / 2) + 1").select("case_id", "z"))
 R.query("SELECT p_partkey, round_even(12.0::DOUBLE / p_size, 0)::INT AS px FROM part", key="margin_to_px")(lambda t: t.part.select("p_partkey", V.margin_to_px(12.0, F.col("p_size").cast("double")).alias("px")))
-R.query(f"{VX}, b AS (SELECT case_id, min(x) AS x0, max(x) AS x1 FROM vox WHERE x BETWEEN 4 AND 12 GROUP BY 1), a AS (SELECT case_id, z AS slice, count(*) AS area FROM vox GROUP BY ALL), s AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY area DESC, slice DESC) <= 2) SELECT case_id, slice, x0 - 2 AS x0, x1 + 2 AS x1, area FROM b JOIN s USING (case_id)", key="crop_manifest")(lambda t: V.expand_box(V.mask_box(voxels(t).where("x between 4 and 12"), ["case_id"], ("x",)), {"x": F.lit(2)}).join(V.topk_slices(V.slice_areas(voxels(t), ["case_id"], "z"), ["case_id"], 2).drop("rank"), "case_id"))
-R.query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey", key="merge_clinical_fields")(lambda t: t.orders.select("o_orderkey", F.split_part(F.concat("o_custkey", F.lit("/"), "o_orderkey"), F.lit("/"), F.lit(1)).cast("long").alias("c_custkey")).join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", "left").select("o_orderkey", "c_mktsegment"))
 R.query("WITH j AS (SELECT p_partkey, (('0x' || substr(md5('3:' || p_partkey), 1, 8))::BIGINT % 7) - 3 AS d FROM part) SELECT p_partkey, greatest(0, p_size + d)::BIGINT AS r0, greatest(greatest(0, p_size + d), least(99, p_size + 9 + d))::BIGINT AS r1 FROM part JOIN j USING (p_partkey)", key="box_jitter")(lambda t: t.part.withColumn("d", W.hash_number("p_partkey", 3) % 7 - 3).select("p_partkey", F.greatest(F.lit(0), F.col("p_size") + F.col("d")).alias("r0"), F.least(F.lit(99), F.col("p_size") + 9 + F.col("d")).alias("r1")).withColumn("r1", F.greatest("r0", "r1")))
-R.query(f"{VX}, m AS (SELECT DISTINCT case_id, x, y FROM vox WHERE label = 1), g AS (SELECT case_id, unnest(range(0, 10))::INT AS gx FROM (SELECT DISTINCT case_id FROM m)), h AS (SELECT *, unnest(range(0, 8))::INT AS gy FROM g) SELECT h.case_id, gx, gy, (m.x IS NOT NULL)::INT AS label FROM h LEFT JOIN m ON h.case_id = m.case_id AND gx * 2 = m.x AND gy * 2 = m.y", key="reindex_voxels")(lambda t: voxels(t).where("label = 1").select("case_id").distinct().withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumns({"x": F.bround(F.col("gx") * 2.0).cast("int"), "y": F.bround(F.col("gy") * 2.0).cast("int")}).join(voxels(t).where("label = 1").select("case_id", "x", "y").distinct().withColumn("hit", F.lit(1)), ["case_id", "x", "y"], "left").select("case_id", "gx", "gy", F.coalesce("hit", F.lit(0)).alias("label")))
-R.query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'dear' ELSE 'cheap' END AS label FROM orders", key="row_label_udf")(lambda t: t.orders.select("o_orderkey", F.pandas_udf(lambda s: s.gt(150000).map({True: "dear", False: "cheap"}), "string")("o_totalprice").alias("label")))
-
-
-@R.query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-def stream_progress(t):
-    path, check = _folder(t), _folder(t)
-    source = results.read_results(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
-    results.stream_results_append(source.select("event_id", "event_type"), path, check, ["event_id"]).awaitTermination()
-    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-@R.query("SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
-def stream_latest_verdict(t):
-    path, check = _folder(t), _folder(t)
-    source = results.read_results(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).select("user_id", "event_id", "value")
-    results.stream_latest_verdict(source, path, check, ["user_id"], "event_id").awaitTermination()
-    return t.spark.read.parquet(f"{path}/version=0")
-
-
-@R.query("SELECT event_id FROM events")
-def stream_error_backup(t):
-    """Every batch also goes to a folder of its own number, so a failed write can be repeated from it."""
-    path, check = _folder(t), _folder(t)
-    source = results.read_results(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).select("event_id")
-    source.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path).select("event_id")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

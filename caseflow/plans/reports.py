@@ -79,7 +79,6 @@ R.query("SELECT pred AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / s
 R.query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS subjects FROM events GROUP BY 1", key="count_with_subjects")(lambda t: K.count_with_subjects(t.events, "event_type", "user_id"))
 R.query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1", key="job_status_counts")(lambda t: t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")))
 R.query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, l_returnflag", key="availability_counts")(lambda t: t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_returnflag"))
-R.query("SELECT o_orderstatus, o_totalprice > 150000 AS kept, count(*) AS n FROM orders GROUP BY ALL", key="kept_excluded_counts")(lambda t: t.orders.groupBy("o_orderstatus", (F.col("o_totalprice") > 150000).alias("kept")).agg(F.count("*").alias("n")))
 R.query("SELECT event_type, count(*) AS n, median(value) AS median, min(value) AS min, max(value) AS max FROM events GROUP BY 1", key="group_stats")(lambda t: K.group_stats(t.events, ["event_type"], "value"))
 R.query("SELECT event_type, min(value) AS low, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS high FROM events GROUP BY 1", key="five_number_summary")(lambda t: K.five_number_summary(t.events, ["event_type"], "value"))
 R.query("SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std FROM events GROUP BY 1", key="metric_by_group")(lambda t: K.metric_by_group(t.events, ["event_type"], "value"))
@@ -93,36 +92,18 @@ R.query("SELECT o_custkey, ['F', 'O', 'P'][min(list_position(['F', 'O', 'P'], o_
 R.query(" UNION ALL ".join(f"SELECT '{c}' AS field, count_if(trim(coalesce({c}::VARCHAR, '')) <> '') AS filled FROM documents" for c in ("text", "lang", "source")), key="field_fill_counts")(lambda t: K.field_fill_counts(t.documents, ["text", "lang", "source"]))
 R.query("SELECT p_brand, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand ELSE 'Others' END AS folded, count(*) AS n FROM part GROUP BY ALL", key="collapse_others")(lambda t: t.part.groupBy("p_brand", F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.col("p_brand")).otherwise("Others").alias("folded")).agg(F.count("*").alias("n")))
 R.query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, min(o_orderdate)::DATE AS day FROM orders GROUP BY 1", key="first_row_attributes")(lambda t: t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"), F.min("o_orderdate").cast("date").alias("day")))
-R.query("SELECT l_orderkey, min(l_quantity) AS lo, max(l_quantity) AS hi, CASE WHEN bool_or(l_quantity > 49) THEN 0 ELSE count(DISTINCT l_quantity) END AS values FROM lineitem GROUP BY 1", key="bvalue_summary")(lambda t: t.lineitem.withColumn("q", F.when(F.col("l_quantity") <= 49, F.col("l_quantity"))).groupBy("l_orderkey").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.when(F.bool_or(F.col("q").isNull()), 0).otherwise(F.count_distinct("q")).cast("long").alias("values")))
 R.query("SELECT string_agg(DISTINCT lang, ';' ORDER BY lang) AS langs, count(DISTINCT source) AS sources, count(*) AS rows FROM documents", key="config_consistency")(lambda t: t.documents.agg(K.distinct_join("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.count("*").alias("rows")))
 R.query("SELECT event_type, count(*) AS total, count_if(value > 50) AS reviewed, count_if(value <= 50) AS remaining FROM events GROUP BY 1", key="review_progress")(lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("reviewed"), F.count_if(F.col("value") <= 50).alias("remaining")))
 R.query(f"{T} SELECT lang, source, avg(score) AS mean FROM truth GROUP BY ALL", key="pivot_mean")(lambda t: truth(t).groupBy("lang", "source").agg(F.avg("score").alias("mean")))
 R.query(f"{S} SELECT a AS old, b AS new, count(*) AS n FROM status WHERE a <> b GROUP BY ALL", key="reparse_diff")(lambda t: status(t).where("a <> b").groupBy(F.col("a").alias("old"), F.col("b").alias("new")).agg(F.count("*").alias("n")))
 R.query(f"{S}, {_PC} SELECT (SELECT avg((a = b)::INT::DOUBLE) FROM status) AS accuracy, avg(recall) AS balanced, 1.0::DOUBLE / count(*) AS chance FROM pc WHERE support > 0", key="class_report")(lambda t: K.per_class_metrics(status(t), "b", "a").where("support > 0").agg(F.avg("recall").alias("balanced"), (1.0 / F.count("*")).alias("chance")).crossJoin(K.overall_accuracy(status(t), "b", "a").select("accuracy")))
 R.query(f"{T}, r AS (SELECT lang, quality AS class, 1 AS t, (pred = quality)::INT AS p FROM truth) SELECT lang, avg(rc) AS balanced FROM (SELECT lang, class, avg(p) AS rc FROM r GROUP BY 1, 2) GROUP BY 1", key="balanced_accuracy_by_level")(lambda t: K.per_class_metrics(truth(t), "quality", "pred", ["lang"]).where("support > 0").groupBy("lang").agg(F.avg("recall").alias("balanced")))
-R.query(f"{T} SELECT source, count(*) AS n, avg((pred = quality)::INT::DOUBLE) AS accuracy, 1.0::DOUBLE / count(DISTINCT quality) AS chance, max(pred) AS top FROM truth GROUP BY 1", key="experiment_rollup")(lambda t: truth(t).groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("quality")).cast("double")).alias("accuracy"), (1.0 / F.count_distinct("quality")).alias("chance"), F.max("pred").alias("top")))
-R.query(f"{T} SELECT lang, count(*) AS n, avg(score) AS mean, median(score) AS median, quantile_cont(score, 0.1) AS p10, count(DISTINCT source) > 1 AS mixed FROM truth GROUP BY 1", key="backend_compare")(lambda t: truth(t).groupBy("lang").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.percentile("score", F.lit(0.1)).alias("p10"), (F.count_distinct("source") > 1).alias("mixed")))
-R.query("SELECT a.p_brand AS x, b.p_brand AS y, a.hi < b.lo OR b.hi < a.lo AS disjoint FROM (SELECT p_brand, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1) a JOIN (SELECT p_brand, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1) b ON a.p_brand < b.p_brand", key="range_overlap_check")(lambda t: (lambda g: g.alias("a").join(g.alias("b"), F.col("a.p_brand") < F.col("b.p_brand")).select(F.col("a.p_brand").alias("x"), F.col("b.p_brand").alias("y"), ((F.col("a.hi") < F.col("b.lo")) | (F.col("b.hi") < F.col("a.lo"))).alias("disjoint")))(t.part.groupBy("p_brand").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))))
 R.query("SELECT len(embedding)::INT AS d, label, count(*) AS n FROM embeddings GROUP BY ALL", key="shape_report")(lambda t: t.embeddings.groupBy(F.size("embedding").alias("d"), "label").agg(F.count("*").alias("n")))
-R.query("SELECT event_type, string_agg(DISTINCT json_keys(props)[1], ';') AS keys FROM events GROUP BY 1", key="label_vocabulary")(lambda t: t.events.select("event_type", F.explode(F.json_object_keys("props")).alias("k")).groupBy("event_type").agg(K.distinct_join("k").alias("keys")))
-R.query("WITH top AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(DISTINCT p_name) DESC, p_brand LIMIT 6) SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM top) GROUP BY ALL", key="top_modalities_by_facet")(lambda t: t.part.join(t.part.groupBy("p_brand").agg(F.count_distinct("p_name").alias("k")).orderBy(F.desc("k"), "p_brand").limit(6).select("p_brand"), "p_brand", "left_semi").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")))
-R.query("SELECT k, n > 1 AS has_all FROM (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) FILTER (l_linenumber IN (1, 2)) AS n FROM lineitem GROUP BY 1)", key="coverage_report")(lambda t: t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg((F.count_distinct(F.when(F.col("l_linenumber").isin(1, 2), F.col("l_linenumber"))) > 1).alias("has_all")))
-R.query("SELECT c_custkey, bool_or(o_orderstatus = 'F') AS any_f FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1", key="reviewed_folder_flag")(lambda t: t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("any_f")))
-R.query("SELECT l_returnflag, avg(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1", key="group_collapse")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("q"), F.count("*").alias("n")))
 _SUM = """SELECT '{n}' AS stage, count(*) AS n, avg((pred = {y})::INT::DOUBLE) AS accuracy FROM truth WHERE {w}"""
 R.query(f"{T} " + _SUM.format(n="quality", y="quality", w="true") + " UNION ALL " + _SUM.format(n="toxic", y="toxic", w="quality = 1 AND pred = 1"), key="cascade_report")(lambda t: K.overall_accuracy(truth(t), "quality", "pred").select(F.lit("quality").alias("stage"), "n", "accuracy").unionByName(K.overall_accuracy(truth(t).where("quality = 1 and pred = 1"), "toxic", "pred").select(F.lit("toxic").alias("stage"), "n", "accuracy")))
 
 
-def evaluate_head(df: DataFrame, truth_col: str, pred: str, positive, score: str) -> DataFrame:
-    """One summary row: n, accuracy, macro precision, recall and f1, and AUC of the score."""
-    macro = K.macro_metrics(K.per_class_metrics(df, truth_col, pred))
-    return K.overall_accuracy(df, truth_col, pred).crossJoin(F.broadcast(macro)).crossJoin(F.broadcast(K.auc_rank(df, positive, score).select("auc")))
-
-
 _PQ = _PC.replace("b AS class", "quality AS class").replace("(a = b)", "(pred = quality)").replace("SELECT a, 0, 1", "SELECT pred, 0, 1").replace("FROM status", "FROM truth")
-R.query(f"{T}, {_PQ} SELECT * FROM (SELECT count(*) AS n, avg((pred = quality)::INT::DOUBLE) AS accuracy FROM truth), (SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM pc), (SELECT auc FROM {_auc_sql('truth', 'quality = 1', 'score')})", key="evaluate_head")(lambda t: evaluate_head(truth(t), "quality", "pred", F.col("quality") == 1, "score"))
-R.query(None, key="bootstrap_auc_ci")(lambda t: K.bootstrap_auc_ci(t.events, F.expr(_ERR), "value", "event_id"))
-_PAIRS = {"0": 0, "1": 1, "2": 2}
-R.query(None, key="pairwise_auc")(lambda t: K.pairwise_auc(t.embeddings.select(F.col("label").cast("string").alias("label"), F.col("vec_id").alias("g"), *[F.get("embedding", F.lit(k)).alias(f"s{k}") for k in _PAIRS.values()]), "label", {c: f"s{k}" for c, k in _PAIRS.items()}, "g"))
+R.query(f"{T}, {_PQ} SELECT * FROM (SELECT count(*) AS n, avg((pred = quality)::INT::DOUBLE) AS accuracy FROM truth), (SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM pc), (SELECT auc FROM {_auc_sql('truth', 'quality = 1', 'score')})", key="evaluate_head")(lambda t: K.evaluate_head(truth(t), "quality", "pred", F.col("quality") == 1, "score"))
 
 QUERIES, ORACLE = R.queries, R.oracle

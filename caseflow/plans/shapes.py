@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
@@ -32,9 +33,6 @@ def points(t: Tables, keep: str) -> DataFrame:
 
 
 _BOX = "min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1"
-R.query(f"{X} SELECT case_id, {_BOX} FROM vox WHERE label = 1 AND x > 3 GROUP BY 1", key="mask_box")(lambda t: V.mask_box(voxels(t).where("label = 1 and x > 3"), ["case_id"]))
-R.query(f"{X} SELECT {_BOX} FROM vox WHERE label = 1 AND x > 3", key="union_box")(lambda t: V.union_box(V.mask_box(voxels(t).where("label = 1 and x > 3"), ["case_id"]), []))
-R.query(f"{X}, b AS (SELECT case_id, min(x) AS x0, max(x) AS x1 FROM vox WHERE x BETWEEN 4 AND 12 GROUP BY 1) SELECT case_id, x0 - 2 AS x0, x1 + 2 AS x1 FROM b", key="expand_box")(lambda t: V.expand_box(V.mask_box(voxels(t).where("x between 4 and 12"), ["case_id"], ("x",)), {"x": V.margin_to_px(12.5, F.lit(5.0))}))
 R.query(f"{X}, b AS (SELECT case_id, min(x) AS x0, max(x) AS x1 FROM vox GROUP BY 1) SELECT case_id, greatest(0, x0 - 2) AS x0, least(19, x1 + 2) AS x1 FROM b", key="clip_box")(lambda t: V.expand_box(V.mask_box(voxels(t), ["case_id"], ("x",)), {"x": F.lit(2)}, {"x": F.lit(20)}))
 R.query("SELECT p_partkey, i::DOUBLE / (200 - i) AS iou FROM (SELECT p_partkey, greatest(0, 10 - p_size) * 10 AS i FROM part)", key="box_iou")(lambda t: t.part.select("p_partkey", V.box_iou([F.lit(0), F.lit(9), F.lit(0), F.lit(9)], [F.col("p_size"), F.col("p_size") + 9, F.lit(0), F.lit(9)]).alias("iou")))
 R.query(f"{X} SELECT case_id, z AS slice, count(*) AS area FROM vox GROUP BY ALL", key="slice_areas")(lambda t: V.slice_areas(voxels(t), ["case_id"], "z"))
@@ -43,22 +41,14 @@ R.query(f"{X} SELECT case_id, unnest(range(a, b + 1))::INT AS slice FROM (SELECT
 R.query(f"{X} SELECT case_id, arg_max(slice, (area, slice)) AS slice FROM (SELECT case_id, z AS slice, count(*) AS area FROM vox GROUP BY ALL) GROUP BY 1", key="largest_area_slice")(lambda t: V.topk_slices(V.slice_areas(voxels(t), ["case_id"], "z"), ["case_id"], 1).select("case_id", "slice"))
 _TWO = "a AS (SELECT DISTINCT case_id, x, y, z FROM vox WHERE value > 25), b AS (SELECT DISTINCT case_id, x, y, z FROM vox WHERE value < 35)"
 R.query(f"{X}, {_TWO}, j AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, count(a.x) AS n_a, count(b.x) AS n_b, count_if(a.x IS NOT NULL AND b.x IS NOT NULL) AS i FROM a FULL JOIN b ON a.case_id = b.case_id AND a.x = b.x AND a.y = b.y AND a.z = b.z GROUP BY 1) SELECT case_id, n_a, n_b, 2.0::DOUBLE * i / (n_a + n_b) AS dice, i::DOUBLE / (n_a + n_b - i) AS iou FROM j", key="dice_iou")(lambda t: V.dice_iou(points(t, "value > 25"), points(t, "value < 35"), ["case_id"], ["x", "y", "z"]))
-R.query(f"{X} SELECT case_id, x, y, z FROM vox WHERE label > 0", key="binarize_mask")(lambda t: voxels(t).where("label > 0").select("case_id", "x", "y", "z"))
 R.query(f"{X}, m AS (SELECT DISTINCT case_id, x, y, z FROM vox WHERE label = 1) SELECT case_id, count(*) AS n, sum(CASE WHEN m.x IS NOT NULL THEN value ELSE 0 END) AS inside FROM vox LEFT JOIN m USING (case_id, x, y, z) GROUP BY 1", key="mask_filter")(lambda t: V.mask_filter(voxels(t), voxels(t).where("label = 1"), ["case_id"], ["x", "y", "z"], "value").groupBy("case_id").agg(F.count("*").alias("n"), F.sum("value").alias("inside")))
 R.query(f"{X}, q AS (SELECT case_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM vox WHERE value <> 0 GROUP BY 1) SELECT case_id, avg((least(greatest(value, lo), hi) - lo) / (hi - lo)) AS mean FROM vox JOIN q USING (case_id) GROUP BY 1", key="normalize_intensity")(lambda t: V.normalize_intensity(voxels(t), ["case_id"], "value").groupBy("case_id").agg(F.avg("scaled").alias("mean")))
 R.query(f"{X} SELECT case_id, count(*) AS n, min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_cont(value, 0.99) AS p99, count_if(label = 1) AS n_fg, avg(value) FILTER (label = 1) AS fg_mean, stddev_pop(value) FILTER (label = 1) AS fg_std FROM vox GROUP BY 1", key="volume_stats")(lambda t: V.volume_stats(voxels(t), ["case_id"], "value", F.col("label") == 1))
-R.query(f"{X}, a AS (SELECT DISTINCT case_id, x, y FROM vox WHERE value > 45 AND y < 4), b AS (SELECT DISTINCT case_id, x, y FROM vox WHERE value < 5 AND y < 4), d AS (SELECT a.case_id, a.x AS ax, a.y AS ay, b.x AS b_x, b.y AS b_y, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM a JOIN b ON a.case_id = b.case_id), n AS (SELECT case_id, min(d) AS d FROM d GROUP BY case_id, ax, ay UNION ALL SELECT case_id, min(d) FROM d GROUP BY case_id, b_x, b_y) SELECT case_id, quantile_cont(d, 0.95) AS hd95 FROM n GROUP BY 1", key="hd95")(lambda t: V.hd95(voxels(t).where("value > 45 and y < 4"), voxels(t).where("value < 5 and y < 4"), ["case_id"], ["x", "y"]))
-R.query(None, key="radial_profile")(lambda t: V.radial_profile(points(t, "label = 1").select("case_id", "x", "y").distinct(), ["case_id"]))
 _HARM = ", ".join(f"({k})" for k in (1, 2, 3, 7))
 R.query(f"SELECT vec_id, k, 2.0::DOUBLE / 64 * sqrt(pow(sum(v * cos(k * i * {2 * math.pi / 64}::DOUBLE)), 2) + pow(sum(v * sin(k * i * {2 * math.pi / 64}::DOUBLE)), 2)) AS amplitude FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), (VALUES {_HARM}) h(k) GROUP BY ALL", key="harmonic_amplitudes")(lambda t: V.harmonic_amplitudes(t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double")), ["vec_id"], "i", "v", 64, [1, 2, 3, 7]))
-R.query("SELECT vec_id, list_max(embedding) - list_min(embedding) AS ptp, list_avg(list_transform(embedding, lambda v: v::DOUBLE * v)) AS mean_sq FROM embeddings", key="shape_descriptors")(lambda t: t.embeddings.select("vec_id", (F.array_max("embedding") - F.array_min("embedding")).alias("ptp"), (F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v) / F.size("embedding")).alias("mean_sq")))
 R.query(f"SELECT p_partkey, {4 * math.pi}::DOUBLE * p_size / (p_retailprice * p_retailprice) AS c FROM part", key="circularity")(lambda t: t.part.select("p_partkey", V.circularity(F.col("p_size"), F.col("p_retailprice")).alias("c")))
 R.query("SELECT vec_id, sqrt(e[1] * e[1] + e[4] * e[4] + e[7] * e[7]) AS sx, sqrt(e[2] * e[2] + e[5] * e[5] + e[8] * e[8]) AS sy FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)", key="voxel_spacing")(lambda t: t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).select("vec_id", V.voxel_spacing("e")[0].alias("sx"), V.voxel_spacing("e")[1].alias("sy")))
 R.query("SELECT vec_id, ['sagittal', 'coronal', 'axial'][list_position(embedding[:3], list_max(embedding[:3]))] AS plane FROM embeddings", key="plane_from_affine")(lambda t: t.embeddings.select("vec_id", V.plane_of(F.slice("embedding", 1, 3)).alias("plane")))
-R.query("SELECT vec_id, (list_position(c, list_max(c)) - 1)::BIGINT AS code FROM (SELECT vec_id, list_transform(embedding[4:6], lambda v: abs(v)) AS c FROM embeddings)", key="orientation_code")(lambda t: t.embeddings.select("vec_id", V.argmax_index(F.transform(F.slice("embedding", 4, 3), F.abs)).alias("code")))
-R.query("SELECT p_brand, min(p_size) AS sx, min(p_retailprice) AS sy FROM part GROUP BY 1", key="finest_spacing")(lambda t: t.part.groupBy("p_brand").agg(F.min("p_size").alias("sx"), F.min("p_retailprice").alias("sy")))
-R.query(f"{X}, b AS (SELECT case_id, min(x) AS x0, min(x) + 2 AS x1, min(y) AS y0, min(y) + 1 AS y1 FROM vox GROUP BY 1) SELECT case_id, unnest(range(x0, x1 + 1))::INT AS x, y FROM (SELECT case_id, x0, x1, unnest(range(y0, y1 + 1))::INT AS y FROM b)", key="box_fill_mask")(lambda t: voxels(t).groupBy("case_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0")).withColumn("x", F.explode(F.sequence("x0", F.col("x0") + 2))).withColumn("y", F.explode(F.sequence("y0", F.col("y0") + 1))).select("case_id", "x", "y"))
-R.query(f"{X} SELECT case_id, x - 2 AS x, y - 1 AS y, z FROM vox WHERE x BETWEEN 2 AND 17 AND y BETWEEN 1 AND 14", key="center_crop_pad")(lambda t: voxels(t).select("case_id", (F.col("x") - 2).alias("x"), (F.col("y") - 1).alias("y"), "z").where("x between 0 and 15 and y between 0 and 13"))
 R.query(f"{X}, s AS (SELECT case_id, avg(value) FILTER (label = 1) AS m, stddev_pop(value) FILTER (label = 1) AS d FROM vox GROUP BY 1) SELECT case_id, max((value - m) / d) AS hi FROM vox JOIN s USING (case_id) GROUP BY 1", key="normalize_masked")(lambda t: voxels(t).join(V.volume_stats(voxels(t), ["case_id"], "value", F.col("label") == 1).select("case_id", "fg_mean", "fg_std"), "case_id").groupBy("case_id").agg(F.max((F.col("value") - F.col("fg_mean")) / F.col("fg_std")).alias("hi")))
 
 # ------------------------------------------------------------ scores
@@ -72,9 +62,6 @@ def long_scores(t: Tables) -> DataFrame:
 R.query(f"WITH {_LONG} SELECT vec_id, c, s, p FROM p", key="softmax_rows")(lambda t: C.softmax_rows(long_scores(t), "vec_id", "s"))
 R.query("SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'a' WHEN embedding[2] >= embedding[3] THEN 'b' ELSE 'c' END AS label FROM embeddings", key="argmax_label")(lambda t: t.embeddings.select("vec_id", *[F.get("embedding", F.lit(k)).alias(n) for k, n in enumerate("abc")]).select("vec_id", C.argmax_label(list("abc"), list("abc")).alias("label")))
 R.query(f"WITH {_LONG}, m AS (SELECT c, avg(p) AS m FROM p GROUP BY 1) SELECT vec_id, c, s, s - ln(m + 1e-12) AS corrected FROM p JOIN m USING (c)", key="prior_correction")(lambda t: C.prior_correction(long_scores(t), "vec_id", "c", "s").select("vec_id", "c", "s", "corrected"))
-R.query(None, key="marginal_matching")(lambda t: C.marginal_matching(long_scores(t), "vec_id", "c", "s", 40)[0])
-R.query(None, key="linear_probe")(lambda t: C.out_of_fold(W.group_kfold(t.embeddings, "vec_id", 3), "embedding", "label", "fold").select("vec_id", "label", "fold", "predicted"))
-R.query(None, key="matrix_scaling")(lambda t: C.out_of_fold(W.group_kfold(t.embeddings.withColumn("embedding", F.slice("embedding", 1, 10)), "vec_id", 3, 1), "embedding", "label", "fold", 0.1, False).select("vec_id", "label", "fold", "predicted"))
 
 
 def _sep(c: str) -> str:
@@ -84,15 +71,33 @@ def _sep(c: str) -> str:
 
 
 R.query(" UNION ALL ".join(map(_sep, ("l_quantity", "l_tax"))), key="separability_table")(lambda t: C.separability_table(t.lineitem, F.col("l_returnflag") == "R", ["l_quantity", "l_tax"]))
-R.query("SELECT avg((n_chars > 100)::INT::DOUBLE) >= 0.95::DOUBLE AS passed FROM documents", key="gate_check")(lambda t: t.documents.agg((F.avg((F.col("n_chars") > 100).cast("double")) >= 0.95).alias("passed")))
 
 # ------------------------------------------------------------ sinks, streams, seams
 
 
 def _folder(t: Tables) -> str:
     """A fresh folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/caseflow-{uuid.uuid4().hex}"
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(base or tempfile.gettempdir()).rstrip('/')}/caseflow-{uuid.uuid4().hex}"
+    _FOLDERS.append((t.spark, path))
+    return path
+
+
+def release_folders() -> None:
+    """Delete the folders that this process's queries wrote."""
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the session may already be gone
+            continue
+
+
+_FOLDERS: list[tuple] = []
+atexit.register(release_folders)
 
 
 @R.query("SELECT o_orderkey, o_orderstatus FROM orders")
@@ -133,11 +138,10 @@ def stream_verdict_latest(t):
     path, check = _folder(t), _folder(t)
     source = results.read_results(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).select("user_id", "event_id", "event_type")
     results.stream_latest_verdict(source, path, check, ["user_id"], "event_id").awaitTermination()
-    return t.spark.read.parquet(f"{path}/version=0")
+    return results.latest_version(t.spark, path).drop("arrival")
 
 
 R.query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus || '!' END AS raw_output, CASE WHEN o_orderkey % 5 = 0 THEN 'ValueError: bad' END AS error FROM orders", key="batch_infer")(lambda t: I.batch_infer(t.orders.select("o_orderkey", "o_orderstatus"), _shout, "o_orderkey"))
-R.query("SELECT o_orderkey, o_orderstatus || '!' AS raw_output FROM orders WHERE o_orderkey % 5 <> 0", key="registry_infer")(lambda t: I.registry_infer(t.orders.select("o_orderkey", "o_orderstatus").where("o_orderkey % 5 <> 0"), {"shout": _shout}, "shout", "o_orderkey").select("o_orderkey", "raw_output"))
 R.query("SELECT o_orderkey, 'ValueError: bad' AS error FROM orders WHERE o_orderkey % 5 = 0", key="error_rows")(lambda t: I.batch_infer(t.orders.select("o_orderkey", "o_orderstatus"), _shout, "o_orderkey").where("error is not null").select("o_orderkey", "error"))
 R.query("SELECT o_orderkey, o_orderstatus AS one, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 150000 THEN 'Y' ELSE 'N' END ELSE '-' END AS two FROM orders", key="cascade_classify")(lambda t: I.cascade_classify(t.orders, [("one", F.lit(True), F.col("o_orderstatus")), ("two", F.col("one") == "F", F.when(F.col("o_totalprice") > 150000, "Y").otherwise("N"))]).select("o_orderkey", "one", "two"))
 

@@ -27,15 +27,7 @@ def scan_table(t):
     return t.region.select("r_regionkey", "r_name")
 
 
-R.query("SELECT c_custkey::VARCHAR AS c_custkey, coalesce(c_mktsegment, '') AS c_mktsegment FROM customer", key="scan_all_string")(lambda t: t.customer.select(*[F.col(c).cast("string").alias(c) for c in ("c_custkey", "c_mktsegment")]).na.fill(""))
 R.query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders", key="scan_project_rename")(lambda t: t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))
-R.query("SELECT lpad(o_orderkey::VARCHAR, 16, '1') AS id, false AS rounded FROM orders", key="scan_text_keys")(lambda t: t.orders.select(F.lpad(F.col("o_orderkey").cast("string"), 16, "1").alias("id")).withColumn("rounded", F.col("id").rlike("[eE.]")))
-R.query("SELECT 'nation' AS source, n_name AS name FROM nation UNION ALL SELECT 'region', r_name FROM region", key="scan_many_with_source")(lambda t: t.nation.select(F.regexp_extract("_metadata.file_name", r"^(\w+)", 1).alias("source"), F.col("n_name").alias("name")).unionByName(t.region.select(F.regexp_extract("_metadata.file_name", r"^(\w+)", 1).alias("source"), F.col("r_name").alias("name"))))
-R.query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events", key="scan_json_docs")(lambda t: t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k")))
-R.query("SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL", key="included_ids")(lambda t: t.events.where("user_id is not null").groupBy("user_id").agg(F.min("event_id").alias("pos")).select("user_id"))
-R.query("SELECT p_partkey, unnest(range(1, p_size % 3 + 2))::INT AS volume FROM part", key="series_manifest")(lambda t: t.part.select("p_partkey", F.explode(F.sequence(F.lit(1), F.col("p_size") % 3 + 1)).alias("volume")))
-R.query("SELECT n_nationkey, unnest(string_split('sag;cor;ax', ';')) AS plane FROM nation", key="scan_feature_config")(lambda t: t.nation.select("n_nationkey", F.explode(F.split(F.regexp_replace(F.lit("sag|cor;ax"), r"\|", ";"), ";")).alias("plane")))
-R.query("SELECT vec_id, len(embedding)::INT AS d, embedding[1]::DOUBLE AS first FROM embeddings", key="scan_embeddings")(lambda t: t.embeddings.select("vec_id", F.size("embedding").alias("d"), F.get("embedding", F.lit(0)).cast("double").alias("first")))
 
 # ------------------------------------------------------------ projections and filters
 R.query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation", key="rename_columns")(lambda t: t.nation.withColumnsRenamed({"n_nationkey": "id", "n_name": "name", "n_regionkey": "region"}))
@@ -48,22 +40,12 @@ R.query("SELECT n_nationkey, n_name, n_regionkey, '' AS viewed FROM nation", key
 R.query("SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('P')", key="filter_exclude_values")(lambda t: W.exclude_values(t.orders, "o_orderstatus", ["P"]).select("o_orderkey"))
 R.query("SELECT p_partkey FROM part WHERE trim(p_name) <> '' AND trim(p_type) <> ''", key="filter_required_nonblank")(lambda t: W.required_nonblank(t.part, ["p_name", "p_type"]).select("p_partkey"))
 R.query("SELECT o_orderkey, o_totalprice > 200000 AS dear, o_orderstatus = 'P' AS open, o_totalprice > 200000 OR o_orderstatus = 'P' AS excluded FROM orders", key="exclusion_flags")(lambda t: W.exclusion_flags(t.orders, {"dear": F.col("o_totalprice") > 200000, "open": F.col("o_orderstatus") == "P"}).select("o_orderkey", "dear", "open", "excluded"))
-R.query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0", key="filter_reviewed")(lambda t: t.orders.where(F.upper(F.trim(F.when(F.col("o_orderkey") % 5 == 0, " x ").otherwise(""))) == "X").select("o_orderkey"))
-R.query("SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id % 4 <> 0", key="filter_scorable")(lambda t: t.labels.where(F.col("quality").isNotNull()).where(F.when(F.col("doc_id") % 4 == 0, "PARSE_FAILED").otherwise("ok") != "PARSE_FAILED").select("doc_id"))
-R.query(f"{S} SELECT o_orderkey FROM status WHERE a IN ('F', 'P') AND b IN ('F')", key="cascade_gate")(lambda t: status(t).where(F.col("a").isin("F", "P") & F.col("b").isin("F")).select("o_orderkey"))
-R.query("SELECT c_custkey, CASE WHEN o IS NULL THEN '' WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS flag FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON c_custkey = o", key="tri_state_flag")(lambda t: t.customer.join(t.orders.select(F.col("o_custkey").alias("o")).distinct(), F.col("c_custkey") == F.col("o"), "left").select("c_custkey", F.when(F.col("o").isNull(), "").when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("No").alias("flag")))
-R.query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 25 OFFSET 50", key="facet_filter_page")(lambda t: t.orders.where("o_orderstatus = 'F'").orderBy("o_orderkey").offset(50).limit(25).select("o_orderkey"))
-R.query(f"{S} SELECT o_orderkey FROM status WHERE a = 'O' AND b = 'O' AND o_orderkey % 3 <> 0", key="pending_filter")(lambda t: status(t).where("a = 'O' and b = 'O' and o_orderkey % 3 <> 0").select("o_orderkey"))
 R.query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT % 4 = 1", key="strided_shard")(lambda t: W.strided_shard(t.orders, "o_orderkey", 4, 1).select("o_orderkey"))
 R.query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", key="leakage_guard")(lambda t: W.leakage_guard(t.orders, t.orders.where("o_totalprice > 300000"), "o_custkey").select("o_orderkey"))
-R.query("SELECT p_partkey FROM part WHERE NOT regexp_matches(lower(p_type), 'tin|brass')", key="skip_named_scans")(lambda t: t.part.where(~F.col("p_type").rlike("(?i)tin|brass")).select("p_partkey"))
 
 # ------------------------------------------------------------ joins
-R.query(f"{S} SELECT o_orderkey, a, b FROM status", key="join_methods_inner")(lambda t: status(t).select("o_orderkey", "a", "b"))
-R.query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey", key="join_left_reference")(lambda t: t.nation.join(t.region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "left").select("n_nationkey", "n_name", "r_name"))
 R.query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON c_custkey = o_custkey", key="join_left_one_to_one")(lambda t: J.join_left_one_to_one(t.customer.select("c_custkey"), t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey")), ["c_custkey"]))
 R.query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey", key="join_left_first_match")(lambda t: J.join_left_first_match(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate"), ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey"))
-R.query("SELECT coalesce(s_suppkey, c_custkey) AS id, s_name, c_name FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 150) ON s_suppkey = c_custkey", key="join_outer_coalesce_key")(lambda t: J.join_outer_coalesce_key(t.supplier.select("s_suppkey", "s_name"), t.customer.where("c_custkey <= 150").select("c_custkey", "c_name"), "s_suppkey", "c_custkey", "id"))
 R.query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", key="join_inner_renamed_key")(lambda t: J.join_inner_renamed_key(t.nation, t.region, "n_regionkey", "r_regionkey"))
 R.query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", key="join_semi_members")(lambda t: J.semi_members(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]))
 R.query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", key="join_anti_members")(lambda t: J.anti_members(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]))
@@ -84,15 +66,11 @@ R.query("SELECT l_orderkey, l_linenumber, coalesce(o_orderstatus, 'unmapped') AS
 R.query("SELECT c, l, n FROM (SELECT DISTINCT l_orderkey AS c FROM lineitem), (VALUES (1), (2), (9)) v(l) LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey AS n FROM lineitem) ON c = l_orderkey AND l = l_linenumber", key="resolve_requirements")(lambda t: J.resolve_requirements(t.lineitem.select(F.col("l_orderkey").alias("c")), t.spark.createDataFrame([(1,), (2,), (9,)], "l int"), t.lineitem.select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("n")), "c", ["l"], "n"))
 R.query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id || '_overlay.png' ELSE page_id || '.png' END AS path, page_id % 2 = 0 AS has_contour FROM pages", key="overlay_or_plain")(lambda t: J.overlay_or_plain(t.pages.selectExpr("page_id", "concat(page_id, '.png') AS path"), t.pages.where("page_id % 2 = 0").selectExpr("concat(page_id, '_overlay.png') AS path"), "path", F.regexp_replace("path", r"\.png$", "_overlay.png")))
 R.query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'disk/a/b/' || page_id END AS found FROM pages", key="path_suffix_match")(lambda t: J.path_suffix_match(t.pages.selectExpr("page_id", "concat('old/a/b/', page_id) AS path"), t.pages.where("page_id % 2 = 0").selectExpr("concat('disk/a/b/', page_id) AS path"), "path").select("page_id", "found"))
-R.query("SELECT o_orderkey, coalesce(nullif(p, 'unknown'), 'axial') AS plane FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'coronal' END AS p FROM orders)", key="plane_fallback")(lambda t: t.orders.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'coronal' END AS p").select("o_orderkey", F.coalesce(F.nullif("p", F.lit("unknown")), F.lit("axial"), F.lit("unknown")).alias("plane")))
-R.query("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')", key="copy_manifest")(lambda t: J.anti_members(t.lineitem.select(F.col("l_orderkey").alias("k")).distinct(), t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")), ["k"]))
 
 # ------------------------------------------------------------ ranking, dedupe and cohorts
 R.query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text", key="dedupe_keep_first")(lambda t: W.dedupe_keep_first(t.documents, ["text"], ["doc_id"]).select("doc_id", "text"))
 R.query("SELECT max(doc_id) AS doc_id, text FROM documents GROUP BY text", key="dedupe_keep_last")(lambda t: W.dedupe_keep_first(t.documents, ["text"], [F.desc("doc_id")]).select("doc_id", "text"))
-R.query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1", key="latest_verdict")(lambda t: t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")))
 R.query("SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag <> 'R', l_linenumber) = 1", key="best_candidate")(lambda t: J.first_per_key(t.lineitem, ["l_orderkey"], [F.col("l_returnflag") != "R", "l_linenumber"]).select("l_orderkey", "l_linenumber"))
-R.query("SELECT c_custkey, CASE WHEN n IS NULL THEN 'no_json' WHEN n = 1 THEN 'ok_single' WHEN d = 1 THEN 'ok_reviewed' ELSE 'ok_ambiguous' END AS status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'P') AS d FROM orders GROUP BY 1) ON c_custkey = o_custkey", key="select_document")(lambda t: t.customer.select("c_custkey").join(t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("d")), "c_custkey", "left").select("c_custkey", F.when(F.col("n").isNull(), "no_json").when(F.col("n") == 1, "ok_single").when(F.col("d") == 1, "ok_reviewed").otherwise("ok_ambiguous").alias("status")))
 
 
 def _sizes(t: Tables) -> DataFrame:
@@ -107,24 +85,18 @@ R.query(f"WITH {_ALLOC} SELECT g, size, alloc FROM alloc", key="stratified_alloc
 R.query("WITH s AS (SELECT c_mktsegment AS g, count(*) AS size FROM customer GROUP BY 1) SELECT g, size, CASE WHEN size <= 1400.0::DOUBLE / count(*) OVER () THEN size ELSE floor(1400.0::DOUBLE / count(*) OVER ()) END::BIGINT AS alloc FROM s", key="even_split_alloc")(lambda t: W.even_split_alloc(_sizes(t), "g", "size", 1400))
 R.query(f"WITH {_ALLOC} SELECT c_custkey FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) JOIN alloc ON c_mktsegment = g WHERE rn <= alloc", key="stratified_pick")(lambda t: W.stratified_pick(t.customer.withColumnRenamed("c_mktsegment", "g"), W.stratified_alloc(_sizes(t), "g", "size", 97, 10), "g", [F.desc("c_acctbal"), "c_custkey"]).select("c_custkey"))
 R.query("(SELECT c_custkey FROM customer WHERE c_custkey % 100 = 0) UNION ALL (SELECT c_custkey FROM customer WHERE c_custkey % 100 <> 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 40 - (SELECT count(*) FROM customer WHERE c_custkey % 100 = 0))", key="shortfall_fill")(lambda t: W.shortfall_fill(t.customer, t.customer.where("c_custkey % 100 = 0"), "c_custkey", [F.desc("c_acctbal"), "c_custkey"], 40).select("c_custkey"))
-R.query("SELECT c_custkey, (c_acctbal > 0)::INT + (c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))::INT AS priority FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_mktsegment <> 'BUILDING'", key="cohort_pool")(lambda t: t.customer.where("c_mktsegment <> 'BUILDING'").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("j")).distinct(), "c_custkey", "left").select("c_custkey", ((F.col("c_acctbal") > 0).cast("int") + F.coalesce("j", F.lit(0))).alias("priority")))
 R.query(f"WITH {_ALLOC} SELECT g, size AS pool, alloc AS selected, size - alloc AS gap, size = alloc AS whole FROM alloc", key="cohort_report")(lambda t: W.stratified_alloc(_sizes(t), "g", "size", 97, 10).select("g", F.col("size").alias("pool"), F.col("alloc").alias("selected"), (F.col("size") - F.col("alloc")).alias("gap"), (F.col("size") == F.col("alloc")).alias("whole")))
 R.query("SELECT conv_id, string_agg(role, ';' ORDER BY turn) AS items, list(role ORDER BY turn)[count(*) // 2 + 1] AS middle FROM conversations GROUP BY conv_id HAVING count(*) = max(turn) - min(turn) + 1", key="ordered_run")(lambda t: W.ordered_run(t.conversations.join(t.conversations.groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1).alias("n")), "conv_id"), ["conv_id"], "turn", "role", "n").select("conv_id", F.array_join("items", ";").alias("items"), "middle"))
-R.query("WITH d AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS f FROM lineitem) SELECT a.k, a.f, string_agg(b.f, ';' ORDER BY b.f) AS others FROM d a LEFT JOIN d b ON a.k = b.k AND a.f <> b.f GROUP BY ALL", key="sibling_values")(lambda t: t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f")).distinct().withColumn("s", F.array_sort(F.collect_set("f").over(Window.partitionBy("k")))).select("k", "f", F.nullif(F.array_join(F.array_except("s", F.array("f")), ";"), F.lit("")).alias("others")))
 R.query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20", key="worst_n")(lambda t: t.orders.orderBy("o_totalprice", "o_orderkey").limit(20).select("o_orderkey", "o_totalprice"))
 R.query("SELECT o_orderkey, CASE (row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1) % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS class FROM orders", key="balanced_assign")(lambda t: W.balanced_assign(t.orders, "o_orderkey", ["x", "y", "z"], "o_orderstatus").select("o_orderkey", "class"))
 R.query("SELECT o_orderkey, o_custkey, (('0x' || substr(md5('0:' || o_custkey), 1, 8))::BIGINT % 5)::INT AS fold FROM orders", key="group_kfold")(lambda t: W.group_kfold(t.orders, "o_custkey", 5).select("o_orderkey", "o_custkey", "fold"))
 R.query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT % 10000 < 2000 THEN 'val' ELSE 'train' END AS part FROM orders", key="train_val_split")(lambda t: W.train_val_split(t.orders, "o_orderkey", 0.2).select("o_orderkey", "part"))
-R.query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 30", key="sample_rows")(lambda t: W.sample_rows(t.orders.where("o_orderkey % 10 = 0"), "o_orderkey", 30, 7).select("o_orderkey"))
 R.query("SELECT p_partkey FROM (SELECT *, max(p_size) OVER (PARTITION BY p_brand) AS m FROM part) WHERE p_size = m QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('0:' || p_partkey), p_partkey) <= 2", key="exemplar_select")(lambda t: W.exemplar_select(t.part, "p_brand", "p_size", "p_partkey", 2).select("p_partkey"))
 R.query("WITH x AS (SELECT o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'P'), w AS (SELECT o_custkey FROM x JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) USING (o_custkey) WHERE n = 1) SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM w) AND (o_custkey, o_orderdate) NOT IN (SELECT (o_custkey, o_orderdate) FROM x)", key="exclusion_escalate")(lambda t: W.exclusion_escalate(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), t.orders.where("o_orderstatus = 'P'").select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate").select("o_orderkey"))
 R.query("SELECT l_orderkey, CASE WHEN row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey) = 1 THEN concat_ws('__', l_suppkey, l_linenumber) ELSE concat_ws('__', l_suppkey, l_linenumber, l_orderkey) END AS case_id FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem)", key="unique_case_id")(lambda t: W.unique_case_id(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", "l_orderkey", "l_linenumber").select("l_orderkey", "case_id"))
 R.query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'dropped' WHEN a.s <> b.s OR a.p <> b.p THEN 'rerun' ELSE 'copied' END AS status, CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE concat_ws(';', CASE WHEN a.s <> b.s THEN 's' END, CASE WHEN a.p <> b.p THEN 'p' END) END AS changed FROM (SELECT p_partkey AS k, p_size AS s, p_brand AS p FROM part WHERE p_partkey % 5 > 0) a FULL JOIN (SELECT p_partkey AS k, p_size + (p_partkey % 3 = 0)::INT AS s, CASE WHEN p_partkey % 4 = 0 THEN 'z' ELSE p_brand END AS p FROM part WHERE p_partkey % 6 > 0) b ON a.k = b.k", key="version_diff")(lambda t: W.version_diff(t.part.where("p_partkey % 5 > 0").selectExpr("p_partkey AS k", "p_size AS s", "p_brand AS p"), t.part.where("p_partkey % 6 > 0").selectExpr("p_partkey AS k", "p_size + CAST(p_partkey % 3 = 0 AS INT) AS s", "CASE WHEN p_partkey % 4 = 0 THEN 'z' ELSE p_brand END AS p"), "k", ["s", "p"]))
 
 # ------------------------------------------------------------ sorts, limits, sets
-R.query("SELECT o_orderkey FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 100", key="sort_stable_multi")(lambda t: t.orders.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey"))
-R.query("SELECT c_mktsegment, n FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) ORDER BY c_mktsegment = 'BUILDING', n DESC LIMIT 4", key="sort_custom_rank")(lambda t: t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy(F.col("c_mktsegment") == "BUILDING", F.desc("n")).limit(4))
-R.query("SELECT c_custkey, v FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer) ORDER BY v NULLS LAST, c_custkey LIMIT 50", key="sort_nulls_last")(lambda t: t.customer.selectExpr("c_custkey", "CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v").orderBy(F.asc_nulls_last("v"), "c_custkey").limit(50))
 R.query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10", key="limit_rows")(lambda t: t.orders.orderBy("o_orderkey").limit(10).select("o_orderkey"))
 R.query("SELECT o_orderstatus, o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) - 25 AS more FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 25", key="preview_with_rest")(lambda t: W.top_per_group(t.orders, ["o_orderstatus"], ["o_orderkey"], 25).select("o_orderstatus", "o_orderkey").join(t.orders.groupBy("o_orderstatus").agg((F.count("*") - 25).alias("more")), "o_orderstatus"))
 R.query("SELECT n_name AS name, n_nationkey AS id FROM nation UNION ALL SELECT r_name, NULL FROM region", key="union_frames")(lambda t: t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")).unionByName(t.region.select(F.col("r_name").alias("name")), allowMissingColumns=True))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Names that an id column may have, in the order in which they are tried.
+ID_NAMES = ("subject", "case", "patient_id", "patientid", "paciente", "id")
+
 
 def scan_all_string(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """CSV with every column text and blanks for missing values; no inference pass."""
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", "\"")  # doubled quotes, as spreadsheets write them
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(path)
@@ -25,33 +29,97 @@ def scan_text_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.when(bad, F.raise_error(F.concat(F.lit("rounded id "), F.col(key).cast("string"))).cast("boolean")).otherwise(True))
 
 
-def scan_many_with_source(spark: SparkSession, paths: list[str], source: str = "source") -> DataFrame:
-    """Files of one header read as text, with the file that each row came from."""
-    df = spark.read.option("header", True).csv(paths)
-    return df.withColumn(source, F.col("_metadata.file_name"))
+def scan_many_with_source(spark: SparkSession, paths: list[str], source: str = "__source", name: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """CSV files of differing headers read as text and put together by name, with the file that each row came from.
+
+    ``name`` is a pattern whose group is the source's name in the file's path; columns that a file lacks are null.
+    """
+    parts = [spark.read.option("header", True).csv(p).select("*", F.regexp_extract("_metadata.file_path", name, 1).alias(source)) for p in paths]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
-def scan_ragged(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """CSV whose rows have extra trailing fields: the first ones by the given names."""
+def scan_ragged(spark: SparkSession, path: str, names: list[str], header: bool = True) -> DataFrame:
+    """CSV whose rows have extra trailing fields, few or many: the first ones by the given names, absent ones null."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    return spark.read.option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+
 
+def scan_json_docs(spark: SparkSession, path: str, block: str, entity: str = r"([^/]+?)(?:\.[^./]*)?$") -> DataFrame:
+    """(id, feature, values): one JSON document a file, the block under ``block`` as a row for each of its keys.
 
-def scan_json_docs(spark: SparkSession, path: str, block: str) -> DataFrame:
-    """(id, features): one JSON document a file; the id is the file's stem, the block a map of texts or lists."""
+    ``entity`` is a pattern whose group is the id in the file's path: its stem, unless given. A value may be a scalar or
+    a list; a document without the block, or that is no JSON, gives no row.
+    """
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]+$", "")
-    return text.select(stem.alias("id"), F.from_json(F.get_json_object("value", f"$.{block}"), "map<string,string>").alias("features"))
+    features = F.from_json(F.get_json_object("value", f"$.{block}"), "map<string,string>")
+    rows = text.select(F.regexp_extract("_metadata.file_path", entity, 1).alias("id"), F.explode(features).alias("feature", "v"))
+    return rows.select("id", "feature", F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v")).alias("values"))
 
 
-def scan_fold_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(fold, case, dice, n_pred, n_ref, ratio) of summary files with an array of cases."""
+def scan_fold_metrics(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(fold, case, dice, n_pred, n_ref, ratio) of summary files with an array of cases: a document a file, or a line.
+
+    The fold is in the file's path; a fold may have any number of files.
+    """
     schema = "metric_per_case array<struct<case:string,dice:double,n_pred:double,n_ref:double>>"
-    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     rows = df.select(F.regexp_extract("_metadata.file_path", r"fold_(\d+)", 1).cast("int").alias("fold"), F.explode("metric_per_case").alias("m")).select("fold", "m.*")
     return rows.withColumn("ratio", F.try_divide("n_pred", F.nullif("n_ref", F.lit(0.0))))
 
 
+def included_ids(df: DataFrame, position: str, candidates: tuple[str, ...] = ID_NAMES, column: str | None = None) -> DataFrame:
+    """(id, first): distinct non-blank ids and where each is first seen, from the given column or else the first of the
+    candidate names that ``df`` has in any case; neither is an error."""
+    lower = {c.lower(): c for c in df.columns}
+    column = column if column is not None else next((lower[c] for c in candidates if c in lower), None)
+    if column not in df.columns:
+        raise ValueError(f"no id column among {df.columns}")
+    ids = df.select(F.trim(F.col(f"`{column}`").cast("string")).alias("id"), F.col(position).alias("first")).where("id <> ''")
+    return ids.groupBy("id").agg(F.min("first").alias("first"))
+
+
+def series_manifest(series: DataFrame, masks: DataFrame, keys: list[str], name: str, number: str, shape: str, every: bool) -> DataFrame:
+    """A row per volume of each series: (keys, series, number, volume, mask).
+
+    Trailing axes of size 1 don't count. A series with a real fourth axis keeps its first volume alone, or with
+    ``every`` all of them, named ``_v<t>`` and numbered ``number * 100 + t``. Its mask, if ``masks(keys, name, mask)``
+    has one, goes to the first volume.
+    """
+    volumes = F.when(F.size(shape) > 3, F.greatest(F.element_at(shape, 4), F.lit(1))).otherwise(F.lit(1))
+    rows = series.select(*keys, name, number, volumes.alias("_n"))
+    rows = rows.withColumn("volume", F.explode(F.sequence(F.lit(0), F.col("_n") - 1 if every else F.lit(0))))
+    split = (F.col("_n") > 1) & F.lit(every)
+    named = rows.join(masks.select(*keys, name, "mask"), [*keys, name], "left")
+    return named.select(
+        *keys, F.when(split, F.concat(F.col(name), F.lit("_v"), "volume")).otherwise(F.col(name)).alias("series"),
+        F.when(split, F.col(number) * 100 + F.col("volume")).otherwise(F.col(number)).alias("number"), "volume", F.when(F.col("volume") == 0, F.col("mask")).alias("mask"),
+    )
+
+
+def scan_feature_config(rows: DataFrame) -> DataFrame:
+    """(feature, modality, plane, margin, top_k): a row per feature, modality and plane of a flat configuration.
+
+    ``rows`` has text columns feature_name, modality and plane, planes joined by ; or |. Margin and top_k belong to the
+    feature: the last value given in its rows, by ``line``, and 1 slice if none is.
+    """
+    planes = F.filter(F.transform(F.split("plane", "[;|]"), lambda x: F.trim(x)), lambda x: x != "")
+    given = rows.select(F.trim("feature_name").alias("feature"), F.trim("modality").alias("modality"), "line", F.nullif("crop_margin_mm", F.lit("")).try_cast("double").alias("m"), F.nullif("top_k", F.lit("")).try_cast("int").alias("k"), planes.alias("planes"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("line", c)))[c]
+    per = given.groupBy("feature").agg(last("m").alias("margin"), F.coalesce(last("k"), F.lit(1)).alias("top_k"))
+    return given.select("feature", "modality", F.explode("planes").alias("plane")).join(per, "feature")
+
+
+def scan_embeddings(spark: SparkSession, paths: list[str], key: str, label: str, vector: str) -> DataFrame:
+    """Shards of embeddings put together; fails, when it runs, if they don't have the same set of labels.
+
+    Every shard gives its sorted labels, one row; the check compares these rows alone."""
+    parts = [spark.read.parquet(p).select(F.lit(i).alias("shard"), key, label, F.col(vector).cast("array<double>").alias(vector)) for i, p in enumerate(paths)]
+    rows = reduce(DataFrame.unionByName, parts)
+    lists = rows.groupBy("shard").agg(F.array_sort(F.collect_set(label)).alias("_l")).agg(F.collect_set("_l").alias("_l"))
+    same = F.when(F.size("_l") > 1, F.raise_error(F.concat(F.lit("shards have different labels: "), F.to_json("_l"))).cast("boolean")).otherwise(True)
+    return rows.crossJoin(F.broadcast(lists)).where(same).drop("_l")  # a single row
+
+
 def scan_file_inventory(spark: SparkSession, path: str, pattern: str = "*", depth_names: tuple[str, ...] = ("subject", "session", "scan", "file")) -> DataFrame:
     """(path, length, modificationTime, subject, session, scan, file) of a tree; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
@@ -60,10 +128,24 @@ def scan_file_inventory(spark: SparkSession, path: str, pattern: str = "*", dept
     return files.select("*", *[F.element_at(parts, k - n).alias(name) for k, name in enumerate(depth_names)])
 
 
-def session_inventory(files: DataFrame, scan_file: str = r"images\.nii\.gz$") -> DataFrame:
-    """(subject, session, scan, input): volume if the scan has one, else slices, else none."""
-    g = files.groupBy("subject", "session", "scan").agg(F.bool_or(F.col("file").rlike(scan_file)).alias("v"), F.bool_or(F.col("file").rlike(r"\.dcm$")).alias("d"))
-    return g.select("subject", "session", "scan", F.when(F.col("v"), "volume").when(F.col("d"), "slices").otherwise("none").alias("input"))
+def session_inventory(files: DataFrame, root: str, volume: str = r"^images\.nii\.gz$", depth: int = 6) -> DataFrame:
+    """(session, scan, input) of a tree given as an inventory with ``path``.
+
+    A scan is a folder with a volume, or with slices (``.dcm``); a volume comes first. A session is a folder at most
+    ``depth`` levels under ``root`` with a scan right in it; folders under a session aren't sessions.
+    """
+    below = F.split(F.substring_index("path", f"{root.rstrip('/')}/", -1), "/")
+    up = lambda k: F.array_join(F.slice(below, 1, F.size(below) - k), "/")
+    name = F.element_at(below, -1)
+    scans = files.where(F.size(below) >= 2).select(up(2).alias("session"), up(1).alias("scan"), F.rlike(name, F.lit(volume)).alias("v"), F.endswith(name, F.lit(".dcm")).alias("d"))
+    scans = scans.groupBy("session", "scan").agg(F.bool_or("v").alias("v"), F.bool_or("d").alias("d")).where("v or d")
+    level = F.when(F.col("session") == "", 0).otherwise(F.size(F.split("session", "/")))
+    sessions = scans.select("session", level.alias("level")).distinct().where(F.col("level") <= depth)
+    parts = F.split("session", "/")
+    above = F.when(F.col("level") > 0, F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
+    covered = sessions.select("session", F.explode(above).alias("up")).join(sessions.select(F.col("session").alias("up")), "up", "left_semi")
+    first = sessions.join(covered.select("session").distinct(), "session", "left_anti")
+    return scans.join(first.select("session"), "session", "left_semi").select("session", "scan", F.when(F.col("v"), "volume").otherwise("slices").alias("input"))
 
 
 def pair_images_masks(files: DataFrame, image: str = r"images\.nii\.gz$", mask: str = r"_seg\.nii(\.gz)?$", reviewed: Column | None = None) -> DataFrame:
@@ -81,10 +163,17 @@ def pair_images_masks(files: DataFrame, image: str = r"images\.nii\.gz$", mask:
 
 def scan_scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], dict], columns: list[str], pattern: str = "*") -> DataFrame:
     """Header of the first file of each folder by a given parser, with the number of files; a file that the parser
-    can't read gives a row with its error. Only one file a folder is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    folders = files.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder"), "path").groupBy("folder").agg(F.min("path").alias("path"), F.count("*").alias("n_slices"))
+    can't read gives a row with its error.
+
+    Only the first file of a folder is opened: the listing doesn't read contents, and the paths chosen from it are read
+    by themselves. They are fewer than the paths that the driver lists for any scan of the tree.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    folders = listed.groupBy(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).agg(F.min("path").alias("path"), F.count("*").alias("n_slices")).persist()
     schema = ", ".join(["folder string", "n_slices long", *[f"`{c}` string" for c in columns], "error string"])
+    chosen = [r.path for r in folders.select("path").collect()]
+    if not chosen:
+        return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,4 +186,5 @@ def scan_scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], d
                 rows.append((folder, n, *[None if found.get(c) is None else str(found[c]) for c in columns], error))
             yield pd.DataFrame(rows, columns=["folder", "n_slices", *columns, "error"])
 
-    return files.select("path", "content").join(folders, "path").select("folder", "n_slices", "content").mapInPandas(read, schema)
+    opened = spark.read.format("binaryFile").load(chosen).select("path", "content")
+    return opened.join(folders, "path").select("folder", "n_slices", "content").mapInPandas(read, schema)

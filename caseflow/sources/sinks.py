@@ -21,15 +21,22 @@ def write_index(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def append_guarded(df: DataFrame, path: str) -> None:
-    """Append, unless the stored columns differ: then fail and name what is missing and what is new."""
+    """Append, unless the stored columns or their types differ: then fail and name what is missing, new or changed."""
     spark = df.sparkSession
     if _exists(spark, path):
-        have = spark.read.parquet(path).columns
-        if have != df.columns:
-            raise ValueError(f"columns differ: missing {sorted(set(have) - set(df.columns))}, extra {sorted(set(df.columns) - set(have))}")
+        have, new = spark.read.parquet(path).dtypes, df.dtypes
+        if have != new:
+            changed = sorted(n for n, t in new if dict(have).get(n, t) != t)
+            raise ValueError(f"columns differ: missing {sorted(dict(have).keys() - dict(new))}, extra {sorted(dict(new).keys() - dict(have))}, changed {changed}")
     df.write.mode("append").parquet(path)
 
 
+def append_rows_flush(df: DataFrame, path: str, fields: list[str]) -> None:
+    """Append only the declared fields, in their order; a field that ``df`` lacks is empty text, others are left out."""
+    have = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns}
+    append_guarded(df.select(*[have.get(f, F.lit("")).alias(f) for f in fields]), path)
+
+
 def append_resumable(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append only rows whose key isn't stored yet; a second run adds nothing."""
     spark = df.sparkSession
@@ -43,21 +50,47 @@ def write_per_entity(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def recover_in_place(spark: SparkSession, path: str) -> None:
+    """Finish or undo what a crash of :func:`write_in_place` left: the table is there again."""
+    hadoop, fs = _file_system(spark, path)
+    here, old = hadoop(path), hadoop(f"{path.rstrip('/')}.old")
+    if not fs.exists(here) and fs.exists(old):
+        _rename(fs, old, here)
+
+
 def write_in_place(df: DataFrame, path: str) -> None:
-    """Replace the table that ``df`` may itself be read from: written beside it, then renamed."""
+    """Replace the table that ``df`` may itself be read from: written beside it, then renamed.
+
+    A rename that fails raises, and the old table is put back; after a crash between the renames the next call, or
+    :func:`recover_in_place`, puts it back.
+    """
     spark = df.sparkSession
+    recover_in_place(spark, path)
     fresh, old = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.old"
     df.write.mode("overwrite").parquet(fresh)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop, fs = _file_system(spark, path)
     fs.delete(hadoop(old), True)
     if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(fresh), hadoop(path))
+        _rename(fs, hadoop(path), hadoop(old))
+    try:
+        _rename(fs, hadoop(fresh), hadoop(path))
+    except OSError:
+        recover_in_place(spark, path)
+        raise
     fs.delete(hadoop(old), True)
     spark.catalog.refreshByPath(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"can't rename {source} to {target}")
+
+
 def write_backup_version(df: DataFrame, path: str, stamp: str) -> None:
     """The table, and a copy under ``versions/version=<stamp>``."""
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/current")
@@ -65,7 +98,24 @@ def write_backup_version(df: DataFrame, path: str, stamp: str) -> None:
 
 
 def write_splits(df: DataFrame, path: str, case: str, fold: str, folds: int) -> None:
-    """(fold, train, val): sorted case lists of each fold as JSON lines."""
-    each = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    lists = each.groupBy(F.col("_k").alias("fold")).agg(F.sort_array(F.collect_list(F.when(F.col(fold) != F.col("_k"), F.col(case)))).alias("train"), F.sort_array(F.collect_list(F.when(F.col(fold) == F.col("_k"), F.col(case)))).alias("val"))
-    lists.write.mode("overwrite").json(path)
+    """JSON lines (split, case) in a folder for each fold, sorted within files: train lists all other folds' cases.
+
+    A fold's lists are rows over many files, so none of them has to fit into a task."""
+    each = df.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"), F.col(fold).alias("_f"), F.col(case).alias("case"))
+    rows = each.select("fold", F.when(F.col("_f") == F.col("fold"), "val").otherwise("train").alias("split"), "case")
+    rows.sortWithinPartitions("fold", "split", "case").write.mode("overwrite").partitionBy("fold").json(path)
+
+
+def copy_manifest(source: DataFrame, target: DataFrame, wanted: DataFrame, key: str = "path", length: str = "length") -> DataFrame:
+    """(key, status, length) of every wanted or source file: ``kept`` would be copied, ``skipped`` is at the target in
+    its size already, ``missing`` is wanted but not at the source, ``unwanted`` is only at the source."""
+    have = source.select(key, F.col(length).alias("length"))
+    done = target.select(key, F.col(length).alias("_done"))
+    rows = wanted.select(key).distinct().withColumn("_w", F.lit(True)).join(have, key, "full_outer").join(done, key, "left")
+    status = F.when(F.col("_w").isNull(), "unwanted").when(F.col("length").isNull(), "missing").when(F.col("_done").eqNullSafe(F.col("length")), "skipped").otherwise("kept")
+    return rows.select(key, status.alias("status"), "length")
+
+
+def copy_summary(manifest: DataFrame) -> DataFrame:
+    """(status, files, bytes) of a manifest."""
+    return manifest.groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import _exists, append_resumable
+from ..sources.sinks import _exists, _file_system, append_resumable
 
 
-def read_results(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).option("header", True).load(path)
+def read_results(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: int | None = None) -> DataFrame:
+    """Stream of the files of a folder; at most ``files`` of them in a batch, if that is given."""
+    reader = spark.readStream.schema(schema).format(fmt).option("header", True)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
 def stream_results_append(source: DataFrame, target: str, checkpoint: str, keys: list[str]):
@@ -24,21 +28,67 @@ def stream_results_append(source: DataFrame, target: str, checkpoint: str, keys:
 def stream_latest_verdict(source: DataFrame, target: str, checkpoint: str, keys: list[str], order: str):
     """Start a query that keeps the last row per key: the new version is written beside the old, batch by batch.
 
-    State is a table, not the stream's: it grows with the keys, not with time. The version's number is the batch's, so
-    a batch that is run again replaces its own output.
+    Of equal ``order`` the row of the later batch counts (column ``arrival``). State is a table, not the stream's: it
+    grows with the keys, not with time. The version's number is the batch's, so a batch that is run again replaces its
+    own output; versions before the one just read are removed.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = f"{target}/version={n - 1}"
-        rows = batch.unionByName(spark.read.parquet(old)) if n and _exists(spark, old) else batch
-        value = F.struct(F.col(order), *[F.col(c) for c in batch.columns if c not in (*keys, order)])
-        last = rows.groupBy(*keys).agg(F.max(value).alias("_v")).select(*keys, "_v.*").select(*batch.columns)
+        rows, old = batch.withColumn("arrival", F.lit(n).cast("long")), f"{target}/version={n - 1}"
+        if n and _exists(spark, old):
+            rows = rows.unionByName(spark.read.parquet(old))
+        value = F.struct(F.col(order), "arrival", *[F.col(c) for c in batch.columns if c not in (*keys, order)])
+        last = rows.groupBy(*keys).agg(F.max(value).alias("_v")).select(*keys, "_v.*").select(*batch.columns, "arrival")
         last.write.mode("overwrite").parquet(f"{target}/version={n}")
+        _remove(spark, f"{target}/version={n - 2}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_progress(source: DataFrame, time: str, group: str, done, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+def latest_version(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version that :func:`stream_latest_verdict` wrote."""
+    hadoop, fs = _file_system(spark, target)
+    return spark.read.parquet(f"{target}/version={max(int(f.getPath().getName().split('=')[1]) for f in fs.listStatus(hadoop(target)))}")
+
+
+def stream_progress(source: DataFrame, totals: DataFrame, target: str, checkpoint: str, subject: str, item: str):
+    """Start a query that keeps (subject, done, total): how many of a subject's items have come so far.
+
+    Items are stored once each, by :func:`append_resumable`, under ``items``, so repeats and batches that are run again
+    don't count twice; after each batch ``progress`` is written anew from counts by subject, joined to static totals.
+    """
+
+    def count(batch: DataFrame, _: int) -> None:
+        append_resumable(batch.select(subject, item).dropDuplicates([subject, item]), f"{target}/items", [subject, item])
+        done = batch.sparkSession.read.parquet(f"{target}/items").groupBy(subject).agg(F.count("*").alias("done"))
+        rows = totals.join(done, subject, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        rows.select(subject, "done", "total").write.mode("overwrite").parquet(f"{target}/progress")
+
+    return source.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def windowed_progress(source: DataFrame, time: str, group: str, done, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Rows and reviewed rows per window and group, with a watermark that lets old windows go."""
     return source.withWatermark(time, delay).groupBy(F.window(time, window), group).agg(F.count("*").alias("n"), F.count_if(done).alias("reviewed"))
+
+
+def stream_error_backup(source: DataFrame, write: Callable[[DataFrame, int], None], backup: str, checkpoint: str):
+    """Start a query that writes each batch by ``write``; a batch whose write fails goes to a folder of its own number
+    under ``backup``, with the error, and the stream goes on. The number makes a repeated batch replace its own copy."""
+
+    def guarded(batch: DataFrame, n: int) -> None:
+        kept = batch.persist()
+        try:
+            write(kept, n)
+        except Exception as e:  # noqa: BLE001  whatever the sink raises
+            kept.withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:500])).write.mode("overwrite").parquet(f"{backup}/batch={n}")
+        finally:
+            kept.unpersist()
+
+    return source.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _file_system(spark, path)
+    fs.delete(hadoop(path), True)

@@ -426,7 +426,7 @@ _HD = "d AS (SELECT a.case_id, a.x AS ax, a.y AS ay, b.x AS b_x, b.y AS b_y, sqr
 
 @R.query(f"WITH v AS (SELECT l_suppkey % 30 AS case_id, l_partkey % 60 AS x, l_linenumber * 3 AS y, l_quantity AS q FROM lineitem), a AS (SELECT DISTINCT case_id, x, y FROM v WHERE q > 45), b AS (SELECT DISTINCT case_id, x, y FROM v WHERE q < 5), {_HD} SELECT case_id, quantile_cont(d, 0.95) AS hd95 FROM n GROUP BY 1")
 def hd95(t):
-    v = t.lineitem.selectExpr("l_suppkey % 30 AS case_id", "l_partkey % 200 AS x", "l_linenumber * 9 AS y", "l_quantity AS q")
+    v = t.lineitem.selectExpr("l_suppkey % 30 AS case_id", "l_partkey % 60 AS x", "l_linenumber * 3 AS y", "l_quantity AS q")
     return V.hd95(v.where("q > 45"), v.where("q < 5"), ["case_id"], ["x", "y"])
 
 

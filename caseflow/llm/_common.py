@@ -130,7 +130,7 @@ def with_text(docs: DataFrame, text_col: str, fresh, extra: dict[str, str] | Non
 
 
 #: Bits of a membership filter: at most MARK_BITS / 8 bytes are ever broadcast, whatever the number of keys.
-MARK_BITS = 1 << 27
+MARK_BITS = 1 << 25
 
 
 def marks(keys: DataFrame, key: str | list[str]) -> DataFrame:

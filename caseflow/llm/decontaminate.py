@@ -46,7 +46,7 @@ class _Words(dict):
     """Hash and class of a token in one number, kept for the tokens met lately."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         low = token.lower()
         if token[0] in ".!?\n":

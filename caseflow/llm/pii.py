@@ -225,7 +225,7 @@ class Pseudonyms:
             found = self.value(kind, text)
             if found is None:
                 return None
-            if len(self.kept) > 100_000:
+            if len(self.kept) > 30_000:
                 self.kept.clear()
             self.kept[(kind, text)] = found
         return found

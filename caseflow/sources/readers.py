@@ -132,20 +132,21 @@ def session_inventory(files: DataFrame, root: str, volume: str = r"^images\.nii\
     """(session, scan, input) of a tree given as an inventory with ``path``.
 
     A scan is a folder with a volume, or with slices (``.dcm``); a volume comes first. A session is a folder at most
-    ``depth`` levels under ``root`` with a scan right in it; folders under a session aren't sessions.
+    ``depth`` levels under ``root`` with a scan right in it; folders under a session aren't sessions. Other folders of
+    files in a session have no input.
     """
     below = F.split(F.substring_index("path", f"{root.rstrip('/')}/", -1), "/")
     up = lambda k: F.array_join(F.slice(below, 1, F.size(below) - k), "/")
     name = F.element_at(below, -1)
     scans = files.where(F.size(below) >= 2).select(up(2).alias("session"), up(1).alias("scan"), F.rlike(name, F.lit(volume)).alias("v"), F.endswith(name, F.lit(".dcm")).alias("d"))
-    scans = scans.groupBy("session", "scan").agg(F.bool_or("v").alias("v"), F.bool_or("d").alias("d")).where("v or d")
+    scans = scans.groupBy("session", "scan").agg(F.bool_or("v").alias("v"), F.bool_or("d").alias("d"))
     level = F.when(F.col("session") == "", 0).otherwise(F.size(F.split("session", "/")))
-    sessions = scans.select("session", level.alias("level")).distinct().where(F.col("level") <= depth)
+    sessions = scans.where("v or d").select("session", level.alias("level")).distinct().where(F.col("level") <= depth)
     parts = F.split("session", "/")
     above = F.when(F.col("level") > 0, F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
     covered = sessions.select("session", F.explode(above).alias("up")).join(sessions.select(F.col("session").alias("up")), "up", "left_semi")
     first = sessions.join(covered.select("session").distinct(), "session", "left_anti")
-    return scans.join(first.select("session"), "session", "left_semi").select("session", "scan", F.when(F.col("v"), "volume").otherwise("slices").alias("input"))
+    return scans.join(first.select("session"), "session", "left_semi").select("session", "scan", F.when(F.col("v"), "volume").when(F.col("d"), "slices").otherwise("none").alias("input"))
 
 
 def pair_images_masks(files: DataFrame, image: str = r"images\.nii\.gz$", mask: str = r"_seg\.nii(\.gz)?$", reviewed: Column | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from caseflow.functions import reply as P
 from caseflow.operators import joins as J
 from caseflow.operators import metrics as K
 from caseflow.operators import rows as W
+from caseflow.operators import scores as C
 from caseflow.sources import readers, sinks
 
 NAMES = ["description", "tr", "te", "ti", "field", "etl", "scanning", "b_value"]
@@ -95,7 +96,11 @@ def test_inventory_and_pairs(spark, tmp_path):
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(b"x")
     files = readers.scan_file_inventory(spark, str(tmp_path))
-    assert {(r.scan, r.input) for r in readers.session_inventory(files).collect()} == {("3", "volume"), ("segs", "none")}
+    deep = tmp_path / "s1" / "d1" / "3" / "more" / "x.dcm"  # under a session: no session of its own
+    deep.parent.mkdir()
+    deep.write_bytes(b"x")
+    found = readers.session_inventory(readers.scan_file_inventory(spark, str(tmp_path)), str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("s1/d1", "s1/d1/3", "volume"), ("s1/d1", "s1/d1/segs", "none")}
     pairs = {r.scan: r.image for r in readers.pair_images_masks(files).collect()}
     assert pairs["4"] is None and pairs["3"].endswith("s1/d1/3/images.nii.gz")
 
@@ -114,3 +119,47 @@ def test_headers_keep_bad_files(spark, tmp_path):
     assert sorted((r.k, r.error is None, r.n_slices) for r in rows if r.k) == [("v", True, 1)]
     assert sum(r.error is not None for r in rows) == 1
 
+
+
+def test_guards_raise(spark, tmp_path):
+    ids = spark.createDataFrame([("1234567890123456",), ("1.2E15",)], "id string")
+    with pytest.raises(Exception, match="rounded id"):
+        readers.scan_text_keys(ids, "id").collect()
+    for bad, what in (((" oval", ""), "without a path"), (("star", "a.png"), "not in")):
+        with pytest.raises(Exception, match=what):
+            J.exemplar_validate(spark.createDataFrame([bad], "label string, path string"), ["Oval"], base="/b").collect()
+    good = J.exemplar_validate(spark.createDataFrame([(" OVAL ", "a.png"), ("oval", "/x.png")], "label string, path string"), ["Oval"], base="/b")
+    assert {tuple(r) for r in good.collect()} == {("Oval", "/b/a.png"), ("Oval", "/x.png")}
+    with pytest.raises(ValueError, match="no id column"):
+        readers.included_ids(ids.withColumnRenamed("id", "key"), "key")
+    sinks.append_guarded(ids, f"{tmp_path}/t")
+    with pytest.raises(ValueError, match="changed"):
+        sinks.append_guarded(ids.select(F.col("id").cast("binary").alias("id")), f"{tmp_path}/t")
+    for k, labels in enumerate((["a", "b"], ["a", "c"])):
+        spark.createDataFrame([(1, x, [1.0]) for x in labels], "k int, l string, v array<double>").write.parquet(f"{tmp_path}/e{k}")
+    with pytest.raises(Exception, match="different labels"):
+        readers.scan_embeddings(spark, [f"{tmp_path}/e0", f"{tmp_path}/e1"], "k", "l", "v").collect()
+
+
+def test_replacement_recovers_from_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.write_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as a crash between the renames leaves it
+    sinks.recover_in_place(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.write_in_place(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.old").exists()
+
+
+def test_matched_scores_have_uniform_means(spark):
+    rows = [(k, c, float((k * 7 + i * 3) % 11) / 3 + i) for k in range(40) for i, c in enumerate("abc")]
+    matched, _ = C.marginal_matching(spark.createDataFrame(rows, "k int, c string, s double"), "k", "c", "s")
+    means = C.softmax_rows(matched, "k", "matched").groupBy("c").agg(F.avg("p").alias("m")).collect()
+    assert all(abs(r.m - 1 / 3) < 1e-4 for r in means)
+
+
+def test_matrix_scaling_separates(spark):
+    rows = [(k, k % 3, *[(5.0 if k % 3 == (j + 1) % 3 else 0.0) + (k * (j + 3)) % 7 / 10 for j in range(3)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "k long, y int, s0 double, s1 double, s2 double")
+    got = C.matrix_scaling(df, ["s0", "s1", "s2"], "y", "k", 2).collect()
+    assert len(got) == 120 and sum(r.predicted == r.y for r in got) >= 115

@@ -29,10 +29,10 @@ from ._common import need, small_batches, with_text
 
 LONG_BYTES = 64
 #: Words whose ids a worker keeps; memory of a worker's DuckDB.
-WORDS_KEPT, MEMORY = 150_000, "128MB"
+WORDS_KEPT, MEMORY = 100_000, "128MB"
 #: Texts are encoded in groups of about this many characters; a query contracts words of at most this many squared bytes
 #: in all (what the recursion keeps grows with them), and decodes at most this many tokens, in runs of at most RUN.
-GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 1_000_000, 4_000_000, 1 << 18, 1 << 16
+GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 500_000, 2_000_000, 1 << 17, 1 << 16
 
 #: token-position rows of each word meet the merge table; the least (rank, position) of a word is contracted.
 #: Row 255 of a list can't occur: longer words go through the heap.
@@ -173,6 +173,7 @@ class Encoder:
             decoded = dict(zip(found.column("run").to_pylist(), found.column("decoded").to_pylist(), strict=True))
             for r, (k, _) in enumerate(part):
                 out[k].append(decoded.get(r, "").encode("latin-1"))
+        pa.default_memory_pool().release_unused()  # a worker lives on, so what a group used goes back
         return [b"".join(x) for x in out]
 
     def code(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .bpe import digest_tokens
+from .collocations import collocations
 from .decontaminate import contaminated_documents
 from .language import identify_languages
 from .pii import DEMO_KEY, pseudonymise
@@ -63,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_collocations": op13_collocations,
 }
 
 #: Queries that SQL can express.
@@ -88,5 +94,29 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM g
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+inside AS (
+  SELECT DISTINCT s.lang, s.k, s.g FROM (
+    SELECT lang, a, k - 1 AS k, unnest([g[1:k - 1], g[2:k]]) AS g FROM f WHERE k > 2) AS s JOIN f ON f.lang = s.lang AND f.k = s.k AND f.g = s.g AND 100 * s.a >= 100 * f.a),
+cuts AS (
+  SELECT c.lang, c.g, c.a, c.cut, l.a AS l, r.a AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.k = c.cut AND l.g = c.g[1:c.cut]
+  JOIN f AS r ON r.lang = c.lang AND r.k = c.k - c.cut AND r.g = c.g[c.cut + 1:c.k]
+  JOIN totals AS t ON t.lang = c.lang
+  ANTI JOIN inside AS x ON x.lang = c.lang AND x.k = c.k AND x.g = c.g),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM worst)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
 """,
 }

@@ -77,17 +77,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def join_counted(big: DataFrame, small: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join ``big`` to ``small`` (unique in ``key``) where a few keys may hold most of ``big``.
 
     ``small[count]`` is the number of rows of ``big`` with that key, ``total`` their sum. Keys with at least
-    ``total / HOT_KEYS`` rows (at most HOT_KEYS of them) are joined by broadcast, the others by a shuffle.
+    ``total / hot_keys`` rows (at most ``hot_keys`` of them) are joined by broadcast, the others by a shuffle.
     ``how`` is ``inner`` or ``left``.
     """
-    limit = max(1, total // HOT_KEYS)
+    limit = max(1, total // hot_keys)
     keys = [key] if isinstance(key, str) else key
     payload = small.drop(count)
-    if total <= HOT_KEYS:
+    if total <= hot_keys:
         return big.join(payload, keys, how)
     hot = F.broadcast(payload.where(small[count] > limit))
     cold = payload.where(small[count] <= limit)

@@ -10,6 +10,7 @@ from .ann import nearest
 from .bpe import digest_tokens
 from .collocations import collocations
 from .decontaminate import contaminated_documents
+from .html_text import extract_text
 from .language import identify_languages
 from .pii import DEMO_KEY, pseudonymise
 from .quality import score_quality
@@ -65,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_html_extraction": op11_html_extraction,
     "op12_alignment": op12_alignment,
     "op13_collocations": op13_collocations,
 }

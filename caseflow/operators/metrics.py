@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ from ..functions.reply import PARSE_FAILED
 def value_counts_pct(df: DataFrame, c: str) -> DataFrame:
     """(value, n, pct): counts with nulls, percent to two places."""
     n = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))
+    total = n.agg(F.sum("n").alias("_all"))  # one row
+    return n.crossJoin(F.broadcast(total)).withColumn("pct", F.round(F.col("n") * 100.0 / F.col("_all"), 2)).drop("_all")
 
 
 def count_with_subjects(df: DataFrame, label: str, subject: str) -> DataFrame:
@@ -59,21 +64,38 @@ def macro_metrics(per_class: DataFrame, by: list[str] = ()) -> DataFrame:
     return per_class.groupBy(*by).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
 
 
-#: Ranges that distinct scores are cut into, so that running totals over all of them take many tasks.
-RANGES = 64
+#: Ranges that the distinct scores of a group are cut into, and the number of distinct scores from which a group is cut.
+RANGES, CUT_FROM = 64, 10_000
 
 
-def running_totals(h: DataFrame, score: str, counts: list[str], by: list[str] = ()) -> DataFrame:
-    """``h(by, score, counts)`` with ``_below_<count>``: the sum over the smaller scores of the group.
+def _ranged(h: DataFrame, score: str, counts: list[str], by: list[str]) -> DataFrame:
+    """``h(by, score, counts)`` with ``_range``: each group's own scores cut at their quantiles, so no task holds all.
 
-    Scores are unique within a group. They are cut at their quantiles into RANGES, windows run within a range, and each
-    range starts with the totals of those before it, so no task holds all scores.
+    The cuts come from a mergeable sketch (KLL) of the distinct scores of each group, over the very aggregate that is cut:
+    both read one exchange, as the sketch's input mentions all its columns. Groups of few distinct scores aren't cut.
     """
-    cuts = h.agg(F.percentile_approx(score, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))  # one row
-    x = h.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    every = F.col(score).cast("double")
+    for c in counts:
+        every = F.when(F.col(c) >= 0, every)
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    sketches = h.groupBy(*by).agg(F.kll_sketch_agg_double(every).alias("_k"), F.count(F.lit(1)).alias("_d")).where(F.col("_d") > CUT_FROM)
+    cuts = sketches.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.kll_sketch_get_quantile_double("_k", shares).alias("_cuts"))
+    if by:
+        x = h.join(cuts, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], "left").drop(*[f"_by_{c}" for c in by])
+    else:
+        x = h.join(F.broadcast(cuts), F.lit(True), "left")  # one row at most
+    return x.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(score).cast("double"))), F.lit(0))).drop("_cuts")
+
+
+def running_totals(h: DataFrame, score: str, counts: list[str], by: list[str] = ()) -> DataFrame:
+    """``h(by, score, counts)`` with ``_below_<count>``, the sum over the smaller scores of the group, and ``_all_<count>``,
+    the group's sum. Scores are unique in a group; windows run within a range of them, and each range starts with the
+    totals of those before it."""
+    x, by = _ranged(h, score, counts, list(by)), list(by)
     totals = x.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
-    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
-    starts = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in counts])
+    group = Window.partitionBy(*by or [F.lit(0)])  # RANGES rows a group
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in counts], *[F.sum(f"_t_{c}").over(group).alias(f"_all_{c}") for c in counts])
     on = [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
     within = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = {f"_below_{c}": F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts}
@@ -84,31 +106,33 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str
     """(by, a column for each share): interpolated percentiles, exact, without holding a group's values in one buffer."""
     h = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     x = running_totals(h, "_v", ["_n"], by)
-    n = x.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    x = x.join(n, by) if by else x.crossJoin(F.broadcast(n))
-    at = {k: F.lit(p) * (F.col("_all") - 1) for k, p in shares.items()}
+    at = {k: F.lit(p) * (F.col("_all__n") - 1) for k, p in shares.items()}
     holds = lambda place: (F.col("_below__n") <= place) & (place < F.col("_below__n") + F.col("_n"))
     ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"_{e}_{k}") for k, p in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))]
-    g = x.groupBy(*by).agg(*ends, F.max("_all").alias("_all"))
+    g = x.groupBy(*by).agg(*ends, F.max("_all__n").alias("_all__n"))
     return g.select(*by, *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (at[k] - F.floor(at[k]))).alias(k) for k in shares])
 
 
 def auc_rank(df: DataFrame, positive: Column, score: str, by: list[str] = ()) -> DataFrame:
     """ROC AUC with ties at half, null for a single class. Scores are grouped first, so large groups combine before the
     shuffle, and ranks are running totals over ranges of distinct scores."""
+    by = list(by)
     h = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    h = running_totals(h, "_s", ["_n"], by).withColumn("_w", F.col("_p") * (F.col("_below__n") + F.col("_n") / 2.0))
+    within = Window.partitionBy(*by, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    x = _ranged(h, "_s", ["_p", "_n"], by).withColumn("_w", F.col("_p") * (F.coalesce(F.sum("_n").over(within), F.lit(0)) + F.col("_n") / 2.0))
+    # pairs within ranges, then each range's positives with the negatives of the ranges before it
+    r = x.groupBy(*by, "_range").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    r = r.withColumn("_w", F.col("_w") + F.col("_p") * F.coalesce(F.sum("_n").over(before), F.lit(0)))
     pairs = F.sum("_p").cast("double") * F.sum("_n")
-    return h.groupBy(*by).agg(F.try_divide(F.sum("_w"), F.nullif(pairs, F.lit(0.0))).alias("auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    return r.groupBy(*by).agg(F.try_divide(F.sum("_w"), F.nullif(pairs, F.lit(0.0))).alias("auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
 
 
 def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] = ()) -> DataFrame:
     """(threshold, tpr, fpr) per distinct score: shares of both classes at the threshold or over it."""
     h = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    every = h.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
     x = running_totals(h, "threshold", ["_p", "_n"], by)
-    x = x.join(every, list(by)) if by else x.crossJoin(F.broadcast(every))  # one row
-    rate = lambda c: F.try_divide((F.col(f"_all_{c}") - F.col(f"_below__{c}")).cast("double"), F.col(f"_all_{c}"))
+    rate = lambda c: F.try_divide((F.col(f"_all__{c}") - F.col(f"_below__{c}")).cast("double"), F.col(f"_all__{c}"))
     return x.select(*by, "threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
@@ -206,28 +230,46 @@ def distinct_join(c: str, sep: str = ";") -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")))), sep)
 
 
-def group_stats(df: DataFrame, by: list[str], c: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"))
+def with_percentiles(stats: DataFrame, df: DataFrame, by: list[str], columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """``stats(by, ...)`` with exact percentiles of ``df``: name -> (column, share)."""
+    for name, (c, share) in columns.items():
+        found = exact_percentiles(df, by, c, {name: share})
+        found = found.select(*[F.col(b).alias(f"_by_{b}") for b in by], name)
+        stats = stats.join(found, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] or F.lit(True), "left").drop(*[f"_by_{b}" for b in by])
+    return stats
+
+
+def group_stats(df: DataFrame, by: list[str], c: str, category: str | None = None, order: str | None = None, score: str | None = None) -> DataFrame:
+    """(by, n, median, min, max) of ``c``; with ``category`` its value in the first row by ``order``, with ``score`` that
+    column's median too. Medians are exact and hold no group in a buffer."""
+    more = [F.min_by(category, order).alias("category")] if category else []
+    stats = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), *more)
+    return with_percentiles(stats, df, by, {"median": (c, 0.5)} | ({"score_median": (score, 0.5)} if score else {}))
 
 
 def five_number_summary(df: DataFrame, by: list[str], c: str) -> DataFrame:
     return exact_percentiles(df, by, c, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
-def metric_by_group(df: DataFrame, by: list[str], c: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"))
+def metric_by_group(df: DataFrame, by: list[str], c: str, ratio: str | None = None) -> DataFrame:
+    """(by, n, mean, median, std), and with ``ratio`` (a column such as predicted over true size) its mean and median."""
+    more = [F.avg(ratio).alias("ratio_mean")] if ratio else []
+    stats = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), *more)
+    return with_percentiles(stats, df, by, {"median": (c, 0.5)} | ({"ratio_median": (ratio, 0.5)} if ratio else {}))
 
 
 def distribution_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, min, p05, median, mean, p95, max) of many columns in one pass."""
     x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    return x.groupBy("column").agg(F.min("v").alias("min"), F.percentile("v", F.lit(0.05)).alias("p05"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.95)).alias("p95"), F.max("v").alias("max"))
+    ends = x.groupBy("column").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    return ends.join(exact_percentiles(x, ["column"], "v", {"p05": 0.05, "median": 0.5, "p95": 0.95}), "column", "left")
 
 
 def histogram_bins(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
-    """(bin, n) of equal width between the extremes; the highest value is in the last bin."""
+    """(bin, n) of equal width between the extremes; the highest value is in the last bin. Equal values are one bin, 0."""
     ends = df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
-    at = F.least(F.floor((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    share = F.coalesce(F.try_divide(F.col(c) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    at = F.least(F.floor(share * bins), F.lit(bins - 1))
     return df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -304,21 +346,78 @@ def poisson_steps(most: int = 8) -> list[tuple[int, int]]:
     return out
 
 
+#: Tasks that a bootstrap deals sorted scores to, unless the session has more shuffle partitions.
+BOOTSTRAP_TASKS = 16
+
+
 def bootstrap_auc_ci(df: DataFrame, positive: Column, score: str, key: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """95 % percentile interval of AUC by a Poisson bootstrap whose weights come from seeded hashes of key and replicate."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))
-    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-    steps = poisson_steps()
-    weight = F.lit(len(steps))
-    for limit, k in reversed(steps):
-        weight = F.when(draw < limit, F.lit(k)).otherwise(weight)
-    x = df.where(F.col(score).isNotNull()).select(F.col(score).alias("_s"), positive.alias("_y"), key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_w", weight).where("_w > 0")
-    h = x.groupBy("replicate", "_s").agg(F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_y"), 0).otherwise(F.col("_w"))).alias("_n"))
-    h = running_totals(h, "_s", ["_n"], ["replicate"])
-    a = h.withColumn("_x", F.col("_p") * (F.col("_below__n") + F.col("_n") / 2.0)).groupBy("replicate").agg(F.try_divide(F.sum("_x"), F.nullif(F.sum("_p").cast("double") * F.sum("_n"), F.lit(0.0))).alias("auc"))
+    """95 % percentile interval of AUC by a Poisson bootstrap whose weights come from seeded hashes of key and replicate.
+
+    Rows are dealt out by score ranges (equal scores by key, so that a hot score is split) and each task draws a vector
+    of weights per row, one entry a replicate. It returns three sums of vectors: of its first score, of its last, and of
+    what lies between. One running total over these few rows, by score, gives all AUCs; no row meets each replicate.
+    """
+    x = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.coalesce(positive, F.lit(False)).alias("y"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(key).isNull().alias("none"))
+    tasks = max(BOOTSTRAP_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = x.repartitionByRange(tasks, "s", F.xxhash64("k")).sortWithinPartitions("s")
+    parts = dealt.mapInArrow(lambda batches: _bootstrap_part(batches, replicates, seed), "lo double, hi double, w array<double>, p array<double>, n array<double>")
+    each = parts.select("lo", "hi", F.posexplode(F.arrays_zip("w", "p", "n")).alias("replicate", "v")).groupBy("replicate", "lo", "hi").agg(F.sum("v.w").alias("w"), F.sum("v.p").alias("p"), F.sum("v.n").alias("n"))
+    each = each.withColumn("w", F.when(F.col("lo") == F.col("hi"), F.col("p") * F.col("n") / 2).otherwise(F.col("w")))  # a score that several tasks hold
+    before = Window.partitionBy("replicate").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)  # three rows a task
+    a = each.withColumn("w", F.col("w") + F.col("p") * F.coalesce(F.sum("n").over(before), F.lit(0.0))).groupBy("replicate")
+    a = a.agg(F.try_divide(F.sum("w"), F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
     return a.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("auc").alias("replicates"))
 
 
+def _bootstrap_part(batches: Iterator[pa.RecordBatch], replicates: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Sums over one task's rows, sorted by score: (lo, hi, pairs in order, positives, negatives), vectors by replicate."""
+    limits = np.array([limit for limit, _ in poisson_steps()])
+    heads = [hashlib.md5(f"{seed}:{r}".encode()) for r in range(replicates)]
+    groups: list[list] = []  # [score, positives, negatives] of the first score, and of the one that is being read
+    inner, low, high = np.zeros((3, replicates)), None, None
+
+    def weights(keys: list[str], none: list[bool]) -> np.ndarray:
+        raw = bytearray()
+        for k, absent in zip(keys, none, strict=True):
+            tail = b"" if absent else b":" + k.encode()
+            for head in heads:
+                h = head.copy()
+                h.update(tail)
+                raw += h.digest()[:4]
+        return np.searchsorted(limits, np.frombuffer(raw, ">u4").astype(np.int64), "right").reshape(-1, replicates)
+
+    def settle(group: list) -> None:
+        nonlocal low, high
+        inner[0] += group[1] * (inner[2] + group[2] / 2)
+        inner[1] += group[1]
+        inner[2] += group[2]
+        low, high = group[0] if low is None else low, group[0]
+
+    for batch in batches:
+        scores, positive = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        names, none = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for at in range(0, len(scores), 4096):  # a weight matrix of bounded size
+            part = slice(at, at + 4096)
+            drawn = weights(names[part], none[part]).astype(float)
+            now, last = scores[part][1:], scores[part][:-1]
+            edges = np.flatnonzero(np.append(True, (now != last) & ~(np.isnan(now) & np.isnan(last))))
+            p = np.add.reduceat(drawn * positive[part][:, None], edges)
+            n = np.add.reduceat(drawn * ~positive[part][:, None], edges)
+            for score, own_p, own_n in zip(scores[part][edges].tolist(), p, n, strict=True):
+                if groups and (groups[-1][0] == score or score != score and groups[-1][0] != groups[-1][0]):  # NaN is a score, the highest
+                    groups[-1][1], groups[-1][2] = groups[-1][1] + own_p, groups[-1][2] + own_n
+                    continue
+                if len(groups) == 2:
+                    settle(groups.pop())
+                groups.append([score, own_p, own_n])
+    rows = [(g[0], g[0], np.zeros(replicates), g[1], g[2]) for g in groups]
+    if low is not None:
+        rows.append((low, math.nextafter(high, math.inf) if low == high else high, *inner))  # never taken for one score
+    if rows:
+        columns = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), *[pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in columns[2:]]], ["lo", "hi", "w", "p", "n"])
+
+
 def evaluate_head(df: DataFrame, truth: str, pred: str, positive: Column, score: str) -> DataFrame:
     """One summary row: n, accuracy, macro precision, recall and f1, and AUC of the score."""
     macro = macro_metrics(per_class_metrics(df, truth, pred))

@@ -191,9 +191,25 @@ def sibling_values(df: DataFrame, group: list[str], value: str, position: str) -
     return run.select(*group, F.explode(values).alias(value), values.alias("_all")).select(*group, value, F.array_except("_all", F.array(value)).alias("others"))
 
 
+#: Parts that a group is dealt to before its first rows are taken.
+SALTS = 64
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int | Column) -> DataFrame:
-    """First ``k`` rows of each group."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
+    """First ``k`` rows of each group. With a number Spark limits each task's rows before the shuffle; with a column that
+    tells it for each row, groups are first dealt to SALTS parts by a hash of the row, of which each keeps its first ``k``."""
+    first = lambda x, by: x.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
+    if isinstance(k, int):
+        return first(df, group)
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")]
+    return first(first(df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS))), [*group, "_salt"]).drop("_salt"), group)
+
+
+def preview_with_rest(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
+    """First ``k`` rows of each group, with ``more``: how many rows of the group aren't shown (negative: too few)."""
+    n = df.groupBy(*group).agg((F.count(F.lit(1)) - k).alias("more")).select(*[F.col(c).alias(f"_by_{c}") for c in group], "more")
+    shown = top_per_group(df, group, order, k)
+    return shown.join(n, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in group]).drop(*[f"_by_{c}" for c in group])
 
 
 def stratified_alloc(sizes: DataFrame, group: str, size: str, slots: int, least: int = 1) -> DataFrame:
@@ -204,7 +220,7 @@ def stratified_alloc(sizes: DataFrame, group: str, size: str, slots: int, least:
     """
     every = Window.partitionBy(F.lit(0))
     s = sizes.withColumn("_pool", F.sum(size).over(every)).withColumn("_floor", F.least(F.col(size), F.lit(least)))
-    s = s.withColumn("_a", F.least(F.greatest(F.floor(F.col(size) * F.lit(slots) / F.col("_pool")), F.col("_floor")), F.col(size)).cast("long"))
+    s = s.withColumn("_a", F.least(F.greatest(F.coalesce(F.floor(F.try_divide(F.col(size) * F.lit(slots), F.col("_pool"))), F.lit(0)), F.col("_floor")), F.col(size)).cast("long"))
     s = s.withColumn("_d", F.least(F.lit(slots), F.col("_pool")) - F.sum("_a").over(every))
     s = s.withColumn("_room", F.col(size) - F.col("_a")).withColumn("_spare", F.col("_a") - F.col("_floor"))
     before = {n: F.coalesce(F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy(F.desc(n), group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in ("_room", "_spare")}
@@ -221,6 +237,25 @@ def even_split_alloc(sizes: DataFrame, group: str, size: str, target: int) -> Da
     return sizes.select(group, size, F.when(F.col(size) <= share, F.col(size)).otherwise(F.floor(share)).cast("long").alias("alloc"))
 
 
+#: Buckets that a hot group's order is dealt to.
+RANK_BUCKETS = 256
+
+
+def ranks(df: DataFrame, group: list[str], order: str, ties: list[str]) -> DataFrame:
+    """``df`` with ``_rank``, from 1, of each row in its group by the text ``order`` (a hexadecimal hash, so its first digits
+    deal rows out evenly) and then by ``ties``; no task holds a group.
+
+    Rows are numbered within buckets of the order's first two digits; each bucket starts with the counts of those before.
+    """
+    x = df.withColumn("_bucket", F.conv(F.substring(order, 1, 2), 16, 10).cast("int"))
+    counts = x.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # RANK_BUCKETS rows a group
+    starts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in group], F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    on = [F.col("_bucket") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in group]]
+    own = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(order, *ties))
+    return x.withColumn("_own", own).join(starts, on).withColumn("_rank", F.col("_start") + F.col("_own")).drop("_own", "_start", "_bucket", "_at", *[f"_by_{c}" for c in group])
+
+
 def stratified_pick(pool: DataFrame, alloc: DataFrame, group: str, order: list) -> DataFrame:
     """The first ``alloc`` rows of each group; the planner broadcasts the allocation if it is small."""
     sized = pool.join(alloc.select(group, "alloc"), group)
@@ -261,8 +296,9 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def balanced_assign(df: DataFrame, key: str, classes: list[str], within: str, seed: int = 0) -> DataFrame:
     """Class of each row of a group, dealt in turn in a seeded order; counts differ by one at most."""
-    k = F.pmod(F.row_number().over(Window.partitionBy(within).orderBy(hash_rank(key, seed), key)) - 1, F.lit(len(classes)))
-    return df.withColumn("class", F.element_at(F.array(*[F.lit(c) for c in classes]), (k + 1).cast("int")))
+    x = ranks(df.withColumn("_order", hash_rank(key, seed)), [within], "_order", [key])
+    k = F.pmod(F.col("_rank") - 1, F.lit(len(classes)))
+    return x.withColumn("class", F.element_at(F.array(*[F.lit(c) for c in classes]), (k + 1).cast("int"))).drop("_rank", "_order")
 
 
 def exemplar_select(df: DataFrame, label: str, level: str, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -23,8 +23,8 @@ def union_box(boxes: DataFrame, by: list[str], axes: tuple[str, ...] = ("x", "y"
 
 
 def margin_to_px(mm: float, spacing: Column) -> Column:
-    """Margin in pixels, rounded half to even."""
-    return F.bround(F.lit(mm) / spacing).cast("int")
+    """Margin in pixels, rounded half to even; null where the spacing is 0 or unknown."""
+    return F.bround(F.try_divide(F.lit(float(mm)), spacing.cast("double"))).cast("int")
 
 
 def expand_box(boxes: DataFrame, margins: dict[str, Column], limits: dict[str, Column] | None = None) -> DataFrame:

@@ -98,7 +98,7 @@ R.query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b
 
 # ------------------------------------------------------------ sorts, limits, sets
 R.query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10", key="limit_rows")(lambda t: t.orders.orderBy("o_orderkey").limit(10).select("o_orderkey"))
-R.query("SELECT o_orderstatus, o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) - 25 AS more FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 25", key="preview_with_rest")(lambda t: W.top_per_group(t.orders, ["o_orderstatus"], ["o_orderkey"], 25).select("o_orderstatus", "o_orderkey").join(t.orders.groupBy("o_orderstatus").agg((F.count("*") - 25).alias("more")), "o_orderstatus"))
+R.query("SELECT o_orderstatus, o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) - 25 AS more FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 25", key="preview_with_rest")(lambda t: W.preview_with_rest(t.orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], ["o_orderkey"], 25))
 R.query("SELECT n_name AS name, n_nationkey AS id FROM nation UNION ALL SELECT r_name, NULL FROM region", key="union_frames")(lambda t: t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")).unionByName(t.region.select(F.col("r_name").alias("name")), allowMissingColumns=True))
 R.query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders", key="key_intersect")(lambda t: t.customer.select(F.col("c_custkey").alias("k")).intersect(t.orders.select("o_custkey")))
 R.query("SELECT 'a' AS side, k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier) UNION ALL SELECT 'b', k FROM (SELECT s_suppkey AS k FROM supplier EXCEPT SELECT c_custkey FROM customer)", key="key_except")(lambda t: t.customer.select(F.col("c_custkey").alias("k")).subtract(t.supplier.select("s_suppkey")).select(F.lit("a").alias("side"), "k").unionByName(t.supplier.select(F.col("s_suppkey").alias("k")).subtract(t.customer.select("c_custkey")).select(F.lit("b").alias("side"), "k")))

@@ -2,8 +2,8 @@
 
 Both tokenizers cut the same bytes. The cumulative byte ends of either's tokens are a dictionary end -> index; the ends
 that both have, sorted, slice the two id lists into groups, and a slice's links are the token pairs whose byte ranges
-overlap. Where neither tokenizer has a token across a space that follows a visible character (``cuts_hold`` tells from
-the files), texts are cut there: every cut is a common end, so groups and links of the parts are those of the text, and
+overlap. Where neither tokenizer has a token across a space that follows a visible character, or from a letter or digit to a mark
+that ends a word (``cuts_hold`` tells from the files), texts are cut there: every cut is a common end, so groups and links of the parts are those of the text, and
 each distinct part is tokenized and sliced about once in a task. Else a text is one part.
 
 How many documents hold an id pair is counted over the corpus from the distinct pairs of each document. Pairs that hold
@@ -17,7 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +28,47 @@ from ._common import join_counted, need, small_batches, stage, type_of
 
 HOT_PAIRS = 200_000
 #: Distinct parts, and bytes of them, that a task keeps with their alignments.
-PARTS_KEPT, BYTES_KEPT = 150_000, 16 << 20
+PARTS_KEPT, BYTES_KEPT = 200_000, 16 << 20
 
 #: What either tokenizer might take for white space or drop; a cut never follows these.
 _UNSURE = r"\s\x00-\x1f\x7f-\xa0\xad\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u2581\ufeff"
 _FOLLOWED = re.compile(f"[{_UNSURE}] |  ").search
 _CUT = re.compile(f"(?<=[^{_UNSURE}])(?= +[^ ])").split
 
+#: Marks that parts are cut before where they end a word.
+MARKS = ".,;:!?"
+#: A piece that would reach across a cut.
+_ACROSS = re.compile(f"[^▁]▁|[0-9][{MARKS}]").search
 
-def parts_of(text: str) -> list[str]:
-    """Parts of space + text, cut before spaces that follow a visible character; each without its first space."""
-    if text[:1] != " " and text[-1:] != " " and not _FOLLOWED(text):
-        return text.split(" ")
-    return [p[1:] for p in _CUT(" " + text)]
-
-
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """(ids of a, ids of b, links) of each group; ``size_a`` and ``size_b`` are the tokens' bytes."""
-    ends_a = dict(zip(np.cumsum(size_a).tolist(), range(1, len(a) + 1), strict=True))
-    ends_b = dict(zip(np.cumsum(size_b).tolist(), range(1, len(b) + 1), strict=True))
-    i = j = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_i, to_j = ends_a[end], ends_b[end]
-        if to_i == i + 1 or to_j == j + 1:
-            links = [(x, y) for x in a[i:to_i] for y in b[j:to_j]]
-        else:
-            links, p, q, end_p, end_q = [], i, j, size_a[i], size_b[j]
-            while True:
-                links.append((a[p], b[q]))
-                step_p, step_q = end_p <= end_q, end_q <= end_p
-                if step_p:
-                    p += 1
-                if step_q:
-                    q += 1
-                if p == to_i or q == to_j:
-                    break
-                end_p += size_a[p] if step_p else 0
-                end_q += size_b[q] if step_q else 0
-        yield a[i:to_i], b[j:to_j], links
-        i, j = to_i, to_j
+
+def parts_of(text: str) -> list[str | bytes]:
+    """Parts of space + text: cut before spaces that follow a visible character, and before the marks that end a word.
+
+    Words are without their first space; marks are bytes, so that they aren't taken for a word."""
+    plain = text[:1] != " " and text[-1:] != " " and not _FOLLOWED(text)
+    out: list[str | bytes] = []
+    for part in text.split(" ") if plain else [p[1:] for p in _CUT(" " + text)]:
+        if part and part[-1] in MARKS:
+            word = part.rstrip(MARKS)
+            if word and (word[-1].isalpha() or word[-1] in "0123456789"):
+                out.append(word)
+                part = part[len(word) :].encode()
+        out.append(part)
+    return out
+
+
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(end, tokens of a up to it, tokens of b up to it) of each byte end that tokens of both have, in their order."""
+    upto_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
+    upto_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1), strict=True))
+    return [(end, upto_a[end], upto_b[end]) for end in sorted(upto_a.keys() & upto_b.keys())]
+
+
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, place in a, place in b) of every two tokens whose bytes overlap: two ranges share one stretch between
+    neighbouring ends of either, if any, and each such stretch is in one token of a and one of b."""
+    ends = np.union1d(ends_a, ends_b)
+    return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 def byte_letters() -> dict[str, int]:
@@ -93,15 +95,19 @@ class Tokenizers:
             self.bytes_a[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.size_a, self.size_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.names_a, self.names_b = [f"{k}|" for k in range(len(self.bytes_a))], [str(k) for k in range(len(self.bytes_b))]
         self.whole = not cuts_hold(path_a, path_b)
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of space + part by either tokenizer; the second adds the space itself."""
-        return zip((x.ids for x in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)), self.b.encode(parts, num_threads=1), strict=True)
+    def encode(self, parts: list[str | bytes]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of space + word, where the second tokenizer adds the space itself, or of marks, by either tokenizer."""
+        words = ["a" + p.decode() if isinstance(p, bytes) else p for p in parts]
+        coded = zip(parts, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True)
+        return ((a.ids[1:], b[1:]) if isinstance(p, bytes) else (a.ids, b) for p, a, b in coded)  # marks follow a letter, which is one token
 
 
 def cuts_hold(path_a: str, path_b: str) -> bool:
-    """Whether no token of either file can reach across a space that follows a visible character."""
+    """Whether no token of either file can reach across the cuts of ``parts_of``."""
     from sentencepiece import sentencepiece_model_pb2
 
     with open(path_a, encoding="utf-8") as f:
@@ -113,7 +119,7 @@ def cuts_hold(path_a: str, path_b: str) -> bool:
         model.ParseFromString(f.read())
     spec, trained = model.normalizer_spec, model.trainer_spec
     plain = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not trained.treat_whitespace_as_suffix
-    return bool(first and plain and trained.model_type == trained.BPE and not any(p.type == p.USER_DEFINED or re.search("[^▁]▁", p.piece) for p in model.pieces))
+    return bool(first and plain and trained.model_type == trained.BPE and not any(p.type == p.USER_DEFINED or _ACROSS(p.piece) or any(x.isalpha() and y in MARKS for x, y in pairwise(p.piece)) for p in model.pieces))
 
 
 class Parts:
@@ -124,40 +130,51 @@ class Parts:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pair_number: dict[tuple[int, int], int] = {}
+        self.number: dict[str | bytes, int] = {}
+        self.pair_number: dict[int, int] = {}
         self.groups: list[str] = []
         #: tokens of a, of b, groups, links of each part; -1 where the tokens' bytes aren't the part's
-        self.sizes = np.zeros((0, 4), np.int64)
-        self.links, self.pairs, self.kept = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def learn(self, parts: list[str]) -> None:
-        sizes, links, bytes_a, bytes_b = [], [], self.of.bytes_a, self.of.bytes_b
-        for part, (a, b) in zip(parts, self.of.encode(parts), strict=True):
-            own_a, own_b = [bytes_a[x] for x in a], [bytes_b[x] for x in b]
-            raw, texts, before = (" " + part).encode(), [], len(links)
-            self.number[part] = len(self.number)
-            self.kept += len(raw)
-            if b"".join(own_a) != raw or b"".join(own_b) != raw:
-                sizes.append((-1, -1, -1, 0))
-                self.groups.append("")
-                continue
-            for ids_a, ids_b, pairs in align(a, b, list(map(len, own_a)), list(map(len, own_b))):
-                texts.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-                links += [self.pair_number.setdefault(p, len(self.pair_number)) for p in pairs]
-            sizes.append((len(a), len(b), len(texts), len(links) - before))
-            self.groups.append(";".join(texts))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
-        new = list(islice(self.pair_number, len(self.pairs), None))
-        self.pairs = np.concatenate([self.pairs, np.array([x << 32 | y for x, y in new], np.int64)])
+        self.sizes = np.zeros((0, 4), np.int32)
+        self.links, self.pairs, self.kept = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+
+    def learn(self, parts: list[str | bytes]) -> None:
+        """Align new parts, end to end, as one run of bytes: the ends of parts are common ends."""
+        of, coded = self.of, list(self.of.encode(parts))
+        raw = [p if isinstance(p, bytes) else (" " + p).encode() for p in parts]
+        joined = lambda own, ids: b"".join([own[x] for x in ids])
+        bad = [k for k, (a, b) in enumerate(coded) if joined(of.bytes_a, a) != raw[k] or joined(of.bytes_b, b) != raw[k]]
+        self.kept += sum(map(len, raw))
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        for k in bad:
+            coded[k], raw[k] = ([], []), b""
+        a, b = (list(chain.from_iterable(x[side] for x in coded)) for side in (0, 1))
+        ends_a, ends_b, ends = np.cumsum(of.size_a[a]), np.cumsum(of.size_b[b]), np.cumsum(list(map(len, raw)), dtype=np.int64)
+        common, texts, i, j = common_ends(ends_a, ends_b), [], 0, 0
+        for _, to_i, to_j in common:
+            one = to_i == i + 1 and to_j == j + 1
+            texts.append(of.names_a[a[i]] + of.names_b[b[j]] if one else f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
+            i, j = to_i, to_j
+        at_link, of_a, of_b = links_of(ends_a, ends_b)
+        distinct, links = np.unique(np.array(a, np.int64)[of_a] << 32 | np.array(b, np.int64)[of_b], return_inverse=True)
+        numbers = [self.pair_number.setdefault(p, len(self.pair_number)) for p in distinct.tolist()]
+        upto = [np.searchsorted(own, ends, "right") for own in (ends_a, ends_b, np.array([e for e, _, _ in common], np.int64), at_link)]
+        sizes = np.stack([np.diff(x, prepend=0) for x in upto], 1).astype(np.int32)
+        sizes[bad, :3] = -1
+        first = 0
+        for end in upto[2].tolist():
+            self.groups.append(";".join(texts[first:end]))
+            first = end
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.links = np.concatenate([self.links, np.array(numbers, np.int32)[links]])
+        self.pairs = np.concatenate([self.pairs, np.array(list(islice(self.pair_number, len(self.pairs), None)), np.int64)])
 
     def align(self, texts: list[str | None], keep_groups: bool) -> list[pa.Array]:
         """Columns of COLUMNS for a batch of texts."""
         cut = [[] if not t else [t] if self.of.whole else parts_of(t) for t in texts]
         if len(self.number) > PARTS_KEPT or self.kept > BYTES_KEPT:
             self.clear()
-        self.learn(list({p: 0 for parts in cut for p in parts if p not in self.number}))
+        if new := list({p: 0 for parts in cut for p in parts if p not in self.number}):
+            self.learn(new)
         count = np.fromiter(map(len, cut), np.int64, len(cut))
         part = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
         doc = np.repeat(np.arange(len(cut)), count)
@@ -172,7 +189,7 @@ class Parts:
         both, times = np.unique(doc * len(self.number) + part, return_counts=True)
         doc, part = np.divmod(both, max(1, len(self.number)))
         n = self.sizes[part, 3]
-        start = (np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3])[part]
+        start = (np.cumsum(self.sizes[:, 3], dtype=np.int64) - self.sizes[:, 3])[part]
         at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
         both, where = np.unique(np.repeat(doc, n) * max(1, len(self.pairs)) + self.links[at], return_inverse=True)
         times = np.bincount(where, np.repeat(times, n), len(both)).astype(np.int32)

@@ -4,10 +4,11 @@ Every word begins one window of ORDER words, padded where its piece ends. Counts
 windows with that prefix, so Spark's ROLLUP over the window's columns gives the count of each phrase of 1 to ORDER
 words, and at the level of the language alone the number of words; no n-gram is exploded by itself.
 
-A phrase that occurs ``least`` times has words and word pairs that do. So two counts of hashed keys come first, of words
-and of pairs of the words left, and a window is padded from the first word on that is in no frequent pair. This cuts
-prefixes only that are no candidates. The keys pass as a bit filter whose size follows their number, up to MOST_BITS;
-false hits leave windows longer than needed and change no result.
+All parts of a phrase that occurs ``least`` times do so too. Counts of hashed keys come first, of words, of pairs of the
+words left, and of triples of the pairs left, and a window is padded from the word on that makes it rarer. This cuts
+only prefixes that are no candidates. The keys pass as bit filters whose size follows their number, up to MOST_BITS;
+false hits leave windows longer than needed and change no result. What a task has counted travels in blocks, one for
+each part of the keys, and is summed part by part.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from ._common import need, stage, unstage
 ORDER = 5
 #: Bytes of text that are counted together in a task.
 CHUNK_BYTES = 4 << 20
+#: Keys, and windows, that a task sums up before it passes them on.
+HELD_KEYS, HELD_WINDOWS = 1 << 20, 1 << 19
+#: Phrases up to this many words are counted by keys first.
+FILTERED = 3
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 UNKNOWN = "und"
 
@@ -54,16 +60,24 @@ class Words:
         seed = xxhash.xxh32_intdigest(lang)
         self.keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.dictionary.to_pylist()), np.uint64, len(self.words))
 
-    def pair_keys(self, where: np.ndarray) -> np.ndarray:
-        """Key of each pair of a word and its next, at the places ``where``."""
-        with np.errstate(over="ignore"):
-            left = self.keys[self.ids[where]] * _MIX
-            return (left ^ (left >> np.uint64(29))) + self.keys[self.ids[where + 1]]
-
-    def frequent_pairs(self, word_filter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words may be frequent, and at which places they and their next may both be."""
-        good = member(self.keys, word_filter)[self.ids]
-        return good, np.flatnonzero(self.joined & good[:-1] & good[1:])
+    def gram_keys(self, k: int, places: np.ndarray) -> np.ndarray:
+        """Key of the ``k`` words at each place."""
+        key = self.keys[self.ids[places]]
+        for step in range(1, k):
+            key = key * _MIX
+            key = (key ^ (key >> np.uint64(29))) + self.keys[self.ids[places + step]]
+        return key
+
+    def places(self, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For k = 1, 2, ... whether the k words at each place pass the k-th filter, as do all shorter phrases in them;
+        and the places where the next longer phrase may pass too."""
+        passed, at = [], np.arange(len(self.ids))
+        for k, bits in enumerate(filters, 1):
+            good = np.zeros(len(self.ids), bool)
+            good[at[member(self.gram_keys(k, at), bits)] if k > 1 else member(self.keys, bits)[self.ids]] = True
+            passed.append(good)
+            at = np.flatnonzero(good[:-1] & good[1:] & self.joined)
+        return passed, at
 
 
 def member(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -96,20 +110,53 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     yield from flush()
 
 
-def frequent_keys(docs: DataFrame, least: int, word_filter=None) -> np.ndarray:
-    """Filter of the keys of words that occur ``least`` times or more; given that filter, of pairs of such words."""
+def in_blocks(table: pa.Table, part: np.ndarray) -> pa.RecordBatch:
+    """Rows of a table as a block for each part: lists of what the columns hold."""
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    ends, table = pa.array(np.append(first, len(order)), pa.int32()), table.take(pa.array(order))
+    lists = [pa.ListArray.from_arrays(ends, c.combine_chunks()) for c in table.columns]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *lists], ["part", *table.column_names])
+
+
+def sum_blocks(blocks: DataFrame, kinds: dict[str, str], least: int) -> DataFrame:
+    """Rows of all blocks with the sum of ``n`` of equal ones, of those where it is ``least`` or more. Blocks of a part
+    meet in one task; parts are even, as a task adds a row once, whatever its count."""
+
+    def add(blocks: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.compute.list_flatten(blocks.column(c)) for c in [*kinds, "n"]})
+        total = flat.group_by([*kinds]).aggregate([("n", "sum")]).rename_columns([*kinds, "n"])
+        return total.filter(pa.compute.field("n") >= least)
+
+    return blocks.groupBy("part").applyInArrow(add, "".join(f"{c} {kind}, " for c, kind in kinds.items()) + "n long")
+
+
+def frequent_keys(docs: DataFrame, least: int, shorter: list) -> np.ndarray:
+    """Filter of the keys of phrases, one word longer than the last of the filters ``shorter``, that occur ``least``
+    times or more and whose parts pass those filters."""
+    parts = parts_for(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+            return in_blocks(pa.table({"key": keys.view(np.int64), "n": n}), (keys >> np.uint64(32)) % np.uint64(parts))
+
         for lang, raw in chunks(batches):
             found = Words(raw, lang)
-            if word_filter is None:
-                keys, n = found.keys, np.bincount(found.ids, minlength=len(found.keys))
-            else:
-                keys, n = np.unique(found.pair_keys(found.frequent_pairs(word_filter.value)[1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
-
-    counted = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-    keys = stage(counted, "collocation-keys")
+            at = found.places([f.value for f in shorter])[1]
+            held.append(np.unique(found.gram_keys(len(shorter) + 1, at), return_counts=True) if shorter else (found.keys, np.bincount(found.ids, minlength=len(found.keys))))
+            size += len(held[-1][0])
+            if size > HELD_KEYS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    blocks = docs.mapInArrow(count, "part int, key array<long>, n array<long>")
+    keys = stage(sum_blocks(blocks, {"key": "long"}, least).select("key"), "collocation-keys")
     size = min(max(1 << (16 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
     place = F.col("key").bitwiseAND(F.lit(size - 1)) + 1
     marks = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -121,28 +168,53 @@ def frequent_keys(docs: DataFrame, least: int, word_filter=None) -> np.ndarray:
     return bits
 
 
-def count_windows(docs: DataFrame, word_filter, pair_filter) -> DataFrame:
-    """(lang, w1 ... w5, n): windows by their words, '' beyond the last; equal windows of a chunk are one row."""
-    names = [f"w{k}" for k in range(1, ORDER + 1)]
+def parts_for(docs: DataFrame) -> int:
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def count_windows(docs: DataFrame, filters: list) -> DataFrame:
+    """(lang, w1 ... w5, n): windows by their words, '' beyond the last; ``filters`` are for phrases of 1, 2, ... words."""
+    names, parts = [f"w{k}" for k in range(1, ORDER + 1)], parts_for(docs)
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["part", "lang", *names]).aggregate([("n", "sum")]).rename_columns(["part", "lang", *names, "n"])
+
+    def block(tables: list[pa.Table]) -> pa.RecordBatch:
+        table = summed(tables)
+        return in_blocks(table.drop_columns("part"), table.column("part").to_numpy())
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for lang, raw in chunks(batches):
             found = Words(raw, lang)
-            good, places = found.frequent_pairs(word_filter.value)
-            more = np.zeros(len(good) + ORDER, bool)  # whether the window goes on behind this word
-            more[places[member(found.pair_keys(places), pair_filter.value)]] = True
-            ids = np.zeros(len(good) + ORDER, np.int32)
-            ids[: len(good)] = np.where(good, found.ids + 1, 0)
-            held, columns = np.ones(len(good), bool), []
-            for k in range(ORDER):
-                columns.append(np.where(held, ids[k : k + len(good)], 0))
-                held = held & more[k : k + len(good)]
+            passed, _ = found.places([f.value for f in filters])
+            size = len(found.ids)
+            ids, joined = np.append(found.ids + 1, np.zeros(ORDER, np.int32)), np.append(found.joined, np.zeros(ORDER + 1, bool))
+            open_, columns = np.ones(size, bool), []
+            for k in range(1, ORDER + 1):  # the window holds its k-th word if its first k words may be frequent
+                own = passed[min(k, len(passed)) - 1]
+                open_ = open_ & np.append(own, np.zeros(ORDER, bool))[max(0, k - len(passed)) :][:size]
+                if k > 1:
+                    open_ = open_ & joined[k - 2 :][:size]
+                columns.append(np.where(open_, ids[k - 1 :][:size], 0).astype(np.int32))
             equal = pa.table(columns, names=names).group_by(names).aggregate([([], "count_all")])
             words = pa.concat_arrays([pa.array([""], pa.large_string()), found.words])
-            out = [words.take(equal.column(c).combine_chunks()).cast(pa.string()) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(equal), pa.string()), *out, equal.column("count_all").combine_chunks()], ["lang", *names, "n"])
-
-    return docs.mapInArrow(windows, "lang string, " + "".join(f"{c} string, " for c in names) + "n long")
+            keys, mixed = np.append(found.keys, np.uint64(0)), np.zeros(len(equal), np.uint64)
+            for c in names:
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX + keys[equal.column(c).to_numpy() - 1]
+            part = pa.array(((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32))
+            text = {c: words.take(equal.column(c).combine_chunks()).cast(pa.string()) for c in names}
+            held.append(pa.table({"part": part, "lang": pa.array([lang] * len(equal), pa.string()), **text, "n": equal.column("count_all")}))
+            if len(held) > 1 and sum(map(len, held)) > HELD_WINDOWS:
+                held = [summed(held)]
+                if len(held[0]) > HELD_WINDOWS / 2:
+                    yield block(held)
+                    held = []
+        if held:
+            yield block(held)
+
+    blocks = docs.mapInArrow(windows, "part int, " + "".join(f"{c} array<string>, " for c in ["lang", *names]) + "n array<long>")
+    return sum_blocks(blocks, dict.fromkeys(["lang", *names], "string"), 1)
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -151,11 +223,11 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     given = need(docs, lang_col, text_col)
     given = given.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    word_filter = context.broadcast(frequent_keys(given, least))
-    pair_filter = context.broadcast(frequent_keys(given, least, word_filter))
+    filters: list = []
+    for _ in range(FILTERED):
+        filters.append(context.broadcast(frequent_keys(given, least, filters)))
     names = [f"w{k}" for k in range(1, ORDER + 1)]
-    windows = count_windows(given, word_filter, pair_filter).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    summed = windows.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    summed = count_windows(given, filters).rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
     # the level's bits are set for the columns that are summed over: no bit for whole windows, ORDER for a language
     size = F.lit(ORDER) - F.bit_count("level")
     last = F.get(F.array(F.lit("_"), *names), size.cast("int"))

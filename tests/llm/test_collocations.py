@@ -49,10 +49,13 @@ def texts(seed: int, n: int = 300):
     return rows + [("en", None), ("en", ""), (None, " . , \t"), ("fr", "one two")]
 
 
-@pytest.mark.parametrize("seed,least,top,chunk", [(1, 5, 2000, 4 << 20), (2, 2, 7, 500), (3, 1, 2000, 1)])
-def test_equals_counting_every_phrase(spark, monkeypatch, seed, least, top, chunk):
-    """Chunks of any size, in which a piece may be larger than a chunk, give the same counts."""
+@pytest.mark.parametrize("seed,least,top,chunk,filtered", [(1, 5, 2000, 4 << 20, 3), (2, 2, 7, 500, 1), (3, 1, 2000, 1, 5)])
+def test_equals_counting_every_phrase(spark, monkeypatch, seed, least, top, chunk, filtered):
+    """Chunks of any size, in which a piece may be larger than a chunk, and any number of filters give the same counts."""
     monkeypatch.setattr(C, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(C, "HELD_KEYS", 10 if chunk < 10_000 else C.HELD_KEYS)
+    monkeypatch.setattr(C, "HELD_WINDOWS", 10 if chunk < 10_000 else C.HELD_WINDOWS)
+    monkeypatch.setattr(C, "FILTERED", filtered)
     rows = texts(seed, 300 if least > 1 else 60)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     got = [tuple(r) for r in C.collocations(df, least, top).collect()]

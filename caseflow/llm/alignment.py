@@ -30,6 +30,9 @@ HOT_PAIRS = 200_000
 #: Distinct parts, and bytes of them, that a task keeps with their alignments.
 PARTS_KEPT, BYTES_KEPT = 200_000, 16 << 20
 
+#: Words that are tokenized together.
+RUN = 256
+
 #: What either tokenizer might take for white space or drop; a cut never follows these.
 _UNSURE = r"\s\x00-\x1f\x7f-\xa0\xad\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u2581\ufeff"
 _FOLLOWED = re.compile(f"[{_UNSURE}] |  ").search
@@ -99,11 +102,32 @@ class Tokenizers:
         self.names_a, self.names_b = [f"{k}|" for k in range(len(self.bytes_a))], [str(k) for k in range(len(self.bytes_b))]
         self.whole = not cuts_hold(path_a, path_b)
 
-    def encode(self, parts: list[str | bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of space + word, where the second tokenizer adds the space itself, or of marks, by either tokenizer."""
-        words = ["a" + p.decode() if isinstance(p, bytes) else p for p in parts]
-        coded = zip(parts, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True)
-        return ((a.ids[1:], b[1:]) if isinstance(p, bytes) else (a.ids, b) for p, a, b in coded)  # marks follow a letter, which is one token
+    def encode(self, parts: list[str | bytes]) -> Iterator[tuple[list[str | bytes], bytes, list[int], list[int]]]:
+        """(parts, their bytes, ids of either tokenizer) of runs of parts, all parts in their order. Words that end
+        visibly are joined to runs, in which the cuts hold as in a text; other parts are alone. A part that either
+        tokenizer doesn't give back is alone and has no ids."""
+        runs: list[list[str | bytes]] = [[]]
+        for p in parts:
+            if not (isinstance(p, str) and p and p[0] != " " and (p[-1].isalnum() or "!" <= p[-1] <= "~")):
+                runs += [[p], []]
+                continue
+            runs[-1].append(p)
+            if len(runs[-1]) == RUN:
+                runs.append([])
+        yield from self._encode([r for r in runs if r])
+
+    def _encode(self, runs: list[list[str | bytes]]) -> Iterator[tuple[list[str | bytes], bytes, list[int], list[int]]]:
+        marks = [isinstance(r[0], bytes) for r in runs]
+        words = ["a" + r[0].decode() if m else " ".join(r) for r, m in zip(runs, marks, strict=True)]
+        coded = zip(runs, marks, words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True)
+        for run, mark, text, a, b in coded:
+            raw, ids = (run[0], (a.ids[1:], b[1:])) if mark else ((" " + text).encode(), (a.ids, b))  # marks follow a letter, which is one token
+            if all(b"".join([own[x] for x in y]) == raw for own, y in zip((self.bytes_a, self.bytes_b), ids, strict=True)):
+                yield run, raw, *ids
+            elif len(run) > 1:
+                yield from self._encode([[p] for p in run])
+            else:
+                yield run, b"", [], []
 
 
 def cuts_hold(path_a: str, path_b: str) -> bool:
@@ -139,16 +163,19 @@ class Parts:
 
     def learn(self, parts: list[str | bytes]) -> None:
         """Align new parts, end to end, as one run of bytes: the ends of parts are common ends."""
-        of, coded = self.of, list(self.of.encode(parts))
-        raw = [p if isinstance(p, bytes) else (" " + p).encode() for p in parts]
-        joined = lambda own, ids: b"".join([own[x] for x in ids])
-        bad = [k for k, (a, b) in enumerate(coded) if joined(of.bytes_a, a) != raw[k] or joined(of.bytes_b, b) != raw[k]]
-        self.kept += sum(map(len, raw))
+        of, a, b, sizes, bad = self.of, [], [], [], []
+        for run, raw, ids_a, ids_b in of.encode(parts):
+            a += ids_a
+            b += ids_b
+            if len(run) > 1:
+                sizes += [len(p) + 1 for p in run] if raw.isascii() else [len(p.encode()) + 1 for p in run]
+            else:
+                if not raw:
+                    bad.append(len(sizes))
+                sizes.append(len(raw))
+        ends_a, ends_b, ends = np.cumsum(of.size_a[a]), np.cumsum(of.size_b[b]), np.cumsum(sizes, dtype=np.int64)
+        self.kept += int(ends[-1])
         self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
-        for k in bad:
-            coded[k], raw[k] = ([], []), b""
-        a, b = (list(chain.from_iterable(x[side] for x in coded)) for side in (0, 1))
-        ends_a, ends_b, ends = np.cumsum(of.size_a[a]), np.cumsum(of.size_b[b]), np.cumsum(list(map(len, raw)), dtype=np.int64)
         common, texts, i, j = common_ends(ends_a, ends_b), [], 0, 0
         for _, to_i, to_j in common:
             one = to_i == i + 1 and to_j == j + 1

@@ -10,12 +10,13 @@ document's own ids: its token-position rows join the vocabulary, and pieces are
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
+from contextlib import contextmanager, suppress
 
 import duckdb
 import numpy as np
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from ._common import need, small_batches, with_text
 
 LONG_BYTES = 64
-#: Words whose ids a worker keeps; memory of a worker's DuckDB.
-WORDS_KEPT, MEMORY = 100_000, "128MB"
+#: Words whose ids a task keeps; memory of a task's DuckDB. Both go with the task.
+WORDS_KEPT, MEMORY = 250_000, "128MB"
 #: Texts are encoded in groups of about this many characters; a query contracts words of at most this many squared bytes
 #: in all (what the recursion keeps grows with them), and decodes at most this many tokens, in runs of at most RUN.
-GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 500_000, 2_000_000, 1 << 17, 1 << 16
+GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 1_000_000, 8_000_000, 1 << 18, 1 << 16
 
 #: token-position rows of each word meet the merge table; the least (rank, position) of a word is contracted.
 #: Row 255 of a list can't occur: longer words go through the heap.
@@ -48,6 +49,12 @@ WITH RECURSIVE parts(step, word, ids) AS (
  done AS (SELECT word, arg_max(ids, step) AS ids FROM parts GROUP BY word)
 SELECT word, array_to_string(ids, ',') AS ids FROM done
 """
+#: Every cut of a token into two tokens is a merge whose result is that token.
+_MERGES = """
+CREATE TABLE merges AS SELECT l.id AS a, r.id AS b, t.id AS merged
+FROM (SELECT id, piece, unnest(range(1, length(piece))) AS k FROM vocabulary WHERE length(piece) > 1) AS t
+JOIN vocabulary AS l ON l.piece = substring(t.piece, 1, t.k) JOIN vocabulary AS r ON r.piece = substring(t.piece, t.k + 1)
+"""
 #: token-position rows of each run meet the vocabulary; pieces hold a character for each byte.
 _DECODE = "SELECT run, array_to_string(list(piece ORDER BY pos), '') AS decoded FROM coded JOIN vocabulary USING (id) GROUP BY run"
 #: The pattern of the public rank files (a fixed value), and its classes spelled out for code points below U+0250,
@@ -66,7 +73,6 @@ def splitter(pattern: str):
     return lambda text: every(text) if _BEYOND(text) else _LATIN(text)
 
 
-@lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank of a tiktoken rank file."""
     with open(path, "rb") as f:
@@ -100,19 +106,38 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Ids(dict):
+    """Ids of words, as text; those of whole vocabulary entries come from the ranks when asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> str:
+        self[word] = str(self.ranks[word.encode("utf-8", "replace")])
+        return self[word]
+
+
 class Encoder:
-    """Encodes and decodes whole texts with one rank file; holds a DuckDB connection, so it stays in its process."""
+    """Encodes and decodes whole texts with one rank file; holds a DuckDB connection, so it stays in its task."""
 
     def __init__(self, path: str, pattern: str = PATTERN) -> None:
         self.ranks = load_ranks(path)
         self.split = splitter(pattern)
         #: ids of each word met lately, as text
-        self.kept: dict[str, str] = {t.decode(): str(r) for t, r in self.ranks.items() if not _broken(t)}
-        self.vocabulary_words = len(self.kept)
+        self.kept: dict[str, str] = Ids(self.ranks)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # nothing spills to a local disk
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self._table("merges", {"a": pa.array([p[0] for p in pairs], pa.int32()), "b": pa.array([p[1] for p in pairs], pa.int32()), "merged": pa.array([p[2] for p in pairs], pa.int32())})
-        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
+        ids, pieces = np.fromiter(self.ranks.values(), np.int32, len(self.ranks)), pa.array([t.decode("latin-1") for t in self.ranks])
+        self._table("vocabulary", {"id": pa.array(ids), "piece": pieces})
+        self.db.execute(_MERGES)
+
+    def close(self) -> None:
+        """Give all memory back; workers outlive tasks, and other stages need it."""
+        self.db.close()
+        self.ranks, self.kept = {}, Ids({})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("given", pa.table(columns))
@@ -152,8 +177,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, joined by commas, as ordinary text: special tokens have no meaning."""
         pieces = [self.split(t) for t in texts]
-        if len(self.kept) > WORDS_KEPT + self.vocabulary_words:
-            self.kept = dict(islice(self.kept.items(), self.vocabulary_words))
+        if len(self.kept) > WORDS_KEPT:
+            self.kept.clear()
         new = {w for p in pieces for w in p if w not in self.kept}
         if new:
             self.learn_words(new)
@@ -173,7 +198,6 @@ class Encoder:
             decoded = dict(zip(found.column("run").to_pylist(), found.column("decoded").to_pylist(), strict=True))
             for r, (k, _) in enumerate(part):
                 out[k].append(decoded.get(r, "").encode("latin-1"))
-        pa.default_memory_pool().release_unused()  # a worker lives on, so what a group used goes back
         return [b"".join(x) for x in out]
 
     def code(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
@@ -189,19 +213,20 @@ def parse_ids(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
-def _broken(token: bytes) -> bool:
-    try:
-        token.decode()
-    except UnicodeDecodeError:
-        return True
-    return False
-
-
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@contextmanager
+def encoding(path: str, pattern: str) -> Iterator[Encoder]:
+    """An encoder that lives as long as the block: as a task of an iterator's function."""
+    encoder = _encoder(path, pattern)
+    try:
+        yield encoder
+    finally:
+        encoder.close()
+
+
 def _groups(texts: list[str]) -> Iterator[slice]:
     start = size = 0
     for k, t in enumerate(texts):
@@ -220,9 +245,11 @@ def encode_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: st
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        texts = [t or "" for t in texts]
-        return pd.Series([parse_ids(x) for at in _groups(texts) for x in _encoder(path, pattern).encode(texts[at])])
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with encoding(path, pattern) as encoder:
+            for batch in batches:
+                texts = [t or "" for t in batch]
+                yield pd.Series([parse_ids(x) for at in _groups(texts) for x in encoder.encode(texts[at])])
 
     out = need(docs, id_col, text_col)
     return out.select(F.col(f"`{id_col}`"), ids(F.col(f"`{text_col}`").cast("string")).alias("ids"))
@@ -233,8 +260,10 @@ def decode_tokens(coded: DataFrame, path: str, pattern: str = PATTERN, id_col: s
     small_batches(coded.sparkSession)
 
     @F.pandas_udf("binary")
-    def raw(ids: pd.Series) -> pd.Series:
-        return pd.Series(_encoder(path, pattern).decode([np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in ids]))
+    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with encoding(path, pattern) as encoder:
+            for ids in batches:
+                yield pd.Series(encoder.decode([np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in ids]))
 
     return need(coded, id_col, ids_col).select(F.col(f"`{id_col}`"), raw(F.col(f"`{ids_col}`")).alias("bytes"))
 
@@ -248,11 +277,13 @@ def digest_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: st
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        encoder, out, texts = _encoder(path, pattern), [], [t or "" for t in texts]
-        for at in _groups(texts):
-            out += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for n, ids, raw in encoder.code(texts[at])]
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with encoding(path, pattern) as encoder:
+            for batch in batches:
+                out, texts = [], [t or "" for t in batch]
+                for at in _groups(texts):
+                    out += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for n, ids, raw in encoder.code(texts[at])]
+                yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = need(docs, id_col, text_col)
     out = out.select(F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`").cast("string")).alias("_d"))
@@ -265,10 +296,12 @@ def with_tokens(docs: DataFrame, path: str, pattern: str = PATTERN, text_col: st
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, token_ids string, text string")
-    def code(texts: pd.Series) -> pd.DataFrame:
-        encoder, out, given = _encoder(path, pattern), [], [t or "" for t in texts]
-        for at in _groups(given):
-            out += [(n, ids, raw.decode("utf-8", "replace")) for n, ids, raw in encoder.code(given[at])]
-        return pd.DataFrame(out, columns=["n_tokens", "token_ids", "text"])
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with encoding(path, pattern) as encoder:
+            for batch in batches:
+                out, given = [], [t or "" for t in batch]
+                for at in _groups(given):
+                    out += [(n, ids, raw.decode("utf-8", "replace")) for n, ids, raw in encoder.code(given[at])]
+                yield pd.DataFrame(out, columns=["n_tokens", "token_ids", "text"])
 
     return with_text(docs, text_col, code, {"n_tokens": "n_tokens", "token_ids": "token_ids"})

@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -252,14 +253,13 @@ class Pseudonyms:
 def pseudonyms_of(spark: SparkSession, key: str):
     """Function of a whole text's column: struct(text, n_values, spans)."""
     small_batches(spark)
-    kept: list[Pseudonyms] = []
 
     @F.pandas_udf("text string, n_values int, spans array<struct<kind:string,start:int,end:int>>")
-    def mask(texts: pd.Series) -> pd.DataFrame:
-        if not kept:
-            kept.append(Pseudonyms(key))
-        rows = [kept[0].replace(t) for t in texts]
-        return pd.DataFrame({"text": [r[0] for r in rows], "n_values": [r[1] for r in rows], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in r[2]] for r in rows]})
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Pseudonyms(key)  # what it keeps goes with the task
+        for texts in batches:
+            rows = [own.replace(t) for t in texts]
+            yield pd.DataFrame({"text": [r[0] for r in rows], "n_values": [r[1] for r in rows], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in r[2]] for r in rows]})
 
     return mask
 

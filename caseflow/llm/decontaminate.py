@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import MARK_BITS, need, numbered, place, small_batches, stage, type_of
@@ -224,6 +224,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col:
                     yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
                     out = []
             yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
+        _WORDS.clear()  # workers outlive tasks
 
     rows = need(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string")).where("id is not null and text is not null")
     return rows.mapInPandas(cut, f"h long, id {type_of(docs, id_col)}, at int, found array<string>")
@@ -242,6 +243,21 @@ def consistent(places: pd.Series, slots: pd.Series, found: pd.Series) -> pd.Data
     return pd.DataFrame(out, columns=["places", "changed"])
 
 
+def candidates(found: DataFrame, items: DataFrame, coverage: float, small: bool) -> DataFrame:
+    """(id, item) of documents that hold one of an item's rarest windows.
+
+    A document that covers the share ``coverage`` of an item's n places, m of them at least, holds one of any n - m + 1.
+    Those that the fewest of the documents' windows meet are taken, so a phrase that many items and documents share joins
+    nothing by itself.
+    """
+    met = found.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
+    places = items.join(met, "h", "left").groupBy("item", "place").agg(F.max("windows").alias("windows"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("met", "place"))  # windows of one item
+    few = places.withColumn("_r", rarest).where(F.col("_r") <= F.col("windows") - F.ceil(F.col("windows") * coverage - 1e-9) + 1).where("met > 0").select("item", "place")
+    keys = items.join(few, ["item", "place"]).select("h", "item").distinct()
+    return found.select("id", "h").join(F.broadcast(keys) if small else keys, "h").select("id", "item").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, item, coverage, changed_slots): every document and class of items that contaminates it; the item is the one
     that stands for its class (see :func:`item_classes`).
@@ -255,8 +271,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = stage(every.join(first, ["alike", "item"], "left_semi").drop("alike"), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     small = items.count() <= broadcast_windows
-    found = document_windows(docs, sizes, Wanted(items, small), id_col, text_col)
-    hits = found.join(F.broadcast(items) if small else items, "h").where("size(slots) = size(found)")
+    found = stage(document_windows(docs, sizes, Wanted(items, small), id_col, text_col), "found-windows")
+    pairs = candidates(found, items, coverage, small)
+    hits = pairs.join(F.broadcast(items) if small else items, "item").join(found, ["id", "h"]).where("size(slots) = size(found)")
     aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "slots", "found")).alias("hits"))
     judge = F.pandas_udf(consistent, "places array<int>, changed boolean")
     kept = aligned.select("id", "item", "windows", judge("hits.place", "hits.slots", "hits.found").alias("_k")).select("id", "item", "windows", "_k.places", "_k.changed")

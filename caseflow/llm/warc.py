@@ -271,6 +271,16 @@ def write_warc(plan: DataFrame, path: str, compress: bool = True, largest: int |
             part = rows.where((F.col("bytes") > low if low else F.lit(True)) & (F.col("bytes") <= high if high else F.lit(True))).select("value")
             # the separator ends a plain record, or is the last byte of a member
             part.write.mode("append").option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", n).option("compression", "none").text(path)
+            _drop_empty(plan.sparkSession, path)
+
+
+def _drop_empty(spark: SparkSession, path: str) -> None:
+    """Spark's writers make a file for a first partition without rows; an archive of no bytes is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.globStatus(hadoop(f"{path}/part-00000-*")):
+        if not file.getLen():
+            fs.delete(file.getPath(), False)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

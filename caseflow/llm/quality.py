@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need, small_batches, stage
+from ._common import need, small_batches, stage, type_of
 from .training import TRAIN_ROWS, held_out, labelled_sample
 
 #: Size of the hashed feature space, FTRL settings, passes over the sample and shards that train side by side.
@@ -90,15 +90,26 @@ def ftrl_pass(rows: list[np.ndarray], labels: list[int], z: np.ndarray, n: np.nd
     return z, n
 
 
-def _shard_pass(state):
-    """Function that makes one pass over a shard and gives the change of its state."""
+def _shard_passes(state):
+    """Function that makes one pass over each shard of a partition, row by row, and gives the changes of its state."""
 
-    def update(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        z0, n0 = state.value
-        z1, n1 = ftrl_pass([np.asarray(a, np.int64) for a in pdf["at"]], pdf["label"].tolist(), z0, n0)
-        at = np.nonzero((z1 != z0) | (n1 != n0))[0]
-        return pd.DataFrame({"at": at, "dz": z1[at] - z0[at], "dn": n1[at] - n0[at]})
+    def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, z0, n0 = None, *state.value
+        z, n = z0, n0
+
+        def changes() -> pd.DataFrame:
+            at = np.nonzero((z != z0) | (n != n0))[0]
+            return pd.DataFrame({"at": at, "dz": z[at] - z0[at], "dn": n[at] - n0[at]})
+
+        for pdf in batches:  # sorted by shard and id
+            for k, rows in pdf.groupby("shard", sort=False):
+                if k != shard:
+                    if shard is not None:
+                        yield changes()
+                    shard, z, n = k, z0, n0
+                z, n = ftrl_pass([np.asarray(a, np.int64) for a in rows["at"]], rows["label"].tolist(), z, n)
+        if shard is not None:
+            yield changes()
 
     return update
 
@@ -112,13 +123,14 @@ def train(sample: DataFrame, passes: int = PASSES, shards: int = SHARDS, dimensi
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "at": [features(t, dimensions).tolist() for t in pdf["text"]]})
 
-    rows = stage(sample.mapInPandas(extract, "id long, label int, at array<int>"), "ftrl").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    rows = stage(sample.mapInPandas(extract, f"id {type_of(sample, 'id')}, label int, at array<int>"), "ftrl").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     used = max(1, rows.select("shard").distinct().count())
     z, n = np.zeros(dimensions), np.zeros(dimensions)
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "id")
     for _ in range(passes):
         state = spark.sparkContext.broadcast((z, n))
 
-        moved = rows.groupBy("shard").applyInPandas(_shard_pass(state), "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas().sort_values("at")
+        moved = rows.mapInPandas(_shard_passes(state), "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas().sort_values("at")
         at = moved["at"].to_numpy(np.int64)
         z[at] += moved["dz"].to_numpy() / used
         n[at] += moved["dn"].to_numpy() / used

@@ -67,11 +67,6 @@ def exemplar_validate(exemplars: DataFrame, options: list[str], label: str = "la
     return exemplars.withColumns({label: checked, path: full})
 
 
-def held_out_paths(exemplars: DataFrame, path: str = "path") -> DataFrame:
-    """Paths of validated exemplars, once each: what a run must leave out."""
-    return exemplars.select(path).distinct()
-
-
 def join_left_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that fails, when it runs, if a key occurs twice on either side."""
     once = [d.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))) for d in (a, b)]
@@ -144,21 +139,23 @@ def fill_from_manual(a: DataFrame, manual: DataFrame, key: str, value: str, text
 def nearest_date_join(rows: DataFrame, sessions: DataFrame, subject: str, row_id: str, row_date: str, session: str, session_date: str, counts: list[str]) -> DataFrame:
     """Each session goes to its subject's row of the nearest date; ties, and sessions without a date, to the first
     row. Counts add up; the last session's name in order is kept. Rows without sessions have null counts."""
-    date = F.col("_date")
-    dated = rows.where(F.col(row_date).isNotNull()).groupBy(subject, F.col(row_date).alias("_date")).agg(F.min(row_id).alias("_id"))
+    day = lambda c: F.col(c).cast("date").alias("_date")
+    dated = rows.where(F.col(row_date).isNotNull()).groupBy(subject, day(row_date)).agg(F.min(row_id).alias("_id"))
     first = rows.groupBy(subject).agg(F.min(row_id).alias("_first"))
-    # rows and sessions of a subject in one order: the nearest rows are the last before and the first after a session
-    asked = sessions.select(subject, F.col(session_date).alias("_date"), F.lit(None).cast(rows.schema[row_id].dataType).alias("_id"), F.lit(1).alias("_asks"), session, *counts)
-    line = asked.unionByName(dated.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(subject).orderBy("_date", "_asks")
-    place = F.when(F.col("_asks") == 0, F.struct(date, "_id"))
+    # one line of days for each subject, of as many rows as there are days, however many rows and sessions it has: the
+    # nearest rows are those of the last day before and the first day after
+    asked = sessions.where(F.col(session_date).isNotNull()).select(subject, day(session_date)).distinct().withColumn("_asks", F.lit(True))
+    line = dated.unionByName(asked, allowMissingColumns=True).groupBy(subject, "_date").agg(F.max("_id").alias("_id"), F.max("_asks").alias("_asks"))
+    w = Window.partitionBy(subject).orderBy("_date")
+    place = F.when(F.col("_id").isNotNull(), F.struct("_date", "_id"))
     line = line.withColumn("_before", F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("_after", F.first(place, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_asks = 1")
-    near = F.array_compact(F.array(*[F.when(date.isNotNull() & F.col(c).isNotNull(), F.struct(F.abs(F.datediff(date, F.col(c)["_date"])).alias("gap"), F.col(c)["_id"].alias("id"))) for c in ("_before", "_after")]))
-    found = line.join(first, subject).withColumn("_near", F.array_min(near))
-    best = found.select(subject, session, *counts, F.coalesce(F.col("_near")["id"], F.col("_first")).alias(row_id), F.col("_near")["gap"].alias("_gap"))
-    best = first_per_key(best, [subject, session], [F.col("_gap").asc_nulls_last(), row_id])
-    hits = best.groupBy(row_id).agg(*[F.sum(c).alias(c) for c in counts], F.max(session).alias(session))
+    line = line.withColumn("_after", F.first(place, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_asks")
+    near = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff("_date", F.col(c)["_date"])).alias("gap"), F.col(c)["_id"].alias("id"))) for c in ("_before", "_after")]))
+    line = line.select(subject, "_date", F.array_min(near).alias("_near"))
+    found = sessions.select(subject, session, *counts, day(session_date)).join(line, [subject, "_date"], "left").join(first, subject)
+    gap, nearest = F.col("_near")["gap"], F.coalesce(F.col("_near")["id"], F.col("_first"))
+    best = found.groupBy(subject, session).agg(F.min(F.struct(gap.isNull().alias("none"), gap.alias("gap"), nearest.alias("_row"), *counts)).alias("_v"))
+    hits = best.select(session, F.col("_v._row").alias(row_id), *[f"_v.{c}" for c in counts]).groupBy(row_id).agg(*[F.sum(c).alias(c) for c in counts], F.max(session).alias(session))
     return rows.join(hits, row_id, "left")
 
 
@@ -183,11 +180,16 @@ def resolve_requirements(cases: DataFrame, needs: DataFrame, available: DataFram
     return wanted.join(available.select(case, *on, value), [case, *on], "left")
 
 
-def overlay_or_plain(rows: DataFrame, inventory: DataFrame, path: str, sibling: Column) -> DataFrame:
-    """Path of the sibling if the inventory has it, with ``has_contour``."""
+def overlay_or_plain(rows: DataFrame, inventory: DataFrame, path: str, sibling: Column, run: list[str] | None = None) -> DataFrame:
+    """Path of the sibling if the inventory has it, with ``has_contour``; with ``run``, the columns that tell a run (none:
+    all rows are one), also ``run_has_contour``: whether all items of the run have it."""
     have = inventory.select(F.col(path).alias("_p")).distinct()
     out = rows.withColumn("_s", sibling).join(have, F.col("_s") == F.col("_p"), "left")
-    return out.withColumn("has_contour", F.col("_p").isNotNull()).withColumn(path, F.coalesce("_p", path)).drop("_s", "_p")
+    out = out.withColumn("has_contour", F.col("_p").isNotNull()).withColumn(path, F.coalesce("_p", path)).drop("_s", "_p")
+    if run is None:
+        return out
+    every = out.groupBy(*run).agg(F.every("has_contour").alias("run_has_contour"))
+    return out.join(every, run) if run else out.crossJoin(F.broadcast(every))  # one row
 
 
 def path_suffix_match(recorded: DataFrame, inventory: DataFrame, path: str, parts: tuple[int, ...] = (3, 2, 1)) -> DataFrame:

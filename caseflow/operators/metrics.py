@@ -25,6 +25,32 @@ def count_with_subjects(df: DataFrame, label: str, subject: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"), F.count_distinct(subject).alias("subjects"))
 
 
+def subject_sketches(df: DataFrame, by: list[str], subject: str, log_registers: int = 14) -> DataFrame:
+    """(by, n, sketch): rows, and a mergeable sketch of the distinct subjects; nulls aren't counted. Sketches of parts, such
+    as days, are merged by :func:`merge_sketches` without reading the parts again."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col(subject).cast("string"), log_registers).alias("sketch"))
+
+
+def merge_sketches(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, sketch) of the union of parts."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated_subjects(sketches: DataFrame) -> DataFrame:
+    """``sketches`` with ``subjects``, the estimated number of distinct subjects, in place of the sketch. The relative
+    standard error is about 0.8 / sqrt(2 ** log_registers): 0.7 % by default."""
+    return sketches.withColumn("subjects", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def estimated_overlap(df: DataFrame, known: DataFrame, batch: str, key: str, log_registers: int = 14) -> DataFrame:
+    """Estimates of :func:`overlap_summary` per batch from sketches: ids in all, new ones and known ones, without a join."""
+    have = known.agg(F.hll_sketch_agg(F.col(key).cast("string"), log_registers).alias("_have"))  # one row
+    x = subject_sketches(df, [batch], key, log_registers).crossJoin(F.broadcast(have))
+    total, union, old = F.hll_sketch_estimate("sketch"), F.hll_sketch_estimate(F.hll_union("sketch", "_have")), F.hll_sketch_estimate("_have")
+    new = F.greatest(F.lit(0), F.least(total, union - old))
+    return x.select(batch, total.alias("total"), (total - new).alias("known"), new.alias("new"))
+
+
 def crosstab_margins(df: DataFrame, a: str, b: str, total: str = "TOTAL") -> DataFrame:
     """(a, b, n) of both labels with TOTAL rows and columns, in one pass."""
     cube = df.cube(a, b).agg(F.count("*").alias("n"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b"))
@@ -296,13 +322,6 @@ def topk_wide(df: DataFrame, by: list[str], label: str, k: int = 3) -> DataFrame
     return n.groupBy(*by).agg(*cols, F.sum("_n").alias("instances"), F.count("*").alias("unique_labels"))
 
 
-def status_rollup(df: DataFrame, subject: str, status: str, order: list[str]) -> DataFrame:
-    """Best status of each subject (``order`` from best to worst) and whether it has several."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(status))
-    g = df.where(F.col(status).isNotNull()).groupBy(subject).agg(F.min(F.when(rank > 0, rank)).alias("_r"), (F.count_distinct(status) > 1).alias("mixed"))
-    return g.select(subject, F.when(F.col("_r").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in order]), F.col("_r").cast("int"))).alias("best"), "mixed")
-
-
 def field_fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*[F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in columns])).alias("x")).select("x.*")
@@ -418,13 +437,6 @@ def _bootstrap_part(batches: Iterator[pa.RecordBatch], replicates: int, seed: in
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), *[pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in columns[2:]]], ["lo", "hi", "w", "p", "n"])
 
 
-def evaluate_head(df: DataFrame, truth: str, pred: str, positive: Column, score: str) -> DataFrame:
-    """One summary row: n, accuracy, macro precision, recall and f1, and AUC of the score."""
-    macro = macro_metrics(per_class_metrics(df, truth, pred))
-    auc = auc_rank(df, positive, score).select("auc")
-    return overall_accuracy(df, truth, pred).crossJoin(F.broadcast(macro)).crossJoin(F.broadcast(auc))  # a row each
-
-
 def accuracy_report(df: DataFrame, truth: str, pred: str, feature: str, images: str, failed: str = PARSE_FAILED, unknown: tuple[str, ...] = ("", "unknown")) -> DataFrame:
     """(section, value, n, accuracy, parse_failures) over rows with a known truth: overall, by feature, and by the number
     of images used (1, 2, 3-4 or 0; 3-4 takes all larger ones). A failed parse counts as wrong."""

@@ -273,6 +273,12 @@ def hash_number(c: str, seed: int) -> Column:
     return F.conv(F.substring(hash_rank(c, seed), 1, 8), 16, 10).cast("long")
 
 
+def uniform(c: str, seed: int, draw: int) -> Column:
+    """Seeded double in [0, 1) of a value: the ``draw``-th of a stream that doesn't depend on where rows lie."""
+    text = F.concat_ws(":", F.lit(f"{seed}:{draw}"), F.col(c).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def hash_rank(c: str, seed: int) -> Column:
     """Seeded order of values that doesn't depend on where rows lie."""
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(c).cast("string")).cast("binary"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import exact_percentiles
+from .rows import uniform
 
 #: Parts of image types, the preferred first.
 IMAGE_TYPES = ("IP", "INPHASE", "IN_PHASE", "WATER", "W", "OUT_PHASE", "OUTPHASE", "OP", "OPP_PHASE", "FAT", "F", "M")
@@ -36,6 +37,23 @@ def expand_box(boxes: DataFrame, margins: dict[str, Column], limits: dict[str, C
     return boxes.withColumns(out)
 
 
+def jitter_box(boxes: DataFrame, key: str, width: Column, height: Column, shift: float = 0.1, scale: tuple[float, float] = (0.9, 1.2), seed: int = 0) -> DataFrame:
+    """Boxes (x0, y0, x1, y1, inclusive) moved by up to ``shift`` of their size and scaled within ``scale``, on each axis
+    by draws of its own from the seeded hash of ``key``; clipped to the image, rounded half to even, at least two wide."""
+    out = {}
+    for axis, extent, k in (("x", width, 0), ("y", height, 1)):
+        lo, hi = F.col(f"{axis}0"), F.col(f"{axis}1")
+        size = (hi - lo + 1).cast("double")
+        middle = lo + size / 2.0 + ((2.0 * uniform(key, seed, k) - 1.0) * shift) * size
+        half = size * (scale[0] + (scale[1] - scale[0]) * uniform(key, seed, 2 + k)) / 2.0
+        a = F.bround(F.greatest(F.lit(0.0), middle - half)).cast("int")
+        b = F.bround(F.least((extent - 1).cast("double"), middle + half)).cast("int")
+        flat = b <= a
+        out[f"{axis}0"] = F.when(flat, F.greatest(F.lit(0), F.least(a, extent.cast("int") - 2))).otherwise(a)
+        out[f"{axis}1"] = F.when(flat, F.least(extent.cast("int") - 1, F.greatest(F.greatest(F.lit(0), F.least(a, extent.cast("int") - 2)) + 1, b))).otherwise(b)
+    return boxes.withColumns(out)
+
+
 def box_iou(a: list[Column], b: list[Column]) -> Column:
     """Intersection over union of inclusive boxes (r0, r1, c0, c1)."""
     h = F.greatest(F.lit(0), F.least(a[1], b[1]) - F.greatest(a[0], b[0]) + 1)
@@ -148,6 +166,20 @@ def harmonic_amplitudes(profile: DataFrame, by: list[str], position: str, value:
     return g.select(*by, "k", (F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) * (2.0 / n)).alias("amplitude"))
 
 
+#: Harmonics of a contour's lobes and of its jags (fixed values).
+LOBES, JAGS = (3, 7), (8, 22)
+
+
+def harmonic_bands(profile: DataFrame, by: list[str], position: str, value: str, n: int, bands: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(by, a column for each band): root of the sum of squared amplitudes of the band's harmonics, from one pass over the
+    samples. A band ends at the highest harmonic of ``n`` samples; one that begins beyond it is null."""
+    bands = bands or {"lobe_amp": LOBES, "jag_amp": JAGS}
+    wanted = sorted({k for lo, hi in bands.values() for k in range(lo, min(hi, n // 2) + 1)})
+    amplitude = harmonic_amplitudes(profile, by, position, value, n, wanted)
+    square = lambda lo, hi: F.sqrt(F.sum(F.when(F.col("k").between(lo, min(hi, n // 2)), F.col("amplitude") * F.col("amplitude"))))
+    return amplitude.groupBy(*by).agg(*[square(lo, hi).alias(name) for name, (lo, hi) in bands.items()])
+
+
 def circularity(area: Column, perimeter: Column) -> Column:
     return F.try_divide(4 * math.pi * area, perimeter * perimeter)
 

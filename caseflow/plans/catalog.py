@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, labels, more, records, reports, shapes, tables
+from . import files, labels, more, records, reports, shapes, summaries, tables
 
-MODULES: tuple = (tables, labels, reports, shapes, more, files, records)
+MODULES: tuple = (tables, labels, reports, shapes, more, files, records, summaries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -64,7 +64,6 @@ R.query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PAR
 R.query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE event_type END AS shape FROM events", key="repair_from_reply")(lambda t: t.events.select("event_id", F.element_at(A.repair_from_reply(F.expr("CASE WHEN event_id % 2 = 0 THEN map('shape', 'old') ELSE map('shape', ' ', 'x', 'y') END"), F.expr("concat('<think>{\"shape\":\"no\"}</think>```json {\"shape\": \"', event_type, '\"} ```')"), "shape"), "shape").alias("shape")))
 R.query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')", key="vocabulary_minus")(lambda t: t.orders.where(F.col("o_orderstatus").isin(*A.vocabulary_minus(["F", "O", "P"], ["P"]))).select("o_orderkey", "o_orderstatus"))
 R.query("SELECT p_partkey, round_even(12.0::DOUBLE / p_size, 0)::INT AS px FROM part", key="margin_to_px")(lambda t: t.part.select("p_partkey", V.margin_to_px(12.0, F.col("p_size").cast("double")).alias("px")))
-R.query("WITH j AS (SELECT p_partkey, (('0x' || substr(md5('3:' || p_partkey), 1, 8))::BIGINT % 7) - 3 AS d FROM part) SELECT p_partkey, greatest(0, p_size + d)::BIGINT AS r0, greatest(greatest(0, p_size + d), least(99, p_size + 9 + d))::BIGINT AS r1 FROM part JOIN j USING (p_partkey)", key="box_jitter")(lambda t: t.part.withColumn("d", W.hash_number("p_partkey", 3) % 7 - 3).select("p_partkey", F.greatest(F.lit(0), F.col("p_size") + F.col("d")).alias("r0"), F.least(F.lit(99), F.col("p_size") + 9 + F.col("d")).alias("r1")).withColumn("r1", F.greatest("r0", "r1")))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -40,24 +40,22 @@ R.query(f"{S}, {_PC} SELECT avg(precision) AS macro_precision, avg(recall) AS ma
 R.query(f"{S} SELECT count(*) AS n, avg((a = b)::INT::DOUBLE) AS accuracy FROM status", key="overall_accuracy")(lambda t: K.overall_accuracy(status(t), "b", "a"))
 
 
-def _auc_sql(table: str, positive: str, score: str, by: str = "") -> str:
+def auc_sql(table: str, positive: str, score: str, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     cols = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     return f"""(SELECT {cols}sum(w) / nullif(sum(p)::DOUBLE * sum(n), 0) AS auc, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg FROM (SELECT {cols}s, p, n, p * (coalesce(sum(n) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0::DOUBLE) AS w FROM (SELECT {cols}{score} AS s, count_if({positive}) AS p, count_if(NOT ({positive})) AS n FROM {table} WHERE {score} IS NOT NULL GROUP BY ALL)) {group})"""
 
 
-R.query(f"SELECT * FROM {_auc_sql('events', _ERR, 'value')}", key="auc_rank")(lambda t: K.auc_rank(t.events, F.expr(_ERR), "value"))
-R.query(" UNION ALL ".join(f"SELECT '{c}' AS class, auc FROM {_auc_sql('events', f'event_type = {chr(39)}{c}{chr(39)}', 'value')}" for c in ("click", "error", "view")), key="auc_ovr_macro")(lambda t: K.auc_rank(t.events.withColumn("class", F.explode(F.array(*[F.lit(c) for c in ("click", "error", "view")]))), F.col("event_type") == F.col("class"), "value", ["class"]).select("class", "auc"))
-R.query(f"{T} SELECT lang, auc, n_pos, n_neg FROM {_auc_sql('truth', 'pred = quality', 'score', 'lang')}", key="auc_confidence")(lambda t: K.auc_rank(truth(t), F.col("pred") == F.col("quality"), "score", ["lang"]))
-R.query(f"{T}, z AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score / 5000) * (1 - toxic * 0.5::DOUBLE))) AS z FROM truth) SELECT auc FROM {_auc_sql('z', 'quality = 1', 'z')}", key="auc_composite")(lambda t: K.auc_rank(truth(t).withColumn("z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 5000 * (1 - F.col("toxic") * 0.5)))), F.col("quality") == 1, "z").select("auc"))
+R.query(f"SELECT * FROM {auc_sql('events', _ERR, 'value')}", key="auc_rank")(lambda t: K.auc_rank(t.events, F.expr(_ERR), "value"))
+R.query(f"{T} SELECT lang, auc, n_pos, n_neg FROM {auc_sql('truth', 'pred = quality', 'score', 'lang')}", key="auc_confidence")(lambda t: K.auc_rank(truth(t), F.col("pred") == F.col("quality"), "score", ["lang"]))
+R.query(f"{T}, z AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score / 5000) * (1 - toxic * 0.5::DOUBLE))) AS z FROM truth) SELECT auc FROM {auc_sql('z', 'quality = 1', 'z')}", key="auc_composite")(lambda t: K.auc_rank(truth(t).withColumn("z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 5000 * (1 - F.col("toxic") * 0.5)))), F.col("quality") == 1, "z").select("auc"))
 _ROC = f"roc AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC)::DOUBLE / sum(p) OVER () AS tpr, sum(n) OVER (ORDER BY threshold DESC)::DOUBLE / sum(n) OVER () AS fpr FROM (SELECT value AS threshold, count_if({_ERR}) AS p, count_if(NOT {_ERR}) AS n FROM events GROUP BY 1))"
 R.query(f"WITH {_ROC} SELECT threshold, tpr, fpr FROM roc", key="roc_curve")(lambda t: K.roc_curve(t.events, F.expr(_ERR), "value"))
 R.query(f"WITH {_ROC} SELECT arg_max(threshold, (round(tpr - fpr, 12), threshold)) AS cutoff, round(max(tpr - fpr), 12) AS youden FROM roc", key="youden_cutoff")(lambda t: K.youden_cutoff(K.roc_curve(t.events, F.expr(_ERR), "value")))
 _CUT = "SELECT {by}c AS cutoff, count_if({y} AND {s} >= c) AS tp, count_if(NOT {y} AND {s} >= c) AS fp, count_if({y} AND {s} < c) AS fn, count_if(NOT {y} AND {s} < c) AS tn FROM {t}, (VALUES (20.0::DOUBLE), (50.0), (80.0)) v(c) GROUP BY ALL"
 _RATES = "tp::DOUBLE / nullif(tp + fn, 0) AS sensitivity, tn::DOUBLE / nullif(tn + fp, 0) AS specificity, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tn::DOUBLE / nullif(tn + fn, 0) AS npv, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy"
 R.query(f"SELECT *, {_RATES} FROM ({_CUT.format(by='', y=f'({_ERR})', s='value', t='events')})", key="cutoff_metrics")(lambda t: K.cutoff_metrics(t.events, F.expr(_ERR), "value", [20, 50, 80]))
-R.query(f"{T} SELECT *, {_RATES} FROM ({_CUT.format(by='lang, ', y='(toxic = 1)', s='score', t='truth')})", key="binary_tasks")(lambda t: K.cutoff_metrics(truth(t), F.col("toxic") == 1, "score", [20, 50, 80], ["lang"]))
 R.query(f"{T} SELECT *, {_RATES} FROM ({_CUT.format(by='', y='(quality = 1)', s='score', t='truth')}) WHERE cutoff = 50", key="threshold_accuracy")(lambda t: K.cutoff_metrics(truth(t), F.col("quality") == 1, "score", [50]))
 R.query(f"{S}, x AS (SELECT c AS class, coalesce(a = c, false) AS pa, coalesce(b = c, false) AS pb FROM status, {_CLS} v(c)), g AS (SELECT class, count_if(pa AND pb) AS tp, count_if(NOT pa AND NOT pb) AS tn, count_if(pa AND NOT pb) AS fp, count_if(NOT pa AND pb) AS fn FROM x GROUP BY 1), m AS (SELECT *, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS agreement, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall FROM g) SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM m", key="binary_agreement")(lambda t: K.binary_agreement(status(t), "a", "b", ["F", "O", "P"]))
 R.query(f"{S} SELECT o_orderkey, c AS class, a, b FROM status, {_CLS} v(c) WHERE coalesce(a = c, false) <> coalesce(b = c, false)", key="disagreement_rows")(lambda t: K.disagreement_rows(status(t).drop("o_custkey"), "a", "b", ["F", "O", "P"]))
@@ -65,7 +63,6 @@ R.query(f"{T} SELECT doc_id, pred <> quality AS quality_wrong, pred <> toxic AS
 R.query(f"{S}, n AS (SELECT count(*)::DOUBLE AS n, count_if(a = b)::DOUBLE AS same FROM status), e AS (SELECT sum(coalesce(x, 0)::DOUBLE * coalesce(y, 0)) AS s, count(*) AS k FROM (SELECT a AS l, count(*) AS x FROM status GROUP BY 1) p FULL JOIN (SELECT b AS l, count(*) AS y FROM status GROUP BY 1) q USING (l)) SELECT CASE WHEN n > 1 AND k > 1 THEN (same / n - s / (n * n)) / nullif(1 - s / (n * n), 0) END AS kappa, same / n AS observed, s / (n * n) AS expected FROM n, e", key="cohen_kappa")(lambda t: K.cohen_kappa(status(t), "a", "b"))
 _FACET = "SELECT '{f}' AS facet, coalesce({f}::VARCHAR, '?') AS value, count_if(pred = quality) AS correct, count(quality) AS scored, count_if(pred = quality)::DOUBLE / nullif(count(quality), 0) AS accuracy FROM truth GROUP BY 2"
 R.query(f"{T} " + " UNION ALL ".join(_FACET.format(f=f) for f in ("lang", "source", "toxic")), key="accuracy_by_facets")(lambda t: K.facet_accuracy(truth(t).withColumn("ok", F.col("pred") == F.col("quality")), "ok", ["lang", "source", "toxic"]))
-R.query(f"{S} SELECT b AS facet, avg((a = b)::INT::DOUBLE) AS accuracy, count(*) AS n FROM status GROUP BY 1", key="agreement_by_facet")(lambda t: K.overall_accuracy(status(t), "b", "a", ["b"]).withColumnRenamed("b", "facet"))
 R.query(f"{S} SELECT a AS source, b AS target, count(*) AS n, a <> b AS changed FROM status GROUP BY ALL", key="transition_counts")(lambda t: K.transition_counts(status(t), "a", "b"))
 R.query(f"{S}, n AS (SELECT a AS source, b AS target, count(*) AS n FROM status GROUP BY ALL) SELECT source, target, n, (dense_rank() OVER (ORDER BY source) - 1)::INT AS source_index, dense_rank() OVER (ORDER BY target) - 1 + (SELECT count(DISTINCT source) FROM n) AS target_index FROM n", key="flow_nodes_links")(lambda t: K.flow_nodes_links(status(t), "a", "b"))
 _VOTE = "v AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS pos FROM events WHERE event_type <> 'error' GROUP BY ALL), vote AS (SELECT user_id, arg_max(event_type, (n, -pos)) AS vote FROM v GROUP BY 1)"
@@ -79,31 +76,18 @@ R.query("SELECT pred AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / s
 R.query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS subjects FROM events GROUP BY 1", key="count_with_subjects")(lambda t: K.count_with_subjects(t.events, "event_type", "user_id"))
 R.query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1", key="job_status_counts")(lambda t: t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")))
 R.query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, l_returnflag", key="availability_counts")(lambda t: t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_returnflag"))
-R.query("SELECT event_type, count(*) AS n, median(value) AS median, min(value) AS min, max(value) AS max FROM events GROUP BY 1", key="group_stats")(lambda t: K.group_stats(t.events, ["event_type"], "value"))
 R.query("SELECT event_type, min(value) AS low, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS high FROM events GROUP BY 1", key="five_number_summary")(lambda t: K.five_number_summary(t.events, ["event_type"], "value"))
-R.query("SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std FROM events GROUP BY 1", key="metric_by_group")(lambda t: K.metric_by_group(t.events, ["event_type"], "value"))
 R.query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS min, quantile_cont({c}::DOUBLE, 0.05) AS p05, median({c}::DOUBLE) AS median, avg({c}::DOUBLE) AS mean, quantile_cont({c}::DOUBLE, 0.95) AS p95, max({c})::DOUBLE AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")), key="distribution_profile")(lambda t: K.distribution_profile(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"]))
 R.query("WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT least(floor((o_totalprice - lo) / (hi - lo) * 30), 29)::INT AS bin, count(*) AS n FROM orders, e GROUP BY 1", key="histogram_bins")(lambda t: K.histogram_bins(t.orders, "o_totalprice"))
 R.query("WITH g AS (SELECT p_type, p_brand, count(*) AS n, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS std, grouping(p_brand) AS t FROM part GROUP BY GROUPING SETS ((p_type, p_brand), (p_type))) SELECT p_type, CASE WHEN t = 1 THEN 'Total' ELSE p_brand END AS p_brand, n, round(n * 100.0::DOUBLE / sum(CASE WHEN t = 0 THEN n END) OVER (PARTITION BY p_type), 2) AS pct, mean, std FROM g", key="subtotal_table")(lambda t: K.subtotal_table(t.part, "p_type", "p_brand", "p_retailprice"))
 R.query("WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, v AS top, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY o_custkey), 2) AS pct FROM n QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, v) = 1", key="top_value_share")(lambda t: K.top_value_share(t.orders, ["o_custkey"], "o_orderpriority"))
 R.query("WITH n AS (SELECT user_id, event_type AS l, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, l) AS rn FROM n) SELECT user_id, " + ", ".join(f"coalesce(max(CASE WHEN rn = {i} THEN l END), '') AS label_{i}, coalesce(max(CASE WHEN rn = {i} THEN n END), 0) AS count_{i}" for i in (1, 2, 3)) + ", sum(n)::BIGINT AS instances, count(*) AS unique_labels FROM r GROUP BY 1", key="topk_wide")(lambda t: K.topk_wide(t.events, ["user_id"], "event_type"))
 R.query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3", key="global_top_labels")(lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3))
-R.query("SELECT o_custkey, ['F', 'O', 'P'][min(list_position(['F', 'O', 'P'], o_orderstatus))] AS best, count(DISTINCT o_orderstatus) > 1 AS mixed FROM orders GROUP BY 1", key="status_rollup")(lambda t: K.status_rollup(t.orders, "o_custkey", "o_orderstatus", ["F", "O", "P"]))
 R.query(" UNION ALL ".join(f"SELECT '{c}' AS field, count_if(trim(coalesce({c}::VARCHAR, '')) <> '') AS filled FROM documents" for c in ("text", "lang", "source")), key="field_fill_counts")(lambda t: K.field_fill_counts(t.documents, ["text", "lang", "source"]))
 R.query("SELECT p_brand, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand ELSE 'Others' END AS folded, count(*) AS n FROM part GROUP BY ALL", key="collapse_others")(lambda t: t.part.groupBy("p_brand", F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.col("p_brand")).otherwise("Others").alias("folded")).agg(F.count("*").alias("n")))
 R.query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, min(o_orderdate)::DATE AS day FROM orders GROUP BY 1", key="first_row_attributes")(lambda t: t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"), F.min("o_orderdate").cast("date").alias("day")))
 R.query("SELECT string_agg(DISTINCT lang, ';' ORDER BY lang) AS langs, count(DISTINCT source) AS sources, count(*) AS rows FROM documents", key="config_consistency")(lambda t: t.documents.agg(K.distinct_join("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.count("*").alias("rows")))
-R.query("SELECT event_type, count(*) AS total, count_if(value > 50) AS reviewed, count_if(value <= 50) AS remaining FROM events GROUP BY 1", key="review_progress")(lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("reviewed"), F.count_if(F.col("value") <= 50).alias("remaining")))
-R.query(f"{T} SELECT lang, source, avg(score) AS mean FROM truth GROUP BY ALL", key="pivot_mean")(lambda t: truth(t).groupBy("lang", "source").agg(F.avg("score").alias("mean")))
 R.query(f"{S} SELECT a AS old, b AS new, count(*) AS n FROM status WHERE a <> b GROUP BY ALL", key="reparse_diff")(lambda t: status(t).where("a <> b").groupBy(F.col("a").alias("old"), F.col("b").alias("new")).agg(F.count("*").alias("n")))
-R.query(f"{S}, {_PC} SELECT (SELECT avg((a = b)::INT::DOUBLE) FROM status) AS accuracy, avg(recall) AS balanced, 1.0::DOUBLE / count(*) AS chance FROM pc WHERE support > 0", key="class_report")(lambda t: K.per_class_metrics(status(t), "b", "a").where("support > 0").agg(F.avg("recall").alias("balanced"), (1.0 / F.count("*")).alias("chance")).crossJoin(K.overall_accuracy(status(t), "b", "a").select("accuracy")))
 R.query(f"{T}, r AS (SELECT lang, quality AS class, 1 AS t, (pred = quality)::INT AS p FROM truth) SELECT lang, avg(rc) AS balanced FROM (SELECT lang, class, avg(p) AS rc FROM r GROUP BY 1, 2) GROUP BY 1", key="balanced_accuracy_by_level")(lambda t: K.per_class_metrics(truth(t), "quality", "pred", ["lang"]).where("support > 0").groupBy("lang").agg(F.avg("recall").alias("balanced")))
-R.query("SELECT len(embedding)::INT AS d, label, count(*) AS n FROM embeddings GROUP BY ALL", key="shape_report")(lambda t: t.embeddings.groupBy(F.size("embedding").alias("d"), "label").agg(F.count("*").alias("n")))
-_SUM = """SELECT '{n}' AS stage, count(*) AS n, avg((pred = {y})::INT::DOUBLE) AS accuracy FROM truth WHERE {w}"""
-R.query(f"{T} " + _SUM.format(n="quality", y="quality", w="true") + " UNION ALL " + _SUM.format(n="toxic", y="toxic", w="quality = 1 AND pred = 1"), key="cascade_report")(lambda t: K.overall_accuracy(truth(t), "quality", "pred").select(F.lit("quality").alias("stage"), "n", "accuracy").unionByName(K.overall_accuracy(truth(t).where("quality = 1 and pred = 1"), "toxic", "pred").select(F.lit("toxic").alias("stage"), "n", "accuracy")))
-
-
-_PQ = _PC.replace("b AS class", "quality AS class").replace("(a = b)", "(pred = quality)").replace("SELECT a, 0, 1", "SELECT pred, 0, 1").replace("FROM status", "FROM truth")
-R.query(f"{T}, {_PQ} SELECT * FROM (SELECT count(*) AS n, avg((pred = quality)::INT::DOUBLE) AS accuracy FROM truth), (SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM pc), (SELECT auc FROM {_auc_sql('truth', 'quality = 1', 'score')})", key="evaluate_head")(lambda t: K.evaluate_head(truth(t), "quality", "pred", F.col("quality") == 1, "score"))
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -65,9 +65,9 @@ R.query(f"WITH {_LONG}, m AS (SELECT c, avg(p) AS m FROM p GROUP BY 1) SELECT ve
 
 
 def _sep(c: str) -> str:
-    from .reports import _auc_sql
+    from .reports import auc_sql
 
-    return f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM lineitem WHERE l_returnflag = 'R') AS mean_pos, (SELECT avg({c}) FROM lineitem WHERE l_returnflag <> 'R') AS mean_neg, auc FROM {_auc_sql('lineitem', chr(108) + '_returnflag = ' + chr(39) + 'R' + chr(39), c)}"
+    return f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM lineitem WHERE l_returnflag = 'R') AS mean_pos, (SELECT avg({c}) FROM lineitem WHERE l_returnflag <> 'R') AS mean_neg, auc FROM {auc_sql('lineitem', chr(108) + '_returnflag = ' + chr(39) + 'R' + chr(39), c)}"
 
 
 R.query(" UNION ALL ".join(map(_sep, ("l_quantity", "l_tax"))), key="separability_table")(lambda t: C.separability_table(t.lineitem, F.col("l_returnflag") == "R", ["l_quantity", "l_tax"]))

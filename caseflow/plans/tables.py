@@ -64,7 +64,6 @@ SELECT r.subject, r.o_orderkey, h.files, h.session FROM r LEFT JOIN (SELECT o_or
 R.query("SELECT coalesce(o.k, l.k) AS k, CASE WHEN o.k IS NOT NULL AND l.k IS NULL THEN 'recorded_only' WHEN o.k IS NULL THEN 'unrecorded_mark' ELSE 'agree' END AS status FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 > 0) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 4 > 0) l ON o.k = l.k", key="reconcile_sources")(lambda t: J.reconcile(t.orders.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("k"), F.lit(True).alias("r")), t.lineitem.where("l_orderkey % 4 > 0").select(F.col("l_orderkey").alias("k"), F.lit(True).alias("d")).distinct(), "k", "r", "d"))
 R.query("SELECT l_orderkey, l_linenumber, coalesce(o_orderstatus, 'unmapped') AS o_orderstatus FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey", key="composite_key_lookup")(lambda t: J.lookup(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), t.orders.where("o_orderkey % 2 = 0"), "o_orderkey", "o_orderstatus", F.lit("unmapped")).select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "o_orderstatus"))
 R.query("SELECT c, l, n FROM (SELECT DISTINCT l_orderkey AS c FROM lineitem), (VALUES (1), (2), (9)) v(l) LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey AS n FROM lineitem) ON c = l_orderkey AND l = l_linenumber", key="resolve_requirements")(lambda t: J.resolve_requirements(t.lineitem.select(F.col("l_orderkey").alias("c")), t.spark.createDataFrame([(1,), (2,), (9,)], "l int"), t.lineitem.select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("n")), "c", ["l"], "n"))
-R.query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id || '_overlay.png' ELSE page_id || '.png' END AS path, page_id % 2 = 0 AS has_contour FROM pages", key="overlay_or_plain")(lambda t: J.overlay_or_plain(t.pages.selectExpr("page_id", "concat(page_id, '.png') AS path"), t.pages.where("page_id % 2 = 0").selectExpr("concat(page_id, '_overlay.png') AS path"), "path", F.regexp_replace("path", r"\.png$", "_overlay.png")))
 R.query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'disk/a/b/' || page_id END AS found FROM pages", key="path_suffix_match")(lambda t: J.path_suffix_match(t.pages.selectExpr("page_id", "concat('old/a/b/', page_id) AS path"), t.pages.where("page_id % 2 = 0").selectExpr("concat('disk/a/b/', page_id) AS path"), "path").select("page_id", "found"))
 
 # ------------------------------------------------------------ ranking, dedupe and cohorts

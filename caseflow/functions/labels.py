@@ -88,26 +88,28 @@ def physics_label(df: DataFrame, tr="tr", te="te", ti="ti", etl="etl", flip="fli
     Localizer words first; then diffusion, inversion recovery (TI over 0), gradient echo, spin echo. A value that is
     no number counts as missing. Parameters are parsed once, a branch is chosen, and the labels follow from it.
     """
-    given = df.columns
+    given, own = df.columns, "_"
+    while any(c.startswith(own) for c in given):  # names that the caller's columns don't have
+        own += "_"
     words = F.concat(alpha_tokens(description), alpha_tokens(options))
     up = F.upper(F.coalesce(col(description), F.lit("")))
     fat = tokens_any(words, PHYSICS_FATSAT_WORDS) | up.rlike(r"\bFAT[_\-]SAT\b") | F.upper(F.coalesce(col(options), F.lit(""))).rlike(r"\bFAT[_\-]SAT\b")
     agent, dose = F.trim(F.coalesce(col(agent), F.lit(""))), F.trim(F.coalesce(col(dose), F.lit("")))
     doses = (dose != "0") & ((agent != "") & ~F.upper(agent).isin("NONE", "NO", "0") | tokens_any(alpha_tokens(agent), AGENT_WORDS))
-    numbers = {"_tr": tr, "_te": te, "_ti": ti, "_etl": etl, "_fa": flip, "_b0": field, "_b": b_value}
+    numbers = {f"{own}tr": tr, f"{own}te": te, f"{own}ti": ti, f"{own}etl": etl, f"{own}fa": flip, f"{own}b0": field, f"{own}b": b_value}
     x = df.withColumns({
         **{k: to_number(v) for k, v in numbers.items()},
-        "_fs": F.when(fat, "FS").otherwise(""),
-        "_ce": F.when(_named_contrast(description) | doses, "Contrast").otherwise(""),
-        "_loc": up.rlike("CALI|LOC|SCOUT|SURVEY|ASSET"),
-        "_dwi": F.upper(F.coalesce(col(image_type), F.lit(""))).contains("DIFFUSION"),
-        "_gre": F.upper(F.coalesce(col(scanning), F.lit(""))).contains("GR"),
+        f"{own}fs": F.when(fat, "FS").otherwise(""),
+        f"{own}ce": F.when(_named_contrast(description) | doses, "Contrast").otherwise(""),
+        f"{own}loc": up.rlike("CALI|LOC|SCOUT|SURVEY|ASSET"),
+        f"{own}dwi": F.upper(F.coalesce(col(image_type), F.lit(""))).contains("DIFFUSION"),
+        f"{own}gre": F.upper(F.coalesce(col(scanning), F.lit(""))).contains("GR"),
     })
-    tr, te, ti, fa, b0 = (F.col(c) for c in ("_tr", "_te", "_ti", "_fa", "_b0"))
-    low, high, gradient = b0 < 2.0, b0 >= 2.0, F.col("_gre")
-    x = x.withColumn("_k", first_rule([
-        (F.col("_loc"), "localizer"),
-        ((F.col("_b") > 0) | F.col("_dwi"), "diffusion"),
+    tr, te, ti, fa, b0 = (F.col(c) for c in (f"{own}tr", f"{own}te", f"{own}ti", f"{own}fa", f"{own}b0"))
+    low, high, gradient = b0 < 2.0, b0 >= 2.0, F.col(f"{own}gre")
+    x = x.withColumn(f"{own}k", first_rule([
+        (F.col(f"{own}loc"), "localizer"),
+        ((F.col(f"{own}b") > 0) | F.col(f"{own}dwi"), "diffusion"),
         ((ti > 0) & (low & ti.between(110, 190) | high & ti.between(150, 240)), "stir"),
         ((ti > 0) & (low & ti.between(1900, 2600) | high & ti.between(2400, 3200)), "flair"),
         ((ti > 0) & (te <= 30) & (tr < 4000), "inversion T1"),
@@ -118,7 +120,7 @@ def physics_label(df: DataFrame, tr="tr", te="te", ti="ti", etl="etl", flip="fli
         (gradient & (te >= 6), "gradient T2"),
         (gradient, "gradient"),
     ], "spin"))
-    k, echo = F.col("_k"), F.when(F.col("_etl") >= 2, "FSE").otherwise("SE")
+    k, echo = F.col(f"{own}k"), F.when(F.col(f"{own}etl") >= 2, "FSE").otherwise("SE")
     spin = F.when(tr.isNull() | te.isNull(), "Unknown").when(te <= 25, F.when(tr <= 1100, "T1W").otherwise("PD")).when((te >= 70) | (tr >= 1500), "T2W").otherwise("T1W")
     named = {"localizer": "Localizer", "gradient localizer": "Localizer", "diffusion": "DWI", "stir": "T2W", "flair": "T2W", "inversion T1": "T1W", "inversion": "Unknown", "gradient untimed": "Unknown_GRE", "gradient T1": "T1W", "gradient T2": "T2*", "gradient": "Unknown"}
     bare = k.isin("localizer", "gradient localizer")
@@ -126,8 +128,8 @@ def physics_label(df: DataFrame, tr="tr", te="te", ti="ti", etl="etl", flip="fli
         *given,
         first_rule([(k == name, v) for name, v in named.items()], spin).alias("sequence"),
         first_rule([(k == "localizer", ""), (k.isin("diffusion", "spin"), echo), (k == "flair", "FLAIR"), (k.startswith("gradient"), "GRE")], "IR").alias("acquisition"),
-        first_rule([(bare, ""), (k == "stir", "STIR")], F.col("_fs")).alias("fat_sat"),
-        F.when(bare, "").otherwise(F.col("_ce")).alias("contrast"),
+        first_rule([(bare, ""), (k == "stir", "STIR")], F.col(f"{own}fs")).alias("fat_sat"),
+        F.when(bare, "").otherwise(F.col(f"{own}ce")).alias("contrast"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,8 +146,9 @@ def location_text(*columns) -> Column:
 
 
 def remove_words(c, words) -> Column:
-    """Text without the listed words, whatever their case."""
-    return F.regexp_replace(col(c), "(?i)" + "|".join(sorted(words, key=lambda w: (-len(w), w))), "")
+    """Text without the listed words, whatever their case; signs in a word stand for themselves."""
+    plain = [re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(words, key=lambda w: (-len(w), w)) if w]
+    return F.regexp_replace(col(c), "(?i)" + "|".join(plain), "") if plain else col(c)
 
 
 def clean_tag_text(c) -> Column:

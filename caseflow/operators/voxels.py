@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .metrics import exact_percentiles
 from .rows import uniform
@@ -109,32 +112,34 @@ def volume_stats(values: DataFrame, by: list[str], value: str, inside: Column) -
     return values.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(fg).alias("n_fg"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std")).join(p99, by, "left")
 
 
-def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], width: float = 4.0) -> DataFrame:
+@F.pandas_udf(ArrayType(DoubleType()))
+def _line_transform(places: pd.Series, squares: pd.Series, asked: pd.Series) -> pd.Series:
+    """For each place asked of a line, the least of squared distance to a place of the line plus that one's own square."""
+    out = []
+    for p, f, q in zip(places, squares, asked, strict=True):
+        step = max(1, (1 << 20) // len(p))  # a matrix of bounded size
+        out.append(np.concatenate([((q[k : k + step, None] - p) ** 2 + f).min(1) for k in range(0, len(q), step)]))
+    return pd.Series(out)
+
+
+def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
     """(by, d): distance from each distinct point of ``a`` to the nearest point of ``b`` in its case; cases without
     points of ``b`` have no rows.
 
-    Points meet in a grid: a point is compared to those in its own cell and the cells around it, which proves the nearest
-    one if it is no further than a cell is wide (``width`` at first); the others go on with cells of twice the width. Never
-    all pairs.
+    The exact separable distance transform: a pass per axis gives each line of cells, along that axis, the least squared
+    distance over it, for the coordinates that points of ``a`` have. A pass shuffles lines, whose length is an image's
+    extent, so no task holds a case; nothing runs before the result is asked for, and nothing stays cached.
     """
-    here = a.select(*by, *[F.col(c).alias(f"_a{c}") for c in axes]).distinct().join(b.select(*by).distinct(), by, "left_semi").persist()
-    there = b.select(*by, *[F.col(c).alias(f"_b{c}") for c in axes]).distinct().persist()
-    squares = sum((F.col(f"_a{c}") - F.col(f"_b{c}")) * (F.col(f"_a{c}") - F.col(f"_b{c}")) for c in axes)
-    found, left = None, here
-    while True:
-        cell = lambda side, step=width: [F.floor(F.col(f"_{side}{c}") / step).alias(f"_c{c}") for c in axes]  # noqa: B023, E731
-        asked = left.select("*", *cell("a"))
-        for c in axes:
-            asked = asked.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
-        keys = [*by, *[f"_c{c}" for c in axes]]
-        own = [*by, *[f"_a{c}" for c in axes]]
-        near = asked.join(there.select("*", *cell("b")), keys, "left").groupBy(*own).agg(F.min(F.sqrt(squares.cast("double"))).alias("d")).persist()
-        proven = near.where(F.col("d") <= width)
-        found = proven.select(*by, "d") if found is None else found.unionByName(proven.select(*by, "d"))
-        left = near.where(F.col("d").isNull() | (F.col("d") > width)).drop("d")
-        if left.isEmpty():
-            return found
-        width *= 2
+    here = a.select(*by, *[F.col(c).cast("double").alias(c) for c in axes]).distinct()
+    cells = b.select(*by, *[F.col(c).cast("double").alias(c) for c in axes]).distinct().withColumn("_f", F.lit(0.0))
+    for k, axis in enumerate(axes):
+        others = [c for c in axes if c != axis]
+        keys = [*by, *(others if k == len(axes) - 1 else [])]  # the last pass asks for the points alone
+        lines = cells.groupBy(*by, *others).agg(F.collect_list(F.struct(F.col(axis).alias("p"), F.col("_f").alias("f"))).alias("_line"))
+        asked = here.groupBy(*keys).agg(F.collect_set(axis).alias("_q"))
+        x = lines.join(asked, keys).select(*by, *others, "_q", _line_transform(F.col("_line")["p"], F.col("_line")["f"], F.col("_q")).alias("_f"))
+        cells = x.select(*by, *others, F.explode(F.arrays_zip("_q", "_f")).alias("_c")).select(*by, *others, F.col("_c._q").alias(axis), F.col("_c._f").alias("_f"))
+    return cells.select(*by, F.sqrt("_f").alias("d"))
 
 
 def hd95(a: DataFrame, b: DataFrame, by: list[str], axes: list[str]) -> DataFrame:

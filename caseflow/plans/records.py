@@ -143,15 +143,11 @@ def merge_clinical_fields(t):
     return J.merge_clinical_fields(rows, t.customer.where("c_custkey % 3 > 0"), "case_id", "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
-@R.query("""SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS label, CASE WHEN c_custkey % 2 = 0 THEN '/abs/' || c_custkey ELSE '/base/' || c_custkey END AS path FROM customer
-WHERE c_mktsegment IN (SELECT max(c_mktsegment) FROM customer UNION SELECT min(c_mktsegment) FROM customer)""")
+@R.query("""SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS label, CASE WHEN c_custkey % 2 = 0 THEN '/abs/' || c_custkey ELSE '/base/' || c_custkey END AS path FROM customer""")
 def exemplar_validate(t):
     """Labels in the options' spelling, paths made absolute; labels outside and absent paths raise (see the tests)."""
-    ends = t.customer.agg(F.array(F.max("c_mktsegment"), F.min("c_mktsegment")).alias("e"))
-    some = t.customer.join(ends.select(F.explode("e").alias("c_mktsegment")).distinct(), "c_mktsegment", "left_semi")
-    rows = some.selectExpr("c_custkey", "concat(' ', c_mktsegment) AS label", "CASE WHEN c_custkey % 2 = 0 THEN concat('/abs/', c_custkey) ELSE CAST(c_custkey AS STRING) END AS path")
-    options = [r[0].capitalize() for r in t.customer.select("c_mktsegment").distinct().limit(100).collect()]
-    return J.exemplar_validate(rows, options, base="/base/")
+    rows = t.customer.selectExpr("c_custkey", "concat(' ', c_mktsegment) AS label", "CASE WHEN c_custkey % 2 = 0 THEN concat('/abs/', c_custkey) ELSE CAST(c_custkey AS STRING) END AS path")
+    return J.exemplar_validate(rows, ["Automobile", "Building", "Furniture", "Household", "Machinery"], base="/base/")
 
 
 # ------------------------------------------------------------ documents and cohorts

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
 #: Names that an id column may have, in the order in which they are tried.
@@ -162,6 +164,86 @@ def pair_images_masks(files: DataFrame, image: str = r"images\.nii\.gz$", mask:
     return masks.join(images, ["subject", "session", "scan"], "left")
 
 
+class HeaderSource(DataSource):
+    """Data source ``scan_headers``: the first bytes of the first file of each folder below ``path``, by name.
+
+    Options: ``path``, ``bytes`` (of a header, 64 KB unless given), ``pattern`` of file names, ``depth`` of the folders
+    that are dealt to tasks (1: a task for each folder right below the path). Columns: folder, n_slices, head, error. The
+    driver lists ``depth`` levels only; tasks walk what is below, and open one file per folder for its first bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "scan_headers"
+
+    def schema(self) -> str:
+        return "folder string, n_slices long, head binary, error string"
+
+    def reader(self, schema) -> HeaderReader:
+        return HeaderReader(dict(self.options))
+
+
+class HeaderReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.root, self.bytes = options["path"], int(options.get("bytes", 1 << 16))
+        self.pattern, self.depth = options.get("pattern", "*"), int(options.get("depth", 1))
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.root)
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, root = self._open()
+        level, alone = [root], []
+        for _ in range(self.depth):
+            inside = [i for folder in level for i in system.get_file_info(fs.FileSelector(folder))]
+            alone += level  # files right in a folder that is opened here
+            level = sorted(i.path for i in inside if i.type == fs.FileType.Directory)
+        return [*(InputPartition((folder, False)) for folder in alone), *(InputPartition((folder, True)) for folder in level)]
+
+    def read(self, partition: InputPartition):
+        from pyarrow import fs
+
+        system, _ = self._open()
+        (top, deep), found = partition.value, {}
+        for info in system.get_file_info(fs.FileSelector(top, recursive=deep)):
+            if info.type == fs.FileType.File and fnmatch(info.base_name, self.pattern):
+                folder = info.path.rpartition("/")[0]
+                first, n = found.get(folder, (info.path, 0))
+                found[folder] = (min(first, info.path), n + 1)
+        for folder, (path, n) in found.items():
+            try:
+                with system.open_input_stream(path) as f:
+                    yield folder, n, f.read(self.bytes), None
+            except OSError as e:
+                yield folder, n, None, f"{type(e).__name__}: {e}"
+
+
+def scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], dict], columns: list[str], pattern: str = "*", header_bytes: int = 1 << 16, depth: int = 1) -> DataFrame:
+    """(folder, n_slices, columns, error) as :func:`scan_scan_headers`, for a store that tasks can open by URI: each task
+    reads ``header_bytes`` of one file per folder, and the driver holds no list of folders below ``depth``."""
+    spark.dataSource.register(HeaderSource)
+    heads = spark.read.format("scan_headers").option("bytes", header_bytes).option("pattern", pattern).option("depth", depth).load(path)
+    schema = ", ".join(["folder string", "n_slices long", *[f"`{c}` string" for c in columns], "error string"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for folder, n, head, error in zip(pdf["folder"], pdf["n_slices"], pdf["head"], pdf["error"], strict=True):
+                found: dict = {}
+                if head is not None:
+                    try:
+                        found = parse(bytes(head))
+                    except Exception as e:  # noqa: BLE001  a bad file is a row, not the end of the job
+                        error = f"{type(e).__name__}: {e}"
+                rows.append((folder, n, *[None if found.get(c) is None else str(found[c]) for c in columns], error))
+            yield pd.DataFrame(rows, columns=["folder", "n_slices", *columns, "error"])
+
+    return heads.mapInPandas(read, schema)
+
+
 def scan_scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], dict], columns: list[str], pattern: str = "*") -> DataFrame:
     """Header of the first file of each folder by a given parser, with the number of files; a file that the parser
     can't read gives a row with its error.

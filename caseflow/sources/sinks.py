@@ -50,6 +50,14 @@ def write_per_entity(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def write_combined(df: DataFrame, path: str, key: str) -> None:
+    """The combined document of all keys: JSON lines of a key and the list of its records, sorted by their text. A key's
+    records are one line; keys are spread over files, and a reader of all of them has the whole map."""
+    fields = [c for c in df.columns if c != key]
+    records = F.sort_array(F.collect_list(F.to_json(F.struct(*fields))))
+    df.groupBy(key).agg(records.alias("records")).write.mode("overwrite").json(path)
+
+
 def recover_in_place(spark: SparkSession, path: str) -> None:
     """Finish or undo what a crash of :func:`write_in_place` left: the table is there again."""
     hadoop, fs = _file_system(spark, path)

@@ -28,28 +28,34 @@ ROUNDS = 8
 DEMO_KEY = "demonstration key"
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Names of the months in English, Spanish and French; no name is in two of them.
+#: Names of the months in English, Spanish and French, of which no name is in two, then the English names'
+#: first letters, then the German names, which some English ones equal: a full stop after the day tells them apart.
 MONTHS = (
     ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
     ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
     ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+    ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
 )
-_MONTH = "|".join(name for names in MONTHS for name in names)
+_MONTH = "|".join(name for names in MONTHS[:3] for name in names)
+_SHORT, _GERMAN = "|".join(n for n in MONTHS[3] if n != "May"), "|".join(MONTHS[4])
 
 _PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?<![\w])(?=[A-Za-z]*\d)(?=\d*[A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA|xox[bp])[-_]?[A-Za-z0-9]{16,64})(?![\w])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
-    "worddate": rf"(?<![\w.])(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:de )?(?:{_MONTH}) (?:de )?\d{{4}})(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)",
+    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
+    "worddate": rf"(?<![\w.])(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:de )?(?:{_MONTH}) (?:de )?\d{{4}}|(?:{_SHORT})\.? \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{_SHORT})\.? \d{{4}}|\d{{1,2}}\. (?:{_GERMAN}) \d{{4}})(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)"
+    # national forms: an area code from 0, five pairs from 0, three threes from 6 to 9
+    r"|(?<![\w.+/-])0\d{2,4}[ /-]\d{4,8}(?![\w/-]|[.,]\d)|(?<![\w.+-])(?<!\d )0\d(?:(?: \d{2}){4}|(?:\.\d{2}){4})(?![\w-]| \d|\.\d)|(?<![\w.,+-])(?<!\d )[6-9]\d{2} \d{3} \d{3}(?![\w-]| \d|[.,]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 _MAYBE = re.compile(r"[0-9@]").search
-_MONTH_NAME = re.compile(_MONTH)
+_MONTH_NAME, _SHORT_NAME, _GERMAN_NAME = re.compile(_MONTH), re.compile(_SHORT), re.compile(_GERMAN)
 
 
 class Feistel:
@@ -100,10 +106,18 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+@lru_cache(maxsize=4)
+def _days(late: bool, short: bool) -> list[int] | range:
+    """Days of the calendar: after a month's twelfth, if ``late``; with a day or month under 10, if ``short``."""
+    if not (late or short):
+        return range(_FIRST_DAY, _LAST_DAY + 1)
+    dates = ((d, dt.date.fromordinal(d)) for d in range(_FIRST_DAY, _LAST_DAY + 1))
+    return [d for d, x in dates if (not late or x.day > 12) and (not short or min(x.day, x.month) < 10)]
+
+
 @lru_cache(maxsize=1)
-def _late_days() -> list[int]:
-    """Days of the calendar after a month's twelfth."""
-    return [d for d in range(_FIRST_DAY, _LAST_DAY + 1) if dt.date.fromordinal(d).day > 12]
+def _outside_may() -> list[int]:
+    return [d for d in range(_FIRST_DAY, _LAST_DAY + 1) if dt.date.fromordinal(d).month != 5]
 
 
 def _valid_ssn(own: str) -> bool:
@@ -146,22 +160,39 @@ class Pseudonyms:
 
     def _date(self, text: str, back: bool) -> str | None:
         """Another day in the same form; a day that doesn't exist, or is out of the calendar's range, is none."""
-        forms = ["%Y-%m-%d"] if text[4] == "-" else [f"%d{text[2]}%m{text[2]}%Y", f"%m{text[2]}%d{text[2]}%Y"]
-        for k, form in enumerate(forms):
+        sep = next(c for c in text if not c.isdigit())
+        first, second, third = (int(x) for x in text.split(sep))
+        year_first = text.index(sep) == 4
+        if year_first:
+            orders = [(first, second, third, 0)]
+        else:  # month first, if not day first: days over 12, so it stays plain that it is
+            orders = [(third, second, first, 0), (third, first, second, 1)]
+        short = len(text) < 10  # no leading zeros: days or months under 10, so it stays plain that they are left out
+        for year, month, own, late in orders:
             try:
-                day = dt.datetime.strptime(text, form).date()  # noqa: DTZ007
+                day = dt.date(year, month, own).toordinal()
             except ValueError:
                 continue
-            if not _FIRST_DAY <= day.toordinal() <= _LAST_DAY:
+            days = _days(bool(late), short)
+            at = bisect.bisect_left(days, day)
+            if not _FIRST_DAY <= day <= _LAST_DAY or at == len(days) or days[at] != day or short and re.search(rf"(?:^|{re.escape(sep)})0", text):
                 return None
-            days = _late_days() if k else range(_FIRST_DAY, _LAST_DAY + 1)  # month first: days over 12, so it stays plain that it is
-            return dt.date.fromordinal(days[self.feistel.permute(f"date{k}", bisect.bisect_left(days, day.toordinal()), len(days), back)]).strftime(form)
+            new = dt.date.fromordinal(days[self.feistel.permute(f"date{late}" + "short" * short, at, len(days), back)])
+            if year_first:
+                return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
+            a, b = (new.month, new.day) if late else (new.day, new.month)
+            return f"{a}{sep}{b}{sep}{new.year:04d}" if short else f"{a:02d}{sep}{b:02d}{sep}{new.year:04d}"
         return None
 
     def _word_date(self, text: str, back: bool) -> str | None:
         """A date with its month in words, in the same language and order."""
-        name = _MONTH_NAME.search(text).group()
-        names = next(x for x in MONTHS if name in x)
+        if re.match(r"\d+\.", text):
+            name, names = _GERMAN_NAME.search(text).group(), MONTHS[4]
+        elif found := _MONTH_NAME.search(text):
+            name = found.group()
+            names = next(x for x in MONTHS if name in x)
+        else:
+            name, names = _SHORT_NAME.search(text).group(), MONTHS[3]
         first, year = re.findall(r"\d+", text)
         try:
             day = dt.date(int(year), names.index(name) + 1, int(first)).toordinal()
@@ -169,7 +200,8 @@ class Pseudonyms:
             return None
         if not _FIRST_DAY <= day <= _LAST_DAY or first.startswith("0"):
             return None
-        fresh = dt.date.fromordinal(_FIRST_DAY + self.feistel.permute("worddate", day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, back))
+        days = _outside_may() if names is MONTHS[3] else range(_FIRST_DAY, _LAST_DAY + 1)  # May is the long name, too
+        fresh = dt.date.fromordinal(days[self.feistel.permute("worddate" if len(days) > 70_000 else "short worddate", bisect.bisect_left(days, day), len(days), back)])
         numbers = iter((str(fresh.day), f"{fresh.year:04d}"))
         return re.sub(r"\d+", lambda _: next(numbers), text.replace(name, names[fresh.month - 1]))
 
@@ -208,7 +240,7 @@ class Pseudonyms:
             return _refill(text, own[:2] + iban_check(own[:2], body) + body)
         if kind == "phone":
             code = re.match(r"\+(\d{1,3})[ .(-]", text)
-            keep = code.group(1) if code else ""  # the country stays
+            keep = code.group(1) if code else own[:1] if own[0] == "0" or re.fullmatch(r"[6-9]\d\d \d{3} \d{3}", text) else ""  # the country stays, or what begins a national form
             return _refill(text, keep + self.digits("phone", own[len(keep) :], back))
         if kind == "ssn":
             return _refill(text, self._ssn(own, back))

@@ -47,8 +47,10 @@ ROLES = _words("alert alertdialog banner complementary contentinfo dialog form m
 NAMED = _words(
     "ad ads adsense adslot advert adverts advertisement advertisements advertising adverting banner banners breadcrumb breadcrumbs consent cookie cookies dfp footer gdpr header login masthead"
     " menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promos promotion recommended related share sharebar sharing sidebar"
-    " signin signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets"
+    " signin signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar alert alerts search"
 )
+#: The same as a whole name; builders of pages use the words in names of any part.
+WHOLE = _words("widget widgets widget-area")
 COMMENTS = _words("comment comments commentlist discussion disqus replies reply respond responses")
 #: With these a name tells a state, as in comments-open or no-sidebar.
 STATES = _words("closed count disabled enabled has is js no off on open with without")
@@ -68,11 +70,11 @@ NESTED = 8
 
 
 class Element:
-    """An open element: its path's number, whether its text is skipped, the named parts around it, whether it is in an article."""
+    """An open element: its path's number, whether its text is skipped, the named parts around it, whether it is in the main part (1) or an article (2)."""
 
     __slots__ = ("tag", "path", "skip", "named", "article")
 
-    def __init__(self, tag: str, path: int, skip: bool, named: tuple, article: bool) -> None:
+    def __init__(self, tag: str, path: int, skip: bool, named: tuple, article: int) -> None:
         self.tag, self.path, self.skip, self.named, self.article = tag, path, skip, named, article
 
 
@@ -85,17 +87,17 @@ class Block:
         self.text, self.links, self.of, self.named = text, links, of, named
 
 
-def part_names(tag: str, attributes: str) -> tuple[bool, str | None, str, bool]:
-    """Whether an element is hidden or has a role outside the article, what its names tell (``comment``, ``other`` or
-    None), a label for its path, and whether it is marked as the article."""
-    skip, named, label, article = False, None, tag, tag in ("article", "main")
+def part_names(tag: str, attributes: str) -> tuple[bool, str | None, str, int]:
+    """Whether an element is hidden or has a role outside the article, what its names tell (``comment``, ``header``,
+    ``other`` or None), a label for its path, and whether it is marked as the article (2) or the main part (1)."""
+    skip, named, label, article = False, None, tag, {"article": 2, "main": 1}.get(tag, 0)
     if not attributes:
         return skip, named, label, article
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape(values[0] or values[1] or values[2])
         if name == "role":
             skip |= value.strip().lower() in ROLES
-            article |= value.strip().lower() in ("main", "article")
+            article = max(article, {"article": 2, "main": 1}.get(value.strip().lower(), 0))
         elif name == "hidden":
             skip |= value.lower() != "until-found"
         elif name == "aria-hidden":
@@ -103,7 +105,7 @@ def part_names(tag: str, attributes: str) -> tuple[bool, str | None, str, bool]:
         elif name == "style":
             skip |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         elif name == "itemprop":
-            article |= value.strip().lower() == "articlebody"
+            article = 2 if value.strip().lower() == "articlebody" else article
         else:
             if name == "class":
                 label = ".".join([tag, *sorted(value.split())])
@@ -112,14 +114,14 @@ def part_names(tag: str, attributes: str) -> tuple[bool, str | None, str, bool]:
                 if STATES.isdisjoint(words):
                     if words and words[0] in COMMENTS or len(words) > 1 and words[-1] in COMMENTS:
                         named = "comment"
-                    elif not NAMED.isdisjoint(words):
-                        named = named or "other"
+                    elif one.lower() in WHOLE or not NAMED.isdisjoint(words):
+                        named = named if named in ("comment", "other") else "header" if NAMED.intersection(words) == {"header"} else "other"
     return skip, named, label, article
 
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks of a page in their order, without those whose markup says that they are no main text."""
-    root = Element("", 0, False, (), False)
+    root = Element("", 0, False, (), 0)
     stack, opened, paths = [root], Counter(), {}
     blocks: list[Block] = []
     held: list[str] = []
@@ -204,12 +206,12 @@ def blocks_of(html: str) -> list[Block]:
                 skip = True
             if tag == "form":
                 named = named or "other"
-            if tag in ("html", "body", "main") or tag == "article" and named == "other" or article and named == "other" or tag == "header":
-                named = None
+            if tag in ("html", "body", "main") or article and named != "comment" or tag == "header" or named == "header" and above.article:
+                named = None  # a header in an article is the article's
             if named and len(above.named) == NESTED:
                 skip = True
             path = paths.setdefault((above.path, label), len(paths) + 1)
-            stack.append(Element(tag, path, above.skip or skip, above.named + ((elements, named),) if named and len(above.named) < NESTED else above.named, above.article or article))
+            stack.append(Element(tag, path, above.skip or skip, above.named + ((elements, named),) if named and len(above.named) < NESTED else above.named, max(above.article, article)))
             opened[tag] += 1
             if tag in RAW:  # no markup inside
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
@@ -262,8 +264,10 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
     chosen = [k for k, b in enumerate(blocks) if best and ratios[b.of.path] >= THRESHOLD * best]
     if not chosen:
         return [b for b in blocks if b.of.article and b.links * 2 <= len(b.text)]
-    if any(blocks[k].of.article for k in chosen):  # an article element says where the text is: all of it belongs
-        return [b for b in blocks if b.of.article and b.links * 2 <= len(b.text)]
+    size = [sum(len(blocks[k].text) for k in chosen if blocks[k].of.article >= level) for level in (1, 2)]
+    if size[0]:  # markup says where the text is: all of the main part belongs, or of its articles if they hold most of it
+        level = 2 if size[1] * 2 >= size[0] else 1
+        return [b for b in blocks if b.of.article >= level and b.links * 2 <= len(b.text)]
     # elsewhere blocks between content blocks belong to it, and headings right before it
     first, end = chosen[0], chosen[-1]
     while first and blocks[first - 1].of.tag in HEADINGS and not blocks[first - 1].links:

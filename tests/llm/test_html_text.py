@@ -33,6 +33,10 @@ MENU = "<ul>" + "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in rang
         # a form that wraps the page stays, a form within it goes
         (f'<body><form id="f"><div class="sidebar">Read on: more, more, more. And more.</div><div class="content">{PARAS}</div><div class="newsletter"><input>Your address, please. We write rarely, if at all.</div></form></body>', SAID),
         (f'<body class="has-sidebar comments-open"><div class="post no-sidebar">{PARAS}</div><form action="/s"><label>Search</label><button>Go</button></form></body>', SAID),
+        # an article in a main part with other things, related articles in a main part without one, headers within
+        (f'<main><div class="hero">A quite long teaser, with commas, stops. And more of it, for show.</div><article><div class="entry-header"><h1>Flood</h1></div>{PARAS}<p class="ad">Buy, buy, buy. Now.</p></article></main>', f"Flood\n\n{SAID}"),
+        (f'<div role="main">{PARAS}<ul class="related"><li><article><a href="/x">Other flood</a></article></li></ul></div><div class="page-header">Site, news. More.</div>', SAID),
+        (f'<article><div class="elementor-widget"><p>{LONG[0]}</p></div><div class="elementor-widget"><p>{LONG[1]}</p></div><div class="elementor-widget"><p>{LONG[2]}</p></div><div class="widget">Weather: fine, mild. Dry.</div><div role="alert">Old browser, sorry.</div></article>', SAID),
         # tags in any state
         (f"<BODY><DIV CLASS=menu>{MENU}</DIV><ARTICLE><P><B>{LONG[0]}<P>{LONG[1]}</I><P title='a>b'>{LONG[2]}</ARTICLE><SCRIPT>if (a</b) {{ document.write('<p>no</p>') }}</SCRIPT>", SAID),
         (f'<article>{PARAS}<p hidden>secret</p><div style="display: none">secret</div><p aria-hidden="true">secret</p><span class="share-buttons"><span>Share</span> now</span><p>1 &lt; 2 &amp;&nbsp;3 &#8364; &#x41; &eacute;\n\t x</article>', f"{SAID}\n\n1 < 2 & 3 € A é x"),

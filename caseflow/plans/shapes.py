@@ -117,11 +117,16 @@ def write_in_place(t):
     return t.spark.read.parquet(path)
 
 
-@R.query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@R.query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(*) AS combined FROM orders GROUP BY ALL")
 def write_per_entity(t):
-    path = _folder(t)
-    sinks.write_per_entity(t.orders.select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
-    return t.spark.read.json(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """A folder of documents per status and priority, and the combined document, whose records are counted by key."""
+    path, whole = _folder(t), _folder(t)
+    rows = t.orders.select("o_orderkey", F.concat_ws("_", "o_orderstatus", "o_orderpriority").alias("entity"))
+    sinks.write_per_entity(rows, path, "entity")
+    sinks.write_combined(rows, whole, "entity")
+    n = t.spark.read.json(path).groupBy("entity").agg(F.count("*").alias("n"))
+    combined = t.spark.read.json(whole).select("entity", F.size("records").cast("long").alias("combined"))
+    return n.join(combined, "entity").select(F.substring_index("entity", "_", 1).alias("o_orderstatus"), F.substring_index("entity", "_", -1).alias("o_orderpriority"), "n", "combined")
 
 
 @R.query("SELECT event_id, user_id, event_type FROM events")

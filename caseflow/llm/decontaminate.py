@@ -43,10 +43,15 @@ def _hash(word: str) -> int:
 
 
 class _Words(dict):
-    """Hash and class of a token in one number, kept for the tokens met lately."""
+    """Hash and class of a token in one number, kept for the tokens met lately. With ``known``, the hashes of the words that
+    are looked for, all other words have one hash, that of no word."""
+
+    def __init__(self, known: dict[str, int] | None = None) -> None:
+        super().__init__()
+        self.known = known
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 100_000:
+        if len(self) > 300_000:
             self.clear()
         low = token.lower()
         if token[0] in ".!?\n":
@@ -57,10 +62,11 @@ class _Words(dict):
             code = _MEASURE
         else:
             code = _CAPITAL if token[0].isupper() and token[1:].islower() else _PLAIN
-        v = self[token] = _hash(low) << 3 | code
+        v = self[token] = (_hash(low) if self.known is None else self.known.get(low, _OTHER)) << 3 | code
         return v
 
 
+_OTHER = _hash("\x02other")
 _WORDS = _Words()
 _SLOTS = np.array([_hash(_NUMBER), _hash(_NAME), _hash(_UNIT)], np.uint64)
 
@@ -72,9 +78,9 @@ class Template:
     is a slot only next to a number.
     """
 
-    def __init__(self, text: str | None) -> None:
+    def __init__(self, text: str | None, words: _Words = _WORDS) -> None:
         tokens = _TOKEN.findall(text or "")
-        codes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+        codes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
         kind = (codes & np.uint64(7)).astype(np.int64)
         hashes = codes >> np.uint64(3)
         first = np.ones(len(tokens), bool)
@@ -93,6 +99,11 @@ class Template:
                 out[at] = _SLOTS[k]
             self.readings.append((out[keep], (number | name | unit)[keep]))
 
+    def longest(self) -> int:
+        """Words in the longest run without a word that is none of those known and no slot."""
+        foreign = np.flatnonzero((self.own == np.uint64(_OTHER)) & ~self.readings[1][1])
+        return int(np.diff(np.concatenate([[-1], foreign, [len(self.own)]])).max()) - 1
+
     def values(self, reading: int, at: int, size: int) -> list[str]:
         """Values of the slots of a window."""
         slots = self.readings[reading][1]
@@ -181,11 +192,23 @@ def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return items.join(first, "alike").select(F.col("item").alias(id_col), "stands_for")
 
 
+def benchmark_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(word): every word of the items that have an id, in lower case."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": sorted({w.lower() for t in pdf["text"] for w in _TOKEN.findall(t or "")})}, dtype=object)
+
+    rows = need(benchmark, id_col, text_col).toDF("item", "text").where("item is not null").select(F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(cut, "word string").distinct()
+
+
 class Wanted:
-    """The hashes that are looked for: a sorted array, or the bits of a filter of fixed size, which lets others pass too."""
+    """The hashes that are looked for: a sorted array, or the bits of a filter of fixed size, which lets others pass too;
+    and the words that they are made of, if those are given."""
 
-    def __init__(self, items: DataFrame, exact: bool) -> None:
-        self.exact = exact
+    def __init__(self, items: DataFrame, exact: bool, words: list[str] | None = None) -> None:
+        self.exact, self.words = exact, words
         if exact:
             self.known = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
             return
@@ -212,11 +235,15 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words(None if shared.value.words is None else {w: _hash(w) for w in shared.value.words})
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                t = Template(text)
+                t = Template(text, words)
+                most = t.longest()
                 for size in sizes:
+                    if size > most:  # each window has a word that is in no item
+                        break
                     for r, (h, at, _) in enumerate(t.windows(size)):
                         hit = shared.value.hits(h)
                         out += [(x, i, a, t.values(r, a, size)) for x, a in zip(h[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True)]
@@ -224,7 +251,6 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col:
                     yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
                     out = []
             yield pd.DataFrame(out, columns=["h", "id", "at", "found"])
-        _WORDS.clear()  # workers outlive tasks
 
     rows = need(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string")).where("id is not null and text is not null")
     return rows.mapInPandas(cut, f"h long, id {type_of(docs, id_col)}, at int, found array<string>")
@@ -271,7 +297,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = stage(every.join(first, ["alike", "item"], "left_semi").drop("alike"), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     small = items.count() <= broadcast_windows
-    found = stage(document_windows(docs, sizes, Wanted(items, small), id_col, text_col), "found-windows")
+    words = [r.word for r in benchmark_words(benchmark, item_col, item_text_col).collect()] if small else None
+    found = stage(document_windows(docs, sizes, Wanted(items, small, words), id_col, text_col), "found-windows")
     pairs = candidates(found, items, coverage, small)
     hits = pairs.join(F.broadcast(items) if small else items, "item").join(found, ["id", "h"]).where("size(slots) = size(found)")
     aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "slots", "found")).alias("hits"))

@@ -30,7 +30,7 @@ from ._common import need, small_batches, with_text
 
 LONG_BYTES = 64
 #: Words whose ids a task keeps; memory of a task's DuckDB. Both go with the task.
-WORDS_KEPT, MEMORY = 250_000, "128MB"
+WORDS_KEPT, MEMORY = 500_000, "128MB"
 #: Texts are encoded in groups of about this many characters; a query contracts words of at most this many squared bytes
 #: in all (what the recursion keeps grows with them), and decodes at most this many tokens, in runs of at most RUN.
 GROUP_CHARS, QUERY_SQUARES, QUERY_TOKENS, RUN = 1_000_000, 8_000_000, 1 << 18, 1 << 16

@@ -44,24 +44,29 @@ def _hash(word: str) -> int:
 
 class _Words(dict):
     """Hash and class of a token in one number, kept for the tokens met lately. With ``known``, the hashes of the words that
-    are looked for, all other words have one hash, that of no word."""
+    are looked for, all other words have one hash, that of no word, and are kept only if they aren't in lower case."""
 
     def __init__(self, known: dict[str, int] | None = None) -> None:
         super().__init__()
         self.known = known
+        self.lower = {w: self[w] for w in {*known, *UNITS}} if known is not None else {}
+
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        if self.known is None:
+            return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        common, other = self.lower.get, _OTHER << 3 | _PLAIN
+        return np.array([common(t) or (other if t.islower() else self[t]) for t in tokens], np.uint64)
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
-        low = token.lower()
-        if token[0] in ".!?\n":
-            code = _MARK
-        elif token[0].isdigit():
-            code = _NUM
-        elif low in UNITS:
+        low, first = token.lower(), token[0]
+        if low in UNITS:
             code = _MEASURE
+        elif first.isalpha():
+            code = _CAPITAL if low != token and first.isupper() and token[1:].islower() else _PLAIN
         else:
-            code = _CAPITAL if token[0].isupper() and token[1:].islower() else _PLAIN
+            code = _MARK if first in ".!?\n" else _NUM if first.isdigit() else _PLAIN
         v = self[token] = (_hash(low) if self.known is None else self.known.get(low, _OTHER)) << 3 | code
         return v
 
@@ -71,6 +76,13 @@ _WORDS = _Words()
 _SLOTS = np.array([_hash(_NUMBER), _hash(_NAME), _hash(_UNIT)], np.uint64)
 
 
+def _longest(codes: np.ndarray) -> int:
+    """Words in the longest run without one that is none of those known and can be no slot."""
+    codes = codes[codes & np.uint64(7) != _MARK]
+    foreign = np.flatnonzero(codes == np.uint64(_OTHER << 3 | _PLAIN))
+    return int(np.diff(np.concatenate([[-1], foreign, [len(codes)]])).max()) - 1
+
+
 class Template:
     """A whole text's words without marks of sentences: their own hashes, and template hashes and slots of both readings.
 
@@ -78,9 +90,11 @@ class Template:
     is a slot only next to a number.
     """
 
-    def __init__(self, text: str | None, words: _Words = _WORDS) -> None:
+    def __init__(self, text: str | None, words: _Words = _WORDS, least: int = 0) -> None:
         tokens = _TOKEN.findall(text or "")
-        codes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+        codes = words.codes(tokens)
+        if least and _longest(codes) < least:  # every window has a word that is in no item
+            tokens, codes = [], codes[:0]
         kind = (codes & np.uint64(7)).astype(np.int64)
         hashes = codes >> np.uint64(3)
         first = np.ones(len(tokens), bool)
@@ -99,11 +113,6 @@ class Template:
                 out[at] = _SLOTS[k]
             self.readings.append((out[keep], (number | name | unit)[keep]))
 
-    def longest(self) -> int:
-        """Words in the longest run without a word that is none of those known and no slot."""
-        foreign = np.flatnonzero((self.own == np.uint64(_OTHER)) & ~self.readings[1][1])
-        return int(np.diff(np.concatenate([[-1], foreign, [len(self.own)]])).max()) - 1
-
     def values(self, reading: int, at: int, size: int) -> list[str]:
         """Values of the slots of a window."""
         slots = self.readings[reading][1]
@@ -239,11 +248,8 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col:
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                t = Template(text, words)
-                most = t.longest()
+                t = Template(text, words, sizes[0] if sizes else 0)
                 for size in sizes:
-                    if size > most:  # each window has a word that is in no item
-                        break
                     for r, (h, at, _) in enumerate(t.windows(size)):
                         hit = shared.value.hits(h)
                         out += [(x, i, a, t.values(r, a, size)) for x, a in zip(h[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from fnmatch import fnmatch
 from functools import reduce
 
@@ -16,6 +17,18 @@ from pyspark.sql import types as T
 ID_NAMES = ("subject", "case", "patient_id", "patientid", "paciente", "id")
 
 
+@contextmanager
+def _listed_in_runs(spark: SparkSession) -> Iterator[None]:
+    """Loads within it list folders in a task for each core, not in up to 10,000 tasks of a folder or so each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(int(old), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def scan_all_string(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """CSV with every column text and blanks for missing values; no inference pass."""
     reader = spark.read.option("header", True).option("sep", sep).option("escape", "\"")  # doubled quotes, as spreadsheets write them
@@ -124,7 +137,8 @@ def scan_embeddings(spark: SparkSession, paths: list[str], key: str, label: str,
 
 def scan_file_inventory(spark: SparkSession, path: str, pattern: str = "*", depth_names: tuple[str, ...] = ("subject", "session", "scan", "file")) -> DataFrame:
     """(path, length, modificationTime, subject, session, scan, file) of a tree; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    with _listed_in_runs(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     parts = F.split("path", "/")
     n = len(depth_names)
     return files.select("*", *[F.element_at(parts, k - n).alias(name) for k, name in enumerate(depth_names)])

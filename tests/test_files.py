@@ -78,3 +78,15 @@ def test_documents_are_written_by_several_tasks(spark):
     with tasks_of(spark) as counts:
         plans.QUERIES["scan_json_docs"](spark, SF_DIR)
     assert max(counts) > 1
+
+
+def test_sessions_are_written_and_listed_by_tasks(spark, many, monkeypatch):
+    with tasks_of(spark) as counts:
+        found = plans.QUERIES["session_inventory"](spark, SF_DIR)
+    assert max(counts) > 1
+    assert {r.input for r in found.collect()} == {"slices", "volume"}
+    monkeypatch.setattr(plans, "tree", lambda t: many)
+    monkeypatch.setattr(plans.readers, "session_inventory", lambda files, root: files)
+    with tasks_of(spark) as counts:
+        plans.QUERIES["session_inventory"](spark, SF_DIR)
+    assert counts == [spark.sparkContext.defaultParallelism]

@@ -29,6 +29,18 @@ def _listed_in_runs(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def opened_by_uri(path: str) -> bool:
+    """Whether tasks can open what is below ``path`` by its URI: Arrow knows the store, and the path has no pattern or
+    escape, which Spark and Arrow read differently."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return not any(c in path for c in "*?[{\\%")
+
+
 def scan_all_string(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """CSV with every column text and blanks for missing values; no inference pass."""
     reader = spark.read.option("header", True).option("sep", sep).option("escape", "\"")  # doubled quotes, as spreadsheets write them
@@ -263,26 +275,39 @@ def scan_scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], d
     """Header of the first file of each folder by a given parser, with the number of files; a file that the parser
     can't read gives a row with its error.
 
-    Only the first file of a folder is opened: the listing doesn't read contents, and the paths chosen from it are read
-    by themselves. They are fewer than the paths that the driver lists for any scan of the tree.
+    Only the first file of a folder is opened: the listing doesn't read contents. Tasks open the files that they are
+    dealt by URI; where they can't, the driver names the chosen paths to Spark's reader, which lists them once more.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
-    folders = listed.groupBy(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).agg(F.min("path").alias("path"), F.count("*").alias("n_slices")).persist()
+    with _listed_in_runs(spark):
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    folders = listed.groupBy(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).agg(F.min("path").alias("path"), F.count("*").alias("n_slices"))
     schema = ", ".join(["folder string", "n_slices long", *[f"`{c}` string" for c in columns], "error string"])
-    chosen = [r.path for r in folders.select("path").collect()]
-    if not chosen:
-        return spark.createDataFrame([], schema)
+    by_uri = opened_by_uri(path)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")  # as in Spark's paths
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if by_uri else (None, "")
         for pdf in batches:
             rows = []
-            for folder, n, content in zip(pdf["folder"], pdf["n_slices"], pdf["content"], strict=True):
+            for folder, n, file in zip(pdf["folder"], pdf["n_slices"], pdf["path" if by_uri else "content"], strict=True):
+                if by_uri:
+                    with system.open_input_stream(root.rstrip("/") + file.removeprefix(top), compression=None) as f:
+                        file = f.read()
                 try:
-                    found, error = parse(bytes(content)), None
+                    found, error = parse(bytes(file)), None
                 except Exception as e:  # noqa: BLE001  a bad file is a row, not the end of the job
                     found, error = {}, f"{type(e).__name__}: {e}"
                 rows.append((folder, n, *[None if found.get(c) is None else str(found[c]) for c in columns], error))
             yield pd.DataFrame(rows, columns=["folder", "n_slices", *columns, "error"])
 
-    opened = spark.read.format("binaryFile").load(chosen).select("path", "content")
+    if by_uri:
+        return folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder").mapInPandas(read, schema)
+    chosen = [r.path for r in folders.persist().select("path").collect()]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    with _listed_in_runs(spark):
+        opened = spark.read.format("binaryFile").load(chosen).select("path", "content")
     return opened.join(folders, "path").select("folder", "n_slices", "content").mapInPandas(read, schema)

@@ -50,7 +50,7 @@ def test_tree_is_written_by_several_tasks(spark):
 
 
 def test_files_hold_their_rows(spark, tmp_path):
-    rows = [(f"a={k % 3}/b={k}/part-0", f"é{k}\n") for k in range(20)] + [("none", None)]
+    rows = [(f"a={k % 3}/b={k}/part-0", f"é{k}\n") for k in range(20)] + [("none", None), ("x.gz", "as it is")]
     for root in (str(tmp_path / "x"), f"file://{tmp_path}/y"):
         sinks.write_files(spark.createDataFrame(rows, "path string, value string"), root)
     for k in ("x", "y"):
@@ -90,3 +90,22 @@ def test_sessions_are_written_and_listed_by_tasks(spark, many, monkeypatch):
     with tasks_of(spark) as counts:
         plans.QUERIES["session_inventory"](spark, SF_DIR)
     assert counts == [spark.sparkContext.defaultParallelism]
+
+
+def test_headers_are_opened_by_the_tasks_that_list(spark, many):
+    with tasks_of(spark) as counts:
+        found = readers.scan_scan_headers(spark, many + "/", lambda raw: {"raw": raw.decode()}, ["raw"])
+    assert counts == [spark.sparkContext.defaultParallelism]  # no job for chosen paths, which the driver doesn't see
+    assert {(r.folder, r.raw, r.n_slices, r.error) for r in found.collect()} == {(f"file:{many}/{k}", f'{{"block": {{"f": "{k}"}}}}', 1, None) for k in range(50)}
+
+
+def test_headers_of_odd_paths(spark, tmp_path):
+    """Endings, names with signs that patterns or URIs use, hidden files; and a store that only Spark opens."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}")
+    for name, raw in (("a b%20é/1.gz", b"one"), ("a b%20é/2.gz", b"more"), ("c/_x/1", b"no"), ("c/.y", b"no"), ("c/z", b"z")):
+        (tmp_path / "odd" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "odd" / name).write_bytes(raw)
+    want = {("a b%20é", 2, "one"), ("c", 1, "z")}
+    for path in (str(tmp_path / "odd"), f"file://{tmp_path}/odd/", "viewfs://odd/in/odd", f"{tmp_path}/od?"):
+        found = readers.scan_scan_headers(spark, path, lambda raw: {"raw": raw.decode()}, ["raw"]).collect()
+        assert {(r.folder.rpartition("/")[2], r.n_slices, r.raw) for r in found} == want and len(found) == 2, path

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from fnmatch import fnmatch
+from fnmatch import fnmatch, fnmatchcase
 from functools import reduce
 
 import pandas as pd
@@ -148,29 +149,88 @@ def scan_embeddings(spark: SparkSession, paths: list[str], key: str, label: str,
     return rows.crossJoin(F.broadcast(lists)).where(same).drop("_l")  # a single row
 
 
-def scan_file_inventory(spark: SparkSession, path: str, pattern: str = "*", depth_names: tuple[str, ...] = ("subject", "session", "scan", "file")) -> DataFrame:
-    """(path, length, modificationTime, subject, session, scan, file) of a tree; contents aren't read."""
-    with _listed_in_runs(spark):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+def scan_file_inventory(spark: SparkSession, path: str, pattern: str = "*", depth_names: tuple[str, ...] = ("subject", "session", "scan", "file"), stage: str | None = None) -> DataFrame:
+    """(path, length, modificationTime, subject, session, scan, file) of a tree; contents aren't read.
+
+    With ``stage``, a new folder that driver and executors share, the inventory is written there once and read from it, so
+    that queries that need it several times don't plan a task for every few files each time. Tasks list the tree then, if
+    they can by URI, and the driver holds no list of files; this shows files of no bytes too.
+    """
+    if stage and opened_by_uri(path) and not any(c in pattern for c in "{[\\") and _is_folder(path):
+        files = _listed_by_tasks(spark, path, pattern)
+    else:
+        with _listed_in_runs(spark):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    if stage:
+        files.write.parquet(stage)
+        files = spark.read.schema(files.schema).parquet(stage)
     parts = F.split("path", "/")
     n = len(depth_names)
     return files.select("*", *[F.element_at(parts, k - n).alias(name) for k, name in enumerate(depth_names)])
 
 
+def _is_folder(path: str) -> bool:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    return system.get_file_info(root).type == fs.FileType.Directory
+
+
+def _listed_by_tasks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, length, modificationTime) of the files below ``path``, without those that Spark takes as hidden.
+
+    The driver lists from the top until it has some folders for each core, which are dealt to a task for each core."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    root, top, n = root.rstrip("/"), _qualified(spark, path), spark.sparkContext.defaultParallelism
+
+    def inside(system, folder: str) -> list:
+        return [i for i in system.get_file_info(fs.FileSelector(folder)) if not ((i.base_name.startswith("_") and "=" not in i.base_name) or i.base_name.startswith(".") or i.base_name.endswith("._COPYING_"))]
+
+    level, dealt = [root or "/"], []
+    while level and len(level) < 4 * n:
+        dealt += [(folder, False) for folder in level]
+        level = sorted(i.path for folder in level for i in inside(system, folder) if i.type == fs.FileType.Directory)
+    dealt += [(folder, True) for folder in level]
+
+    def walk(folders: Iterator[tuple[str, bool]]) -> Iterator[tuple]:
+        system, _ = fs.FileSystem.from_uri(path)
+        for folder, deep in folders:
+            left = [folder]
+            while left:
+                for i in inside(system, left.pop()):
+                    if i.type == fs.FileType.File and fnmatchcase(i.base_name, pattern):
+                        yield top + i.path.removeprefix(root), i.size, i.mtime
+                    elif deep and i.type == fs.FileType.Directory:
+                        left.append(i.path)
+
+    found = spark.sparkContext.parallelize([x for k in range(n) for x in dealt[k::n]], n).mapPartitions(walk)
+    return spark.createDataFrame(found, "path string, length long, modificationTime timestamp", verifySchema=False)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as in the paths of Spark's file sources."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+
+
 def session_inventory(files: DataFrame, root: str, volume: str = r"^images\.nii\.gz$", depth: int = 6) -> DataFrame:
-    """(session, scan, input) of a tree given as an inventory with ``path``.
+    """(session, scan, input) of a tree given as an inventory with ``path``; ``root`` may name the scheme or not.
 
     A scan is a folder with a volume, or with slices (``.dcm``); a volume comes first. A session is a folder at most
     ``depth`` levels under ``root`` with a scan right in it; folders under a session aren't sessions. Other folders of
     files in a session have no input.
     """
-    below = F.split(F.substring_index("path", f"{root.rstrip('/')}/", -1), "/")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    base, path = f"{re.sub(scheme, '', root).rstrip('/')}/", F.regexp_replace("path", scheme, "")
+    below = F.split(F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(F.substring_index(path, base, -1)), "/")
     up = lambda k: F.array_join(F.slice(below, 1, F.size(below) - k), "/")
     name = F.element_at(below, -1)
-    scans = files.where(F.size(below) >= 2).select(up(2).alias("session"), up(1).alias("scan"), F.rlike(name, F.lit(volume)).alias("v"), F.endswith(name, F.lit(".dcm")).alias("d"))
-    scans = scans.groupBy("session", "scan").agg(F.bool_or("v").alias("v"), F.bool_or("d").alias("d"))
+    found = files.where(F.size(below) >= 2).select(up(2).alias("session"), up(1).alias("scan"), F.rlike(name, F.lit(volume)).alias("v"), F.endswith(name, F.lit(".dcm")).alias("d"))
+    scans = found.groupBy("session", "scan").agg(F.bool_or("v").alias("v"), F.bool_or("d").alias("d"))
     level = F.when(F.col("session") == "", 0).otherwise(F.size(F.split("session", "/")))
-    sessions = scans.where("v or d").select("session", level.alias("level")).distinct().where(F.col("level") <= depth)
+    sessions = found.where("v or d").select("session").distinct().withColumn("level", level).where(F.col("level") <= depth)
     parts = F.split("session", "/")
     above = F.when(F.col("level") > 0, F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
     covered = sessions.select("session", F.explode(above).alias("up")).join(sessions.select(F.col("session").alias("up")), "up", "left_semi")
@@ -283,8 +343,7 @@ def scan_scan_headers(spark: SparkSession, path: str, parse: Callable[[bytes], d
     folders = listed.groupBy(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).agg(F.min("path").alias("path"), F.count("*").alias("n_slices"))
     schema = ", ".join(["folder string", "n_slices long", *[f"`{c}` string" for c in columns], "error string"])
     by_uri = opened_by_uri(path)
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")  # as in Spark's paths
+    top = _qualified(spark, path)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

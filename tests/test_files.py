@@ -92,6 +92,39 @@ def test_sessions_are_written_and_listed_by_tasks(spark, many, monkeypatch):
     assert counts == [spark.sparkContext.defaultParallelism]
 
 
+def test_sessions_below_a_root_with_a_scheme(spark, tmp_path, monkeypatch):
+    """Spark writes file:/ where a URI has file:///; a store that only Spark opens gives the same sessions."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sessions.link./in", f"file://{tmp_path}")
+    want = sorted(plans.QUERIES["session_inventory"](spark, SF_DIR).collect())
+    assert want
+    for top in (f"file://{tmp_path}", f"file:{tmp_path}", "viewfs://sessions/in"):
+        monkeypatch.setattr(plans, "_folder", lambda t, top=top: f"{top}/{uuid.uuid4().hex}")
+        assert sorted(plans.QUERIES["session_inventory"](spark, SF_DIR).collect()) == want, top
+    files = spark.createDataFrame([(p,) for p in ("hdfs://a/a/s/a/x/1.dcm", "hdfs://a/a/1/2/3/4/5/6/7/x/1.dcm", "hdfs://a/a/0/2.dcm")], "path string")
+    assert {tuple(r) for r in readers.session_inventory(files, "hdfs://a/a/").collect()} == {("", "0", "slices")}
+    assert {tuple(r) for r in readers.session_inventory(files.where("path not like '%2.dcm'"), "/a").collect()} == {("s/a", "s/a/x", "slices")}
+
+
+def test_sessions_read_a_file_of_inventory_for_each_core(spark):
+    """Not a task for each few of the tree's files, and that for each use of the inventory."""
+    found = plans.QUERIES["session_inventory"](spark, SF_DIR)
+    assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("pattern", ["*", "*.dcm", "?.dcm", "{1,2}.dcm", "[12].dcm"])
+def test_tasks_list_what_spark_lists(spark, tmp_path, pattern):
+    names = ("top.dcm", "a b%20é/1.dcm", "a b%20é/c/2.dcm", "_x/1.dcm", "_k=1/1.dcm", ".y/1.dcm", "a b%20é/.1.dcm", "a b%20é/_1.dcm", "1.dcm._COPYING_", "d/e/f/g/11.dcm")
+    for name in names:
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(name)
+    for k, path in enumerate((f"{tmp_path}/t", f"{tmp_path}/t/", f"file://{tmp_path}/t", f"{tmp_path}/t/top.dcm")):
+        want = readers.scan_file_inventory(spark, path, pattern)
+        found = readers.scan_file_inventory(spark, path, pattern, stage=f"{tmp_path}/stage{k}")
+        assert found.dtypes == want.dtypes and (k == 3 or want.count())
+        spent = lambda r: (*r[:2], r[2].replace(microsecond=r[2].microsecond // 1000 * 1000), *r[3:])  # noqa: E731  Spark has milliseconds
+        assert sorted(map(spent, found.collect())) == sorted(map(spent, want.collect()))
+
+
 def test_headers_are_opened_by_the_tasks_that_list(spark, many):
     with tasks_of(spark) as counts:
         found = readers.scan_scan_headers(spark, many + "/", lambda raw: {"raw": raw.decode()}, ["raw"])

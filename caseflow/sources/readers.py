@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from fnmatch import fnmatch, fnmatchcase
@@ -179,7 +180,7 @@ def _is_folder(path: str) -> bool:
 def _listed_by_tasks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, length, modificationTime) of the files below ``path``, without those that Spark takes as hidden.
 
-    The driver lists from the top until it has some folders for each core, which are dealt to a task for each core."""
+    The driver lists folders from the top until it knows four unseen ones for each core; a task for each core walks those."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(path)
@@ -188,11 +189,12 @@ def _listed_by_tasks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     def inside(system, folder: str) -> list:
         return [i for i in system.get_file_info(fs.FileSelector(folder)) if not ((i.base_name.startswith("_") and "=" not in i.base_name) or i.base_name.startswith(".") or i.base_name.endswith("._COPYING_"))]
 
-    level, dealt = [root or "/"], []
-    while level and len(level) < 4 * n:
-        dealt += [(folder, False) for folder in level]
-        level = sorted(i.path for folder in level for i in inside(system, folder) if i.type == fs.FileType.Directory)
-    dealt += [(folder, True) for folder in level]
+    unseen, dealt = deque([root or "/"]), []
+    while unseen and len(unseen) < 4 * n:
+        folder = unseen.popleft()
+        unseen += sorted(i.path for i in inside(system, folder) if i.type == fs.FileType.Directory)
+        dealt.append((folder, False))
+    dealt += [(folder, True) for folder in unseen]
 
     def walk(folders: Iterator[tuple[str, bool]]) -> Iterator[tuple]:
         system, _ = fs.FileSystem.from_uri(path)

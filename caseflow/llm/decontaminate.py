@@ -12,6 +12,7 @@ values are equal, are one class: its smallest id stands for all, so a template o
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs as P
 from ._common import MARK_BITS, need, numbered, place, small_batches, stage, type_of
 
 #: Words in a window (a shorter item is one window, of exact words if under LEAST), share of an item to be covered.
@@ -76,13 +78,6 @@ _WORDS = _Words()
 _SLOTS = np.array([_hash(_NUMBER), _hash(_NAME), _hash(_UNIT)], np.uint64)
 
 
-def _longest(codes: np.ndarray) -> int:
-    """Words in the longest run without one that is none of those known and can be no slot."""
-    codes = codes[codes & np.uint64(7) != _MARK]
-    foreign = np.flatnonzero(codes == np.uint64(_OTHER << 3 | _PLAIN))
-    return int(np.diff(np.concatenate([[-1], foreign, [len(codes)]])).max()) - 1
-
-
 class Template:
     """A whole text's words without marks of sentences: their own hashes, and template hashes and slots of both readings.
 
@@ -90,11 +85,9 @@ class Template:
     is a slot only next to a number.
     """
 
-    def __init__(self, text: str | None, words: _Words = _WORDS, least: int = 0) -> None:
+    def __init__(self, text: str | None, words: _Words = _WORDS) -> None:
         tokens = _TOKEN.findall(text or "")
         codes = words.codes(tokens)
-        if least and _longest(codes) < least:  # every window has a word that is in no item
-            tokens, codes = [], codes[:0]
         kind = (codes & np.uint64(7)).astype(np.int64)
         hashes = codes >> np.uint64(3)
         first = np.ones(len(tokens), bool)
@@ -212,21 +205,47 @@ def benchmark_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return rows.mapInPandas(cut, "word string").distinct()
 
 
+def benchmark_pairs(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(h): the hashes of all neighbours in items that have an id, by themselves and as the slots that they may be."""
+    small_batches(benchmark.sparkSession)
+
+    def symbols(token: str) -> list[int]:
+        code = _WORDS[token] & 7
+        return [P.NUMBER] if code == _NUM else [P.spelled(token.lower()), P.SLOT] if code in (_CAPITAL, _MEASURE) else [P.spelled(token.lower())]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = {(P.NUMBER, P.NUMBER)}
+            for text in pdf["text"]:
+                found.update(x for a, b in itertools.pairwise(map(symbols, Template(text).words)) for x in itertools.product(a, b))
+            both = np.array(sorted(found), np.uint32)
+            yield pd.DataFrame({"h": P.paired(both[:, 0], both[:, 1]).view(np.int64)})
+
+    rows = need(benchmark, id_col, text_col).toDF("item", "text").where("item is not null").select(F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(cut, "h long")
+
+
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """Filter of MARK_BITS bits over the column ``h``."""
+    bit = F.pmod("h", F.lit(MARK_BITS)) + 1
+    found = hashes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in found.collect():  # MARK_BITS / 8 bytes in all
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+    return out
+
+
 class Wanted:
     """The hashes that are looked for: a sorted array, or the bits of a filter of fixed size, which lets others pass too;
-    and the words that they are made of, if those are given."""
+    the bits of a filter of the neighbours in them; and the words that they are made of, if those are given."""
 
-    def __init__(self, items: DataFrame, exact: bool, words: list[str] | None = None) -> None:
-        self.exact, self.words = exact, words
+    def __init__(self, items: DataFrame, exact: bool, pairs: DataFrame, words: list[str] | None = None) -> None:
+        self.exact, self.words, self.pairs = exact, words, _bits(pairs)
         if exact:
             self.known = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
-            return
-        bit = F.pmod("h", F.lit(MARK_BITS)) + 1
-        found = items.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-        self.known = np.zeros(MARK_BITS // 8, np.uint8)
-        for r in found.collect():  # MARK_BITS / 8 bytes in all
-            part = np.frombuffer(bytes(r.bits), np.uint8)
-            self.known[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+        else:
+            self.known = _bits(items)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes that are wanted, or may be."""
@@ -239,7 +258,8 @@ class Wanted:
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col: str, text_col: str) -> DataFrame:
-    """(h, id, at, found): windows of the given sizes whose hash is wanted."""
+    """(h, id, at, found): windows of the given sizes whose hash is wanted. Texts without a run of words that are
+    neighbours in items too have none, and aren't taken apart (see ``pairs``)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -247,8 +267,9 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: Wanted, id_col:
         words = _Words(None if shared.value.words is None else {w: _hash(w) for w in shared.value.words})
         for pdf in batches:
             out = []
+            pdf = pdf[P.passes(pdf["text"].tolist(), min(sizes, default=1), shared.value.pairs)]
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                t = Template(text, words, sizes[0] if sizes else 0)
+                t = Template(text, words)
                 for size in sizes:
                     for r, (h, at, _) in enumerate(t.windows(size)):
                         hit = shared.value.hits(h)
@@ -304,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     small = items.count() <= broadcast_windows
     words = [r.word for r in benchmark_words(benchmark, item_col, item_text_col).collect()] if small else None
-    found = stage(document_windows(docs, sizes, Wanted(items, small, words), id_col, text_col), "found-windows")
+    found = stage(document_windows(docs, sizes, Wanted(items, small, benchmark_pairs(benchmark, item_col, item_text_col), words), id_col, text_col), "found-windows")
     pairs = candidates(found, items, coverage, small)
     hits = pairs.join(F.broadcast(items) if small else items, "item").join(found, ["id", "h"]).where("size(slots) = size(found)")
     aligned = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "slots", "found")).alias("hits"))
